@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from lectern.llm.byte_bpe import op3_byte_bpe
+from lectern.llm.mixing import OP10_SQL, op10_mix
+from lectern.llm.ring import op7_ring
+from lectern.llm.simhash import op4_simhash_dedup
 from lectern.llm.token_counts import op6_token_counts
 
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_simhash_dedup": op4_simhash_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_ring": op7_ring,
+    "op10_mix": op10_mix,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op10_mix": OP10_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
