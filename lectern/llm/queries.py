@@ -6,11 +6,13 @@ from lectern.llm.byte_bpe import op3_byte_bpe
 from lectern.llm.mixing import OP10_SQL, op10_mix
 from lectern.llm.ring import op7_ring
 from lectern.llm.simhash import op4_simhash_dedup
+from lectern.llm.token_files import op5_token_files
 from lectern.llm.token_counts import op6_token_counts
 
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_token_files": op5_token_files,
     "op6_token_counts": op6_token_counts,
     "op7_ring": op7_ring,
     "op10_mix": op10_mix,
