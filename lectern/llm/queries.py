@@ -8,6 +8,7 @@ from lectern.llm.ring import op7_ring
 from lectern.llm.simhash import op4_simhash_dedup
 from lectern.llm.token_files import op5_token_files
 from lectern.llm.token_counts import op6_token_counts
+from lectern.llm.toxicity import op9_toxicity
 from lectern.llm.url_templates import OP8_SQL, op8_url_templates
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_ring": op7_ring,
     "op8_url_templates": op8_url_templates,
+    "op9_toxicity": op9_toxicity,
     "op10_mix": op10_mix,
 }
 ORACLE_SQL: dict[str, str] = {
