@@ -83,6 +83,22 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[Iterable[t
     return df.mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, column: str, make: Callable[[], Callable[[object], bool]]) -> DataFrame:
+    """The rows of ``df`` whose value in ``column`` passes ``make()``'s predicate, made once per task; no shuffle."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                values = part.column(part.schema.get_field_index(column)).to_pylist()
+                if (passed := part.filter(pa.array([keep(v) for v in values]))).num_rows:
+                    yield passed
+
+    return df.mapInArrow(run, df.schema)
+
+
 class Memo(dict):
     """A bounded memo of a function of one word; when full it starts anew, frequent words return at once."""
 

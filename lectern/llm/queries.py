@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lectern.llm.byte_bpe import op3_byte_bpe
+from lectern.llm.fertility import op1_fertility
 from lectern.llm.mixing import OP10_SQL, op10_mix
 from lectern.llm.ring import op7_ring
 from lectern.llm.simhash import op4_simhash_dedup
@@ -12,6 +13,7 @@ from lectern.llm.toxicity import op9_toxicity
 from lectern.llm.url_templates import OP8_SQL, op8_url_templates
 
 QUERIES = {
+    "op1_fertility": op1_fertility,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_token_files": op5_token_files,

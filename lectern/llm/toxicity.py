@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Memo, map_rows, table
+from lectern.llm.common import Memo, filter_rows, map_rows, table
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000
 #: Characters of a subsequence, characters over which it may spread, weight of each character that it spreads over.
@@ -272,26 +272,43 @@ def sample(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_cl
     return [(r["text"], int(r["toxic"] == 1)) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))]
 
 
-def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every whole text."""
+def scorer(docs: DataFrame, labels: DataFrame):
+    """What makes, in a task, the function that scores a text with the machine fitted on the labelled ``docs``."""
     machine = fit(sample(docs, labels))
-    shared = docs.sparkSession.sparkContext.broadcast((machine.weights, machine.offset, machine.curve))  # bounded by the landmarks' subsequences
+    # Its size is bounded by the landmarks' subsequences.
+    shared = docs.sparkSession.sparkContext.broadcast((machine.weights, machine.offset, machine.curve))
 
     def make():
         own = Machine(*shared.value)
         known = Memo(own.margin, 400_000)
         margins = Memo(lambda word: known[normal(word)], 600_000)
+        return lambda text: own.score(text, margins)
+
+    return make
 
-        def rows(batch):
-            for doc_id, text in batch:
-                score = own.score(text, margins)
-                yield doc_id, score, int(score >= 0.5)
 
-        return rows
+def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted of every whole text."""
+    make_score = scorer(docs, labels)
+
+    def make():
+        score = make_score()
+        return lambda batch: ((doc_id, s := score(text), int(s >= 0.5)) for doc_id, text in batch)
 
     found = map_rows(docs.select("doc_id", "text"), "doc_id long, score double, predicted int", make)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with a score below 0.5."""
+    make_score = scorer(docs, labels)
+
+    def make():
+        score = make_score()
+        return lambda text: score(text) < 0.5
+
+    return filter_rows(docs, "text", make)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
