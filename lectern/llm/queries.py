@@ -6,6 +6,7 @@ from lectern.llm.byte_bpe import op3_byte_bpe
 from lectern.llm.fertility import op1_fertility
 from lectern.llm.mixing import OP10_SQL, op10_mix
 from lectern.llm.ring import op7_ring
+from lectern.llm.search import OP2_SQL, op2_search
 from lectern.llm.simhash import op4_simhash_dedup
 from lectern.llm.token_files import op5_token_files
 from lectern.llm.token_counts import op6_token_counts
@@ -14,6 +15,7 @@ from lectern.llm.url_templates import OP8_SQL, op8_url_templates
 
 QUERIES = {
     "op1_fertility": op1_fertility,
+    "op2_search": op2_search,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_token_files": op5_token_files,
@@ -24,6 +26,7 @@ QUERIES = {
     "op10_mix": op10_mix,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_search": OP2_SQL,
     "op8_url_templates": OP8_SQL,
     "op10_mix": OP10_SQL,
 }
