@@ -35,7 +35,7 @@ from lectern.llm.common import map_rows, ship, stored, table
 K1, B = 1.2, 0.75
 TOP = 10
 #: Bytes of text in a shard, of queries in a block, documents in a block of postings.
-SHARD_BYTES, QUERY_BYTES, BLOCK = 16 << 20, 16 << 20, 16
+SHARD_BYTES, QUERY_BYTES, BLOCK = 16 << 20, 16 << 20, 64
 #: Rounding of scores; bounds are compared with this slack.
 DECIMALS, EPSILON = 6, 1e-5
 NO_ID = -(1 << 63)
