@@ -1,0 +1,25 @@
+"""Schemas of the knowledge base's tables."""
+
+from __future__ import annotations
+
+DOCUMENTS = (
+    "id string, user_id string, filename string, file_type string, file_size bigint, file_path string, status string, "
+    "processing_progress int, current_stage string, error_message string, chunk_count int, total_characters bigint, "
+    "metadata map<string,string>, created_at timestamp, updated_at timestamp, processed_at timestamp"
+)
+CHUNKS = (
+    "id string, document_id string, chunk_index int, content string, page_number int, start_char int, end_char int, "
+    "metadata map<string,string>, vector_id string, created_at timestamp"
+)
+EMBEDDINGS = (
+    "id string, document_id string, chunk_index bigint, content string, page_number bigint, source string, file_type string, embedding array<float>"
+)
+CONVERSATIONS = "id string, user_id string, title string, document_ids array<string>, message_count int, created_at timestamp, updated_at timestamp"
+CITATION = "struct<document_id:string,document_name:string,chunk_id:string,chunk_content:string,page_number:int,relevance_score:double>"
+MESSAGES = f"id string, conversation_id string, role string, content string, citations array<{CITATION}>, token_count int, created_at timestamp"
+SEGMENTS = "document_id string, index int, content string, page_number int, source string, total_pages int, file_type string"
+EVENTS = "conversation_id string, seq int, type string, data string"
+PROVIDERS = (
+    "id string, name string, category string, is_configured boolean, "
+    "models array<struct<id:string,type:string,context_window:int,max_tokens:int,pricing:struct<input:double,output:double>>>"
+)
