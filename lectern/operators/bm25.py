@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS, Settings
@@ -72,3 +72,15 @@ def top(scored: DataFrame, score: str, k: int | Column, decimals: int = 6) -> Da
 def scoped(scored: DataFrame, scope: DataFrame) -> DataFrame:
     """Only hits in the documents of ``scope`` (document_id); weights stay those of all chunks."""
     return scored.join(scope.select("document_id").distinct(), "document_id", "left_semi")
+
+
+def save(index: Index, path: str) -> None:
+    """Write the index tables; the term table is laid out by token, so a few tokens read a few row groups."""
+    index.tf.repartitionByRange("tok").sortWithinPartitions("tok").write.parquet(f"{path}/tf")
+    index.lengths.write.parquet(f"{path}/lengths")
+    index.idf.write.parquet(f"{path}/idf")
+    index.stats.write.parquet(f"{path}/stats")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("tf", "lengths", "idf", "stats")])

@@ -85,7 +85,7 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
     for number in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).select("query_id", "embedding").collect()
         ids = np.array([r[0] for r in rows], dtype=np.int64)
-        block = spark.sparkContext.broadcast((ids, _unit(np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1))))
+        block = spark.sparkContext.broadcast((ids, _unit(np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), dim or 1))))
 
         def best(batches, block=block):
             ids, wanted = block.value
