@@ -82,7 +82,7 @@ def byte_bpe(path: str | None = None) -> ByteBPE:
 class EncodedText:
     """One text's pieces and ids, for appends and edits that encode only what they touch."""
 
-    #: Characters before an edit that can still change their piece: a contraction has three.
+    #: Only pieces that reach into so many characters before an edit depend on it: a contraction looks at three.
     REACH = 4
 
     def __init__(self, bpe: ByteBPE, text: str = ""):
@@ -98,10 +98,6 @@ class EncodedText:
     def replace(self, start: int, stop: int, new: str) -> EncodedText:
         """Replace ``text[start:stop]``; ``encoded`` counts the pieces that were encoded for it."""
         first = max(0, bisect_right(self.starts, max(0, start - self.REACH)) - 1)
-        if start >= len(self.text) and self.starts:  # the last run of white space may be split anew
-            first = min(first, len(self.starts) - 1)
-        while first and self.text[self.starts[first]].isspace():
-            first -= 1
         shift = len(new) - (stop - start)
         text = self.text[:start] + new + self.text[stop:]
         at = self.starts[first] if self.starts else 0

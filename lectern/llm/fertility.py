@@ -9,7 +9,7 @@ on length and repetition come first.
 
 Defined results: a null text has no words and fails the base rules; a null doc_id stays a row; a
 null language is replaced by the script of the first letter; groups with fewer than ``MIN_GROUP``
-documents that pass the base rules take the bands of all documents; repeated rows stay; other
+documents that pass the base rules take the wider bands of all documents; repeated rows stay; other
 columns are ignored; an empty table gives an empty table.
 """
 
@@ -35,7 +35,8 @@ SPACES = " \t\n\x0b\x0c\r"
 WIDTHS = {"chars_per_token": (3.0, 3.0), "fallback_share": (None, 4.0), "entropy": (3.0, None)}
 #: The least that a band goes beyond the quartiles.
 LEAST = {"chars_per_token": 0.15, "fallback_share": 0.1, "entropy": 0.5}
-MIN_GROUP = 50
+#: Documents of a group that has bands of its own, and how much wider the bands of all documents are for the others.
+MIN_GROUP, WIDER = 10, 3.0
 
 FEATURES = (
     "doc_id long, grp string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -130,14 +131,14 @@ def bands(measured: DataFrame) -> DataFrame:
     """
     passed = measured.where("not base_failed")
     found = passed.groupBy("grp").agg(*_limits(), F.count("*").alias("n")).where((F.col("n") >= MIN_GROUP) & F.col("grp").isNotNull())
-    return found.drop("n").unionByName(passed.agg(*_limits()).withColumn("grp", F.lit(None).cast("string")))
+    return found.drop("n").unionByName(passed.agg(*_limits(WIDER)).withColumn("grp", F.lit(None).cast("string")))
 
 
-def _limits() -> list:
+def _limits(scale: float = 1.0) -> list:
     found = []
     for name, (below, above) in WIDTHS.items():
         low, high = F.percentile(name, 0.25), F.percentile(name, 0.75)
-        reach = lambda width: F.greatest((high - low) * width, F.lit(LEAST[name]))  # noqa: E731, B023
+        reach = lambda width: scale * F.greatest((high - low) * width, F.lit(LEAST[name]))  # noqa: E731, B023
         found.append((low - reach(below) if below is not None else F.lit(float("-inf"))).alias(f"{name}_low"))
         found.append((high + reach(above) if above is not None else F.lit(float("inf"))).alias(f"{name}_high"))
     return found

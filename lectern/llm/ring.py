@@ -7,7 +7,7 @@ depend on the order of rows. Only DataFrame functions run: hash histograms find
 room ends, and a row's shard is then a comparison with at most rounds x shards numbers.
 
 Defined results: a null text counts as the empty text; rows with a null doc_id are placed like
-any other; a hot text fills shards one after the other; rows that are equal in doc_id and text
+any other; a hot text takes the room that is left, shard after shard; rows that are equal in doc_id and text
 stay together; if such rows fit nowhere they stay on their first shard; other columns are
 ignored; an empty table gives an empty table.
 """
