@@ -32,9 +32,11 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: Distances of the quartiles by which the bands go beyond them, below and above (None: no limit).
-WIDTHS = {"chars_per_token": (3.0, 3.0), "fallback_share": (None, 4.0), "entropy": (3.0, None)}
+WIDTHS = {"chars_per_token": (2.25, 2.25), "fallback_share": (None, 4.0), "entropy": (1.75, None)}
 #: The least that a band goes beyond the quartiles.
-LEAST = {"chars_per_token": 0.15, "fallback_share": 0.1, "entropy": 0.5}
+LEAST = {"chars_per_token": 0.1, "fallback_share": 0.1, "entropy": 0.4}
+#: Shorter texts vary more by chance: their bands widen with the root of this over their words.
+STEADY_WORDS = 300
 #: Documents of a group that has bands of its own, and how much wider the bands of all documents are for the others.
 MIN_GROUP, WIDER = 10, 3.0
 
@@ -125,23 +127,28 @@ def features(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """Per group the lowest and highest value of each measure; the row with null group is that of all documents.
+    """Per group the quartiles of each measure; the row with null group is that of all documents.
 
     The measures have three decimals, so exact quartiles need a bounded number of counts.
     """
+    quartiles = [F.struct(F.percentile(m, 0.25).alias("low"), F.percentile(m, 0.75).alias("high")).alias(m) for m in WIDTHS]
     passed = measured.where("not base_failed")
-    found = passed.groupBy("grp").agg(*_limits(), F.count("*").alias("n")).where((F.col("n") >= MIN_GROUP) & F.col("grp").isNotNull())
-    return found.drop("n").unionByName(passed.agg(*_limits(WIDER)).withColumn("grp", F.lit(None).cast("string")))
+    found = passed.groupBy("grp").agg(*quartiles, F.count("*").alias("n")).where((F.col("n") >= MIN_GROUP) & F.col("grp").isNotNull())
+    found = found.withColumn("n", F.lit(1.0)).withColumnRenamed("n", "scale")
+    return found.unionByName(passed.agg(*quartiles).withColumn("grp", F.lit(None).cast("string")).withColumn("scale", F.lit(WIDER)))
 
 
-def _limits(scale: float = 1.0) -> list:
-    found = []
-    for name, (below, above) in WIDTHS.items():
-        low, high = F.percentile(name, 0.25), F.percentile(name, 0.75)
-        reach = lambda width: scale * F.greatest((high - low) * width, F.lit(LEAST[name]))  # noqa: E731, B023
-        found.append((low - reach(below) if below is not None else F.lit(float("-inf"))).alias(f"{name}_low"))
-        found.append((high + reach(above) if above is not None else F.lit(float("inf"))).alias(f"{name}_high"))
-    return found
+def within(name: str, band, scale):
+    """True if a measure lies in its band."""
+    below, above = WIDTHS[name]
+    low, high = band[name]["low"], band[name]["high"]
+    reach = lambda width: scale * F.greatest((high - low) * width, F.lit(LEAST[name]))
+    inside = F.lit(True)
+    if below is not None:
+        inside &= F.col(name) >= low - reach(below)
+    if above is not None:
+        inside &= F.col(name) <= high + reach(above)
+    return inside
 
 
 def judge(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -151,10 +158,10 @@ def judge(docs: DataFrame, path: str | None = None) -> DataFrame:
     whole = limits.where("grp is null").drop("grp").select(F.struct("*").alias("whole"))
     own = limits.where("grp is not null").select("grp", F.struct(*[c for c in limits.columns if c != "grp"]).alias("own"))
     rows = measured.join(own, "grp", "left").join(F.broadcast(whole))  # one row
-    band = F.coalesce("own", "whole")
-    inside = ~F.col("base_failed")
+    band, inside = F.coalesce("own", "whole"), ~F.col("base_failed")
+    scale = band["scale"] * F.greatest(F.lit(1.0), F.sqrt(STEADY_WORDS / F.greatest("n_words", F.lit(1))))
     for name in WIDTHS:
-        inside &= F.col(name).between(band[f"{name}_low"], band[f"{name}_high"])
+        inside &= within(name, band, scale)
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.coalesce(inside, F.lit(False)).alias("kept"), "chars_per_token", "fallback_share", "entropy",
