@@ -15,7 +15,7 @@ KEY = ["document_id", "chunk_index"]
 
 @dataclass
 class Index:
-    """``tf``: key, tok, tf. ``lengths``: key, dl, chunks without tokens too. ``idf``: tok, idf. ``stats``: one row n, mean_dl."""
+    """``tf``: key, tok, tf, dl. ``lengths``: key, dl, chunks without tokens too. ``idf``: tok, idf. ``stats``: one row n, mean_dl."""
 
     tf: DataFrame
     lengths: DataFrame
@@ -25,9 +25,11 @@ class Index:
 
 def build(chunks: DataFrame, settings: Settings = DEFAULTS, tokenize=tokens) -> Index:
     """Index all chunks. A term in more than half of them would weigh less than 0 and weighs epsilon times the mean weight instead."""
-    rows = chunks.select(*KEY, tokenize(F.col("content")).alias("toks"))
-    tf = rows.select(*KEY, F.explode("toks").alias("tok")).groupBy(*KEY, "tok").agg(F.count("*").alias("tf"))
-    lengths = rows.select(*KEY, F.coalesce(F.size("toks"), F.lit(0)).alias("dl"))
+    # Dealt by document once: counting a chunk's tokens then needs no shuffle of the far larger exploded rows.
+    rows = chunks.select(*KEY, "content").repartition("document_id").select(*KEY, tokenize(F.col("content")).alias("toks"))
+    rows = rows.withColumn("dl", F.when(F.col("toks").isNull(), 0).otherwise(F.size("toks")))
+    tf = rows.select(*KEY, "dl", F.explode("toks").alias("tok")).groupBy(*KEY, "tok").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    lengths = rows.select(*KEY, "dl")
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean_dl"))
     raw = tf.groupBy("tok").agg(F.count("*").alias("df")).join(F.broadcast(stats))  # one row
     raw = raw.select("tok", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
@@ -51,7 +53,6 @@ def scores(index: Index, queries: DataFrame, settings: Settings = DEFAULTS, toke
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean_dl")))
     return (
         index.tf.join(terms, "tok")
-        .join(index.lengths, KEY)
         .join(F.broadcast(index.stats))  # one row
         .groupBy("query_id", *KEY)
         .agg(F.sum(F.col("qf") * F.col("idf") * part).alias("bm25_score"))

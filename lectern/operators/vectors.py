@@ -36,7 +36,8 @@ def bucket(token: Column, dim: int) -> Column:
 
 def hash_embed(chunks: DataFrame, dim: int, *keys: str, text: str = "content") -> DataFrame:
     """Sparse hashed token counts: keys, bucket, weight, normalized to length 1."""
-    counts = chunks.select(*keys, F.explode(tokens(F.col(text))).alias("tok")).groupBy(*keys, bucket(F.col("tok"), dim).alias("bucket")).agg(F.count("*").alias("n"))
+    rows = chunks.select(*keys, text).repartition(keys[0])  # once: the groups below need no other shuffle
+    counts = rows.select(*keys, F.explode(tokens(F.col(text))).alias("tok")).groupBy(*keys, bucket(F.col("tok"), dim).alias("bucket")).agg(F.count("*").alias("n"))
     sizes = counts.groupBy(*keys).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
     return counts.join(sizes, list(keys)).select(*keys, "bucket", (F.col("n") / F.col("size")).alias("weight"))
 
