@@ -11,6 +11,24 @@ from lectern.functions.text import ellipsis
 STAGES = {"pending": (0, None), "parsing": (0, "parsing"), "chunking": (33, "chunking"), "embedding": (66, "embedding"), "completed": (100, "completed"), "failed": (0, "failed")}
 
 
+#: Characters of a vector entity's content, source and file type.
+LIMITS = {"content": 65535, "source": 500, "file_type": 20}
+
+
+def vector_entities(chunks: DataFrame) -> DataFrame:
+    """id ``{document_id}_{chunk_index}`` and the chunk's columns, cut to the store's lengths."""
+    cut = [F.substring(c, 1, n).alias(c) for c, n in LIMITS.items()]
+    return chunks.select(F.concat_ws("_", "document_id", "chunk_index").alias("id"), "document_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), *cut)
+
+
+def new_documents(files: DataFrame) -> DataFrame:
+    """Catalog rows of new files (document_id, path, size): pending, nothing processed."""
+    return files.select(
+        F.col("document_id").alias("id"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.ltrim(F.lower(F.regexp_extract("path", r"\.[^./]+$", 0)), F.lit(".")).alias("file_type"),
+        F.col("size").alias("file_size"), F.col("path").alias("file_path"), F.lit("pending").alias("status"), F.lit(0).alias("processing_progress"), F.lit(0).alias("chunk_count"), F.lit(0).cast("bigint").alias("total_characters"),
+    )
+
+
 def latest(log: DataFrame, key: str, order: str) -> DataFrame:
     """The last entry of each key of a status log; one aggregation, no sort."""
     others = [c for c in log.columns if c != key]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions import sql
 from lectern.functions import text as T
 from lectern.sources.shared import scratch
 from lectern.operators import answer, catalog, conversation
@@ -163,6 +164,27 @@ def doc_with_chunks(spark, sf_dir):
     return rows.select("id", F.size(F.coalesce("chunks", F.array())).alias("n"), F.md5(F.array_join(F.transform("chunks", lambda c: c["content"]), "|")).alias("contents_md5"))
 
 
+@query("vector_entities", f"WITH {CHUNKS} SELECT document_id || '_' || chunk_index AS id, document_id, chunk_index::BIGINT AS chunk_index, substr(content, 1, 65535) AS content, substr(source, 1, 500) AS source, 'txt' AS file_type FROM chunks")
+def vector_entities(spark, sf_dir):
+    return catalog.vector_entities(chunks(spark, sf_dir).withColumn("file_type", F.lit("txt")))
+
+
+@query("new_documents", f"SELECT doc_id AS id, {FILENAME} AS filename, substr(lower(regexp_extract({FILENAME}, '\\.[^./]+$')), 2) AS file_type, n_chars AS file_size, 'pending' AS status, 0 AS chunk_count FROM documents")
+def new_documents(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.concat(F.lit("/in/"), F.expr(FILENAME)).alias("path"), F.col("n_chars").alias("size"))
+    return catalog.new_documents(rows).select("id", "filename", "file_type", "file_size", "status", "chunk_count")
+
+
+@query(
+    "sql_functions",
+    "SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))::INTEGER AS n_tokens, CASE WHEN length(text) > 20 THEN substr(text, 1, 20) || '...' ELSE text END AS short, (1 + greatest(0, ceil((length(text) - 1000) / 800.0)))::INTEGER AS n_windows FROM documents WHERE length(text) > 0",
+)
+def sql_functions(spark, sf_dir):
+    sql.register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("kb_documents")
+    return spark.sql("SELECT doc_id, size(kb_tokens(text)) AS n_tokens, kb_ellipsis(text, 20) AS short, size(kb_windows(text, 1000, 200)) AS n_windows FROM kb_documents WHERE length(text) > 0")
+
+
 _CONV = """convs AS (SELECT conv_id, count(*) AS message_count, max(turn) AS last_turn, max_by(text, turn) AS t FROM conversations GROUP BY conv_id),
 shown AS (SELECT conv_id, message_count, last_turn, CASE WHEN length(t) > 100 THEN substr(t, 1, 100) || '...' ELSE t END AS last_message FROM convs)"""
 

@@ -5,9 +5,11 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import sql
 from lectern.functions import text as T
-from lectern.operators import answer, bm25, catalog, conversation, fusion, vectors
+from lectern.operators import answer, bm25, catalog, conversation, fusion, tool, vectors
 from lectern.sources import files
+from lectern.streaming import ingest
 
 TEXTS = ["spark runs sql", "spark streams events fast", "vector search engine", "spark vector index"]
 
@@ -100,3 +102,25 @@ def test_catalog(spark):
     assert {r.id: r.status for r in catalog.latest(log, "id", "at").collect()} == {1: "failed", 2: "pending"}
     titled = spark.createDataFrame([(1, "50% off", None), (2, None, "500 off")], "conv_id long, title string, last_message string")
     assert [r.conv_id for r in catalog.search_conversations(titled, "0% O").collect()] == [1]
+
+
+def test_search_tool(spark):
+    chunks = spark.createDataFrame([(i, 0, t, f"file{i}.txt", i + 1) for i, t in enumerate(TEXTS)], "document_id long, chunk_index int, content string, source string, page_number int")
+    text = tool.search_knowledge_base(chunks, "events fast", top_k=2, threshold=0.1)
+    # The only hit of a leg is also its lowest, so its normalised score is 0.
+    assert text == "[文档 1] file1.txt - 第 2 页 (相关度: 0.00)\nspark streams events fast"
+    assert tool.search_knowledge_base(chunks, "events fast", document_ids=[0], threshold=0.9) == answer.NOTHING_FOUND
+    for query, k in (("", 5), ("x", 0), ("x", 21)):
+        with pytest.raises(ValueError):
+            tool.search_knowledge_base(chunks, query, k)
+
+
+def test_sql_functions(spark):
+    sql.register(spark)
+    row = spark.sql("SELECT kb_windows('abcdefgh', 5, 2) AS w, kb_cosine(array(3D, 4D), array(4D, 3D)) AS c, kb_cosine(array(0D), array(1D)) AS z, kb_strip(' a ') AS s, kb_suffix('x/y.MD') AS f, kb_tokens('A b!') AS t").first()
+    assert (row.w, round(row.c, 6), row.z, row.s, row.f, row.t) == (["abcde", "defgh"], 0.96, None, "a", ".md", ["a", "b"])
+
+
+def test_repeated_ingest_counts_once(spark):
+    rows = spark.createDataFrame([("d1", "h1"), ("d2", "h1"), ("d3", "h2")], "document_id string, content_hash string")
+    assert ingest.first_of_each(rows).count() == 2
