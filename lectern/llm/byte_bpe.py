@@ -15,13 +15,12 @@ import hashlib
 import re
 import struct
 from bisect import bisect_right
-from functools import cache
 
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.common import Memo, map_rows, table
+from lectern.llm.common import Memo, map_rows, one_per_worker, table
 from lectern.llm.prefix_bpe import Vocabulary
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -74,9 +73,8 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@cache
 def byte_bpe(path: str | None = None) -> ByteBPE:
-    return ByteBPE(path)
+    return one_per_worker(("byte_bpe", path), lambda: ByteBPE(path))
 
 
 class EncodedText:

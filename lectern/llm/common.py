@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -58,6 +60,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lowest(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The n rows with the lowest hashes of ``keys``, the same on every run.
+
+    A threshold that about 4n rows pass comes first, so the task that orders them gets few rows at any size.
+    """
+    hashed = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
+    limit = min(1.0, 4 * n / max(1, df.count())) * (1 << 40)
+    return df.withColumn("_hash", hashed).where(F.col("_hash") <= int(limit)).orderBy("_hash", *keys).limit(n).drop("_hash")
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[Iterable[tuple]], Iterator[tuple]]]) -> DataFrame:
     """Arrow in, Arrow out: ``make()`` gives, once per task, a generator over the rows of a batch.
 
@@ -99,6 +111,18 @@ def filter_rows(df: DataFrame, column: str, make: Callable[[], Callable[[object]
     return df.mapInArrow(run, df.schema)
 
 
+_large: dict = {}
+
+
+def one_per_worker(key, make: Callable = lambda: None):
+    """A worker's one large object, kept from task to task; another key's object makes room for it."""
+    if key not in _large:
+        _large.clear()
+        gc.collect()
+        _large[key] = make()
+    return _large[key]
+
+
 class Memo(dict):
     """A bounded memo of a function of one word; when full it starts anew, frequent words return at once."""
 

@@ -16,7 +16,6 @@ columns are ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import unicodedata
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -25,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Memo, map_rows, stored, table
+from lectern.llm.common import Memo, map_rows, one_per_worker, stored, table
 
 MODEL = "piece_bpe_32k.model"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -77,7 +76,7 @@ class Fertility:
     def __init__(self, path: str | None = None):
         model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(MODEL))
         self.is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-        self.tokens = Memo(lambda word: tuple(model.encode(word.decode())), 500_000)
+        self.tokens = Memo(lambda word: tuple(model.encode(word.decode())), 300_000)
 
     def measure(self, text: str) -> tuple:
         """The numbers of ``FEATURES`` from n_words on."""
@@ -102,9 +101,8 @@ class Fertility:
         )
 
 
-@cache
 def fertility(path: str | None = None) -> Fertility:
-    return Fertility(path)
+    return one_per_worker(("fertility", path), lambda: Fertility(path))
 
 
 def script(text: str) -> str:

@@ -5,10 +5,14 @@ inverted index as one row: no text is shuffled. Document frequencies, the number
 and their mean length are summed over all shards, so every shard scores with global statistics
 and the shards' top k merge exactly.
 
+A task's shards raise the k-th best score for one another, and the task passes on its k best only.
+
 Within a shard documents are numbered so that alike ones stand together, and postings are cut
 into blocks of document numbers that are the same for all terms. A block's pivot test adds up
 the query terms' block maxima: only blocks whose bound reaches the k-th best score so far are
-scored, best bounds first; all others are skipped without reading their postings.
+scored, best bounds first; all others are skipped without reading their postings. Of words that
+many documents of the shard have, whose lists no bound could skip, the exact part of the scores
+comes from a dense matrix product beforehand and enters the bounds as it is.
 
 Queries come in blocks of bounded bytes; each is broadcast and runs against all shards.
 
@@ -36,6 +40,10 @@ K1, B = 1.2, 0.75
 TOP = 10
 #: Bytes of text in a shard, of queries in a block, documents in a block of postings.
 SHARD_BYTES, QUERY_BYTES, BLOCK = 16 << 20, 16 << 20, 64
+#: A word that at least one document in so many of a shard has is kept dense.
+DENSE = 12
+#: Tasks that search, for each core of the cluster.
+TASKS_PER_CORE = 3
 #: Rounding of scores; bounds are compared with this slack.
 DECIMALS, EPSILON = 6, 1e-5
 NO_ID = -(1 << 63)
@@ -120,8 +128,30 @@ def _ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+class Best:
+    """The k best hits of a query so far; ``least`` is the score that a document must reach."""
+
+    __slots__ = ("ids", "scores", "least")
+
+    def __init__(self):
+        self.ids, self.scores, self.least = np.zeros(0, np.int64), np.zeros(0), 0.0
+
+    def add(self, ids: np.ndarray, scores: np.ndarray, k: int) -> None:
+        ids, scores = np.r_[self.ids, ids], np.r_[self.scores, scores]
+        if len(scores) > k:
+            keep = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[keep], scores[keep]
+        self.ids, self.scores = ids, scores
+        if len(scores) == k:
+            self.least = scores.min()
+
+
 class Shard:
-    """A shard's postings of the words that a block of queries asks for, with block maxima."""
+    """A shard's postings of the words that a block of queries asks for.
+
+    Words that many of its documents have are kept as dense rows of impacts, whose part of all
+    scores is one matrix product for many queries; the others as postings with block maxima.
+    """
 
     def __init__(self, row: tuple, block: QueryBlock, mean_length: float):
         _, n_docs, _, ids, lengths, terms, starts, docs, tfs = row
@@ -131,48 +161,63 @@ class Shard:
         asked = np.nonzero(number >= 0)[0]
         picked = _ranges(starts[asked], starts[asked + 1])
         sizes = starts[asked + 1] - starts[asked]
-        self.docs = np.frombuffer(docs, dtype="<i4")[picked].astype(np.int64)
+        docs = np.frombuffer(docs, dtype="<i4")[picked].astype(np.int64)
         tf = np.frombuffer(tfs, dtype="<i4")[picked].astype(float)
-        self.impact = np.repeat(block.idf[number[asked]], sizes) * tf * (K1 + 1) / (tf + norm[self.docs])
+        impact = np.repeat(block.idf[number[asked]], sizes) * tf * (K1 + 1) / (tf + norm[docs])
+        common = sizes * DENSE >= n_docs
+
+        inside = np.repeat(common, sizes)
+        self.rows = np.full(len(block.vocabulary), -1)
+        self.rows[number[asked[common]]] = np.arange(common.sum())
+        self.dense = np.zeros((int(common.sum()), n_docs))
+        self.dense[np.repeat(np.arange(len(self.dense)), sizes[common]), docs[inside]] = impact[inside]
+
+        self.docs, self.impact = docs[~inside], impact[~inside]
+        asked, sizes = asked[~common], sizes[~common]
         slot = np.repeat(np.arange(len(asked)), sizes)
         where = self.docs // BLOCK
-        n_blocks = n_docs // BLOCK + 1
-        self.first = np.nonzero(np.diff(slot * n_blocks + where, prepend=-1))[0]
+        self.n_blocks = -(-n_docs // BLOCK)
+        self.first = np.nonzero(np.diff(slot * self.n_blocks + where, prepend=-1))[0]
         self.stop = np.r_[self.first[1:], len(slot)]
         self.block = where[self.first]
         self.most = np.maximum.reduceat(self.impact, self.first) if len(self.first) else np.zeros(0)
         self.entries = np.searchsorted(slot[self.first], np.arange(len(asked) + 1))
         self.slots = np.full(len(block.vocabulary), -1)
         self.slots[number[asked]] = np.arange(len(asked))
-        self.n_blocks = n_blocks
-
-    def top(self, query_id: int, words: np.ndarray, times: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """The shard's k best (doc_id, score) of a query."""
+        self.block_starts, self.block_of = np.arange(0, n_docs, BLOCK), np.arange(n_docs) // BLOCK
+
+    def improve(self, best: list[Best], queries: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> None:
+        """Put the shard's documents among the best so far of each query."""
+        for start in range(0, len(queries), 64):
+            part = queries[start : start + 64]
+            weights = np.zeros((len(part), len(self.dense)))
+            for i, (_, words, times) in enumerate(part):
+                rows = self.rows[words]
+                weights[i, rows[rows >= 0]] = times[rows >= 0]
+            for i, base in enumerate(weights @ self.dense):
+                self._improve(best[start + i], *part[i], base, k)
+
+    def _improve(self, best: Best, query_id: int, words: np.ndarray, times: np.ndarray, base: np.ndarray, k: int) -> None:
         slots = self.slots[words]
         slots, times = slots[slots >= 0], times[slots >= 0]
         starts, stops = self.entries[slots], self.entries[slots + 1]
         entries, weight = _ranges(starts, stops), np.repeat(times, stops - starts)
         where = self.block[entries]
-        bounds = np.bincount(where, weights=self.most[entries] * weight, minlength=self.n_blocks)
+        bounds = np.maximum.reduceat(base, self.block_starts) + np.bincount(where, weights=self.most[entries] * weight, minlength=self.n_blocks)
         order = np.argsort(-bounds, kind="stable")
-        best_ids, best, least, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, max(4, 4 * k // BLOCK)
-        while at < len(order) and bounds[order[at]] > 0 and bounds[order[at]] >= least - EPSILON:
+        at, step = 0, max(4, 4 * k // BLOCK)
+        while at < len(order) and bounds[order[at]] > 0 and bounds[order[at]] >= best.least - EPSILON:
             chosen = np.zeros(self.n_blocks, dtype=bool)
-            chosen[(part := order[at : at + step])[bounds[part] >= least - EPSILON]] = True
+            chosen[(part := order[at : at + step])[bounds[part] >= best.least - EPSILON]] = True
             inside = chosen[where]
             first, stop = self.first[entries[inside]], self.stop[entries[inside]]
             postings = _ranges(first, stop)
             score = np.bincount(self.docs[postings], weights=self.impact[postings] * np.repeat(weight[inside], stop - first), minlength=self.n_docs)
-            found = np.nonzero(score > max(0.0, least - EPSILON))[0]
+            score = np.where(chosen[self.block_of], base + score, 0.0)
+            found = np.nonzero(score > max(0.0, best.least - EPSILON))[0]
             found = found[self.ids[found] != query_id]
-            best_ids, best = np.r_[best_ids, self.ids[found]], np.r_[best, np.round(score[found], DECIMALS)]
-            if len(best) > k:
-                keep = np.lexsort((best_ids, -best))[:k]
-                best_ids, best = best_ids[keep], best[keep]
-            if len(best) == k:
-                least = best.min()
+            best.add(self.ids[found], np.round(score[found], DECIMALS), k)
             at, step = at + step, 2 * step
-        return list(zip(best_ids.tolist(), best.tolist()))
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_bytes: int = SHARD_BYTES, query_bytes: int = QUERY_BYTES) -> DataFrame:
@@ -214,20 +259,22 @@ def _search_block(spark: SparkSession, index: DataFrame, block: QueryBlock, n_do
     df[found[:, 0]] = found[:, 1]
     idf = spark.sparkContext.broadcast(np.log(1 + (n_docs - df + 0.5) / (df + 0.5)))
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         own.idf = idf.value
-
-        def rows(batch):
-            for row in batch:
-                shard = Shard(row, own, mean_length)
-                for query_id, words, times in own.queries:
-                    for doc_id, score in shard.top(query_id, words, times, k):
-                        yield query_id, doc_id if doc_id != NO_ID else None, score
-
-        return rows
-
-    return map_rows(index, "query_id long, doc_id long, score double", make)
+        best = [Best() for _ in own.queries]
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = tuple(c[at].as_py() for c in batch.columns)
+                Shard(row, own, mean_length).improve(best, own.queries, k)
+        for start in range(0, len(best), 1024):
+            part = [(q[0], d if d != NO_ID else None, s) for q, b in zip(own.queries[start : start + 1024], best[start : start + 1024]) for d, s in zip(b.ids.tolist(), b.scores.tolist())]
+            if part:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*part), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
+
+    # A task merges its shards' hits, so what it passes on does not grow with the number of shards.
+    few = index.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return few.mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def op2_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_rows, stored, table
+from lectern.llm.common import map_rows, one_per_worker, stored, table
 
 SHINGLE = 3
 SEED = 42
@@ -45,6 +45,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fingerprint, a signed 64-bit integer."""
 
     def make():
+        one_per_worker("simhash")  # nothing to keep, but room to make
+
         def rows(batch):
             for doc_id, text in batch:
                 f = fingerprint(text, shingle)

@@ -13,14 +13,13 @@ rows of their own; other columns are ignored; an empty table gives an empty tabl
 from __future__ import annotations
 
 import re
-from functools import cache
 from itertools import accumulate
 
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.common import Memo, map_rows, table
+from lectern.llm.common import Memo, map_rows, one_per_worker, table
 from lectern.llm.prefix_bpe import PrefixTable, Vocabulary
 
 MODEL = "piece_bpe_32k.model"
@@ -79,9 +78,8 @@ class PieceCounts:
         return max(0, start + end)
 
 
-@cache
 def piece_counts(path: str | None = None) -> PieceCounts:
-    return PieceCounts(path)
+    return one_per_worker(("piece_counts", path), lambda: PieceCounts(path))
 
 
 def count_tokens(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Token-ID files with a shared zstandard dictionary.
 
 Every document's ids are serialized as little-endian unsigned 32-bit integers and compressed on
-their own, with a dictionary trained on serialized id arrays of a bounded sample. A file holds
+their own, with a dictionary trained on serialized id arrays of a bounded sample (``SAMPLE_DOCUMENTS``). A file holds
 segments; a segment has the compressed documents one after the other, the offset index of its
 documents, and the dictionary's hash. One short document is read by its segment and its offset,
 without its neighbours. Spark writes the segments as rows of a Parquet table, in ascending
@@ -20,7 +20,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -32,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lectern.llm.common import Memo, map_rows, new_path, ship, table
+from lectern.llm.common import Memo, lowest, map_rows, new_path, one_per_worker, ship, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Documents whose ids train the dictionary, ids of each that are used, and the dictionary's bytes.
 SAMPLE_DOCUMENTS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 65536
 SEGMENT_BYTES = 4 << 20
+#: Bytes of text that one task sorts and encodes, about.
+PARTITION_BYTES = 32 << 20
 LEVEL = 3
 
 #: White space by Unicode, at which the tokenizer's normalizer and splitter always part a text;
@@ -85,14 +86,13 @@ class WordIds:
         return b"".join(map(self.words.__getitem__, filter(None, words)))
 
 
-@cache
 def word_ids(path: str | None = None) -> WordIds:
-    return WordIds(path)
+    return one_per_worker(("word_ids", path), lambda: WordIds(path))
 
 
 def train(docs: DataFrame, path: str | None = None) -> bytes:
     """The dictionary, from the documents whose ids' hashes are lowest; empty if they are too few to train on."""
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCUMENTS)
+    sample = lowest(docs.select("doc_id", "text"), SAMPLE_DOCUMENTS, "doc_id", "text")
 
     def make():
         ids = word_ids(path)
@@ -108,8 +108,8 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def write(docs: DataFrame, folder: str, partitions: int, path: str | None = None) -> None:
-    """Encode ``docs`` and write the segments and the dictionary under ``folder``."""
+def write(docs: DataFrame, folder: str, partitions: int = 1, path: str | None = None) -> None:
+    """Encode ``docs`` and write the segments and the dictionary under ``folder``, in at least ``partitions`` files."""
     spark = docs.sparkSession
     ship(spark)
     raw = train(docs, path)
@@ -148,6 +148,8 @@ def write(docs: DataFrame, folder: str, partitions: int, path: str | None = None
     from pyspark.sql.types import _parse_datatype_string
 
     target = to_arrow_schema(_parse_datatype_string(SEGMENTS))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = max(partitions, -(-size // PARTITION_BYTES))
     ordered = docs.select("doc_id", "text").repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered.mapInArrow(segments, SEGMENTS).write.option("compression", "none").parquet(f"{folder}/segments")
 

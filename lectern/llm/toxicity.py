@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -34,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Memo, filter_rows, map_rows, table
+from lectern.llm.common import Memo, filter_rows, lowest, map_rows, one_per_worker, table
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000
 #: Characters of a subsequence, characters over which it may spread, weight of each character that it spreads over.
@@ -265,8 +266,8 @@ def held_out(doc_id):
 def sample(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN) -> list[tuple[str | None, int]]:
     """The bounded sample of labelled documents that the machine is fitted on."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.where(~held_out(F.col("doc_id"))).withColumn("order", F.xxhash64("doc_id"))
-    ids = known.where("toxic = 1").orderBy("order", "doc_id").limit(n_toxic).union(known.where("toxic <> 1").orderBy("order", "doc_id").limit(n_clean))
+    known = known.where(~held_out(F.col("doc_id")))
+    ids = lowest(known.where("toxic = 1"), n_toxic, "doc_id").union(lowest(known.where("toxic <> 1"), n_clean, "doc_id"))
     chosen = F.broadcast(ids.select("doc_id", "toxic"))  # at most n_toxic + n_clean rows
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic").collect()
     return [(r["text"], int(r["toxic"] == 1)) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))]
@@ -278,10 +279,15 @@ def scorer(docs: DataFrame, labels: DataFrame):
     # Its size is bounded by the landmarks' subsequences.
     shared = docs.sparkSession.sparkContext.broadcast((machine.weights, machine.offset, machine.curve))
 
-    def make():
+    name = ("toxicity", uuid.uuid4().hex)
+
+    def build():
         own = Machine(*shared.value)
-        known = Memo(own.margin, 400_000)
-        margins = Memo(lambda word: known[normal(word)], 600_000)
+        known = Memo(own.margin, 300_000)
+        return own, Memo(lambda word: known[normal(word)], 400_000)
+
+    def make():
+        own, margins = one_per_worker(name, build)
         return lambda text: own.score(text, margins)
 
     return make
