@@ -153,10 +153,12 @@ def judge(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The features of every document, and ``kept``: base rules passed and all measures within the group's bands."""
     measured = stored(features(docs, path), "features")
     limits = stored(bands(measured), "bands")
-    whole = limits.where("grp is null").drop("grp").select(F.struct("*").alias("whole"))
-    own = limits.where("grp is not null").select("grp", F.struct(*[c for c in limits.columns if c != "grp"]).alias("own"))
-    rows = measured.join(own, "grp", "left").join(F.broadcast(whole))  # one row
-    band, inside = F.coalesce("own", "whole"), ~F.col("base_failed")
+    own = limits.where("grp is not null").select("grp", F.struct(*WIDTHS, "scale").alias("own"))
+    rows = measured.join(own, "grp", "left")
+    found = limits.where("grp is null").first()  # the bands of all documents: one row of seven numbers
+    quartile = lambda m, end: F.lit(found[m][end]).cast("double").alias(end)
+    whole = F.struct(*[F.struct(quartile(m, "low"), quartile(m, "high")).alias(m) for m in WIDTHS], F.lit(found["scale"]).alias("scale"))
+    band, inside = F.coalesce("own", whole), ~F.col("base_failed")
     scale = band["scale"] * F.greatest(F.lit(1.0), F.sqrt(STEADY_WORDS / F.greatest("n_words", F.lit(1))))
     for name in WIDTHS:
         inside &= within(name, band, scale)
