@@ -87,9 +87,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
         rows = rows.join(kept, ["template", "value"], "left").select("page_id", "host", "path", "bad", grown.alias("template"))
         rows = stored(rows, "templates")
     purity = stored(rows.groupBy("template").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad")), "purity")
-    whole = purity.agg((F.sum("n_bad") / F.sum("n")).alias("share")).select(F.coalesce("share", F.lit(0.0)).alias("share"))
-    share = (F.col("n_bad") + PRIOR_PAGES * F.col("share")) / (F.col("n") + PRIOR_PAGES)
-    purity = purity.join(F.broadcast(whole)).select("template", share.alias("bad_share"))  # one row
+    n_bad, n = purity.agg(F.sum("n_bad"), F.sum("n")).first()
+    share = (F.col("n_bad") + PRIOR_PAGES * F.lit(n_bad / n if n else 0.0)) / (F.col("n") + PRIOR_PAGES)
+    purity = purity.select("template", share.alias("bad_share"))
     rule, said = fitting_rule(F.col("host"), F.col("path"), rules)
     return rows.join(purity, "template").select(
         "page_id", "host", "path", rule.alias("rule"),
