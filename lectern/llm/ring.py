@@ -103,7 +103,9 @@ def place(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, virtual_n
         ),
         "sizes",
     )
-    ring = spark.createDataFrame(list(enumerate(ring_orders(shards, virtual_nodes))), "slot int, shards array<int>")
+    orders = ";".join(",".join(map(str, order)) for order in ring_orders(shards, virtual_nodes))
+    ring = spark.range(1).select(F.posexplode(F.split(F.lit(orders), ";")).alias("slot", "order"))
+    ring = ring.select("slot", F.split("order", ",").cast("array<int>").alias("shards"))
     slot = F.shiftright("position", BITS - SLOT_BITS).cast("int")
     rows = rows.withColumn("slot", slot).join(F.broadcast(ring), "slot")  # the ring has 4096 rows at any size
     total, largest = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
