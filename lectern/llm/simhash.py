@@ -73,8 +73,11 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     """
     if distance not in (2, 4):
         raise ValueError("distance must be 2 or 4")
+    # A narrow table has few splits, but each fingerprint becomes many rows: deal them out first.
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = prints.select("fingerprint").repartition(tasks, "fingerprint")
     return (
-        prints.select("fingerprint", F.explode(variants(F.col("fingerprint"), distance // 2)).alias("variant"))
+        dealt.select("fingerprint", F.explode(variants(F.col("fingerprint"), distance // 2)).alias("variant"))
         .groupBy("variant")
         .agg(F.collect_list("fingerprint").alias("met"))
         .where(F.size("met") > 1)
