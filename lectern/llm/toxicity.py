@@ -40,7 +40,7 @@ from lectern.llm.common import Memo, filter_rows, lowest, map_rows, one_per_work
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000
 #: Characters of a subsequence, characters over which it may spread, weight of each character that it spreads over.
 LENGTH, SPREAD, DECAY = 3, 5, 0.6
-LANDMARKS, ROUNDS = 160, 2
+LANDMARKS, ROUNDS = 160, 4
 #: Margins count from and up to these.
 FLOOR, CEILING = -0.5, 1.0
 #: Of a word, the characters that are looked at: its kernel is that of its parts of this size.

@@ -142,6 +142,19 @@ def test_op9_held_out(spark):
     assert sum(s >= 0.5 for s in good) <= 0.1 * len(good)
 
 
+def test_op9_few_labels():
+    """A few dozen toxic texts of ordinary length are enough to find the words that make them so."""
+    connection = duckdb.connect()
+    folder = "/root/testdata/sf0.01"
+    rows = connection.execute(f"SELECT doc_id, text, toxic FROM '{folder}/documents.parquet' JOIN '{folder}/labels.parquet' USING (doc_id) ORDER BY doc_id").fetchall()
+    rows = [r for r in rows if not brute_base(r[1])[-1]]  # as the pipeline's first stage leaves them
+    machine = toxicity.fit([(text, toxic) for doc_id, text, toxic in rows if zlib.crc32(str(doc_id).encode()) % 5])
+    margins = toxicity.Memo(lambda word: machine.margin(toxicity.normal(word)))
+    found = [(machine.score(text, margins) >= 0.5, toxic) for _, text, toxic in rows]
+    bad, good = [f for f, toxic in found if toxic], [f for f, toxic in found if not toxic]
+    assert sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.05 * len(good)
+
+
 def test_op9_insults_with_gaps(spark):
     insults = ["idiot", "moron", "pathetic", "scum"]
     words = [w * 2 + "a" for w in ("the", "and", "house", "garden", "river", "stone", "table", "window", "road", "light")]
