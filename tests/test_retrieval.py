@@ -1,6 +1,7 @@
 """Golden examples of search, fusion, answers and conversations."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,32 @@ def test_vectors(spark):
     assert small[1, 1] == (2, 0.96) and small[2, 1] == (1, 0.96) and small[0, 1] == (1, 0.0)
 
 
+def test_inverted_file_recall(spark):
+    """Every query of the batch search, with the mean recall that is asked for."""
+    from lectern.plans.search_queries import K, ivf_recall
+
+    for folder in ("/root/testdata/sf0.001", "/root/testdata/sf0.1"):
+        rows = ivf_recall(spark, folder).collect()
+        asked = {r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").where("vec_id % 100 = 0").collect()}
+        assert {r.query_id for r in rows} == asked and len(rows) == len(asked)
+        assert all(r.k == K and 4 <= r.lists <= 16 for r in rows)
+        assert sum(r.found for r in rows) / sum(r.k for r in rows) >= 0.9
+
+
+def test_inverted_file_skips_lists(spark):
+    """Where vectors do cluster, lists are left unread and nothing is lost."""
+    draw = random.Random(3)
+    centers = [[draw.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    rows = [(i, [x + draw.gauss(0, 0.05) for x in centers[i % 12]]) for i in range(600)]
+    rows = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = rows.where("vec_id < 36").select(F.col("vec_id").alias("query_id"), "embedding")
+    clustered, centroids = vectors.cluster(rows, 12)
+    found, lists = vectors.probe(clustered, centroids, queries, 10, 1, query_bytes=1024)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, vectors.batch_top_k(rows, queries, 10).collect()))
+    counts = [r.lists for r in lists.collect()]
+    assert len(counts) == 36 and sum(counts) < 36 * 6
+
+
 def test_trim(spark):
     talk = [(c, t, "system" if t == 0 and c != 3 else "user", str(t)) for c, n in ((1, 11), (2, 12), (3, 12)) for t in range(n)]
     rows = conversation.trim(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("t"))
