@@ -27,8 +27,10 @@ from lectern.llm.common import stored, table
 #: (rule, verdict): host, then path; a rule fits its host and all subdomains, the longest wins.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 DEPTH = 4
-#: Pages, and part of the node's pages, that a branch needs to stay; the test's critical value.
-MIN_PAGES, MIN_SHARE, CRITICAL = 20, 0.01, 1.96
+#: Pages that a branch needs to stay; the test's critical value.
+MIN_PAGES, CRITICAL = 20, 1.96
+#: Part of the node's pages that a branch needs in ``OP8_SQL`` only, which agrees where no branch that differs has less.
+MIN_SHARE = 0.01
 #: Pages of the overall share that are added to each template; share of bad pages from which it is blocked.
 PRIOR_PAGES, BLOCKED_SHARE = 10, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,8 +82,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
         )
         branches = stored(branches, "branches")
         nodes = branches.groupBy("template").agg(F.sum("pages").alias("all_pages"), F.sum("n").alias("all_n"), F.sum("n_bad").alias("all_bad"))
-        stays = (F.col("pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("all_pages"))
-        stays &= differs(F.col("n_bad"), F.col("n"), F.col("all_bad"), F.col("all_n"))
+        stays = (F.col("pages") >= MIN_PAGES) & differs(F.col("n_bad"), F.col("n"), F.col("all_bad"), F.col("all_n"))
         kept = branches.join(nodes, "template").where(stays).select("template", "value", F.col("value").alias("kept"))
         grown = F.when(F.col("value").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("kept", F.lit("*"))))
         rows = rows.join(kept, ["template", "value"], "left").select("page_id", "host", "path", "bad", grown.alias("template"))

@@ -105,6 +105,21 @@ def test_op8_purity(spark):
     assert {(r.template, r.verdict) for r in found.collect()} == {("h.net/spam/*", "block"), ("h.net/news/*", "allow")}
 
 
+def test_op8_small_branch_of_large_host(spark):
+    """A bad directory is blocked whatever the size of its host, and however many branches share it evenly."""
+    spam = [(i, f"http://h.net/spam/{i}") for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i >= 90), 0) for i in range(12_000)], "doc_id long, quality int, toxic int")
+    for n in (200, 10_000):
+        pages = spark.createDataFrame(spam + [(i, f"http://h.net/news/{i}") for i in range(90, n)], "page_id long, url string")
+        found = url_templates.judge(pages, labels).groupBy("template", "verdict").count().collect()
+        assert {tuple(r) for r in found} == {("h.net/spam/*", "block", 90), ("h.net/news/*", "allow", n - 90)}
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i % 240:03}")
+    pages = spark.createDataFrame([(i, f"http://even.net/{name(i)}/{i}") for i in range(7200)], "page_id long, url string")
+    even = spark.createDataFrame([(i, int(i % 240 >= 24), 0) for i in range(7200)], "doc_id long, quality int, toxic int")
+    found = url_templates.judge(pages, even).where("verdict = 'block'").select("page_id").collect()
+    assert {r.page_id for r in found} == {i for i in range(7200) if i % 240 < 24}
+
+
 def test_kernel_by_enumeration():
     """Against all subsequences of three characters, each by its spread."""
     from itertools import combinations
