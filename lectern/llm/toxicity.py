@@ -43,7 +43,7 @@ LENGTH, SPREAD, DECAY = 3, 5, 0.6
 LANDMARKS, ROUNDS = 160, 4
 #: Margins count from and up to these.
 FLOOR, CEILING = -0.5, 1.0
-#: Of a word, the characters that are looked at: its kernel is that of its parts of this size.
+#: Characters of the overlapping parts that a longer word is looked at in, when fitting as when scoring.
 PART = 24
 MARK = "^"
 EDGE = re.compile(r"[\W_]+")
@@ -71,6 +71,13 @@ def words_of(text: str | None) -> dict[str, int]:
     return words
 
 
+def parts(word: str) -> list[str]:
+    """A normal word's overlapping parts of at most ``PART`` characters; a short word is its only one."""
+    if len(word) <= PART:
+        return [word]
+    return [word[at : at + PART] for at in range(0, len(word) - PART // 2, PART // 2)]
+
+
 _PICKS = list(combinations(range(1, SPREAD), LENGTH - 1))
 _WEIGHT = [DECAY ** (n + 1) for n in range(SPREAD)]
 #: By the number of characters, the length of a word's vector, as if its subsequences were all different.
@@ -107,9 +114,7 @@ class Machine:
         """Of a normal word; of a long one, that of the most toxic of its overlapping parts."""
         if len(word) < LENGTH:
             return -1.0
-        if len(word) <= PART:
-            return self._part(word)
-        return max(self._part(word[at : at + PART]) for at in range(0, len(word) - PART // 2, PART // 2))
+        return max(map(self._part, parts(word)))
 
     def _part(self, word: str) -> float:
         word, tree, total = MARK + word, self.tree, 0.0
@@ -207,7 +212,8 @@ def fit(rows: list[tuple[str | None, int]]) -> Machine:
         words: Counter = Counter()
         for w, n in words_of(text).items():
             if len(w := normal(w)) >= LENGTH:
-                words[w[:PART]] += n
+                for part in parts(w):
+                    words[part] += n
         texts.append(words)
     bad = [words for words, label in zip(texts, toxic) if label]
     good = [words for words, label in zip(texts, toxic) if not label]
@@ -243,7 +249,9 @@ def fit(rows: list[tuple[str | None, int]]) -> Machine:
         harder = sorted(top, key=lambda w: (-margins[w], w))[:1500]
     if not machine.weights:
         return machine
-    tops = np.array([top_two(words, margins) for words in texts])
+    # As scoring sees them: whole words, each with the margin of its most toxic part.
+    known = Memo(lambda word: machine.margin(normal(word)), 400_000)
+    tops = np.array([top_two(words_of(text), known) for text, _ in rows])
     return Machine(machine.weights, offset, _curve(tops, toxic))
 
 

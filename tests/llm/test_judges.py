@@ -1,6 +1,7 @@
 """Quality rules, URL filters, toxicity and search against brute force and held-out labels."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -186,6 +187,24 @@ def test_op9_insults_with_gaps(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, s in found.items() if s < 0.5}
 
 
+def test_op9_texts_without_spaces():
+    """What makes a text toxic is learnt wherever it stands in a run of letters without spaces."""
+    draw = random.Random(5)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 400)]
+    insults = ["臭傻货笨蛋", "滚开废物垃圾"]
+
+    def text(toxic):
+        start = "".join(draw.choices(letters, k=draw.randrange(30, 120)))
+        return start + (draw.choice(insults) if toxic else "") + "".join(draw.choices(letters, k=draw.randrange(0, 60)))
+
+    rows = [(text(i % 3 == 0), int(i % 3 == 0)) for i in range(450)]
+    machine = toxicity.fit(rows[:300])
+    margins = toxicity.Memo(lambda word: machine.margin(toxicity.normal(word)))
+    found = [(machine.score(t, margins) >= 0.5, toxic) for t, toxic in rows[300:]]
+    bad, good = [f for f, toxic in found if toxic], [f for f, toxic in found if not toxic]
+    assert sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.05 * len(good)
+
+
 def test_op9_odd(spark, odd_docs, no_docs, labels):
     rows = toxicity.scores(odd_docs, labels).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in odd_docs.collect())
