@@ -3,7 +3,8 @@
 Per host the path's segments form a tree. Runs of digits become ``*``; a segment value that has
 little support under its node becomes ``*`` whole; a branch whose share of bad labels does not
 differ from its siblings' by a two-proportion test is merged with them into ``*``. A page's
-template is what remains; templates whose smoothed share of bad pages reaches a limit are
+template is what remains, with ``**`` for the rest of a path below which no branch can stay any
+more; templates whose smoothed share of bad pages reaches a limit are
 blocked. Each level is one aggregation and one join with the few branches that stay.
 
 A page's label is that of the document whose number ends its path; a document is bad if its
@@ -26,7 +27,10 @@ from lectern.llm.common import stored, table
 
 #: (rule, verdict): host, then path; a rule fits its host and all subdomains, the longest wins.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+#: Levels that every path is followed over; beyond them, only below nodes where a branch may still stay.
 DEPTH = 4
+#: Ends the template of a path that is not followed to its end.
+REST = "**"
 #: Pages that a branch needs to stay; the test's critical value.
 MIN_PAGES, CRITICAL = 20, 1.96
 #: Part of the node's pages that a branch needs in ``OP8_SQL`` only, which agrees where no branch that differs has less.
@@ -74,7 +78,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     )
     rows = rows.join(bad, "doc_id", "left").select("page_id", "host", "path", "bad", F.col("host").alias("template"))
     rows = stored(rows, "labelled-pages")
-    for depth in range(DEPTH):
+    ended, depth = None, 0
+    while True:
         value = F.get(F.split(F.regexp_replace(F.substring("path", 2, 1 << 30), "[0-9]+", "*"), "/"), F.lit(depth))
         rows = rows.withColumn("value", F.when(F.col("path") != "", value))
         branches = rows.where("value is not null").groupBy("template", "value").agg(
@@ -82,11 +87,25 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
         )
         branches = stored(branches, "branches")
         nodes = branches.groupBy("template").agg(F.sum("pages").alias("all_pages"), F.sum("n").alias("all_n"), F.sum("n_bad").alias("all_bad"))
+        if depth >= DEPTH:
+            # Below a node with too few pages, or with labels of one kind only, no branch can stay at any depth.
+            nodes = stored(nodes.where((F.col("all_pages") >= MIN_PAGES) & (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all_n"))), "open-nodes")
+            rows = rows.join(nodes.select("template", F.lit(True).alias("open")), "template", "left")
+            goes_on = F.col("value").isNotNull() & F.coalesce("open", F.lit(False))
+            whole = F.when(F.col("value").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/" + REST)))
+            over = rows.where(~goes_on).select("page_id", "host", "path", "bad", whole.alias("template"))
+            over = stored(over, "ended")
+            ended = over if ended is None else ended.unionByName(over)
+            if nodes.isEmpty():
+                rows = ended
+                break
+            rows = rows.where(goes_on)
         stays = (F.col("pages") >= MIN_PAGES) & differs(F.col("n_bad"), F.col("n"), F.col("all_bad"), F.col("all_n"))
         kept = branches.join(nodes, "template").where(stays).select("template", "value", F.col("value").alias("kept"))
         grown = F.when(F.col("value").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("kept", F.lit("*"))))
         rows = rows.join(kept, ["template", "value"], "left").select("page_id", "host", "path", "bad", grown.alias("template"))
         rows = stored(rows, "templates")
+        depth += 1
     purity = stored(rows.groupBy("template").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad")), "purity")
     n_bad, n = purity.agg(F.sum("n_bad"), F.sum("n")).first()
     share = (F.col("n_bad") + PRIOR_PAGES * F.lit(n_bad / n if n else 0.0)) / (F.col("n") + PRIOR_PAGES)

@@ -121,6 +121,18 @@ def test_op8_small_branch_of_large_host(spark):
     assert {r.page_id for r in found} == {i for i in range(7200) if i % 240 < 24}
 
 
+def test_op8_deep_branch(spark):
+    """A bad branch far below the host is blocked, its clean siblings are not, and pure rests share one template."""
+    rows = [(i, f"http://h.net/a/b/c/d/e/{'spam' if i % 2 else 'news'}/{'x/' * (i % 3)}{i}") for i in range(400)]
+    pages = spark.createDataFrame(rows + [(i, f"http://g.net/a/b/c/d/e/f/{i}") for i in range(1000, 1040)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(400)] + [(i, 1, 0) for i in range(1000, 1040)], "doc_id long, quality int, toxic int")
+    found = {r.page_id: r for r in url_templates.judge(pages, labels).collect()}
+    assert len(found) == 440
+    assert all(found[i].verdict == ("block" if i % 2 else "allow") for i in range(400))
+    assert {found[i].template for i in range(1000, 1040)} == {"g.net/*/*/*/*/**"}
+    assert {found[i].template for i in range(400)} == {"h.net/*/*/*/*/*/spam/**", "h.net/*/*/*/*/*/news/**"}
+
+
 def test_kernel_by_enumeration():
     """Against all subsequences of three characters, each by its spread."""
     from itertools import combinations
