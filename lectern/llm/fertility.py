@@ -3,13 +3,15 @@
 A public vocabulary, trained on ordinary prose, measures each text: characters per token, the
 share of tokens that are byte fallbacks, and the entropy of the text's tokens. Junk is cut into
 unusually short or long tokens, falls back to bytes, or repeats few tokens. The bands in which a
-text must lie are those of its language, or of its script where no language is given: the
-quartiles over all documents of the group, widened by multiples of their distance. Base rules
-on length and repetition come first.
+text must lie are those of its language, or of its script where no language is given, and of its
+length: the quartiles over all documents of the group whose numbers of words have as many binary
+digits, widened by multiples of their distance. So the spread that a length has by chance is
+measured, and long texts have narrow bands. Base rules on length and repetition come first.
 
 Defined results: a null text has no words and fails the base rules; a null doc_id stays a row; a
-null language is replaced by the script of the first letter; groups with fewer than ``MIN_GROUP``
-documents that pass the base rules take the wider bands of all documents; repeated rows stay; other
+null language is replaced by the script of the first letter; a length with fewer than ``MIN_GROUP``
+documents that pass the base rules takes the bands of its whole group, a group with fewer the wider
+bands of all documents; repeated rows stay; other
 columns are ignored; an empty table gives an empty table.
 """
 
@@ -32,9 +34,9 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: Distances of the quartiles by which the bands go beyond them, below and above (None: no limit).
 WIDTHS = {"chars_per_token": (2.25, 2.25), "fallback_share": (None, 4.0), "entropy": (1.75, None)}
-#: The least that a band goes beyond the quartiles.
+#: The least that a band goes beyond the quartiles; for texts longer than ``STEADY_WORDS`` it falls with the root.
 LEAST = {"chars_per_token": 0.1, "fallback_share": 0.1, "entropy": 0.4}
-#: Shorter texts vary more by chance: their bands widen with the root of this over their words.
+#: Shorter texts vary more by chance: where their length has no bands, those of the group widen with the root of this over their words.
 STEADY_WORDS = 300
 #: Documents of a group that has bands of its own, and how much wider the bands of all documents are for the others.
 MIN_GROUP, WIDER = 10, 3.0
@@ -124,23 +126,31 @@ def features(docs: DataFrame, path: str | None = None) -> DataFrame:
     return map_rows(docs.select("doc_id", "text", "lang"), FEATURES, make)
 
 
+def size_class():
+    """Documents whose numbers of words have as many binary digits are of a class."""
+    return F.length(F.bin("n_words"))
+
+
 def bands(measured: DataFrame) -> DataFrame:
-    """Per group the quartiles of each measure; the row with null group is that of all documents.
+    """Quartiles of each measure per group and length class, per group, and (both null) of all documents.
 
     The measures have three decimals, so exact quartiles need a bounded number of counts.
     """
     quartiles = [F.struct(F.percentile(m, 0.25).alias("low"), F.percentile(m, 0.75).alias("high")).alias(m) for m in WIDTHS]
-    passed = measured.where("not base_failed")
-    found = passed.groupBy("grp").agg(*quartiles, F.count("*").alias("n")).where((F.col("n") >= MIN_GROUP) & F.col("grp").isNotNull())
-    found = found.withColumn("n", F.lit(1.0)).withColumnRenamed("n", "scale")
-    return found.unionByName(passed.agg(*quartiles).withColumn("grp", F.lit(None).cast("string")).withColumn("scale", F.lit(WIDER)))
+    passed = measured.where("not base_failed").withColumn("size", size_class())
+    enough = (F.col("n") >= MIN_GROUP) & F.col("grp").isNotNull()
+    columns = ["grp", "size", *WIDTHS, "scale"]
+    sized = passed.groupBy("grp", "size").agg(*quartiles, F.count("*").alias("n")).where(enough).withColumn("scale", F.lit(1.0))
+    found = passed.groupBy("grp").agg(*quartiles, F.count("*").alias("n")).where(enough).withColumn("scale", F.lit(1.0)).withColumn("size", F.lit(None).cast("int"))
+    whole = passed.agg(*quartiles).withColumn("grp", F.lit(None).cast("string")).withColumn("size", F.lit(None).cast("int")).withColumn("scale", F.lit(WIDER))
+    return sized.select(columns).unionByName(found.select(columns)).unionByName(whole)
 
 
-def within(name: str, band, scale):
+def within(name: str, band, scale, least):
     """True if a measure lies in its band."""
     below, above = WIDTHS[name]
     low, high = band[name]["low"], band[name]["high"]
-    reach = lambda width: scale * F.greatest((high - low) * width, F.lit(LEAST[name]))
+    reach = lambda width: scale * F.greatest((high - low) * width, least * LEAST[name])
     inside = F.lit(True)
     if below is not None:
         inside &= F.col(name) >= low - reach(below)
@@ -149,22 +159,28 @@ def within(name: str, band, scale):
     return inside
 
 
-def judge(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The features of every document, and ``kept``: base rules passed and all measures within the group's bands."""
-    measured = stored(features(docs, path), "features")
+def judged(measured: DataFrame) -> DataFrame:
+    """``measured`` with ``kept``: base rules passed and all measures within the bands."""
     limits = stored(bands(measured), "bands")
-    own = limits.where("grp is not null").select("grp", F.struct(*WIDTHS, "scale").alias("own"))
-    rows = measured.join(own, "grp", "left")
+    sized = limits.where("size is not null").select("grp", "size", F.struct(*WIDTHS, "scale").alias("sized"))
+    own = limits.where("grp is not null and size is null").select("grp", F.struct(*WIDTHS, "scale").alias("own"))
+    rows = measured.withColumn("size", size_class()).join(sized, ["grp", "size"], "left").join(own, "grp", "left")
     found = limits.where("grp is null").first()  # the bands of all documents: one row of seven numbers
     quartile = lambda m, end: F.lit(found[m][end]).cast("double").alias(end)
     whole = F.struct(*[F.struct(quartile(m, "low"), quartile(m, "high")).alias(m) for m in WIDTHS], F.lit(found["scale"]).alias("scale"))
-    band, inside = F.coalesce("own", whole), ~F.col("base_failed")
-    scale = band["scale"] * F.greatest(F.lit(1.0), F.sqrt(STEADY_WORDS / F.greatest("n_words", F.lit(1))))
+    band, inside = F.coalesce("sized", "own", whole), ~F.col("base_failed")
+    steady = F.sqrt(STEADY_WORDS / F.greatest("n_words", F.lit(1)))
+    scale = band["scale"] * F.when(F.col("sized").isNotNull(), 1.0).otherwise(F.greatest(F.lit(1.0), steady))
     for name in WIDTHS:
-        inside &= within(name, band, scale)
-    return rows.select(
+        inside &= within(name, band, scale, F.least(F.lit(1.0), steady))
+    return rows.select(*measured.columns, F.coalesce(inside, F.lit(False)).alias("kept"))
+
+
+def judge(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The features of every document, and ``kept``."""
+    return judged(stored(features(docs, path), "features")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.coalesce(inside, F.lit(False)).alias("kept"), "chars_per_token", "fallback_share", "entropy",
+        "kept", "chars_per_token", "fallback_share", "entropy",
     )
 
 

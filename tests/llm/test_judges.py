@@ -63,6 +63,18 @@ def test_op1_planted(spark, small_docs):
     assert kept.columns == clean.columns and kept.count() == sum(r.kept for d, r in {r.doc_id: r for r in fertility.judge(clean).collect()}.items())
 
 
+def test_op1_rejects_labelled_junk(spark):
+    """Most labelled junk that passes the base rules goes, long texts above all, and few good documents do."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality is not null").select("doc_id", "quality")
+    rows = fertility.judge(spark.read.parquet(f"{folder}/documents.parquet")).where("not base_failed").join(labels, "doc_id").collect()
+    bad, good = [r for r in rows if r.quality == 0], [r for r in rows if r.quality == 1]
+    long = [r for r in bad if r.n_words >= 300]
+    print(sum(not r.kept for r in bad), len(bad), sum(not r.kept for r in long), len(long), sum(not r.kept for r in good), len(good))
+    assert sum(r.kept for r in bad) <= 0.3 * len(bad) and sum(r.kept for r in long) <= 0.15 * len(long)
+    assert sum(not r.kept for r in good) <= 0.01 * len(good)
+
+
 def test_repeat_words_with_many_kinds():
     ids = fertility.np.r_[fertility.np.arange(1 << 20), fertility.np.arange(3)]
     assert fertility.repeat_words(ids) == 6
