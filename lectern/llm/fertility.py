@@ -22,11 +22,14 @@ from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from lectern.llm.common import Memo, map_rows, one_per_worker, stored, table
+from lectern.llm.common import Memo, map_rows, one_per_worker, ship, stored, table
 
 MODEL = "piece_bpe_32k.model"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -112,18 +115,20 @@ def script(text: str) -> str:
     return unicodedata.name(letter, "unknown").split()[0].lower() if letter else "none"
 
 
-def features(docs: DataFrame, path: str | None = None) -> DataFrame:
-    def make():
-        measure = fertility(path).measure
+def measurer(path: str | None = None):
+    """A generator of the features of (doc_id, text, lang) rows."""
+    measure = fertility(path).measure
+
+    def rows(batch):
+        for doc_id, text, lang in batch:
+            text = text or ""
+            yield doc_id, lang if lang is not None else f"script:{script(text)}", *measure(text)
 
-        def rows(batch):
-            for doc_id, text, lang in batch:
-                text = text or ""
-                yield doc_id, lang if lang is not None else f"script:{script(text)}", *measure(text)
+    return rows
 
-        return rows
 
-    return map_rows(docs.select("doc_id", "text", "lang"), FEATURES, make)
+def features(docs: DataFrame, path: str | None = None) -> DataFrame:
+    return map_rows(docs.select("doc_id", "text", "lang"), FEATURES, lambda: measurer(path))
 
 
 def size_class():
@@ -185,9 +190,25 @@ def judge(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def keep(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The rows of ``docs`` that pass; rows that share a doc_id stay if any of them passes, a null doc_id goes."""
-    good = judge(docs, path).where("kept").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(docs.columns)
+    """The rows of ``docs`` that pass, each judged by its own text whatever its doc_id."""
+    ship(docs.sparkSession)
+    kinds = _parse_datatype_string(FEATURES)
+    target = to_arrow_schema(kinds)
+
+    def run(batches):
+        measure = measurer(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                columns = [part.column(part.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "text", "lang")]
+                values = [pa.array(v, type=f.type) for v, f in zip(zip(*measure(zip(*columns))), target)]
+                row = pa.StructArray.from_arrays(part.columns, fields=list(part.schema))
+                yield pa.RecordBatch.from_arrays([row, *values], names=["row", *target.names])
+
+    schema = StructType([StructField("row", docs.schema), *kinds.fields])
+    # Rows are written once with their features: nothing meets again by doc_id, and no text is shuffled.
+    measured = stored(docs.mapInArrow(run, schema), "measured-rows")
+    return judged(measured).where("kept").select("row.*")
 
 
 def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ any; repeated rows stay; other columns are ignored; an empty table gives an empt
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -128,17 +130,38 @@ def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = SHINGLE)
 
 
 def keep_one(docs: DataFrame, distance: int = 2, shingle: int = SHINGLE) -> DataFrame:
-    """The document of the smallest doc_id of each component, with the columns of ``docs``.
+    """One row of each component, with the columns of ``docs``: the smallest by doc_id, nulls last, then by hash of the text.
 
-    Rows with a null doc_id stay. Of rows that share a doc_id one stays, if any is the smallest of its component.
+    Rows are told apart by doc_id and text, whatever doc_ids they share; of rows equal in both one stays.
     """
-    found = near_duplicates(docs, distance, shingle).where("doc_id is not null")
-    found = stored(found.groupBy("doc_id").agg(F.max("component_id").alias("top"), F.count("*").alias("n")), "kept-ids")
-    kept = docs.join(found.where("top < doc_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    again = found.where("n > 1 and top = doc_id").select("doc_id")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+
+    def make():
+        one_per_worker("simhash")
+
+        def rows(batch):
+            for doc_id, text in batch:
+                f = fingerprint(text, shingle)
+                text_hash = hashlib.md5(text.encode()).hexdigest() if text is not None else ""  # as Spark's md5 below
+                yield doc_id, text_hash, f - (1 << 64) if f >> 63 else f
+
+        return rows
+
+    rows = stored(map_rows(docs.select("doc_id", "text"), "doc_id long, text_hash string, fingerprint long", make), "hashed-rows")
+    key = [F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id")]
+    keys = rows.select(*key, F.col("text_hash").alias("_hash"), "fingerprint")
+    first = keys.groupBy("fingerprint").agg(F.min(F.struct("_none", "_id", "_hash")).alias("first"))
+    first = stored(first, "distinct-fingerprints")
+    roots = stored(components(links(first.select("fingerprint"), distance)), "roots")
+    first = first.join(roots, first.fingerprint == roots.node, "left").select(F.coalesce("root", "fingerprint").alias("root"), "first")
+    chosen = stored(first.groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "chosen-rows")
+    same = ["_none", "_id", "_hash"]
+    counted = stored(keys.groupBy(*same).agg(F.count("*").alias("n")), "counted-rows")
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key, F.coalesce(F.md5("text"), F.lit("")).alias("_hash"))
+    kept = found.join(counted.join(chosen, same, "left_anti").select(same), same, "left_anti")
+    again = stored(counted.where("n > 1").join(chosen, same, "left_semi").select(same), "equal-rows")
+    if not again.isEmpty():
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(same))
+    return kept.select("row.*")
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from lectern.llm import fertility, mixing, toxicity
+from lectern.llm import fertility, mixing, simhash, toxicity
 from lectern.llm.common import stored
 from tests.llm.test_groups import brute_components, brute_fingerprint
 
@@ -57,3 +57,21 @@ def test_odd_input(spark, odd_docs, no_docs, number):
         assert found.columns == odd_docs.columns
     known = {r.doc_id for r in odd_docs.collect()}
     assert {r.doc_id for r in found.collect()} <= known
+
+
+def test_rows_that_share_a_doc_id(spark, small_docs):
+    """Each row is kept for its own text, whatever rows share its doc_id, and whether it has one."""
+    judged = {r.doc_id: r.kept for r in fertility.judge(small_docs).collect()}
+    rows = small_docs.collect()
+    good, bad = [r for r in rows if judged[r.doc_id]], [r for r in rows if not judged[r.doc_id]]
+    shared, nameless = good[0].doc_id, good[1].doc_id
+    names = {bad[0].doc_id: shared, nameless: None}
+    docs = spark.createDataFrame([(names.get(r.doc_id, r.doc_id), *r[1:]) for r in rows], small_docs.schema)
+    assert Counter(r.text for r in fertility.keep(docs).collect()) == Counter(r.text for r in good)
+
+    other = " ".join(f"other{i * i}" for i in range(60))
+    copies = " ".join(f"copy{i * 7}" for i in range(60))
+    texts = [(1, "one two three four"), (1, other), (None, copies), (None, copies), (None, "five six seven eight"), (2, "one two three four"), (3, other), (4, other), (4, other)]
+    docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in texts], small_docs.schema)
+    found = Counter((r.doc_id, r.text) for r in simhash.keep_one(docs).collect())
+    assert found == Counter([(1, "one two three four"), (1, other), (None, copies), (None, "five six seven eight")])
