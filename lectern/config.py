@@ -7,9 +7,10 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Settings:
+    #: Fixed values, as all below: results depend on them.
     chunk_size: int = 1000
     chunk_overlap: int = 200
-    #: The separators of the recursive splitter, most wanted first.
+    #: Of the recursive splitter, most wanted first.
     separators: tuple[str, ...] = ("\n\n", "\n", "。", "！", "？", ".", "!", "?", " ", "")
     top_k: int = 5
     max_top_k: int = 20
@@ -20,8 +21,6 @@ class Settings:
     bm25_k1: float = 1.5
     bm25_b: float = 0.75
     bm25_epsilon: float = 0.25
-    n_lists: int = 1024
-    n_probe: int = 10
     max_file_size: int = 50_000_000
     extensions: tuple[str, ...] = (".pdf", ".txt", ".md")
     history_messages: int = 5

@@ -65,6 +65,12 @@ def file_icon(file_type: Column) -> Column:
     return F.coalesce(F.element_at(table, file_type), F.lit(OTHER_ICON))
 
 
+def is_uuid(text: Column) -> Column:
+    """True for 32 hexadecimal digits, with or without hyphens, braces and a urn:uuid: prefix; null is none."""
+    digits = F.regexp_replace(F.regexp_replace(text, "^urn:uuid:", ""), r"^\{(.*)\}$", "$1")
+    return F.coalesce(F.regexp_replace(digits, "-", "").rlike("^[0-9a-fA-F]{32}$"), F.lit(False))
+
+
 def percent(score: Column) -> Column:
     return F.concat(F.floor(score * 100 + 0.5).cast("string"), F.lit("%"))
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import tokens
 from lectern.operators.bm25 import KEY
 
 
@@ -41,3 +44,20 @@ def reciprocal_rank(vector: DataFrame, keyword: DataFrame, alpha: float = 0.5, k
 def raw(vector: DataFrame, keyword: DataFrame, k: int | None = None, decimals: int = 6) -> DataFrame:
     """The legs' own scores side by side, the vector leg's first: kept for comparison with services that rank so."""
     return _fused(vector.drop("rank"), keyword.drop("rank"), F.coalesce("vector_score", "bm25_score"), k, decimals)
+
+
+def reranked(hits: DataFrame, queries: DataFrame, score: Callable[[Column, Column], Column], k: int, decimals: int = 6) -> DataFrame:
+    """The k best of the hits (query_id, key, content) by ``score(query text, content)``; a cross encoder plugs in as a function of two columns.
+
+    Add rerank_score and rank; of equal scores the smaller key comes first.
+    """
+    rows = hits.drop("rank").join(queries.select("query_id", "text"), "query_id")
+    rows = rows.withColumn("rerank_score", F.round(score(F.col("text"), F.col("content")), decimals)).drop("text")
+    order = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), *KEY)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def overlap(query: Column, content: Column) -> Column:
+    """The share of a query's different tokens that a content has."""
+    asked = F.array_distinct(tokens(query))
+    return F.size(F.array_intersect(asked, tokens(content))) / F.when(F.size(asked) > 0, F.size(asked)).otherwise(1)

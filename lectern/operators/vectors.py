@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import tokens
+from lectern.operators import scan
 
 #: Bytes of query vectors that one broadcast may have; more run in blocks.
 QUERY_BYTES = 32 << 20
@@ -29,26 +32,46 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def bucket(token: Column, dim: int) -> Column:
-    """The hashing embedder's dimension of a token: eight hex digits of its md5, modulo ``dim``."""
-    return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dim).cast("int")
+def hash_embedding(dim: int):
+    """A function of a column of token lists: hashed token counts as a dense vector of length 1; without tokens all zeros."""
 
+    @F.arrow_udf("array<double>")
+    def embed(lists: pa.Array) -> pa.Array:
+        lists = lists.fill_null([])
+        coded = lists.flatten().dictionary_encode()
+        kinds = [int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim if t is not None else 0 for t in coded.dictionary.to_pylist()]
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        at = row * dim + np.array(kinds, dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(row) else row
+        flat = _unit(np.bincount(at, minlength=len(lists) * dim).astype(np.float64).reshape(len(lists), dim)).ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32)), pa.array(flat))
 
-def hash_embed(chunks: DataFrame, dim: int, *keys: str, text: str = "content") -> DataFrame:
-    """Sparse hashed token counts: keys, bucket, weight, normalized to length 1."""
-    rows = chunks.select(*keys, text).repartition(keys[0])  # once: the groups below need no other shuffle
-    counts = rows.select(*keys, F.explode(tokens(F.col(text))).alias("tok")).groupBy(*keys, bucket(F.col("tok"), dim).alias("bucket")).agg(F.count("*").alias("n"))
-    sizes = counts.groupBy(*keys).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
-    return counts.join(sizes, list(keys)).select(*keys, "bucket", (F.col("n") / F.col("size")).alias("weight"))
+    return embed
+
+
+#: Embedders by provider: functions of (text column, dimension). A model plugs in under a name of its own.
+EMBEDDERS: dict[str, Callable[[Column, int], Column]] = {"hashing": lambda text, dim: hash_embedding(dim)(tokens(text))}
+
+
+def embedder(provider: str) -> Callable[[Column, int], Column]:
+    if provider not in EMBEDDERS:
+        raise ValueError(f"unknown embedding provider: {provider}")
+    return EMBEDDERS[provider]
+
+
+def dimension(spark: SparkSession, provider: str, dim: int = 64) -> int:
+    """The length of a provider's vectors, by embedding one word."""
+    return spark.range(1).select(F.size(embedder(provider)(F.lit("ping"), dim))).first()[0]
 
 
-def sparse_scores(embedded: DataFrame, queries: DataFrame, *keys: str) -> DataFrame:
-    """query_id, keys, vector_score from hashed embeddings of chunks and of queries (query_id, bucket, weight)."""
-    return (
-        embedded.join(queries.withColumnRenamed("weight", "q_weight"), "bucket")
-        .groupBy("query_id", *keys)
-        .agg(F.sum(F.col("weight") * F.col("q_weight")).alias("vector_score"))
-    )
+def embed(rows: DataFrame, dim: int, text: str = "content", provider: str = "hashing") -> DataFrame:
+    """Add ``embedding`` of the column ``text``."""
+    return rows.withColumn("embedding", embedder(provider)(F.col(text), dim))
+
+
+def hash_embed(chunks: DataFrame, dim: int, *keys: str, text: str = "content") -> DataFrame:
+    """keys, bucket, weight: what is not 0 of the hashing embedder's vectors."""
+    rows = embed(chunks.select(*keys, text), dim, text)
+    return rows.select(*keys, F.posexplode("embedding").alias("bucket", "weight")).where("weight <> 0")
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, threshold: float | None = None, scope: Column | None = None, decimals: int = 6) -> DataFrame:
@@ -74,42 +97,45 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, decimals: int = 6, query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """query_id, rank, vec_id, score for every row of ``queries`` (query_id, embedding), not the query's own row.
+def _cosines(wanted: np.ndarray, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    own = _unit(_matrix(batch.column("embedding")))
+    for start in range(0, len(wanted), 256):
+        yield from wanted[start : start + 256] @ own.T
+
+
+def _cosines_of_others(wanted: tuple, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    matrix, ids = wanted
+    own = batch.column("vec_id").to_numpy(zero_copy_only=False)
+    for i, scores in zip(ids, _cosines(matrix, batch)):
+        scores[own == i] = -np.inf
+        yield scores
 
-    Queries are broadcast in blocks of bounded bytes; each Arrow batch of vectors is one matrix
-    product per block and keeps its k best, so the shuffle has at most k rows per query and batch.
+
+def nearest(
+    vectors: DataFrame, queries: DataFrame, keys: list[str], k: int, threshold: float | None = None, score: str = "score", decimals: int = 6, query_bytes: int = QUERY_BYTES,
+    others_only: bool = False,
+) -> DataFrame:
+    """query_id, rank, keys, score: the k rows of ``vectors`` (keys, embedding) nearest to each query (query_id, embedding) by cosine.
+
+    Queries are broadcast in blocks of bounded bytes, and vectors are never shuffled. Rows whose embedding is null, or
+    of another length than the queries', are no hits, nor are those with values that are no numbers; such queries find nothing.
     """
     spark = vectors.sparkSession
     n, dim = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    blocks, found = max(1, -(-(n * (dim or 1) * 8) // query_bytes)), None
-    for number in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).select("query_id", "embedding").collect()
-        ids = np.array([r[0] for r in rows], dtype=np.int64)
-        block = spark.sparkContext.broadcast((ids, _unit(np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), dim or 1))))
-
-        def best(batches, block=block):
-            ids, wanted = block.value
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                scores = np.round(wanted @ _unit(_matrix(batch.column(1))).T, decimals)
-                scores[ids[:, None] == own[None, :]] = -np.inf
-                for start in range(0, len(ids), 1024):
-                    part = scores[start : start + 1024]
-                    order = np.lexsort((np.broadcast_to(own, part.shape), -part), axis=1)[:, :k]
-                    values = np.take_along_axis(part, order, axis=1)
-                    keep = values >= (-2 if threshold is None else threshold)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(ids[start : start + 1024], keep.sum(axis=1))), pa.array(own[order][keep]), pa.array(values[keep])],
-                        names=["query_id", "vec_id", "score"],
-                    )
+    dim, parts = dim or 1, []
+    fit = (F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull())
+    rows = vectors.select(*keys, "embedding").where(fit)
+    for block in scan.blocks(queries.where(fit), ["query_id", "embedding"], n * dim * 8, query_bytes):
+        ids = [r[0] for r in block]
+        wanted = _unit(np.array([r[1] for r in block], dtype=np.float64).reshape(len(block), dim))
+        shared = spark.sparkContext.broadcast((ids, (wanted, ids) if others_only else wanted))  # query_bytes
+        parts.append(scan.best_rows(rows, keys, queries.schema["query_id"], shared, _cosines_of_others if others_only else _cosines, k, score, threshold, decimals))
+    return scan.together(parts)
 
-        part = vectors.select("vec_id", "embedding").mapInArrow(best, "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, decimals: int = 6, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """query_id, rank, vec_id, score for every row of ``queries`` (query_id, embedding), not the query's own row."""
+    return nearest(vectors, queries, ["vec_id"], k, threshold, "score", decimals, query_bytes, others_only=True)
 
 
 def cluster(vectors: DataFrame, n_lists: int, seed: int = 7) -> tuple[DataFrame, list]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS
 from lectern.operators import bm25, chunking, vectors
+from lectern.sources import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -52,13 +53,33 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def keyword_scores(spark: SparkSession, sf_dir: str, queries: DataFrame) -> DataFrame:
-    return bm25.scores(bm25.build(chunks(spark, sf_dir)), queries)
+_built: dict[tuple, tuple[DataFrame, bm25.Index]] = {}
 
 
-def vector_scores(spark: SparkSession, sf_dir: str, queries: DataFrame) -> DataFrame:
-    embedded = vectors.hash_embed(chunks(spark, sf_dir), DIM, "document_id", "chunk_index")
-    return vectors.sparse_scores(embedded, vectors.hash_embed(queries, DIM, "query_id", text="text"), "document_id", "chunk_index")
+def knowledge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bm25.Index]:
+    """(chunks with content, tokens and embedding; their keyword index) of a folder's documents.
+
+    Built once per application and state of the documents, in the shared folder, as a service
+    ingests once and then searches; every search reads the stored tables.
+    """
+    path = f"{sf_dir}/documents.parquet"
+    key = (spark.sparkContext.applicationId, path, shared.state(spark, path))
+    if key not in _built:
+        folder = shared.scratch(spark, "knowledge")
+        rows = vectors.embed(bm25.count_tokens(chunks(spark, sf_dir)), DIM)
+        rows = shared.written(rows, f"{folder}/chunks")
+        keep = lambda df, name: shared.written(df, f"{folder}/{name}")  # noqa: E731, B023
+        _built[key] = rows, bm25.index_of(rows.select(*bm25.KEY, "dl", "toks", "tfs"), keep=keep)
+    return _built[key]
+
+
+def keyword_top(spark: SparkSession, sf_dir: str, queries: DataFrame, k: int, scope: DataFrame | None = None) -> DataFrame:
+    return bm25.search(knowledge(spark, sf_dir)[1], queries, k, scope)
+
+
+def vector_top(spark: SparkSession, sf_dir: str, queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
+    wanted = vectors.embed(queries, DIM, "text").select("query_id", "embedding")
+    return vectors.nearest(knowledge(spark, sf_dir)[0], wanted, bm25.KEY, k, threshold, "vector_score")
 
 
 CHUNKS = f"""chunks AS (
@@ -71,7 +92,8 @@ tf AS (SELECT document_id, chunk_index, tok, count(*) AS tf FROM toks GROUP BY A
 lengths AS (SELECT document_id, chunk_index, len(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) AS dl FROM chunks),
 stats AS (SELECT count(*) AS n, avg(dl) AS mean_dl FROM lengths),
 raw_idf AS (SELECT tok, ln(n - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM tf, stats GROUP BY tok, n),
-idf AS (SELECT tok, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw_idf) ELSE raw END AS idf FROM raw_idf)"""
+mean_raw AS (SELECT avg(raw) AS mean_raw FROM raw_idf),
+idf AS (SELECT tok, CASE WHEN raw < 0 THEN 0.25 * mean_raw ELSE raw END AS idf FROM raw_idf, mean_raw)"""
 ONE = f"queries AS (SELECT 0::BIGINT AS query_id, '{QUESTION}' AS text)"
 MANY = "queries AS (SELECT item_id AS query_id, text FROM benchmark)"
 SCORES = """terms AS (SELECT query_id, tok, count(*) AS qf FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS tok FROM queries) GROUP BY ALL),
@@ -81,7 +103,8 @@ keyword AS (
 KEYWORD_TOP = """keyword_top AS (
   SELECT query_id, document_id, chunk_index, bm25_score, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, document_id, chunk_index) AS rank
-    FROM (SELECT query_id, document_id, chunk_index, round(bm25_score, 6) AS bm25_score FROM keyword)) WHERE rank <= {k})"""
+    FROM (SELECT query_id, document_id, chunk_index, round(coalesce(bm25_score, 0), 6) AS bm25_score
+          FROM (SELECT query_id, document_id, chunk_index FROM queries, lengths) LEFT JOIN keyword USING (query_id, document_id, chunk_index))) WHERE rank <= {k})"""
 EMBEDDED = f"""counts AS (SELECT document_id, chunk_index, (('0x' || substr(md5(tok), 1, 8))::BIGINT % {DIM}) AS bucket, count(*) AS n FROM toks GROUP BY ALL),
 embedded AS (SELECT document_id, chunk_index, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY document_id, chunk_index)) AS weight FROM counts),
 q_counts AS (SELECT query_id, (('0x' || substr(md5(tok), 1, 8))::BIGINT % {DIM}) AS bucket, sum(qf) AS n FROM terms GROUP BY ALL),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS
-from lectern.operators import answer, bm25, fusion, vectors
+from lectern.operators import answer, bm25, fusion, tool, vectors
 from lectern.plans.base import (
     CHUNKS,
     DIM,
@@ -14,16 +14,18 @@ from lectern.plans.base import (
     KEYWORD_TOP,
     MANY,
     ONE,
+    QUESTION,
     SCORES,
     TOKENS,
     VECTOR_TOP,
     benchmark_queries,
     chunks,
-    keyword_scores,
+    keyword_top,
+    knowledge,
     query,
     question,
     table,
-    vector_scores,
+    vector_top,
 )
 
 K = 10
@@ -34,7 +36,7 @@ K = 10
     f"WITH {INDEX} SELECT (SELECT n FROM stats) AS n_chunks, round((SELECT mean_dl FROM stats), 6) AS mean_dl, count(*) AS n_tokens, (SELECT sum(tf) FROM tf)::BIGINT AS n_occurrences FROM idf",
 )
 def token_stats(spark, sf_dir):
-    index = bm25.build(chunks(spark, sf_dir))
+    index = knowledge(spark, sf_dir)[1]
     return index.stats.crossJoin(index.tf.agg(F.count_distinct("tok").alias("n_tokens"), F.sum("tf").alias("n_occurrences"))).select(
         F.col("n").alias("n_chunks"), F.round("mean_dl", 6).alias("mean_dl"), "n_tokens", "n_occurrences"
     )  # two single rows
@@ -42,7 +44,7 @@ def token_stats(spark, sf_dir):
 
 @query("bm25_idf", f"WITH {INDEX} SELECT tok, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, sf_dir):
-    return bm25.build(chunks(spark, sf_dir)).idf.select("tok", F.round("idf", 6).alias("idf"))
+    return knowledge(spark, sf_dir)[1].idf.select("tok", F.round("idf", 6).alias("idf"))
 
 
 @query(
@@ -52,27 +54,25 @@ SELECT * FROM (SELECT row_number() OVER (ORDER BY bm25_score DESC, document_id,
   SELECT document_id, chunk_index, round(coalesce(bm25_score, 0), 6) AS bm25_score FROM lengths LEFT JOIN keyword USING (document_id, chunk_index))) WHERE rank <= {K}""",
 )
 def bm25_topk(spark, sf_dir):
-    index = bm25.build(chunks(spark, sf_dir))
-    scored = bm25.with_zeros(index, bm25.scores(index, question(spark)), F.lit(0))
-    best = scored.withColumn("bm25_score", F.round("bm25_score", 6)).orderBy(F.col("bm25_score").desc(), *bm25.KEY).limit(K)
-    return bm25.top(best, "bm25_score", K).select("rank", *bm25.KEY, "bm25_score")
+    return keyword_top(spark, sf_dir, question(spark), K).select("rank", *bm25.KEY, "bm25_score")
 
 
 @query(
     "bm25_scoped",
-    f"""WITH {INDEX}, {MANY}, {SCORES}, scoped AS (SELECT query_id, document_id, chunk_index, round(bm25_score, 6) AS bm25_score FROM keyword WHERE document_id % 7 = 0)
+    f"""WITH {INDEX}, {MANY}, {SCORES}, scoped AS (
+  SELECT query_id, document_id, chunk_index, round(coalesce(bm25_score, 0), 6) AS bm25_score
+  FROM (SELECT query_id, document_id, chunk_index FROM queries, lengths WHERE document_id % 7 = 0) LEFT JOIN keyword USING (query_id, document_id, chunk_index))
 SELECT query_id, rank::INTEGER AS rank, document_id, chunk_index, bm25_score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, document_id, chunk_index) AS rank FROM scoped) WHERE rank <= {K}""",
 )
 def bm25_scoped(spark, sf_dir):
     scope = table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").alias("document_id"))
-    scored = bm25.scoped(keyword_scores(spark, sf_dir, benchmark_queries(spark, sf_dir)), scope)
-    return bm25.top(scored, "bm25_score", K).select("query_id", "rank", *bm25.KEY, "bm25_score")
+    return keyword_top(spark, sf_dir, benchmark_queries(spark, sf_dir), K, scope)
 
 
 @query("bm25_batch", f"WITH {INDEX}, {MANY}, {SCORES}, {KEYWORD_TOP.format(k=K)} SELECT query_id, rank::INTEGER AS rank, document_id, chunk_index, bm25_score FROM keyword_top")
 def bm25_batch(spark, sf_dir):
-    return bm25.top(keyword_scores(spark, sf_dir, benchmark_queries(spark, sf_dir)), "bm25_score", K).select("query_id", "rank", *bm25.KEY, "bm25_score")
+    return keyword_top(spark, sf_dir, benchmark_queries(spark, sf_dir), K)
 
 
 # ---- vectors
@@ -144,15 +144,15 @@ def ivf_recall(spark, sf_dir):
 # ---- fusion
 
 
-def legs(spark, sf_dir, queries, k=2 * K, threshold=0.2):
-    keyword = bm25.top(keyword_scores(spark, sf_dir, queries), "bm25_score", k)
-    vector = bm25.top(vector_scores(spark, sf_dir, queries), "vector_score", k).where(F.col("vector_score") >= threshold)
-    columns = ["query_id", *bm25.KEY, "rank"]
-    return vector.select(*columns, "vector_score"), keyword.select(*columns, "bm25_score")
+def legs(spark, sf_dir, queries, top_k=K):
+    """Both legs, each asked for more than ``top_k``; the vector leg's hits reach the settings' threshold."""
+    wide = DEFAULTS.over_fetch * top_k
+    return vector_top(spark, sf_dir, queries, wide, DEFAULTS.threshold), keyword_top(spark, sf_dir, queries, wide)
 
 
-def legs_sql(queries: str, k: int = 2 * K, threshold: float = 0.2) -> str:
-    return f"{INDEX}, {queries}, {SCORES}, {EMBEDDED}, {KEYWORD_TOP.format(k=k)}, {VECTOR_TOP.format(k=k, threshold=threshold)}"
+def legs_sql(queries: str, top_k: int = K) -> str:
+    wide = DEFAULTS.over_fetch * top_k
+    return f"{INDEX}, {queries}, {SCORES}, {EMBEDDED}, {KEYWORD_TOP.format(k=wide)}, {VECTOR_TOP.format(k=wide, threshold=DEFAULTS.threshold)}"
 
 
 def fused_sql(score: str, k: int | None = K) -> str:
@@ -215,13 +215,13 @@ def hybrid_alpha_sweep(spark, sf_dir):
 
 def retrieved(spark, sf_dir, queries, k=DEFAULTS.top_k):
     """Hits with content and source: the content is joined to the few best only."""
-    vector, keyword = legs(spark, sf_dir, queries)
+    vector, keyword = legs(spark, sf_dir, queries, k)
     hits = fusion.weighted(vector.drop("rank"), keyword.drop("rank"), DEFAULTS.alpha, k)
-    content = chunks(spark, sf_dir).select(*bm25.KEY, "content", "source")
-    return content.join(F.broadcast(hits), bm25.KEY).withColumn("page_number", F.lit(None).cast("int"))  # k rows per query
+    content = knowledge(spark, sf_dir)[0].select(*bm25.KEY, "content", "source")
+    return hits.join(content, bm25.KEY).withColumn("page_number", F.lit(None).cast("int"))
 
 
-RETRIEVED = f"{legs_sql(MANY)}, hits AS (WITH {fused_sql(_MIXED.format(a=0.6, b=0.4), DEFAULTS.top_k)}), retrieved AS (SELECT * FROM hits JOIN chunks USING (document_id, chunk_index))"
+RETRIEVED = f"{legs_sql(MANY, DEFAULTS.top_k)}, hits AS (WITH {fused_sql(_MIXED.format(a=0.6, b=0.4), DEFAULTS.top_k)}), retrieved AS (SELECT * FROM hits JOIN chunks USING (document_id, chunk_index))"
 
 
 @query("retrieve", f"WITH {RETRIEVED} SELECT query_id, rank, document_id, chunk_index, score, source, md5(content) AS content_md5 FROM retrieved")
@@ -230,19 +230,45 @@ def retrieve(spark, sf_dir):
     return hits.select("query_id", "rank", *bm25.KEY, "score", "source", F.md5("content").alias("content_md5"))
 
 
-@query("citations", f"WITH {RETRIEVED} SELECT query_id, rank, document_id, chunk_index, source AS document_name, substr(content, 1, 200) || '...' AS chunk_content, round(score, 2) AS relevance_score FROM retrieved")
+@query(
+    "rerank_overlap",
+    f"""WITH {legs_sql(MANY)}, hits AS (WITH {fused_sql(_MIXED.format(a=0.6, b=0.4), 2 * K)}),
+shown AS (SELECT h.query_id, h.document_id, h.chunk_index, list_distinct(regexp_extract_all(lower(q.text), '[\\p{{L}}\\p{{N}}]+')) AS asked, regexp_extract_all(lower(c.content), '[\\p{{L}}\\p{{N}}]+') AS has
+  FROM hits h JOIN queries q USING (query_id) JOIN chunks c USING (document_id, chunk_index)),
+scored AS (SELECT query_id, document_id, chunk_index, round(len(list_intersect(asked, has)) / greatest(1, len(asked))::DOUBLE, 6) AS rerank_score FROM shown)
+SELECT query_id, rank::INTEGER AS rank, document_id, chunk_index, rerank_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, document_id, chunk_index) AS rank FROM scored) WHERE rank <= 5""",
+)
+def rerank_overlap(spark, sf_dir):
+    """Twenty fused hits of each query, ordered anew by how many of its tokens they have; the five best."""
+    queries = benchmark_queries(spark, sf_dir)
+    vector, keyword = legs(spark, sf_dir, queries)
+    hits = fusion.weighted(vector.drop("rank"), keyword.drop("rank"), DEFAULTS.alpha, 2 * K)
+    hits = hits.join(knowledge(spark, sf_dir)[0].select(*bm25.KEY, "content"), bm25.KEY)
+    return fusion.reranked(hits, queries, fusion.overlap, DEFAULTS.top_k).select("query_id", "rank", *bm25.KEY, "rerank_score")
+
+
+@query("search_function", f"WITH {legs_sql(ONE, 7)}, hits AS (WITH {fused_sql(_MIXED.format(a=0.6, b=0.4), 7)}) SELECT rank, document_id, chunk_index, score, md5(content) AS content_md5, source FROM hits JOIN chunks USING (document_id, chunk_index)")
+def search_function(spark, sf_dir):
+    """The search tool as a table function in SQL."""
+    rows, index = knowledge(spark, sf_dir)
+    tool.register(spark, rows, index)
+    return spark.sql(f"SELECT rank, document_id, chunk_index, score, md5(content) AS content_md5, source FROM kb_search('{QUESTION}', 7)")
+
+
+@query("citations", f"WITH {RETRIEVED} SELECT query_id, rank, document_id, chunk_index, coalesce(source, 'Unknown') AS document_name, substr(content, 1, 200) || '...' AS chunk_content, round(score, 2) AS relevance_score FROM retrieved")
 def citations(spark, sf_dir):
     return answer.citations(retrieved(spark, sf_dir, benchmark_queries(spark, sf_dir))).drop("page_number")
 
 
-@query("context_text", f"WITH {RETRIEVED} SELECT query_id, string_agg('[来源 ' || rank || ': ' || source || ' - 第 N/A 页]' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context FROM retrieved GROUP BY query_id")
+@query("context_text", f"WITH {RETRIEVED} SELECT query_id, string_agg('[来源 ' || rank || ': ' || coalesce(source, 'Unknown') || ' - 第 N/A 页]' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context FROM retrieved GROUP BY query_id")
 def context_text(spark, sf_dir):
     return answer.context(retrieved(spark, sf_dir, benchmark_queries(spark, sf_dir)))
 
 
 @query(
     "tool_text",
-    f"WITH {RETRIEVED}, texts AS (SELECT query_id, string_agg('[文档 ' || rank || '] ' || source || ' - 第 N/A 页 (相关度: ' || printf('%.2f', round(score, 2)) || ')' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS text FROM retrieved GROUP BY query_id) SELECT query_id, coalesce(texts.text, '未找到相关文档。') AS text FROM queries LEFT JOIN texts USING (query_id)",
+    f"WITH {RETRIEVED}, texts AS (SELECT query_id, string_agg('[文档 ' || rank || '] ' || coalesce(source, 'Unknown') || ' - 第 N/A 页 (相关度: ' || printf('%.2f', round(score, 2)) || ')' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS text FROM retrieved GROUP BY query_id) SELECT query_id, coalesce(texts.text, '未找到相关文档。知识库中可能没有与此查询相关的内容。') AS text FROM queries LEFT JOIN texts USING (query_id)",
 )
 def tool_text(spark, sf_dir):
     queries = benchmark_queries(spark, sf_dir)
@@ -252,7 +278,7 @@ def tool_text(spark, sf_dir):
 
 @query(
     "prompt_text",
-    f"WITH {RETRIEVED}, texts AS (SELECT query_id, string_agg('[来源 ' || rank || ': ' || source || ' - 第 N/A 页]' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context FROM retrieved GROUP BY query_id) SELECT query_id, md5('Answer from the sources below and name them; say so if they do not hold the answer.' || chr(10) || chr(10) || 'Sources:' || chr(10) || coalesce(context, '未找到相关文档。') || chr(10) || chr(10) || 'Conversation so far:' || chr(10) || '无历史对话' || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Answer:') AS prompt_md5 FROM queries LEFT JOIN texts USING (query_id)",
+    f"WITH {RETRIEVED}, texts AS (SELECT query_id, string_agg('[来源 ' || rank || ': ' || coalesce(source, 'Unknown') || ' - 第 N/A 页]' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context FROM retrieved GROUP BY query_id) SELECT query_id, md5('Answer from the sources below and name them; say so if they do not hold the answer.' || chr(10) || chr(10) || 'Sources:' || chr(10) || coalesce(context, '没有找到相关的参考资料。') || chr(10) || chr(10) || 'Conversation so far:' || chr(10) || '（无历史对话）' || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Answer:') AS prompt_md5 FROM queries LEFT JOIN texts USING (query_id)",
 )
 def prompt_text(spark, sf_dir):
     queries = benchmark_queries(spark, sf_dir)

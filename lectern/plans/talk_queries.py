@@ -83,22 +83,26 @@ def token_count(spark, sf_dir):
 # ---- events
 
 
+TURN = ("conv_id", "turn")
+
+
 def replies(spark, sf_dir):
-    return messages(spark, sf_dir).where("role = 'assistant' and turn = 1").select(F.col("conv_id").cast("string").alias("conversation_id"), F.col("text").alias("content"))
+    """Every reply of an assistant; each seventh conversation's stream ends in an error."""
+    failed = F.when(F.col("conv_id") % 7 == 0, "timeout")
+    return messages(spark, sf_dir).where("role = 'assistant'").select(*TURN, F.col("text").alias("content"), failed.alias("error"))
 
 
 @query(
     "event_order",
-    """WITH r AS (SELECT conv_id::VARCHAR AS conversation_id, string_split(text, ' ') AS w FROM conversations WHERE role = 'assistant' AND turn = 1)
-SELECT conversation_id, 0 AS seq, 'citations' AS type FROM r UNION ALL
-SELECT conversation_id, i::INTEGER, 'token' FROM r, unnest(range(1, len(w) + 1)) u(i) WHERE i < len(w) OR w[-1] <> '' OR len(w) = 1 UNION ALL
-SELECT conversation_id, (len(w) + 1 - CASE WHEN w[-1] = '' AND len(w) > 1 THEN 1 ELSE 0 END)::INTEGER, 'done' FROM r""",
+    """WITH r AS (SELECT conv_id, turn, text, string_split(text, ' ') AS w FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, 0 AS seq, 'citations' AS type, '[{"source":"src","content":"' || replace(replace(replace(replace(substr(text, 1, 200) || '...', '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(9), '\\t') || '"}]' AS data FROM r UNION ALL
+SELECT conv_id, turn, i::INTEGER, 'token', CASE WHEN i < len(w) THEN w[i] || ' ' ELSE w[i] END FROM r, unnest(range(1, len(w) + 1)) u(i) WHERE i < len(w) OR w[-1] <> '' OR len(w) = 1 UNION ALL
+SELECT conv_id, turn, (len(w) + 1 - CASE WHEN w[-1] = '' AND len(w) > 1 THEN 1 ELSE 0 END)::INTEGER, CASE WHEN conv_id % 7 = 0 THEN 'error' ELSE 'done' END, CASE WHEN conv_id % 7 = 0 THEN '{"message":"timeout"}' ELSE '' END FROM r""",
 )
 def event_order(spark, sf_dir):
     rows = replies(spark, sf_dir)
-    cites = rows.select("conversation_id", F.struct(F.lit("src").alias("source"), T.snippet(F.col("content")).alias("content")).alias("citation"))
-    found = answer.events(rows, cites)
-    return found.select("conversation_id", "seq", "type")
+    cites = rows.select(*TURN, F.struct(F.lit("src").alias("source"), T.snippet(F.col("content")).alias("content")).alias("citation"))
+    return answer.events(rows, cites, keys=TURN)
 
 
 @query(
@@ -109,13 +113,13 @@ def sse_encode(spark, sf_dir):
     return messages(spark, sf_dir).select("conv_id", "turn", answer.frame(F.col("role"), F.col("text")).alias("frame"))
 
 
-@query("sse_decode", "SELECT conv_id, text FROM conversations WHERE role = 'assistant' AND turn = 1 AND conv_id % 5 <> 0")
+@query("sse_decode", "SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant' AND conv_id % 7 <> 0")
 def sse_decode(spark, sf_dir):
-    """Replies framed word by word and decoded again; streams that never end give nothing."""
-    found = answer.events(replies(spark, sf_dir), replies(spark, sf_dir).limit(0).select("conversation_id", F.struct("content").alias("citation")))
-    found = found.where("type <> 'done' or conversation_id % 5 <> 0").withColumn("frame", answer.frame(F.col("type"), F.col("data")))
-    streams = answer.in_order(found, ["conversation_id"], "seq", "frame", "", "stream")
-    return answer.decode(streams.select(F.col("conversation_id").cast("long").alias("conv_id"), "stream"))
+    """Replies framed word by word and decoded again; streams that end in an error give nothing."""
+    rows = replies(spark, sf_dir)
+    found = answer.events(rows, rows.limit(0).select(*TURN, F.struct("content").alias("citation")), keys=TURN)
+    streams = answer.in_order(found.withColumn("frame", answer.frame(F.col("type"), F.col("data"))), list(TURN), "seq", "frame", "", "stream")
+    return answer.decode(streams, TURN)
 
 
 @query("agent_citations", "SELECT conv_id, turn, 'knowledge base' AS source, substr('[文档 1] ' || text, 1, 200) || '...' AS content FROM conversations WHERE role = 'system'")
@@ -230,6 +234,30 @@ def relative_time(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.relative_time(F.col("ts").cast("timestamp"), F.expr(NOW)).alias("shown"))
 
 
+@query(
+    "relative_time_week",
+    f"""WITH s AS (SELECT event_id, ts, floor((epoch_us({NOW}) - epoch_us(ts)) / 1e6)::BIGINT AS s FROM events)
+SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN floor(s / 60)::BIGINT || ' minutes ago' WHEN s < 86400 THEN floor(s / 3600)::BIGINT || ' hours ago'
+WHEN s < 604800 THEN floor(s / 86400)::BIGINT || ' days ago' ELSE strftime(ts, '%Y-%m-%d') END AS shown FROM s""",
+)
+def relative_time_week(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", T.relative_time(F.col("ts").cast("timestamp"), F.expr(NOW), days=6).alias("shown"))
+
+
+_UUID = "substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21)"
+
+
+@query(
+    "uuid_check",
+    f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN {_UUID} WHEN 1 THEN m WHEN 2 THEN 'urn:uuid:' || {_UUID} WHEN 3 THEN substr({_UUID}, 2) ELSE source END AS id, doc_id % 5 < 3 AS valid
+FROM (SELECT doc_id, source, md5(text) AS m FROM documents)""",
+)
+def uuid_check(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("m"))
+    shown = f"CASE doc_id % 5 WHEN 0 THEN {_UUID} WHEN 1 THEN m WHEN 2 THEN 'urn:uuid:' || {_UUID} WHEN 3 THEN substr({_UUID}, 2) ELSE source END"
+    return rows.select("doc_id", F.expr(shown).alias("id")).withColumn("valid", T.is_uuid(F.col("id")))
+
+
 @query("delete_cascade", f"WITH {CHUNKS} SELECT document_id, chunk_index FROM chunks WHERE document_id % 10 <> 0")
 def delete_cascade(spark, sf_dir):
     gone = documents(spark, sf_dir).where("status = 'failed'").select(F.col("id").alias("document_id"))
@@ -254,8 +282,9 @@ def provider_groups(spark, sf_dir):
 
 @query("first_models", "SELECT p_brand, list(p_partkey ORDER BY p_partkey)[1:3]::VARCHAR AS first FROM part GROUP BY p_brand")
 def first_models(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey"), F.array_sort(F.collect_list("p_partkey")).alias("all"))
-    return rows.select("p_brand", F.concat(F.lit("["), F.array_join(F.slice("all", 1, 3), ", "), F.lit("]")).alias("first"))
+    rows = catalog.rank_in_pages(table(spark, sf_dir, "part"), "p_brand", [F.col("p_partkey")], 3)
+    rows = rows.groupBy("p_brand").agg(F.array_sort(F.collect_list("p_partkey")).alias("first"))
+    return rows.select("p_brand", F.concat(F.lit("["), F.array_join("first", ", "), F.lit("]")).alias("first"))
 
 
 @query("toggle_selection", "SELECT conv_id, list_sort(CASE WHEN list_contains(t, 2) THEN list_filter(t, lambda x: x <> 2) ELSE list_append(t, 2) END)::VARCHAR AS selected FROM (SELECT conv_id, list(turn) AS t FROM conversations GROUP BY conv_id)")
