@@ -65,6 +65,12 @@ def file_icon(file_type: Column) -> Column:
     return F.coalesce(F.element_at(table, file_type), F.lit(OTHER_ICON))
 
 
+def merged(base: Column, over: Column) -> Column:
+    """Both maps together; where both have a key, the value of ``over``."""
+    over = F.coalesce(over, F.create_map().cast("map<string,string>"))
+    return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(over, k)), over)
+
+
 def is_uuid(text: Column) -> Column:
     """True for 32 hexadecimal digits, with or without hyphens, braces and a urn:uuid: prefix; null is none."""
     digits = F.regexp_replace(F.regexp_replace(text, "^urn:uuid:", ""), r"^\{(.*)\}$", "$1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.config import DEFAULTS
 from lectern.functions.text import snippet
 
 #: The wording that clients look for.
@@ -66,7 +67,7 @@ def last_messages(messages: DataFrame, n: int) -> DataFrame:
     return messages.withColumn("_nth", F.row_number().over(last)).where(F.col("_nth") <= n).drop("_nth")
 
 
-def history(messages: DataFrame, n: int) -> DataFrame:
+def history(messages: DataFrame, n: int = DEFAULTS.history_messages) -> DataFrame:
     """conv_id, history: the last n messages with the names of their roles."""
     names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
     line = F.concat(F.coalesce(F.element_at(names, F.col("role")), F.lit(OTHER_ROLE)), F.lit(": "), F.col("text"), F.lit("\n\n"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import ellipsis
+from lectern.config import DEFAULTS, Settings
+from lectern.functions.text import ellipsis, merged
 
 #: Progress and stage of each step of ingest.
 STAGES = {"pending": (0, None), "parsing": (0, "parsing"), "chunking": (33, "chunking"), "embedding": (66, "embedding"), "completed": (100, "completed"), "failed": (0, "failed")}
@@ -29,6 +30,34 @@ def new_documents(files: DataFrame) -> DataFrame:
     )
 
 
+def manual_documents(requests: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, chunks, rejected) of documents that come cut already.
+
+    ``requests``: document_id, filename, file_type, file_size. ``chunks``: document_id, chunk_index, content, page_number,
+    start_char, end_char, metadata. A chunk's own metadata go over the defaults of its document. A request
+    without chunks, or of a type that is not allowed, is rejected with the reason.
+    """
+    sizes = chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"), F.sum(F.coalesce(F.length("content"), F.lit(0))).alias("total_characters"))
+    kind = F.lower("file_type")
+    reason = F.when(F.col("chunk_count").isNull(), "Chunks cannot be empty").when(
+        ~F.coalesce(F.concat(F.lit("."), kind).isin(*settings.extensions), F.lit(False)), F.concat(F.lit("Unsupported file type: "), F.coalesce("file_type", F.lit("")))
+    )
+    rows = requests.join(sizes, "document_id", "left").withColumn("reason", reason).withColumn("file_type", kind)
+    progress, stage = STAGES["completed"]
+    good = rows.where("reason is null")
+    documents = good.select(
+        F.col("document_id").alias("id"), "filename", "file_type", "file_size", F.concat(F.lit("manual://"), F.col("document_id").cast("string")).alias("file_path"), F.lit("completed").alias("status"),
+        F.lit(progress).alias("processing_progress"), F.lit(stage).alias("current_stage"), "chunk_count", "total_characters",
+    )
+    defaults = {
+        "source": F.col("filename"), "file_type": F.col("file_type"), "page": F.col("page_number").cast("string"), "document_id": F.col("document_id").cast("string"), "chunk_index": F.col("chunk_index").cast("string"),
+    }
+    base = F.create_map(*[c for name, value in defaults.items() for c in (F.lit(name), value)])
+    cut = chunks.join(good.select("document_id", "filename", "file_type"), "document_id").withColumn("metadata", merged(base, F.col("metadata")))
+    cut = cut.select("document_id", "chunk_index", "content", "page_number", "start_char", "end_char", "metadata", F.concat_ws("_", "document_id", "chunk_index").alias("vector_id"))
+    return documents, cut, rows.where("reason is not null").select("document_id", "filename", "reason")
+
+
 def latest(log: DataFrame, key: str, order: str) -> DataFrame:
     """The last entry of each key of a status log; one aggregation, no sort."""
     others = [c for c in log.columns if c != key]

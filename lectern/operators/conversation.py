@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.config import DEFAULTS
 from lectern.functions.text import ellipsis
 
 
-def trim(messages: DataFrame, keep: int = 10) -> DataFrame:
+def trim(messages: DataFrame, keep: int = DEFAULTS.kept_messages) -> DataFrame:
     """Conversations of up to keep + 1 messages stay; longer ones keep a leading system message and the last ``keep``."""
     by = Window.partitionBy("conv_id")
     rows = messages.withColumn("_n", F.count("*").over(by)).withColumn("_nth", F.row_number().over(by.orderBy("turn")))

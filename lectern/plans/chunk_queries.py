@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import chunking
+from lectern.operators import catalog, chunking
 from lectern.plans.base import CHUNKS, FILENAME, STATUS, chunks, query, table
 from lectern.sources import files
 
@@ -37,11 +37,13 @@ def chunk_delimiter(spark, sf_dir):
 
 @query(
     "chunk_paragraph",
-    """WITH parts AS (SELECT doc_id, regexp_split_to_array(text, '\\n+') AS p FROM documents)
+    """WITH parts AS (SELECT doc_id, regexp_split_to_array(replace(text, chr(10), repeat(chr(10), 3)), '\\n\\n+') AS p FROM documents)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS chunk_index, p[i] AS content FROM parts, unnest(range(1, len(p) + 1)) u(i) WHERE p[i] <> ''""",
 )
 def chunk_paragraph(spark, sf_dir):
-    return chunking.paragraphs(table(spark, sf_dir, "documents"), "\n+").select("doc_id", "chunk_index", "content")
+    """The texts have single line ends, which become blank lines first."""
+    rows = table(spark, sf_dir, "documents").withColumn("text", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n\n")))
+    return chunking.paragraphs(rows).select("doc_id", "chunk_index", "content")
 
 
 def segments(spark, sf_dir):
@@ -84,6 +86,44 @@ def manual_chunks(spark, sf_dir):
     )
 
 
+def manual(spark, sf_dir):
+    """Manual uploads of the documents' windows: each fifth document brings none, each chunk's metadata names its language."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.expr(FILENAME).alias("filename"), F.col("n_chars").alias("file_size"), "lang")
+    requests = docs.withColumn("file_type", F.substring(T.suffix(F.col("filename")), 2, 10)).drop("lang")
+    cut = chunks(spark, sf_dir).where("document_id % 5 <> 0").join(docs.select("document_id", "lang"), "document_id")
+    page = F.when(F.col("chunk_index") % 2 == 0, F.col("chunk_index") + 1)
+    own = F.when(F.col("chunk_index") % 3 == 0, F.create_map(F.lit("source"), F.col("lang"), F.lit("lang"), F.col("lang")))
+    return catalog.manual_documents(requests, cut.select("document_id", "chunk_index", "content", page.alias("page_number"), "start_char", "end_char", own.alias("metadata")))
+
+
+_MANUAL = f"""requests AS (SELECT doc_id AS document_id, {FILENAME} AS filename, substr(lower(regexp_extract({FILENAME}, '\\.[^./]+$')), 2) AS file_type, n_chars AS file_size, lang FROM documents),
+cut AS (SELECT * FROM chunks WHERE document_id % 5 <> 0),
+sizes AS (SELECT document_id, count(*) AS chunk_count, sum(length(content))::BIGINT AS total_characters FROM cut GROUP BY 1),
+judged AS (SELECT *, CASE WHEN chunk_count IS NULL THEN 'Chunks cannot be empty' WHEN file_type NOT IN ('pdf', 'txt', 'md') THEN 'Unsupported file type: ' || file_type END AS reason FROM requests LEFT JOIN sizes USING (document_id))"""
+
+
+@query("manual_documents", f"WITH {CHUNKS}, {_MANUAL} SELECT document_id AS id, filename, file_type, file_size, 'manual://' || document_id AS file_path, 'completed' AS status, 100 AS processing_progress, 'completed' AS current_stage, chunk_count, total_characters FROM judged WHERE reason IS NULL")
+def manual_documents(spark, sf_dir):
+    return manual(spark, sf_dir)[0]
+
+
+@query("manual_rejected", f"WITH {CHUNKS}, {_MANUAL} SELECT document_id, filename, reason FROM judged WHERE reason IS NOT NULL")
+def manual_rejected(spark, sf_dir):
+    return manual(spark, sf_dir)[2]
+
+
+@query(
+    "manual_metadata",
+    f"""WITH {CHUNKS}, {_MANUAL} SELECT document_id, chunk_index, document_id || '_' || chunk_index AS vector_id, CASE WHEN chunk_index % 3 = 0 THEN lang ELSE filename END AS source, file_type,
+CASE WHEN chunk_index % 2 = 0 THEN (chunk_index + 1)::VARCHAR END AS page, CASE WHEN chunk_index % 3 = 0 THEN lang END AS lang, md5(content) AS content_md5 FROM cut JOIN judged USING (document_id) WHERE reason IS NULL""",
+)
+def manual_metadata(spark, sf_dir):
+    """What a chunk's own metadata say goes over the defaults."""
+    rows = manual(spark, sf_dir)[1]
+    names = [F.element_at("metadata", name).alias(name) for name in ("source", "file_type", "page", "lang")]
+    return rows.select("document_id", "chunk_index", "vector_id", *names, F.md5("content").alias("content_md5"))
+
+
 @query("chunk_recursive")
 def chunk_recursive(spark, sf_dir):
     return chunking.recursive(table(spark, sf_dir, "documents")).select("doc_id", "chunk_index", "content")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS
-from lectern.operators import answer, bm25, fusion, tool, vectors
+from lectern.operators import answer, bm25, fusion, tool, vector_store, vectors
 from lectern.plans.base import (
     CHUNKS,
     DIM,
@@ -27,6 +27,7 @@ from lectern.plans.base import (
     table,
     vector_top,
 )
+from lectern.sources.shared import scratch
 
 K = 10
 
@@ -141,6 +142,23 @@ def ivf_recall(spark, sf_dir):
     return exact.groupBy("query_id").agg(F.count("*").alias("k"), F.count("hit").alias("found")).join(lists, "query_id")
 
 
+@query(
+    "vector_delete",
+    """WITH u AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_dot_product(q.e, d.e), 6) AS score FROM u q JOIN u d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0 AND d.label NOT IN (3, 7))
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+)
+def vector_delete(spark, sf_dir):
+    """A stored table of vectors in lists, half of them inserted later, two documents deleted, then searched."""
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "document_id")
+    folder = scratch(spark, "vector-store")
+    vector_store.create(rows.where("vec_id % 2 = 0"), folder, 8)
+    vector_store.insert(rows.where("vec_id % 2 = 1"), folder)
+    vector_store.delete(rows.where("document_id in (3, 7)").select("document_id"), folder)
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector_store.search(folder, queries, 5, 2)[0]
+
+
 # ---- fusion
 
 

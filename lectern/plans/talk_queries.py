@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from lectern.functions import sql
 from lectern.functions import text as T
 from lectern.sources.shared import scratch
-from lectern.operators import answer, catalog, conversation
-from lectern.plans.base import CHUNKS, FILENAME, STATUS, chunks, query, table
+from lectern.operators import answer, bm25, catalog, chunking, conversation
+from lectern.plans.base import CHUNKS, DIM, FILENAME, INDEX, KEYWORD_TOP, MANY, OVERLAP, SCORES, SIZE, STATUS, benchmark_queries, chunks, query, table
 from lectern.streaming import ingest, threads
 
 NOW = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -313,15 +313,49 @@ def orders_page(spark, sf_dir):
 )
 def stream_ingest(spark, sf_dir):
     """Documents arriving as files, cut into windows by a stream; the sink's table."""
-    from lectern.operators import chunking
-    from lectern.plans.base import OVERLAP, SIZE
-
     folder = scratch(spark, "stream-ingest")
     schema = table(spark, sf_dir, "documents").schema
     ingest.chunk_stream(spark, sf_dir, f"{folder}/chunks", f"{folder}/state", schema, glob="documents.parquet", split=lambda rows: chunking.fixed(rows, SIZE, OVERLAP)).awaitTermination()
     return spark.read.parquet(f"{folder}/chunks").select("document_id", "chunk_index", F.md5("content").alias("content_md5"))
 
 
+def indexed(spark, sf_dir):
+    """The documents as a stream of files, indexed to the end."""
+    folder = scratch(spark, "index-stream")
+    schema = table(spark, sf_dir, "documents").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    rows = rows.select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("/in/"), F.expr(FILENAME)).alias("path"), "text")
+    windows = lambda docs: chunking.fixed(docs, SIZE, OVERLAP)
+    ingest.index_stream(spark, rows, folder, f"{folder}/state", DIM, split=windows).awaitTermination()
+    return ingest.index(spark, folder)
+
+
+@query(
+    "ingest_status",
+    f"""WITH {CHUNKS}, sizes AS (SELECT document_id, count(*) AS n, sum(length(content))::BIGINT AS size FROM chunks GROUP BY 1),
+d AS (SELECT doc_id, ends_with({FILENAME}, '.docx') AS bad FROM documents)
+SELECT doc_id::VARCHAR AS document_id, CASE WHEN bad THEN 'failed' ELSE 'completed' END AS status, CASE WHEN bad THEN 0 ELSE 100 END AS progress, CASE WHEN bad THEN 'failed' ELSE 'completed' END AS current_stage,
+CASE WHEN bad THEN 'unsupported file type: .docx' END AS error_message, CASE WHEN bad THEN 0 ELSE coalesce(n, 0) END AS chunk_count, CASE WHEN bad THEN 0 ELSE coalesce(size, 0) END AS total_characters
+FROM d LEFT JOIN sizes ON document_id = doc_id""",
+)
+def ingest_status(spark, sf_dir):
+    """The latest status of every document that an index stream read."""
+    return indexed(spark, sf_dir)[2]
+
+
+@query(
+    "ingest_search",
+    f"""WITH good AS (SELECT * FROM documents WHERE NOT ends_with({FILENAME}, '.docx')), {INDEX.replace('FROM documents,', 'FROM good,')}, {MANY}, {SCORES}, {KEYWORD_TOP.format(k=3)}
+SELECT query_id, rank::INTEGER AS rank, document_id::VARCHAR AS document_id, chunk_index, bm25_score FROM keyword_top""",
+)
+def ingest_search(spark, sf_dir):
+    """Keyword search over what the index stream wrote; documents that failed are not in it."""
+    chunks, index, _ = indexed(spark, sf_dir)
+    numbered = bm25.Index(index.postings.withColumn("document_id", F.col("document_id").cast("long")), index.idf, index.stats)
+    found = bm25.search(numbered, benchmark_queries(spark, sf_dir), 3)
+    return found.withColumn("document_id", F.col("document_id").cast("string"))
+
+
 @query(
     "thread_state_stream",
     """SELECT conv_id, count(*) AS n_messages, md5(string_agg(CASE WHEN n <= 3 THEN text END, '|' ORDER BY turn)) AS last_md5

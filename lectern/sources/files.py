@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS, Settings
 from lectern.functions.text import file_name, strip, suffix
-from lectern.schema import SEGMENTS
 
 KINDS = {".pdf": "pdf", ".txt": "txt", ".md": "md"}
 
@@ -65,6 +64,3 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     failed = files.where(kind.isNull()).select(F.col("document_id").cast("string").alias("document_id"), "path", F.concat(F.lit("unsupported file type: "), suffix(F.col("path"))).alias("error"))
     return good, failed
 
-
-def empty_segments(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], SEGMENTS)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import sql
 from lectern.functions import text as T
-from lectern.operators import answer, bm25, catalog, conversation, fusion, tool, vectors
+from lectern.operators import answer, bm25, catalog, conversation, fusion, tool, vector_store, vectors
 from lectern.sources import files
 from lectern.streaming import ingest
 
@@ -134,14 +134,137 @@ def test_catalog(spark):
 def test_search_tool(spark):
     chunks = spark.createDataFrame([(i, 0, t, f"file{i}.txt", i + 1) for i, t in enumerate(TEXTS)], "document_id long, chunk_index int, content string, source string, page_number int")
     text = tool.search_knowledge_base(chunks, "events fast", top_k=2, threshold=0.1)
-    # The only hit of a leg is also its lowest, so its normalised score is 0.
-    assert text == "[文档 1] file1.txt - 第 2 页 (相关度: 0.00)\nspark streams events fast"
-    assert tool.search_knowledge_base(chunks, "events fast", document_ids=[0], threshold=0.9) == answer.NOTHING_FOUND
+    # The vector leg's only hit is also its lowest, so its normalised score is 0; the keyword leg has chunks of score 0 besides.
+    assert text == "[文档 1] file1.txt - 第 2 页 (相关度: 0.40)\nspark streams events fast\n\n[文档 2] file0.txt - 第 1 页 (相关度: 0.00)\nspark runs sql"
+    assert tool.search_knowledge_base(chunks, "events fast", document_ids=[9], threshold=0.9) == answer.NOTHING_FOUND
     for query, k in (("", 5), ("x", 0), ("x", 21)):
         with pytest.raises(ValueError):
             tool.search_knowledge_base(chunks, query, k)
 
 
+def test_search_agrees_with_all_pairs(spark, index):
+    """The scan keeps what scoring every pair gives, zero rows too, in blocks of queries as in one."""
+    queries = spark.createDataFrame([(q, t) for q, t in enumerate(["spark vector", "vector vector", "", "sql fast engine", "nothing here"])] + [(9, None)], "query_id long, text string")
+    for size in (1 << 20, 8):
+        found = {(r.query_id, r.rank): (r.document_id, r.bm25_score) for r in bm25.search(index, queries, 3, query_bytes=size).collect()}
+        assert len(found) == 18 and found[0, 1] == (0, 0.153594) and found[0, 2] == (3, 0.153594) and found[0, 3] == (1, 0.134328)
+        assert [found[9, k] for k in (1, 2, 3)] == [(0, 0.0), (1, 0.0), (2, 0.0)]
+    pairs = {(r.query_id, r.document_id): round(r.bm25_score, 6) for r in bm25.scores(index, queries).collect()}
+    assert all(pairs.get((q, d), 0.0) == s for (q, _), (d, s) in found.items())
+    scope = spark.createDataFrame([(1,), (2,), (2,)], "document_id long")
+    assert {(r.query_id, r.document_id) for r in bm25.search(index, queries, 3, scope).collect()} == {(q, d) for q in (0, 1, 2, 3, 4, 9) for d in (1, 2)}
+
+
+def test_vectors_that_do_not_fit(spark):
+    """Null, ragged and not-a-number embeddings are no hits and crash nothing."""
+    rows = [(0, None), (1, [3.0, 4.0]), (2, [4.0, 3.0]), (3, [1.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0])]
+    rows = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = rows.select(F.col("vec_id").alias("query_id"), "embedding")
+    found = {(r.query_id, r.vec_id) for r in vectors.batch_top_k(rows, queries, 5).collect()}
+    assert found == {(1, 2), (2, 1)}
+    assert vectors.batch_top_k(rows.limit(0), queries, 5).count() == 0 and vectors.batch_top_k(rows, queries.limit(0), 5).count() == 0
+
+
+def test_embedders(spark):
+    with pytest.raises(ValueError, match="unknown embedding provider"):
+        vectors.embedder("nobody")
+    assert vectors.dimension(spark, "hashing", 16) == 16
+    rows = vectors.embed(spark.createDataFrame([("a b a",), ("",), (None,)], "content string"), 8).collect()
+    assert sorted(x for x in rows[0].embedding if x) == pytest.approx([5**-0.5, 2 * 5**-0.5]) and rows[1].embedding == rows[2].embedding == [0.0] * 8
+
+
+def test_vector_store(spark, tmp_path):
+    draw = random.Random(8)
+    rows = [(i, i % 5, [draw.gauss(0, 1) for _ in range(6)]) for i in range(200)]
+    table = spark.createDataFrame(rows, "vec_id long, document_id int, embedding array<double>")
+    path = f"file://{tmp_path}/vectors"
+    vector_store.create(table.where("vec_id < 120"), path, 4)
+    vector_store.insert(table.where("vec_id >= 120 and vec_id < 180"), path)
+    vector_store.delete(table.where("document_id = 2").select("document_id"), path)
+    vector_store.insert(table.where("vec_id >= 180"), path)  # what comes after a delete lives
+    left = {i for i, d, _ in rows if d != 2 or i >= 180}
+    assert {r.vec_id for r in vector_store.live(spark, path).collect()} == left
+    queries = table.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = vector_store.search(path, queries, 4, 1)[0]
+    expected = vectors.batch_top_k(table.where(F.col("vec_id").isin(*left)), queries, 4)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+    vector_store.compact(spark, path, f"file://{tmp_path}/compacted")
+    assert {r.vec_id for r in vector_store.live(spark, f"file://{tmp_path}/compacted").collect()} == left
+
+
+def test_hits_without_source(spark):
+    """A hit whose source is null is shown as of an unknown source in all texts."""
+    rows = spark.createDataFrame([(0, 1, 5, 0, 0.5, "one", None, None), (0, 2, 6, 0, 0.25, "two", "b.txt", 3)], "query_id long, rank int, document_id long, chunk_index int, score double, content string, source string, page_number int")
+    assert answer.context(rows).first().context == "[来源 1: Unknown - 第 N/A 页]\none\n\n[来源 2: b.txt - 第 3 页]\ntwo"
+    assert answer.tool_text(rows).first().text == "[文档 1] Unknown - 第 N/A 页 (相关度: 0.50)\none\n\n[文档 2] b.txt - 第 3 页 (相关度: 0.25)\ntwo"
+    assert [r.document_name for r in answer.citations(rows).orderBy("rank").collect()] == ["Unknown", "b.txt"]
+
+
+def test_rerank(spark):
+    rows = spark.createDataFrame([(0, d, 0, t) for d, t in enumerate(TEXTS)], "query_id long, document_id long, chunk_index int, content string")
+    queries = spark.createDataFrame([(0, "vector spark events")], "query_id long, text string")
+    found = fusion.reranked(rows, queries, fusion.overlap, 3).orderBy("rank").collect()
+    assert [(r.document_id, r.rerank_score) for r in found] == [(1, 0.666667), (3, 0.666667), (0, 0.333333)]
+
+
+def test_tool_call(spark):
+    """As a model calls it, errors are texts."""
+    chunks = spark.createDataFrame([(i, 0, t, "f", 1) for i, t in enumerate(TEXTS)], "document_id long, chunk_index int, content string, source string, page_number int")
+    assert tool.call(chunks, "", 5) == answer.FAILED + "the query is empty"
+    assert tool.call(chunks, "x", 21) == answer.FAILED + "top_k must be 1 to 20"
+    assert tool.call(chunks, "events fast", 2, threshold=0.1).startswith("[文档 1] f")
+    rows = vectors.embed(bm25.count_tokens(chunks), tool.DIM)
+    tool.register(spark, rows, bm25.index_of(rows), name="kb_few")
+    found = spark.sql("SELECT * FROM kb_few('spark vector', 2)").collect()
+    assert [(r.rank, r.document_id) for r in found] == [(1, 0), (2, 3)] or len(found) == 2
+    for query, k in (("x", 21), (" ", 5)):
+        with pytest.raises(Exception, match="top_k must be|the query is empty"):
+            spark.sql(f"SELECT * FROM kb_few('{query}', {k})").collect()
+
+
+def test_uuid(spark):
+    values = ["123e4567-e89b-12d3-a456-426614174000", "123E4567E89B12D3A456426614174000", "{123e4567-e89b-12d3-a456-426614174000}", "urn:uuid:123e4567-e89b-12d3-a456-426614174000", "123e4567", "", None, "g23e4567-e89b-12d3-a456-426614174000"]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, t string").select("i", T.is_uuid(F.col("t")).alias("v")).orderBy("i").collect()
+    assert [r.v for r in rows] == [True] * 4 + [False] * 4
+
+
+def test_pdf_pages(spark, tmp_path):
+    """Pages with text become segments with their numbers; a stand-in for the optional reader splits at form feeds."""
+    stub = tmp_path / "pypdf.py"
+    stub.write_text(
+        "class Page:\n    def __init__(self, t): self.t = t\n    def extract_text(self): return self.t or None\n"
+        "class PdfReader:\n    def __init__(self, f): self.pages = [Page(t) for t in f.read().decode().split(chr(12))]\n", encoding="utf-8"
+    )
+    spark.sparkContext.addPyFile(str(stub))
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.pdf").write_text("first\x0c \n\x0cthird", encoding="utf-8")
+    (folder / "b.txt").write_text("no pdf", encoding="utf-8")
+    rows = files.read_pdf(spark, str(folder)).orderBy("page_number").collect()
+    assert [(r.source, r["index"], r.page_number, r.content, r.total_pages, r.file_type) for r in rows] == [("a.pdf", 0, 1, "first", 3, "pdf"), ("a.pdf", 2, 3, "third", 3, "pdf")]
+
+
+def test_index_stream(spark, tmp_path):
+    """Documents that come in two runs are each indexed once; a failed one has its reason; a batch that runs again repeats nothing."""
+    source, target = tmp_path / "in", f"file://{tmp_path}/out"
+    schema = "document_id string, path string, text string"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+    put([("a", "a.txt", "spark runs sql"), ("b", "b.docx", "no"), ("c", "c.md", "")])
+    stream = lambda: spark.readStream.schema(schema).parquet(str(source))
+    ingest.index_stream(spark, stream(), target, f"file://{tmp_path}/state", 8).awaitTermination()
+    put([("d", "d.txt", "vector search engine")])
+    for _ in range(2):
+        ingest.index_stream(spark, stream(), target, f"file://{tmp_path}/state", 8).awaitTermination()
+    ingest.index_batch(spark.createDataFrame([("d", "d.txt", "vector search engine")], schema), target, 1, 8, ingest.default_split())
+    chunks, index, status = ingest.index(spark, target)
+    assert sorted((r.document_id, r.content) for r in chunks.collect()) == [("a", "spark runs sql"), ("d", "vector search engine")]
+    assert {r.document_id: (r.status, r.progress, r.chunk_count, r.error_message) for r in status.collect()} == {
+        "a": ("completed", 100, 1, None), "b": ("failed", 0, 0, "unsupported file type: .docx"), "c": ("completed", 100, 0, None), "d": ("completed", 100, 1, None),
+    }
+    found = bm25.search(index, spark.createDataFrame([(0, "engine")], "query_id long, text string"), 5).collect()
+    assert {(r.document_id, r.bm25_score) for r in found} == {("a", 0.0), ("d", 0.0)}  # a token of half the chunks weighs nothing
+
+
 def test_sql_functions(spark):
     sql.register(spark)
     row = spark.sql("SELECT kb_windows('abcdefgh', 5, 2) AS w, kb_cosine(array(3D, 4D), array(4D, 3D)) AS c, kb_cosine(array(0D), array(1D)) AS z, kb_strip(' a ') AS s, kb_suffix('x/y.MD') AS f, kb_tokens('A b!') AS t").first()
