@@ -8,11 +8,14 @@ and the shards' top k merge exactly.
 A task's shards raise the k-th best score for one another, and the task passes on its k best only.
 
 Within a shard documents are numbered so that alike ones stand together, and postings are cut
-into blocks of document numbers that are the same for all terms. A block's pivot test adds up
-the query terms' block maxima: only blocks whose bound reaches the k-th best score so far are
-scored, best bounds first; all others are skipped without reading their postings. Of words that
-many documents of the shard have, whose lists no bound could skip, the exact part of the scores
-comes from a dense matrix product beforehand and enters the bounds as it is.
+into blocks of document numbers that are the same for all terms. Every term, however frequent,
+has block maxima. A query's terms are parted at a pivot into the frequent ones, whose lists are
+long and whose weights are small, and the others. Three tests follow, each against the k-th
+best score so far: a block whose maxima together fall short is skipped whole; in the blocks that
+are left, best bounds first, the postings of the terms before the pivot are scored, and a
+document is given up if these and the block's maxima of the frequent terms fall short; only
+for documents that pass are the frequent terms' postings looked up. ``Best`` counts the postings
+that are scored and those that all documents would have needed.
 
 Queries come in blocks of bounded bytes; each is broadcast and runs against all shards.
 
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Accumulator, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +42,11 @@ from lectern.llm.common import map_rows, ship, stored, table
 K1, B = 1.2, 0.75
 TOP = 10
 #: Bytes of text in a shard, of queries in a block, documents in a block of postings.
-SHARD_BYTES, QUERY_BYTES, BLOCK = 16 << 20, 16 << 20, 64
-#: A word that at least one document in so many of a shard has is kept dense.
-DENSE = 12
-#: Tasks that search, for each core of the cluster.
-TASKS_PER_CORE = 3
+SHARD_BYTES, QUERY_BYTES, BLOCK = 16 << 20, 16 << 20, 8
+#: The pivot: a word that at least one document in so many of a shard has is looked up for documents that pass only.
+FREQUENT = 12
+#: Tasks that search, for each core of the cluster; shards that a task reads at most, about.
+TASKS_PER_CORE, SHARDS_PER_TASK = 3, 8
 #: Rounding of scores; bounds are compared with this slack.
 DECIMALS, EPSILON = 6, 1e-5
 NO_ID = -(1 << 63)
@@ -129,12 +132,15 @@ def _ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best hits of a query so far; ``least`` is the score that a document must reach."""
+    """The k best hits of a query so far; ``least`` is the score that a document must reach.
 
-    __slots__ = ("ids", "scores", "least")
+    ``scored`` of ``asked`` postings were read to find them.
+    """
+
+    __slots__ = ("ids", "scores", "least", "scored", "asked")
 
     def __init__(self):
-        self.ids, self.scores, self.least = np.zeros(0, np.int64), np.zeros(0), 0.0
+        self.ids, self.scores, self.least, self.scored, self.asked = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 0
 
     def add(self, ids: np.ndarray, scores: np.ndarray, k: int) -> None:
         ids, scores = np.r_[self.ids, ids], np.r_[self.scores, scores]
@@ -147,15 +153,15 @@ class Best:
 
 
 class Shard:
-    """A shard's postings of the words that a block of queries asks for.
+    """A shard's postings of the words that a block of queries asks for, with block maxima.
 
-    Words that many of its documents have are kept as dense rows of impacts, whose part of all
-    scores is one matrix product for many queries; the others as postings with block maxima.
+    The frequent words' postings stand in rows by document, to be looked up; the others' in lists.
     """
 
     def __init__(self, row: tuple, block: QueryBlock, mean_length: float):
         _, n_docs, _, ids, lengths, terms, starts, docs, tfs = row
         self.ids, self.n_docs = np.frombuffer(ids, dtype="<i8"), n_docs
+        self.n_blocks, self.block_of = -(-n_docs // BLOCK), np.arange(n_docs) // BLOCK
         norm = K1 * (1 - B + B * np.frombuffer(lengths, dtype="<i4") / mean_length)
         number, starts = block.numbers(terms), np.frombuffer(starts, dtype="<i8")
         asked = np.nonzero(number >= 0)[0]
@@ -164,19 +170,21 @@ class Shard:
         docs = np.frombuffer(docs, dtype="<i4")[picked].astype(np.int64)
         tf = np.frombuffer(tfs, dtype="<i4")[picked].astype(float)
         impact = np.repeat(block.idf[number[asked]], sizes) * tf * (K1 + 1) / (tf + norm[docs])
-        common = sizes * DENSE >= n_docs
+        frequent = sizes * FREQUENT >= n_docs
+        self.sizes = np.zeros(len(block.vocabulary), dtype=np.int64)
+        self.sizes[number[asked]] = sizes
 
-        inside = np.repeat(common, sizes)
+        inside = np.repeat(frequent, sizes)
         self.rows = np.full(len(block.vocabulary), -1)
-        self.rows[number[asked[common]]] = np.arange(common.sum())
-        self.dense = np.zeros((int(common.sum()), n_docs))
-        self.dense[np.repeat(np.arange(len(self.dense)), sizes[common]), docs[inside]] = impact[inside]
+        self.rows[number[asked[frequent]]] = np.arange(frequent.sum())
+        self.by_doc = np.zeros((n_docs, int(frequent.sum())))
+        self.by_doc[docs[inside], np.repeat(np.arange(self.by_doc.shape[1]), sizes[frequent])] = impact[inside]
+        self.row_most = np.maximum.reduceat(self.by_doc, np.arange(0, n_docs, BLOCK), axis=0)
 
         self.docs, self.impact = docs[~inside], impact[~inside]
-        asked, sizes = asked[~common], sizes[~common]
+        asked, sizes = asked[~frequent], sizes[~frequent]
         slot = np.repeat(np.arange(len(asked)), sizes)
         where = self.docs // BLOCK
-        self.n_blocks = -(-n_docs // BLOCK)
         self.first = np.nonzero(np.diff(slot * self.n_blocks + where, prepend=-1))[0]
         self.stop = np.r_[self.first[1:], len(slot)]
         self.block = where[self.first]
@@ -184,47 +192,62 @@ class Shard:
         self.entries = np.searchsorted(slot[self.first], np.arange(len(asked) + 1))
         self.slots = np.full(len(block.vocabulary), -1)
         self.slots[number[asked]] = np.arange(len(asked))
-        self.block_starts, self.block_of = np.arange(0, n_docs, BLOCK), np.arange(n_docs) // BLOCK
 
     def improve(self, best: list[Best], queries: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> None:
         """Put the shard's documents among the best so far of each query."""
-        for start in range(0, len(queries), 64):
-            part = queries[start : start + 64]
-            weights = np.zeros((len(part), len(self.dense)))
-            for i, (_, words, times) in enumerate(part):
-                rows = self.rows[words]
-                weights[i, rows[rows >= 0]] = times[rows >= 0]
-            for i, base in enumerate(weights @ self.dense):
-                self._improve(best[start + i], *part[i], base, k)
-
-    def _improve(self, best: Best, query_id: int, words: np.ndarray, times: np.ndarray, base: np.ndarray, k: int) -> None:
-        slots = self.slots[words]
+        for found, (query_id, words, times) in zip(best, queries):
+            self._improve(found, query_id, words, times, k)
+
+    def _improve(self, best: Best, query_id: int, words: np.ndarray, times: np.ndarray, k: int) -> None:
+        best.asked += int(self.sizes[words].sum())
+        rows, slots = self.rows[words], self.slots[words]
+        frequent, weights = rows[rows >= 0], times[rows >= 0]
         slots, times = slots[slots >= 0], times[slots >= 0]
         starts, stops = self.entries[slots], self.entries[slots + 1]
         entries, weight = _ranges(starts, stops), np.repeat(times, stops - starts)
         where = self.block[entries]
-        bounds = np.maximum.reduceat(base, self.block_starts) + np.bincount(where, weights=self.most[entries] * weight, minlength=self.n_blocks)
+        row_bounds = self.row_most[:, frequent] @ weights
+        bounds = row_bounds + np.bincount(where, weights=self.most[entries] * weight, minlength=self.n_blocks)
         order = np.argsort(-bounds, kind="stable")
-        at, step = 0, max(4, 4 * k // BLOCK)
+        at, step = 0, 2
         while at < len(order) and bounds[order[at]] > 0 and bounds[order[at]] >= best.least - EPSILON:
             chosen = np.zeros(self.n_blocks, dtype=bool)
             chosen[(part := order[at : at + step])[bounds[part] >= best.least - EPSILON]] = True
             inside = chosen[where]
             first, stop = self.first[entries[inside]], self.stop[entries[inside]]
             postings = _ranges(first, stop)
+            best.scored += len(postings)
             score = np.bincount(self.docs[postings], weights=self.impact[postings] * np.repeat(weight[inside], stop - first), minlength=self.n_docs)
-            score = np.where(chosen[self.block_of], base + score, 0.0)
-            found = np.nonzero(score > max(0.0, best.least - EPSILON))[0]
-            found = found[self.ids[found] != query_id]
-            best.add(self.ids[found], np.round(score[found], DECIMALS), k)
+            self._look_up(best, query_id, chosen, score, row_bounds, frequent, weights, k)
             at, step = at + step, 2 * step
 
+    def _look_up(self, best: Best, query_id: int, chosen: np.ndarray, score: np.ndarray, row_bounds: np.ndarray, frequent: np.ndarray, weights: np.ndarray, k: int) -> None:
+        """Complete the scores of the chosen blocks' documents that may still be among the best, the likeliest first."""
+        limit = np.where(chosen[self.block_of], score + row_bounds[self.block_of], 0.0)
+        left = np.nonzero((limit > 0) & (limit >= best.least - EPSILON))[0]
+        left = left[np.argsort(-limit[left], kind="stable")]
+        at, step = 0, 4 * k
+        while at < len(left):
+            some = left[at : at + step]
+            some = some[limit[some] >= best.least - EPSILON]
+            if not len(some):
+                break
+            found = self.by_doc[np.ix_(some, frequent)]
+            best.scored += int(np.count_nonzero(found))
+            whole = score[some] + found @ weights
+            good = (whole > max(0.0, best.least - EPSILON)) & (self.ids[some] != query_id)
+            best.add(self.ids[some[good]], np.round(whole[good], DECIMALS), k)
+            at, step = at + step, 2 * step
 
-def search(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_bytes: int = SHARD_BYTES, query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """query_id, rank, doc_id, score: the k best documents for each row of ``queries`` (query_id, text)."""
+
+def search(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_bytes: int = SHARD_BYTES, query_bytes: int = QUERY_BYTES, counts: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
+    """query_id, rank, doc_id, score: the k best documents for each row of ``queries`` (query_id, text).
+
+    ``counts`` may name two accumulators: postings that were scored, and those that all documents would have needed.
+    """
     spark = docs.sparkSession
     index = build_index(docs, shard_bytes)
-    n_docs, n_words = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    n_docs, n_words, n_shards = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0)), F.count("*")).first()
     queries = queries.where("query_id is not null").select("query_id", "text")
     size = queries.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = size // query_bytes + 1
@@ -232,14 +255,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_bytes: int =
     for number in range(n_blocks):
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == number)
         block = QueryBlock(part.collect())  # query_bytes of text, about
-        found = _search_block(spark, index, block, n_docs, n_words / n_docs if n_words else 1.0, k)
+        found = _search_block(spark, index, block, n_docs, n_words / n_docs if n_words else 1.0, n_shards, k, counts)
         found = stored(found, "hits")
         hits = found if hits is None else hits.unionByName(found)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first())
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def _search_block(spark: SparkSession, index: DataFrame, block: QueryBlock, n_docs: int, mean_length: float, k: int) -> DataFrame:
+def _search_block(spark: SparkSession, index: DataFrame, block: QueryBlock, n_docs: int, mean_length: float, n_shards: int, k: int, counters: tuple[Accumulator, Accumulator] | None) -> DataFrame:
     shared = spark.sparkContext.broadcast(block)  # a block of queries, of bounded bytes
 
     def make_counts():
@@ -267,13 +290,16 @@ def _search_block(spark: SparkSession, index: DataFrame, block: QueryBlock, n_do
             for at in range(batch.num_rows):
                 row = tuple(c[at].as_py() for c in batch.columns)
                 Shard(row, own, mean_length).improve(best, own.queries, k)
+        if counters is not None:
+            counters[0].add(sum(b.scored for b in best))
+            counters[1].add(sum(b.asked for b in best))
         for start in range(0, len(best), 1024):
             part = [(q[0], d if d != NO_ID else None, s) for q, b in zip(own.queries[start : start + 1024], best[start : start + 1024]) for d, s in zip(b.ids.tolist(), b.scores.tolist())]
             if part:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*part), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
 
-    # A task merges its shards' hits, so what it passes on does not grow with the number of shards.
-    few = index.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    # A task merges its shards' hits, and reads a bounded number of shards, so that a lost task is soon repeated.
+    few = index.coalesce(max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-n_shards // SHARDS_PER_TASK)))
     return few.mapInArrow(run, "query_id long, doc_id long, score double")
 
 

@@ -253,6 +253,20 @@ def test_op2_shards_and_blocks_agree(spark, small_docs):
     assert parts == whole
 
 
+def test_op2_prunes(spark):
+    """Fewer postings are scored than all documents would need, far fewer for short queries, and the hits are the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    whole = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    short = whole.select("query_id", F.array_join(F.slice(F.split("text", " "), 5, 6), " ").alias("text"))
+    shares = []
+    for queries in (whole, short):
+        counts = (spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0))
+        found = sorted(map(tuple, search.search(docs, queries, 3, counts=counts).collect()))
+        assert found == sorted(map(tuple, search.search(docs.repartition(3), queries, 3, shard_bytes=100_000).collect()))
+        shares.append(counts[0].value / counts[1].value)
+    assert shares[0] < 0.8 and shares[1] < 0.3
+
+
 def test_op2_odd(spark, odd_docs, no_docs):
     queries = spark.createDataFrame([(100, "one two three four"), (101, ""), (102, None), (103, "nowhere-found"), (11, "same row"), (None, "one")], "query_id long, text string")
     rows = search.search(odd_docs, queries, 3).collect()
