@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -31,23 +32,50 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is named, as in tests."""
+    """The folder that spark.checkpoint.dir names; without one a local folder, but only where driver and executors are one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "lectern-shared")
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_paths: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    _paths.append(path)
     return path
 
 
+@contextmanager
+def spent(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete at the end the tables that were stored inside, but for those of the frames given to what this yields.
+
+    For steps whose result is stored, and which are not read again otherwise.
+    """
+    before, kept = len(_paths), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(df.inputFiles())
+        return df
+
+    yield keep
+    jvm = spark.sparkContext._jvm
+    for path in _paths[before:]:
+        name = path.rstrip("/").rsplit("/", 1)[-1]
+        if not any(f"/{name}/" in file for file in kept):
+            hadoop = jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _paths.remove(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -60,6 +88,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes that a small side may have to be broadcast; rows of one key from which on it counts as hot, and its least share of all rows.
+BROADCAST_BYTES, HOT_ROWS, HOT_SHARE = 64 << 20, 100_000, 10_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, stored already, with a hint to broadcast it if its size is below ``BROADCAST_BYTES``."""
+    text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.typeName() == "string"]
+    size = df.agg(F.coalesce(F.sum(sum(text, F.lit(16 * len(df.columns))).cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table`` (key, n, more), which says how many of the ``total`` rows each key has; without n.
+
+    Keys with so many rows that one task should not take them are at most ``HOT_SHARE``, so they are
+    broadcast and their rows stay where they are; the others meet in a shuffle.
+    """
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    hot = table.where(F.col("n") > limit)
+    if total <= limit or hot.isEmpty():
+        return rows.join(table.drop("n"), key)
+    found = rows.join(F.broadcast(hot.drop("n")), key)  # at most HOT_SHARE keys
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col("n") <= limit).drop("n"), key)
+    return found.unionByName(rest)
+
+
 def lowest(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """The n rows with the lowest hashes of ``keys``, the same on every run.
 
