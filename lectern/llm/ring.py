@@ -7,9 +7,9 @@ depend on the order of rows. Only DataFrame functions run: hash histograms find
 room ends, and a row's shard is then a comparison with at most rounds x shards numbers.
 
 Defined results: a null text counts as the empty text; rows with a null doc_id are placed like
-any other; a hot text takes the room that is left, shard after shard; rows that are equal in doc_id and text
-stay together; if such rows fit nowhere they stay on their first shard; other columns are
-ignored; an empty table gives an empty table.
+any other; a hot text takes the room that is left, shard after shard; of rows that are equal in doc_id and text
+each is numbered and placed on its own; rows that fit nowhere stay on their first shard; other
+columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import stored, table
+from lectern.llm.common import small_side, stored, table
 from lectern.llm.cuts import BITS, xx_60
 
 SHARDS = 8
@@ -82,6 +82,27 @@ def _ends(items: DataFrame, room: list[int]) -> dict[int, tuple[int, int, int]]:
     return {s: (end, before, n) for s, (end, before, n, _) in found.items()}
 
 
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """Rows of equal ``row_turn``, which are equal in all, each with one of its own.
+
+    A key's rows are counted where they are and numbered from there on: no task gets all rows of
+    a key that repeats, and the one that has no copies, as a rule all rows, is not shuffled.
+    """
+    again = stored(rows.groupBy("row_turn").agg(F.count("*").alias("n")).where("n > 1").select("row_turn"), "repeated")
+    if again.isEmpty():
+        return rows
+    again = small_side(again)
+    copies = stored(rows.join(again, "row_turn", "left_semi").withColumn("task", F.spark_partition_id()), "copies")
+    counts = copies.groupBy("row_turn", "task").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("row_turn").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("row_turn", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    nth = F.row_number().over(Window.partitionBy("row_turn", "task").orderBy("doc_id")) - 1
+    made = copies.withColumn("nth", nth).join(starts, ["row_turn", "task"]).withColumn("copy", F.col("start") + F.col("nth"))
+    own = F.when(F.col("copy") == 0, F.col("row_turn")).otherwise(xx_60(F.lit("copy"), F.col("row_turn"), F.col("copy")))
+    made = made.withColumn("row_turn", own).select(rows.columns)
+    return stored(rows.join(again, "row_turn", "left_anti").select(rows.columns).unionByName(made), "own-turns")
+
+
 def place(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, virtual_nodes: int = VIRTUAL_NODES) -> DataFrame:
     """doc_id, size, text_crc32, first_shard, shard of every row.
 
@@ -103,6 +124,7 @@ def place(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK, virtual_n
         ),
         "sizes",
     )
+    rows = numbered_copies(rows)
     orders = ";".join(",".join(map(str, order)) for order in ring_orders(shards, virtual_nodes))
     ring = spark.range(1).select(F.posexplode(F.split(F.lit(orders), ";")).alias("slot", "order"))
     ring = ring.select("slot", F.split("order", ",").cast("array<int>").alias("shards"))
