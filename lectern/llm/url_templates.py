@@ -2,13 +2,14 @@
 
 Per host the path's segments form a tree. Runs of digits become ``*``; a segment value that has
 little support under its node becomes ``*`` whole; a branch whose share of bad labels does not
-differ from its siblings' by a two-proportion test is merged with them into ``*``. A page's
-template is what remains, with ``**`` for the rest of a path below which no branch can stay any
+differ from its siblings' by a two-proportion test is merged with them into ``*``. Of the branches
+that do differ, those worse than their siblings are compared with one another, and so are the better
+ones: what does not differ there is merged into ``{+}`` or ``{-}``. A page's template is what remains, with ``**`` for the rest of a path below which no branch can stay any
 more; templates whose smoothed share of bad pages reaches a limit are
 blocked. Each level is one aggregation and one join with the few branches that stay.
 
 A page's label is that of the document whose number ends its path; a document is bad if its
-quality is 0 or it is toxic.
+quality is 0 or it is toxic. A number of more than 18 digits is no document's.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, which form a
 template of their own; null and repeated page_ids stay as rows of their own; a document with
@@ -18,12 +19,10 @@ tables give an empty table or no labels.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import stored, table
+from lectern.llm.common import small_side, stored, table
 
 #: (rule, verdict): host, then path; a rule fits its host and all subdomains, the longest wins.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -33,8 +32,11 @@ DEPTH = 4
 REST = "**"
 #: Pages that a branch needs to stay; the test's critical value.
 MIN_PAGES, CRITICAL = 20, 1.96
-#: Part of the node's pages that a branch needs in ``OP8_SQL`` only, which agrees where no branch that differs has less.
-MIN_SHARE = 0.01
+#: Names of merged branches that are worse, and better, than their siblings.
+WORSE, BETTER = "{+}", "{-}"
+#: Levels that ``OP8_SQL`` follows below open nodes; deeper paths are beyond a fixed number of SQL steps.
+SQL_DEPTH = 9
+NUMBER = "(?:^|[^0-9])([0-9]{1,18})[^0-9/]*/?$"
 #: Pages of the overall share that are added to each template; share of bad pages from which it is blocked.
 PRIOR_PAGES, BLOCKED_SHARE = 10, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,6 +69,19 @@ def differs(n_bad: Column, n: Column, all_bad: Column, all_n: Column) -> Column:
     return F.when((n > 0) & (all_n > n) & (all_bad > 0) & (all_bad < all_n), F.abs(z) >= CRITICAL).otherwise(False)
 
 
+def named(branches: DataFrame) -> DataFrame:
+    """template, value, kept: of branches that stay the name that each takes.
+
+    ``branches`` has template, value, n, n_bad and, of the node, all_n and all_bad.
+    """
+    rows = branches.withColumn("side", F.when(F.col("n_bad") * F.col("all_n") > F.col("all_bad") * F.col("n"), WORSE).otherwise(BETTER)).drop("all_n", "all_bad")
+    pools = rows.groupBy("template", "side").agg(F.sum("n").alias("all_n"), F.sum("n_bad").alias("all_bad"))
+    rows = rows.join(pools, ["template", "side"]).withColumn("alike", ~differs(F.col("n_bad"), F.col("n"), F.col("all_bad"), F.col("all_n")))
+    merged = rows.groupBy("template", "side").agg(F.count_if("alike").alias("merged"))
+    name = F.when(F.col("alike") & (F.col("merged") > 1), F.col("side")).otherwise(F.col("value"))
+    return rows.join(merged, ["template", "side"]).select("template", "value", name.alias("kept"))
+
+
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template, bad_share of every page."""
     host, path = parts()
@@ -74,7 +89,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
         F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)).alias("bad")
     )
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn(
-        "doc_id", F.expr(r"try_cast(nullif(regexp_extract(path, '([0-9]{1,18})[^0-9/]*/?$', 1), '') AS bigint)")
+        "doc_id", F.expr(f"try_cast(nullif(regexp_extract(path, '{NUMBER}', 1), '') AS bigint)")
     )
     rows = rows.join(bad, "doc_id", "left").select("page_id", "host", "path", "bad", F.col("host").alias("template"))
     rows = stored(rows, "labelled-pages")
@@ -101,7 +116,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
                 break
             rows = rows.where(goes_on)
         stays = (F.col("pages") >= MIN_PAGES) & differs(F.col("n_bad"), F.col("n"), F.col("all_bad"), F.col("all_n"))
-        kept = branches.join(nodes, "template").where(stays).select("template", "value", F.col("value").alias("kept"))
+        kept = small_side(stored(named(branches.join(nodes, "template").where(stays)), "kept-branches"))
         grown = F.when(F.col("value").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("kept", F.lit("*"))))
         rows = rows.join(kept, ["template", "value"], "left").select("page_id", "host", "path", "bad", grown.alias("template"))
         rows = stored(rows, "templates")
@@ -127,6 +142,10 @@ def _sql() -> str:
     ordered = sorted(RULES, key=lambda r: -len(r[0]))
     rule = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{t}'" for t, _ in ordered) + " END"
     said = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{v}'" for t, v in ordered) + " END"
+    differs = (
+        "CASE WHEN n > 0 AND all_n > n AND all_bad > 0 AND all_bad < all_n THEN abs((n_bad::DOUBLE / n - (all_bad - n_bad)::DOUBLE / (all_n - n)) / "
+        f"sqrt((all_bad::DOUBLE / all_n) * (1 - all_bad::DOUBLE / all_n) * (1::DOUBLE / n + 1::DOUBLE / (all_n - n)))) >= {CRITICAL}::DOUBLE ELSE false END"
+    )
     steps = rf"""
 WITH bads AS (
   SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END) AS bad
@@ -136,34 +155,39 @@ cut AS (
 parted AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 rows0 AS (
-  SELECT page_id, host, path, bad, host AS template FROM parted
-  LEFT JOIN bads ON bads.doc_id = try_cast(nullif(regexp_extract(path, '([0-9]{{1,18}})[^0-9/]*/?$', 1), '') AS BIGINT))"""
-    for k in range(DEPTH):
+  SELECT page_id, host, path, bad, host AS template, false AS ended FROM parted
+  LEFT JOIN bads ON bads.doc_id = try_cast(nullif(regexp_extract(path, '{NUMBER}', 1), '') AS BIGINT))"""
+    for k in range(SQL_DEPTH):
+        # Below DEPTH a path ends where it has no further segment, or at a node where no branch can stay.
+        open_ = f"all_pages >= {MIN_PAGES} AND all_bad > 0 AND all_bad < all_n" if k >= DEPTH else "true"
+        stops = f"o.template IS NULL OR {str(k == SQL_DEPTH - 1).lower()}" if k >= DEPTH else "false"
         steps += f""",
 values{k} AS (
-  SELECT *, CASE WHEN path <> '' THEN string_split(regexp_replace(path[2:], '[0-9]+', '*', 'g'), '/')[{k + 1}] END AS value FROM rows{k}),
+  SELECT *, CASE WHEN NOT ended AND path <> '' THEN string_split(regexp_replace(path[2:], '[0-9]+', '*', 'g'), '/')[{k + 1}] END AS value FROM rows{k}),
 branches{k} AS (
   SELECT template, value, count(*) AS pages, count(bad) AS n, coalesce(sum(bad), 0) AS n_bad FROM values{k} WHERE value IS NOT NULL GROUP BY template, value),
 nodes{k} AS (
-  SELECT *, sum(pages) OVER (PARTITION BY template) AS all_pages, sum(n) OVER (PARTITION BY template) AS all_n, sum(n_bad) OVER (PARTITION BY template) AS all_bad FROM branches{k}),
+  SELECT * FROM (SELECT template, sum(pages) AS all_pages, sum(n) AS all_n, sum(n_bad) AS all_bad FROM branches{k} GROUP BY template) WHERE {open_}),
+stay{k} AS (
+  SELECT b.*, CASE WHEN n_bad * all_n > all_bad * n THEN '{WORSE}' ELSE '{BETTER}' END AS side FROM branches{k} b JOIN nodes{k} USING (template) WHERE pages >= {MIN_PAGES} AND {differs}),
+alike{k} AS (
+  SELECT *, NOT ({differs}) AS alike FROM (
+    SELECT *, sum(n) OVER (PARTITION BY template, side) AS all_n, sum(n_bad) OVER (PARTITION BY template, side) AS all_bad FROM stay{k})),
 kept{k} AS (
-  SELECT template, value FROM nodes{k}
-  WHERE pages >= {MIN_PAGES} AND pages >= {MIN_SHARE}::DOUBLE * all_pages AND
-    CASE WHEN n > 0 AND all_n > n AND all_bad > 0 AND all_bad < all_n THEN
-      abs((n_bad::DOUBLE / n - (all_bad - n_bad)::DOUBLE / (all_n - n)) / sqrt((all_bad::DOUBLE / all_n) * (1 - all_bad::DOUBLE / all_n) * (1::DOUBLE / n + 1::DOUBLE / (all_n - n)))) >= {CRITICAL}::DOUBLE
-    ELSE false END),
+  SELECT template, value, CASE WHEN alike AND count(*) FILTER (alike) OVER (PARTITION BY template, side) > 1 THEN side ELSE value END AS kept FROM alike{k}),
 rows{k + 1} AS (
-  SELECT page_id, host, path, bad, CASE WHEN v.value IS NULL THEN v.template ELSE v.template || '/' || coalesce(k.value, '*') END AS template
-  FROM values{k} v LEFT JOIN kept{k} k ON v.template = k.template AND v.value = k.value)"""
+  SELECT page_id, host, path, bad, v.ended OR {'v.value IS NULL OR ' + stops if k >= DEPTH else 'false'} AS ended,
+         CASE WHEN v.value IS NULL THEN v.template WHEN {stops} THEN v.template || '/{REST}' ELSE v.template || '/' || coalesce(k.kept, '*') END AS template
+  FROM values{k} v LEFT JOIN nodes{k} o ON v.template = o.template LEFT JOIN kept{k} k ON v.template = k.template AND v.value = k.value)"""
     return (
         steps
         + f""",
-purity AS (SELECT template, count(bad) AS n, coalesce(sum(bad), 0) AS n_bad FROM rows{DEPTH} GROUP BY template),
+purity AS (SELECT template, count(bad) AS n, coalesce(sum(bad), 0) AS n_bad FROM rows{SQL_DEPTH} GROUP BY template),
 shares AS (
   SELECT template, (n_bad + {PRIOR_PAGES} * (SELECT coalesce(sum(n_bad)::DOUBLE / sum(n), 0) FROM purity)) / (n + {PRIOR_PAGES}) AS bad_share FROM purity)
 SELECT page_id, host, path, {rule} AS rule, coalesce({said}, CASE WHEN bad_share >= {BLOCKED_SHARE}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
        template, round(bad_share, 6) AS bad_share
-FROM rows{DEPTH} JOIN shares USING (template)
+FROM rows{SQL_DEPTH} JOIN shares USING (template)
 """
     )
 
