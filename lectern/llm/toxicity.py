@@ -11,7 +11,7 @@ anew, and is fitted again. The machine's sum over landmarks collapses into one w
 subsequence, so scoring a word needs no kernel with any landmark. A text's score is the
 calibrated margin of its two most toxic words; its words include runs of single letters put together.
 
-The fit reads at most ``SAMPLE_TOXIC`` toxic and ``SAMPLE_CLEAN`` other labelled documents, those
+The fit, on the driver, works on at most ``FREQUENT`` + ``OTHERS`` + ``HARDEST`` clean words besides the toxic texts' words, and reads at most ``SAMPLE_TOXIC`` toxic and ``SAMPLE_CLEAN`` other labelled documents, those
 whose hashes are lowest, never one whose crc32(doc_id as text) mod 5 is 0; scoring reads every
 whole text.
 
@@ -41,6 +41,9 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000
 #: Characters of a subsequence, characters over which it may spread, weight of each character that it spreads over.
 LENGTH, SPREAD, DECAY = 3, 5, 0.6
 LANDMARKS, ROUNDS = 160, 4
+#: Words of the clean texts that the machine is fitted against: the most frequent, others by hash, and in each
+#: round those most like the toxic texts' words; texts up to which a clean word counts once for each.
+FREQUENT, OTHERS, HARDEST, MOST = 2000, 4000, 1500, 50
 #: Margins count from and up to these.
 FLOOR, CEILING = -0.5, 1.0
 #: Characters of the overlapping parts that a longer word is looked at in, when fitting as when scoring.
@@ -202,15 +205,16 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 50.0) -
     return w[:-1], float(w[-1])
 
 
-def fit(rows: list[tuple[str | None, int]]) -> Machine:
-    """Fit on (text, toxic) rows."""
+def fit(rows: list[tuple[str | dict[str, int] | None, int]]) -> Machine:
+    """Fit on (text or its words with their counts, toxic) rows."""
+    rows = [(words if isinstance(words, dict) else words_of(words), label) for words, label in rows]
     toxic = np.array([int(t) for _, t in rows], dtype=np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
         return Machine({}, -1.0, (0.0, 0.0, -50.0))
     texts = []
-    for text, _ in rows:
+    for counts, _ in rows:
         words: Counter = Counter()
-        for w, n in words_of(text).items():
+        for w, n in counts.items():
             if len(w := normal(w)) >= LENGTH:
                 for part in parts(w):
                     words[part] += n
@@ -219,8 +223,8 @@ def fit(rows: list[tuple[str | None, int]]) -> Machine:
     good = [words for words, label in zip(texts, toxic) if not label]
     chosen = _telling(texts, toxic)
     common = Counter(w for words in good for w in words)
-    background = [w for w, _ in sorted(common.items(), key=lambda c: (-c[1], c[0]))[:2000]]
-    rare = sorted(common, key=lambda w: (zlib.crc32(w.encode()), w))[:4000]
+    background = [w for w, _ in sorted(common.items(), key=lambda c: (-c[1], c[0]))[:FREQUENT]]
+    rare = sorted(common, key=lambda w: (zlib.crc32(w.encode()), w))[:OTHERS]
     harder: list[str] = []
     machine = Machine({}, -1.0, (0.0, 0.0, -50.0))
     for _ in range(ROUNDS):
@@ -237,7 +241,7 @@ def fit(rows: list[tuple[str | None, int]]) -> Machine:
         x = _features(positives + negatives, columns) @ marks.T @ nystrom
         y = np.r_[np.ones(len(positives)), -np.ones(len(negatives))]
         # A word weighs as the texts that it stands for, or, if clean texts have it, as these.
-        mass = np.r_[[counts[w] for w in positives], [min(common[w], 50) for w in negatives]].astype(float)
+        mass = np.r_[[counts[w] for w in positives], [min(common[w], MOST) for w in negatives]].astype(float)
         mass[len(positives) :] *= 2 * mass[: len(positives)].sum() / max(1.0, mass[len(positives) :].sum())
         mass /= mass[: len(positives)].mean()
         w, offset = _svm(x, y, mass)
@@ -246,12 +250,12 @@ def fit(rows: list[tuple[str | None, int]]) -> Machine:
         margins = Memo(machine.margin, 2_000_000)
         chosen = [w for words in bad for w in _highest(words, margins)]
         top = {max(sorted(words), key=margins.__getitem__) for words in good if words}
-        harder = sorted(top, key=lambda w: (-margins[w], w))[:1500]
+        harder = sorted(top, key=lambda w: (-margins[w], w))[:HARDEST]
     if not machine.weights:
         return machine
     # As scoring sees them: whole words, each with the margin of its most toxic part.
     known = Memo(lambda word: machine.margin(normal(word)), 400_000)
-    tops = np.array([top_two(words_of(text), known) for text, _ in rows])
+    tops = np.array([top_two(counts, known) for counts, _ in rows])
     return Machine(machine.weights, offset, _curve(tops, toxic))
 
 
@@ -271,14 +275,27 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN) -> list[tuple[str | None, int]]:
-    """The bounded sample of labelled documents that the machine is fitted on."""
+def sample(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN) -> list[tuple[dict[str, int], int]]:
+    """The bounded sample of labelled documents that the machine is fitted on: their words, counted where the texts are.
+
+    Of several rows with one doc_id, the one whose text has the lowest hash stands for all.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")))
     ids = lowest(known.where("toxic = 1"), n_toxic, "doc_id").union(lowest(known.where("toxic <> 1"), n_clean, "doc_id"))
     chosen = F.broadcast(ids.select("doc_id", "toxic"))  # at most n_toxic + n_clean rows
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic").collect()
-    return [(r["text"], int(r["toxic"] == 1)) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))]
+    one = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("row"))
+
+    def make():
+        def rows(batch):
+            for doc_id, text, toxic in batch:
+                counts = words_of(text)
+                yield doc_id, list(counts), list(counts.values()), toxic
+
+        return rows
+
+    found = map_rows(one.select("doc_id", "row.text", "row.toxic"), "doc_id long, words array<string>, counts array<long>, toxic long", make)
+    return [(dict(zip(r["words"], r["counts"])), int(r["toxic"] == 1)) for r in sorted(found.collect(), key=lambda r: r["doc_id"])]
 
 
 def scorer(docs: DataFrame, labels: DataFrame):
