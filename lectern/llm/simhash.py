@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_rows, one_per_worker, stored, table
+from lectern.llm.common import join_counted, map_rows, one_per_worker, stored, table
 
 SHINGLE = 3
 SEED = 42
@@ -96,19 +96,19 @@ def components(pairs: DataFrame) -> DataFrame:
     one join, and each round is written to the shared folder.
     """
     edges = stored(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
-    mark = None
+    mark, n_edges = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = stored(both.groupBy("u").agg(F.count("*").alias("n"), F.least(F.min("v"), F.col("u")).alias("m")), "least-neighbours")
+        large = join_counted(both, least, "u", 2 * n_edges).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         large = stored(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))  # after large steps a node has few smaller neighbours
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == mark:
             break
-        mark = now
+        mark, n_edges = now, now[0]
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
@@ -116,15 +116,16 @@ def components(pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row."""
     rows = stored(fingerprints(docs, shingle), "fingerprints")
-    prints = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    prints = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = stored(components(links(prints.select("fingerprint"), distance)), "roots")
     # Per distinct fingerprint the component; only linked fingerprints, a small part, meet again.
     linked = prints.join(roots, prints.fingerprint == roots.node).select("fingerprint", "root", "first")
     smallest = linked.groupBy("root").agg(F.min("first").alias("smallest"))
     moved = stored(linked.join(smallest, "root").select("fingerprint", "smallest"), "moved")
-    ids = prints.join(moved, "fingerprint", "left").select("fingerprint", F.coalesce("smallest", "first").alias("component_id"))
+    ids = prints.join(moved, "fingerprint", "left").select("fingerprint", "n", F.coalesce("smallest", "first").alias("component_id"))
     ids = stored(ids, "component-ids")
-    return rows.join(ids, "fingerprint").select(
+    total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_counted(rows, ids, "fingerprint", total).select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
 
