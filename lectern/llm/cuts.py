@@ -15,6 +15,8 @@ from lectern.llm.common import stored
 
 #: Bits of a hash, and of one level of buckets.
 BITS, STEP = 60, 15
+#: Bits of the buckets whose prefix sums are made together.
+INNER = 7
 
 
 def md5_60(text: Column) -> Column:
@@ -42,9 +44,15 @@ def budget_ends(items: DataFrame, budgets: DataFrame) -> DataFrame:
         sums = inside.groupBy("grp", F.shiftright("h", shift).alias("bucket")).agg(
             F.sum("size").alias("size"), F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")
         )
-        earlier = Window.partitionBy("grp").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        # Prefix sums in two levels: within 2 ** INNER neighbouring buckets, and over these groups.
+        sums = sums.withColumn("part", F.shiftright("bucket", INNER))
+        before = lambda window, column: F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parts = sums.groupBy("grp", "part").agg(F.sum("size").alias("size"))
+        parts = parts.select("grp", "part", before(Window.partitionBy("grp").orderBy("part"), "size").alias("outer"))
         last = (
-            sums.withColumn("run", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+            sums.withColumn("inner", before(Window.partitionBy("grp", "part").orderBy("bucket"), "size"))
+            .join(parts, ["grp", "part"])
+            .withColumn("run", F.col("outer") + F.col("inner"))
             .join(found.select("grp", "budget", "before"), "grp")
             .withColumn("before", F.col("before") + F.col("run"))
             .where("before <= budget")

@@ -23,27 +23,39 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 
 
+def in_order(sizes: DataFrame) -> DataFrame:
+    """Add ``nth``, from 0, by source in the order of code points, null last: numbers within ranges, and a start for each range."""
+    spark, order = sizes.sparkSession, F.col("source").asc_nulls_last()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(sizes.repartitionByRange(tasks, order).withColumn("part", F.spark_partition_id()), "sources")
+    counts = rows.groupBy("part").agg(F.count("*").alias("n"))  # one row per task
+    starts = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return rows.withColumn("nth", nth).join(F.broadcast(starts), "part").withColumn("nth", F.col("start") + F.col("nth")).drop("part", "start")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """Add ``target`` to one row per source with ``source`` and ``source_size``.
 
-    In the order of cap per weight the sources stop at their caps until one stays below what the
-    rest of the words gives it; that share holds for it and all behind it. The table has one row
-    per source, so its windows are small.
+    Sources whose share of the words is above their cap stop there, and the rest is shared anew by
+    the others' weights, which raises the share, until no further source is above. Each step is one
+    aggregation, so sources may be many; there are as many steps as times that the share rises.
     """
-    place = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    rows = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), place + 1).cast("long")).withColumn("cap", F.col("source_size") * max_repeats)
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    rows = (
-        rows.withColumn("left_size", F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("left_weight", F.sum("weight").over(behind))
-        .withColumn("capped", F.col("cap") * F.col("left_weight") <= F.col("left_size") * F.col("weight"))
-        .withColumn("nth", F.row_number().over(order))
-    )
-    share = F.min_by(F.when(~F.col("capped"), F.col("left_size") / F.col("left_weight")), F.when(~F.col("capped"), F.col("nth"))).over(Window.partitionBy())
-    return rows.withColumn("share", share).select(
-        "source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("share") * F.col("weight")).alias("target")
-    )
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int")).cast("long")
+    rows = stored(in_order(sizes).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * max_repeats).alias("cap")), "caps")
+    number = lambda column: F.coalesce(column, F.lit(0)).cast("long")
+    total, all_weight = rows.agg(number(F.sum("source_size")), number(F.sum("weight"))).first()
+    left_size, left_weight = total, all_weight
+    exact = lambda column: F.lit(column).cast("decimal(19,0)")
+    while left_weight:
+        capped = F.col("cap").cast("decimal(19,0)") * exact(left_weight) <= F.col("weight").cast("decimal(19,0)") * exact(left_size)
+        stopped, open_weight = rows.agg(number(F.sum(F.when(capped, F.col("cap")))), number(F.sum(F.when(~capped, F.col("weight"))))).first()
+        if (total - stopped, open_weight) == (left_size, left_weight):
+            break
+        left_size, left_weight = total - stopped, open_weight
+    if not left_weight:
+        return rows.select("source", "source_size", F.col("cap").cast("double").alias("target"))
+    return rows.select("source", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(F.lit(left_size / left_weight) * F.col("weight")).alias("target"))
 
 
 def source_key(source: Column) -> Column:
