@@ -8,8 +8,11 @@ without its neighbours. Spark writes the segments as rows of a Parquet table, in
 doc_id order, so a lost executor's segments are written again and none is left half-written;
 the dictionary is a table of one row beside them.
 
+A sample too small to train on is the dictionary itself, as raw content.
+
 Defined results: a null text is the empty text and has the end id only; null doc_ids come first;
-rows that share a doc_id are ordered by their text; other columns are ignored; an empty table
+rows that share a doc_id are ordered by a hash of their text, then by the text; so any number of
+rows with one doc_id is dealt to many tasks; other columns are ignored; an empty table
 gives files without documents.
 """
 
@@ -91,7 +94,7 @@ def word_ids(path: str | None = None) -> WordIds:
 
 
 def train(docs: DataFrame, path: str | None = None) -> bytes:
-    """The dictionary, from the documents whose ids' hashes are lowest; empty if they are too few to train on."""
+    """The dictionary, from the documents whose ids' hashes are lowest; raw ids if they are too few to train on, empty without any."""
     sample = lowest(docs.select("doc_id", "text"), SAMPLE_DOCUMENTS, "doc_id", "text")
 
     def make():
@@ -100,7 +103,7 @@ def train(docs: DataFrame, path: str | None = None) -> bytes:
 
     samples = [bytes(r[0]) for r in map_rows(sample, "ids binary", make).collect()]
     if sum(map(len, samples)) < 20 * DICTIONARY_BYTES // 8 or len(samples) < 50:
-        return b""
+        return b"".join(samples)[:DICTIONARY_BYTES]
     return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
 
 
@@ -150,7 +153,10 @@ def write(docs: DataFrame, folder: str, partitions: int = 1, path: str | None =
     target = to_arrow_schema(_parse_datatype_string(SEGMENTS))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(partitions, -(-size // PARTITION_BYTES))
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("nth"))
+    first = F.col("doc_id").asc_nulls_first()
+    # By the hash, rows of one doc_id are split between tasks, and by their places, rows that are equal in all.
+    ordered = rows.repartitionByRange(partitions, first, "hash", "nth").sortWithinPartitions(first, "hash", "text").select("doc_id", "text")
     ordered.mapInArrow(segments, SEGMENTS).write.option("compression", "none").parquet(f"{folder}/segments")
 
 
