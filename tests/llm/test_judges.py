@@ -80,10 +80,7 @@ def test_repeat_words_with_many_kinds():
     assert fertility.repeat_words(ids) == 6
 
 
-def test_op8_sql():
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
+def test_op8_sql(spark):
     connection = duckdb.connect()
     for name in ("pages", "labels"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.01/{name}.parquet'")
@@ -145,6 +142,84 @@ def test_op8_deep_branch(spark):
     assert {found[i].template for i in range(400)} == {"h.net/*/*/*/*/*/spam/**", "h.net/*/*/*/*/*/news/**"}
 
 
+def same_as_sql(pages, labels):
+    connection = duckdb.connect()
+    connection.register("pages", pages.toPandas())
+    connection.register("labels", labels.toPandas())
+    columns = ["page_id", "host", "path", "rule", "verdict", "template", "bad_share"]
+    expected = Counter(connection.execute(f"SELECT {', '.join(columns)} FROM ({url_templates.OP8_SQL})").fetchall())
+    rows = url_templates.judge(pages, labels).select(columns).collect()
+    assert Counter(map(tuple, rows)) == expected
+    return rows
+
+
+def test_op8_sql_on_planted_branches(spark):
+    """Bad, good and mixed directories at several depths, where templates do differ, against the SQL."""
+    draw = random.Random(11)
+    shares = {"spam": 0.95, "junk": 0.9, "ads": 0.5, "news": 0.02, "blog": 0.04, "shop": 0.3}
+    rows, labels = [], []
+    for i in range(4000):
+        kinds = draw.choices(list(shares), k=2)
+        deep = "/".join(draw.choice(["a", "b"]) for _ in range(draw.choice([0, 0, 1, 3, 4])))
+        rows.append((i, f"http://{draw.choice(['h', 'g'])}.net/{kinds[0]}/{deep + '/' if deep else ''}{kinds[1] if draw.random() < 0.3 else draw.randrange(99)}/{i}"))
+        labels.append((i, int(draw.random() >= shares[kinds[0]]), 0))
+    found = same_as_sql(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert len({r.template for r in found}) > 12 and {r.verdict for r in found} == {"block", "allow"}
+
+
+def test_op8_merges_like_branches(spark):
+    """Bad directories that do not differ from one another become one branch; so do good ones; one that differs from both stays."""
+    names = {"spam": 1.0, "junk": 1.0, "ads": 0.55, "news": 0.0, "blog": 0.0}
+    rows = [(i, f"http://h.net/{list(names)[i % 5]}/{i}") for i in range(2000)]
+    labels = [(i, int((i // 5 % 20) / 20 >= list(names.values())[i % 5]), 0) for i in range(2000)]
+    found = same_as_sql(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    by_name = {n: {r.template for r in found if r.path.startswith(f"/{n}/")} for n in names}
+    assert by_name["spam"] == by_name["junk"] == {"h.net/{+}/*"} and by_name["news"] == by_name["blog"] == {"h.net/{-}/*"}
+    assert by_name["ads"] not in (by_name["spam"], by_name["news"])
+
+
+def test_op8_long_numbers(spark):
+    """A number of more than 18 digits names no document, not the one of its last 18 digits."""
+    rows = [(1, "http://h.net/a/9000000000000000007"), (2, "http://h.net/a/7"), (3, "http://h.net/a/x000000000000000007z/")]
+    labels = spark.createDataFrame([(7, 0, 0), (0, 0, 0)], "doc_id long, quality int, toxic int")
+    found = {r.page_id: r for r in same_as_sql(spark.createDataFrame(rows, "page_id long, url string"), labels)}
+    assert found[1].bad_share == round((2 + 10) / (2 + 10), 6)
+    assert len(found) == 3
+
+
+def test_op9_newton_steps_reach_the_optimum():
+    """The squared-hinge machine and the curve stop where no weight can be changed for the better."""
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    x, weight = draw.normal(size=(200, 6)), draw.uniform(0.2, 2, 200)
+    y = np.sign(x[:, 0] + 0.5 * draw.normal(size=200))
+    w, b = toxicity._svm(x, y, weight, 3.0)
+    lost = lambda v: (v[:-1] @ v[:-1] + 1e-3 * v[-1] ** 2) / 2 + 1.5 * (weight * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1])) ** 2).sum()
+    best = np.r_[w, b]
+    assert all(lost(best) <= lost(best + step) + 1e-9 for step in draw.normal(size=(300, 7)) * 0.01)
+
+
+def test_op9_nystrom_features_are_the_kernel():
+    """Inner products of the landmarks' own features give their kernel back, and weights collapse to the same margins."""
+    import numpy as np
+
+    words = ["idiot", "moron", "scum", "river", "stone"]
+    columns = {k: i for i, k in enumerate(sorted({k for w in words for k in toxicity.subsequences(w)}))}
+    marks = toxicity._features(words, columns)
+    values, vectors = np.linalg.eigh(marks @ marks.T)
+    made = marks @ marks.T @ (vectors / np.sqrt(values))
+    assert np.allclose(made @ made.T, [[toxicity.kernel(a, b) for b in words] for a in words])
+
+
+def test_op9_sample_takes_one_row_of_a_doc_id(spark):
+    docs = spark.createDataFrame([(i % 40, f"text number {i} of many") for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(40)], "doc_id long, toxic int")
+    rows = toxicity.sample(docs, labels, 10, 12)
+    assert len(rows) == 22 and sum(t for _, t in rows) == 10 and all(isinstance(w, dict) and w["text"] == 1 for w, _ in rows)
+    assert rows == toxicity.sample(docs.repartition(7), labels, 10, 12)
+
+
 def test_kernel_by_enumeration():
     """Against all subsequences of three characters, each by its spread."""
     from itertools import combinations

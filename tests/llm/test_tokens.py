@@ -140,3 +140,27 @@ def test_op5_odd(spark, odd_docs, no_docs, tmp_path):
     assert rows[2].n_tokens == rows[3].n_tokens == 1
     token_files.write(no_docs, f"file://{tmp_path}/none", 2)
     assert token_files.digests(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_op5_one_doc_id_over_many_tasks(spark, tmp_path):
+    """Rows that share a doc_id, or are equal in all, are dealt to several files, and starts still follow one another."""
+    rows = [(None, f"nameless text number {i}") for i in range(300)] + [(5, "the same row again")] * 300 + [(6, "after them")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = f"file://{tmp_path}/hot"
+    token_files.write(docs, path, 8)
+    found = sorted(token_files.digests(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [None] * 300 + [5] * 300 + [6]
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(found, found[1:]))
+    assert spark.read.parquet(f"{path}/segments").select("partition").distinct().count() >= 5
+    assert len(token_files.read_one(spark, path, 5)) == 300
+
+
+def test_op5_small_sample(spark, tmp_path):
+    """Too few documents to train on still share a dictionary: their ids, as they are."""
+    docs = spark.createDataFrame([(i, "a few words that come again " * 5 + str(i)) for i in range(20)], "doc_id long, text string")
+    path = f"file://{tmp_path}/few"
+    token_files.write(docs, path)
+    raw = bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"])
+    assert 0 < len(raw) <= token_files.DICTIONARY_BYTES
+    (one,) = token_files.read_one(spark, path, 3)
+    assert one.tolist()[:-1] == TOKENIZER.encode("a few words that come again " * 5 + "3", add_special_tokens=False).ids
