@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import byte_bpe, fertility, mixing, simhash, toxicity
-from lectern.llm.common import stored, table
+from lectern.llm.common import spent, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{number}")
-    return docs
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        with spent(spark) as keep:  # what a stage wrote on the way goes once its result is stored
+            docs = keep(stored(stage(spark, docs, sf_dir), f"stage-{number}"))
+    return STAGES[-1][1](spark, docs, sf_dir)
