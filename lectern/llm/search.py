@@ -42,13 +42,15 @@ from lectern.llm.common import map_rows, ship, stored, table
 K1, B = 1.2, 0.75
 TOP = 10
 #: Bytes of text in a shard, of queries in a block, documents in a block of postings.
-SHARD_BYTES, QUERY_BYTES, BLOCK = 16 << 20, 16 << 20, 8
+SHARD_BYTES, QUERY_BYTES, BLOCK = 16 << 20, 16 << 20, 4
 #: The pivot: a word that at least one document in so many of a shard has is looked up for documents that pass only.
 FREQUENT = 12
 #: Tasks that search, for each core of the cluster; shards that a task reads at most, about.
 TASKS_PER_CORE, SHARDS_PER_TASK = 3, 8
 #: Rounding of scores; bounds are compared with this slack.
 DECIMALS, EPSILON = 6, 1e-5
+#: Bounds of the frequent words are sums of short floats, and raised by more than these can be off.
+ABOVE = 1 + 1e-4
 NO_ID = -(1 << 63)
 
 INDEX = "shard string, n_docs long, n_words long, doc_ids binary, lengths binary, terms binary, starts binary, docs binary, tfs binary"
@@ -134,13 +136,13 @@ def _ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
 class Best:
     """The k best hits of a query so far; ``least`` is the score that a document must reach.
 
-    ``scored`` of ``asked`` postings were read to find them.
+    ``scored`` of ``asked`` postings were read to find them; the frequent words' ones count where ``counting`` is wanted.
     """
 
-    __slots__ = ("ids", "scores", "least", "scored", "asked")
+    __slots__ = ("ids", "scores", "least", "scored", "asked", "counting")
 
-    def __init__(self):
-        self.ids, self.scores, self.least, self.scored, self.asked = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 0
+    def __init__(self, counting: bool = False):
+        self.ids, self.scores, self.least, self.scored, self.asked, self.counting = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 0, counting
 
     def add(self, ids: np.ndarray, scores: np.ndarray, k: int) -> None:
         ids, scores = np.r_[self.ids, ids], np.r_[self.scores, scores]
@@ -179,7 +181,7 @@ class Shard:
         self.rows[number[asked[frequent]]] = np.arange(frequent.sum())
         self.by_doc = np.zeros((n_docs, int(frequent.sum())))
         self.by_doc[docs[inside], np.repeat(np.arange(self.by_doc.shape[1]), sizes[frequent])] = impact[inside]
-        self.row_most = np.maximum.reduceat(self.by_doc, np.arange(0, n_docs, BLOCK), axis=0)
+        self.row_most = np.maximum.reduceat(self.by_doc, np.arange(0, n_docs, BLOCK), axis=0).T.astype(np.float32)
 
         self.docs, self.impact = docs[~inside], impact[~inside]
         asked, sizes = asked[~frequent], sizes[~frequent]
@@ -195,49 +197,58 @@ class Shard:
 
     def improve(self, best: list[Best], queries: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> None:
         """Put the shard's documents among the best so far of each query."""
-        for found, (query_id, words, times) in zip(best, queries):
-            self._improve(found, query_id, words, times, k)
-
-    def _improve(self, best: Best, query_id: int, words: np.ndarray, times: np.ndarray, k: int) -> None:
+        for start in range(0, len(queries), 64):
+            part = queries[start : start + 64]
+            weights = np.zeros((len(part), self.by_doc.shape[1]))
+            for i, (_, words, times) in enumerate(part):
+                rows = self.rows[words]
+                weights[i, rows[rows >= 0]] = times[rows >= 0]
+            row_bounds = (weights.astype(np.float32) @ self.row_most).astype(float) * ABOVE
+            for found, (query_id, words, times), bounds, weight in zip(best[start : start + 64], part, row_bounds, weights):
+                self._improve(found, query_id, words, times, bounds, weight, k)
+
+    def _improve(self, best: Best, query_id: int, words: np.ndarray, times: np.ndarray, row_bounds: np.ndarray, weights: np.ndarray, k: int) -> None:
         best.asked += int(self.sizes[words].sum())
-        rows, slots = self.rows[words], self.slots[words]
-        frequent, weights = rows[rows >= 0], times[rows >= 0]
+        slots = self.slots[words]
         slots, times = slots[slots >= 0], times[slots >= 0]
         starts, stops = self.entries[slots], self.entries[slots + 1]
         entries, weight = _ranges(starts, stops), np.repeat(times, stops - starts)
         where = self.block[entries]
-        row_bounds = self.row_most[:, frequent] @ weights
         bounds = row_bounds + np.bincount(where, weights=self.most[entries] * weight, minlength=self.n_blocks)
-        order = np.argsort(-bounds, kind="stable")
-        at, step = 0, 2
-        while at < len(order) and bounds[order[at]] > 0 and bounds[order[at]] >= best.least - EPSILON:
-            chosen = np.zeros(self.n_blocks, dtype=bool)
-            chosen[(part := order[at : at + step])[bounds[part] >= best.least - EPSILON]] = True
-            inside = chosen[where]
-            first, stop = self.first[entries[inside]], self.stop[entries[inside]]
-            postings = _ranges(first, stop)
-            best.scored += len(postings)
-            score = np.bincount(self.docs[postings], weights=self.impact[postings] * np.repeat(weight[inside], stop - first), minlength=self.n_docs)
-            self._look_up(best, query_id, chosen, score, row_bounds, frequent, weights, k)
-            at, step = at + step, 2 * step
-
-    def _look_up(self, best: Best, query_id: int, chosen: np.ndarray, score: np.ndarray, row_bounds: np.ndarray, frequent: np.ndarray, weights: np.ndarray, k: int) -> None:
-        """Complete the scores of the chosen blocks' documents that may still be among the best, the likeliest first."""
-        limit = np.where(chosen[self.block_of], score + row_bounds[self.block_of], 0.0)
+        waiting = bounds > 0
+        if len(best.scores) < k:  # the likeliest blocks alone first, for a score to beat
+            few = min(self.n_blocks, -(-8 * k // BLOCK))
+            first = np.zeros(self.n_blocks, dtype=bool)
+            first[np.argpartition(-bounds, few - 1)[:few]] = True
+            self._score(best, query_id, first & waiting, entries, where, weight, row_bounds, weights, k)
+            waiting &= ~first
+        waiting &= bounds >= best.least - EPSILON
+        if waiting.any():
+            self._score(best, query_id, waiting, entries, where, weight, row_bounds, weights, k)
+
+    def _score(self, best: Best, query_id: int, chosen: np.ndarray, entries: np.ndarray, where: np.ndarray, weight: np.ndarray, row_bounds: np.ndarray, weights: np.ndarray, k: int) -> None:
+        """Score the chosen blocks' documents: by the words before the pivot first, whole where they may still be among the best."""
+        inside = chosen[where]
+        first, stop = self.first[entries[inside]], self.stop[entries[inside]]
+        postings = _ranges(first, stop)
+        best.scored += len(postings)
+        score = np.bincount(self.docs[postings], weights=self.impact[postings] * np.repeat(weight[inside], stop - first), minlength=self.n_docs)
+        limit = score + np.where(chosen, row_bounds, -np.inf)[self.block_of]
         left = np.nonzero((limit > 0) & (limit >= best.least - EPSILON))[0]
-        left = left[np.argsort(-limit[left], kind="stable")]
-        at, step = 0, 4 * k
-        while at < len(left):
-            some = left[at : at + step]
-            some = some[limit[some] >= best.least - EPSILON]
-            if not len(some):
-                break
-            found = self.by_doc[np.ix_(some, frequent)]
-            best.scored += int(np.count_nonzero(found))
+        step = 4 * k
+        while len(left):  # the likeliest first: what they score spares others
+            some = left
+            if len(left) > step:
+                likely = np.argpartition(-limit[left], step)
+                some, left = left[likely[:step]], left[likely[step:]]
+            else:
+                left = left[:0]
+            found = self.by_doc[some]
+            best.scored += int(np.count_nonzero(found[:, weights > 0])) if best.counting else 0
             whole = score[some] + found @ weights
             good = (whole > max(0.0, best.least - EPSILON)) & (self.ids[some] != query_id)
             best.add(self.ids[some[good]], np.round(whole[good], DECIMALS), k)
-            at, step = at + step, 2 * step
+            left, step = left[limit[left] >= best.least - EPSILON], 4 * step
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_bytes: int = SHARD_BYTES, query_bytes: int = QUERY_BYTES, counts: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
@@ -285,7 +296,7 @@ def _search_block(spark: SparkSession, index: DataFrame, block: QueryBlock, n_do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         own.idf = idf.value
-        best = [Best() for _ in own.queries]
+        best = [Best(counters is not None) for _ in own.queries]
         for batch in batches:
             for at in range(batch.num_rows):
                 row = tuple(c[at].as_py() for c in batch.columns)
