@@ -157,20 +157,29 @@ def top_two(words: dict[str, int], margins) -> tuple[float, float]:
     return min(first, CEILING), min(second, CEILING)
 
 
-def _telling(texts: list[Counter], toxic: np.ndarray) -> list[str]:
+def _telling(texts: list[list[str]], toxic: np.ndarray) -> list[str]:
     """The words of the toxic texts whose best five letters occur in toxic texts above all."""
-    found = [Counter(), Counter()]
+    bad: Counter = Counter()
     for words, label in zip(texts, toxic):
-        found[label].update({g for w in words for g in _grams(w)})
+        if label:
+            bad.update({g for w in words for g in _grams(w)})
+    good = dict.fromkeys(bad, 0)  # no others are asked for
+    for words, label in zip(texts, toxic):
+        if not label:
+            for g in {g for w in words for g in _grams(w)}:
+                if g in good:
+                    good[g] += 1
     n0, n1 = max(1, int((toxic == 0).sum())), max(1, int((toxic == 1).sum()))
-    odds = {g: math.log((c + 0.5) / n1) - math.log((found[0][g] + 0.5) / n0) for g, c in found[1].items()}
-    # Rare ones are likely by chance: odds count by the texts that show them.
-    worth = {g: o * math.log1p(found[1][g]) for g, o in odds.items() if o > 0}
+    worth = {}
+    for g, c in bad.items():
+        odds = math.log((c + 0.5) / n1) - math.log((good[g] + 0.5) / n0)
+        if odds > 0:  # rare ones are likely by chance: odds count by the texts that show them
+            worth[g] = odds * math.log1p(c)
     known = Memo(lambda w: max((worth.get(g, 0.0) for g in _grams(w)), default=0.0), 2_000_000)
     return [w for words, label in zip(texts, toxic) if label for w in _highest(words, known)]
 
 
-def _highest(words: Counter, values) -> list[str]:
+def _highest(words: list[str], values) -> list[str]:
     """The words of at least half the highest value, if that is above 0."""
     top = max(map(values.__getitem__, words), default=0.0)
     return [w for w in words if values[w] >= 0.5 * top] if top > 0 else []
@@ -191,6 +200,11 @@ def _features(words: list[str], columns: dict[str, int]):
     return x
 
 
+def _embedded(words: list[str], columns: dict[str, int], marks, nystrom, rows: int = 512):
+    """The Nyström features of words, ``rows`` at a time: their dense rows need never be there together."""
+    return np.vstack([_features(words[at : at + rows], columns) @ marks.T @ nystrom for at in range(0, len(words), rows)])
+
+
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 50.0) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps on the rows inside the margin."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
@@ -211,14 +225,11 @@ def fit(rows: list[tuple[str | dict[str, int] | None, int]]) -> Machine:
     toxic = np.array([int(t) for _, t in rows], dtype=np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
         return Machine({}, -1.0, (0.0, 0.0, -50.0))
-    texts = []
+    texts, same = [], {}  # each word once in memory, however many texts have it
     for counts, _ in rows:
-        words: Counter = Counter()
-        for w, n in counts.items():
-            if len(w := normal(w)) >= LENGTH:
-                for part in parts(w):
-                    words[part] += n
-        texts.append(words)
+        whole = [w for w in map(normal, counts) if len(w) >= LENGTH]
+        texts.append(list(dict.fromkeys(same.setdefault(part, part) for w in whole for part in parts(w))))
+    del same
     bad = [words for words, label in zip(texts, toxic) if label]
     good = [words for words, label in zip(texts, toxic) if not label]
     chosen = _telling(texts, toxic)
@@ -238,7 +249,7 @@ def fit(rows: list[tuple[str | dict[str, int] | None, int]]) -> Machine:
         values, vectors = np.linalg.eigh(marks @ marks.T)
         keep = values > 1e-6 * values.max()
         nystrom = vectors[:, keep] / np.sqrt(values[keep])  # kernel values with the landmarks -> features
-        x = _features(positives + negatives, columns) @ marks.T @ nystrom
+        x = _embedded(positives + negatives, columns, marks, nystrom)
         y = np.r_[np.ones(len(positives)), -np.ones(len(negatives))]
         # A word weighs as the texts that it stands for, or, if clean texts have it, as these.
         mass = np.r_[[counts[w] for w in positives], [min(common[w], MOST) for w in negatives]].astype(float)
@@ -290,12 +301,19 @@ def sample(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_cl
         def rows(batch):
             for doc_id, text, toxic in batch:
                 counts = words_of(text)
-                yield doc_id, list(counts), list(counts.values()), toxic
+                yield doc_id, " ".join(counts), " ".join(map(str, counts.values())), toxic
 
         return rows
 
-    found = map_rows(one.select("doc_id", "row.text", "row.toxic"), "doc_id long, words array<string>, counts array<long>, toxic long", make)
-    return [(dict(zip(r["words"], r["counts"])), int(r["toxic"] == 1)) for r in sorted(found.collect(), key=lambda r: r["doc_id"])]
+    # One string per text until its words are made one for all texts: a list of them each takes ten times the driver's memory.
+    found = map_rows(one.select("doc_id", "row.text", "row.toxic"), "doc_id long, words string, counts string, toxic long", make).collect()
+    found.sort(key=lambda r: r["doc_id"], reverse=True)
+    same: dict[str, str] = {}
+    rows = []
+    while found:
+        r = found.pop()
+        rows.append(({same.setdefault(w, w): int(n) for w, n in zip(r["words"].split(), r["counts"].split())}, int(r["toxic"] == 1)))
+    return rows
 
 
 def scorer(docs: DataFrame, labels: DataFrame):
