@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -51,6 +52,8 @@ SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: The tokenizer's own splitting pattern, and the character that stands for each byte.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Signs in ASCII: a run of them behind letters is one piece.
+SIGNS = string.punctuation
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 BYTE_CHARS = [chr(b) if b in _SHOWN else chr(256 + _HIDDEN.index(b)) for b in range(256)]
@@ -70,23 +73,31 @@ class WordIds:
     def __init__(self, path: str | None = None):
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
         self.model = self.tokenizer.model
-        self.pieces = Memo(self._piece, 400_000)
-        self.words = Memo(self._word, 500_000)
+        self.pieces = Memo(self._piece, 100_000)
+        self.words = Memo(self._word, 800_000)
 
     def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize("".join([BYTE_CHARS[b] for b in piece.encode()]))]
+        if not (piece.isascii() and piece.isprintable()):  # such characters stand for themselves
+            piece = "".join([BYTE_CHARS[b] for b in piece.encode()])
+        ids = [t.id for t in self.model.tokenize(piece)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
         # Below U+0250 nothing composes, and lowering does not look at the neighbours.
         if max(word) < "\u0250" and "<|" not in word:
-            return b"".join([self.pieces[p] for p in PIECES.findall(word.lower())])
+            low = word.lower()
+            letters = low.rstrip(SIGNS)
+            if letters.isalpha():  # most words are a piece of letters, and perhaps one of signs
+                if letters == word:
+                    return self._piece(word)
+                return self.words[letters] + self.pieces[low[len(letters) :]] if len(letters) < len(low) else self.words[letters]
+            return b"".join([self.pieces[p] for p in PIECES.findall(low)])
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        words = text.split() if ODD_SPACE.search(text) is None else SPACE.split(text)
-        return b"".join(map(self.words.__getitem__, filter(None, words)))
+        words = text.split() if ODD_SPACE.search(text) is None else filter(None, SPACE.split(text))
+        return b"".join(map(self.words.__getitem__, words))
 
 
 def word_ids(path: str | None = None) -> WordIds:
