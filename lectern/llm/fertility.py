@@ -1,8 +1,9 @@
 """Quality rules from tokenizer fertility.
 
-A public vocabulary, trained on ordinary prose, measures each text: characters per token, the
-share of tokens that are byte fallbacks, and the entropy of the text's tokens. Junk is cut into
-unusually short or long tokens, falls back to bytes, or repeats few tokens. The bands in which a
+Two public vocabularies, one of pieces with byte fallback and a byte-level one for many languages,
+measure each text's words: characters per token, the share of tokens that are bytes of a character
+not in the vocabulary, and the entropy of the text's tokens. Junk is cut into unusually short or
+long tokens, falls back to bytes, or repeats few tokens. The bands in which a
 text must lie are those of its language, or of its script where no language is given, and of its
 length: the quartiles over all documents of the group whose numbers of words have as many binary
 digits, widened by multiples of their distance. So the spread that a length has by chance is
@@ -17,13 +18,15 @@ columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import base64
 import unicodedata
-from itertools import chain
+from array import array
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -31,14 +34,16 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from lectern.llm.common import Memo, map_rows, one_per_worker, ship, stored, table
 
-MODEL = "piece_bpe_32k.model"
+MODEL, RANKS = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
+#: Measures by the piece vocabulary, and the same by the byte-level one.
+MEASURES, BYTE_LEVEL = ("chars_per_token", "fallback_share", "entropy"), "byte_level_"
 #: Distances of the quartiles by which the bands go beyond them, below and above (None: no limit).
-WIDTHS = {"chars_per_token": (2.25, 2.25), "fallback_share": (None, 4.0), "entropy": (1.75, None)}
+WIDTHS = {vocabulary + m: w for vocabulary in ("", BYTE_LEVEL) for m, w in zip(MEASURES, ((2.25, 2.25), (None, 4.0), (1.75, None)))}
 #: The least that a band goes beyond the quartiles; for texts longer than ``STEADY_WORDS`` it falls with the root.
-LEAST = {"chars_per_token": 0.1, "fallback_share": 0.1, "entropy": 0.4}
+LEAST = {vocabulary + m: w for vocabulary in ("", BYTE_LEVEL) for m, w in zip(MEASURES, (0.1, 0.1, 0.4))}
 #: Shorter texts vary more by chance: where their length has no bands, those of the group widen with the root of this over their words.
 STEADY_WORDS = 300
 #: Documents of a group that has bands of its own, and how much wider the bands of all documents are for the others.
@@ -46,7 +51,7 @@ MIN_GROUP, WIDER = 10, 3.0
 
 FEATURES = (
     "doc_id long, grp string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, chars_per_token double, fallback_share double, entropy double"
+    "base_failed boolean, " + ", ".join(f"{m} double" for m in WIDTHS)
 )
 
 
@@ -78,10 +83,24 @@ def duplicate_lines(text: str) -> int:
 
 
 class Fertility:
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, ranks_path: str | None = None):
         model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(MODEL))
-        self.is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-        self.tokens = Memo(lambda word: tuple(model.encode(word.decode())), 300_000)
+        with open(ranks_path or public_tokenizers.path(RANKS), "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.n_pieces = n = model.get_piece_size()  # both vocabularies' ids stand in one row of numbers
+        self.is_byte = np.zeros(n + max(ranks.values()) + 1, dtype=bool)
+        self.is_byte[:n] = [model.is_byte(i) for i in range(n)]
+        # Of a byte-level vocabulary, these are the tokens that are one byte of a longer character.
+        self.is_byte[[n + rank for token, rank in ranks.items() if len(token) == 1 and token > b"\x7f"]] = True
+
+        def tokens(word: bytes) -> bytes:
+            text = word.decode()  # as it stands behind a space
+            ids = model.encode(text)
+            ids += [n + rank for rank in encode(" " + text)]
+            return array("I", ids).tobytes()
+
+        self.tokens = Memo(tokens, 300_000)
 
     def measure(self, text: str) -> tuple:
         """The numbers of ``FEATURES`` from n_words on."""
@@ -94,20 +113,23 @@ class Fertility:
         base = (n, word_chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeats)
         failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
         if not n:
-            return *base, failed, 0.0, 0.0, 0.0
+            return *base, failed, *[0.0] * len(WIDTHS)
         tokens = [self.tokens[w] for w in number]
-        times = np.repeat(np.bincount(ids), [len(t) for t in tokens])
-        flat = np.fromiter(chain.from_iterable(tokens), dtype=np.int64, count=len(times))
-        counts = np.bincount(flat, weights=times)
-        total, counts = counts.sum(), counts[(kinds := np.nonzero(counts)[0])]
-        share = counts / total
-        return (
-            *base, failed, round(word_chars / total, 3), round(float(share[self.is_byte[kinds]].sum()), 3), round(float(-(share * np.log2(share)).sum()), 3)
-        )
+        times = np.repeat(np.bincount(ids), np.fromiter(map(len, tokens), np.int64, len(tokens)) // 4)
+        counts = np.bincount(np.frombuffer(b"".join(tokens), dtype="I"), weights=times)
+        kinds = np.nonzero(counts)[0]
+        at = np.searchsorted(kinds, self.n_pieces)
+        return *base, failed, *self.shape(counts, kinds[:at], word_chars), *self.shape(counts, kinds[at:], word_chars)
 
+    def shape(self, counts: np.ndarray, kinds: np.ndarray, word_chars: int) -> tuple[float, float, float]:
+        """The ``MEASURES`` of a text by the vocabulary whose tokens ``kinds`` are."""
+        counts = counts[kinds]
+        share = counts / (total := max(1.0, counts.sum()))  # some signs are no tokens at all
+        return round(word_chars / total, 3), round(float(share[self.is_byte[kinds]].sum()), 3), round(float(-(share * np.log2(share)).sum()), 3)
 
-def fertility(path: str | None = None) -> Fertility:
-    return one_per_worker(("fertility", path), lambda: Fertility(path))
+
+def fertility(path: str | None = None, ranks_path: str | None = None) -> Fertility:
+    return one_per_worker(("fertility", path, ranks_path), lambda: Fertility(path, ranks_path))
 
 
 def script(text: str) -> str:
@@ -115,9 +137,9 @@ def script(text: str) -> str:
     return unicodedata.name(letter, "unknown").split()[0].lower() if letter else "none"
 
 
-def measurer(path: str | None = None):
+def measurer(path: str | None = None, ranks_path: str | None = None):
     """A generator of the features of (doc_id, text, lang) rows."""
-    measure = fertility(path).measure
+    measure = fertility(path, ranks_path).measure
 
     def rows(batch):
         for doc_id, text, lang in batch:
@@ -127,8 +149,8 @@ def measurer(path: str | None = None):
     return rows
 
 
-def features(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return map_rows(docs.select("doc_id", "text", "lang"), FEATURES, lambda: measurer(path))
+def features(docs: DataFrame, path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+    return map_rows(docs.select("doc_id", "text", "lang"), FEATURES, lambda: measurer(path, ranks_path))
 
 
 def size_class():
@@ -170,7 +192,7 @@ def judged(measured: DataFrame) -> DataFrame:
     sized = limits.where("size is not null").select("grp", "size", F.struct(*WIDTHS, "scale").alias("sized"))
     own = limits.where("grp is not null and size is null").select("grp", F.struct(*WIDTHS, "scale").alias("own"))
     rows = measured.withColumn("size", size_class()).join(sized, ["grp", "size"], "left").join(own, "grp", "left")
-    found = limits.where("grp is null").first()  # the bands of all documents: one row of seven numbers
+    found = limits.where("grp is null").first()  # the bands of all documents: one row of a few numbers
     quartile = lambda m, end: F.lit(found[m][end]).cast("double").alias(end)
     whole = F.struct(*[F.struct(quartile(m, "low"), quartile(m, "high")).alias(m) for m in WIDTHS], F.lit(found["scale"]).alias("scale"))
     band, inside = F.coalesce("sized", "own", whole), ~F.col("base_failed")
@@ -181,22 +203,22 @@ def judged(measured: DataFrame) -> DataFrame:
     return rows.select(*measured.columns, F.coalesce(inside, F.lit(False)).alias("kept"))
 
 
-def judge(docs: DataFrame, path: str | None = None) -> DataFrame:
+def judge(docs: DataFrame, path: str | None = None, ranks_path: str | None = None) -> DataFrame:
     """The features of every document, and ``kept``."""
-    return judged(stored(features(docs, path), "features")).select(
+    return judged(stored(features(docs, path, ranks_path), "features")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        "kept", "chars_per_token", "fallback_share", "entropy",
+        "kept", *WIDTHS,
     )
 
 
-def keep(docs: DataFrame, path: str | None = None) -> DataFrame:
+def keep(docs: DataFrame, path: str | None = None, ranks_path: str | None = None) -> DataFrame:
     """The rows of ``docs`` that pass, each judged by its own text whatever its doc_id."""
     ship(docs.sparkSession)
     kinds = _parse_datatype_string(FEATURES)
     target = to_arrow_schema(kinds)
 
     def run(batches):
-        measure = measurer(path)
+        measure = measurer(path, ranks_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
