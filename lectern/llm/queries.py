@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lectern.llm.block_search import OP13_SQL, op13_block_search
 from lectern.llm.byte_bpe import op3_byte_bpe
 from lectern.llm.fertility import op1_fertility
 from lectern.llm.mixing import OP10_SQL, op10_mix
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_url_templates": op8_url_templates,
     "op9_toxicity": op9_toxicity,
     "op10_mix": op10_mix,
+    "op13_block_search": op13_block_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_search": OP2_SQL,
     "op8_url_templates": OP8_SQL,
     "op10_mix": OP10_SQL,
+    "op13_block_search": OP13_SQL,
 }
