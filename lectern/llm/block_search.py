@@ -24,6 +24,7 @@ columns are ignored; empty tables give an empty table.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,7 +41,7 @@ from lectern.llm.search import _ranges
 
 TOP = 20
 #: Bytes of text in a shard and of queries in a block; documents in a range with maxima of its own.
-SHARD_BYTES, QUERY_BYTES, BLOCK = 16 << 20, 16 << 20, 16
+SHARD_BYTES, QUERY_BYTES, BLOCK = 8 << 20, 16 << 20, 16
 #: Tasks that search, for each core of the cluster; shards that a task reads at most, about.
 TASKS_PER_CORE, SHARDS_PER_TASK = 3, 8
 #: Ranges that are scored at first; each further step takes twice as many.
@@ -63,11 +64,10 @@ def _largest(values: np.ndarray, starts: np.ndarray, function=np.maximum) -> np.
     return function.reduceat(values, starts) if len(starts) else values[:0]
 
 
-def build_shard(name: str, rows: list[tuple[int | None, list[bytes]]]) -> tuple:
-    """One row of the index from (doc_id, terms) rows, all with terms."""
-    number: dict[bytes, int] = {}
-    flat = np.array([number.setdefault(t, len(number)) for _, terms in rows for t in terms], dtype=np.int64)
+def build_shard(name: str, rows: list[tuple[int | None, array]], number: dict[bytes, int]) -> tuple:
+    """One row of the index from (doc_id, its terms' numbers) rows, all with terms, and the terms by number."""
     kinds, lengths = len(number), np.array([len(terms) for _, terms in rows], dtype=np.int64)
+    flat = np.concatenate([np.frombuffer(terms, dtype=np.int32) for _, terms in rows])
     keys, tfs = np.unique(np.repeat(np.arange(len(rows)), lengths) * kinds + flat, return_counts=True)
     docs, terms = np.divmod(keys, kinds)
     dfs = np.bincount(terms, minlength=kinds)
@@ -101,10 +101,10 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     target = to_arrow_schema(_parse_datatype_string(INDEX))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition, n, rows, size = TaskContext.get().partitionId(), 0, [], 0
+        partition, n, rows, number, size = TaskContext.get().partitionId(), 0, [], {}, 0
 
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(build_shard(f"{partition}-{n}", rows), target)], schema=target)
+            return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(build_shard(f"{partition}-{n}", rows, number), target)], schema=target)
 
         for batch in batches:
             texts = batch.column(1)
@@ -112,11 +112,12 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
                 terms = terms_of(texts[at].as_py())
                 if not terms:
                     continue
-                rows.append((doc_id, terms))
-                size += sum(map(len, terms)) + len(terms) + 64
+                # As numbers at once: the words themselves would take ten times the room.
+                rows.append((doc_id, array("i", [number.setdefault(t, len(number)) for t in terms])))
+                size += len(texts[at].as_buffer()) + 64
                 if size >= shard_bytes:
                     yield row()
-                    n, rows, size = n + 1, [], 0
+                    n, rows, number, size = n + 1, [], {}, 0
         if rows:
             yield row()
 
@@ -170,18 +171,19 @@ class Best:
 class Shard:
     """What a shard has of the queries' terms: documents with scores per term, and bounds per term of their ranges."""
 
-    def __init__(self, row: tuple, queries: Queries, weights: np.ndarray, n_docs: int, n_terms: int):
-        _, self.n_docs, _, ids, nulls, lengths, terms, _, doc_starts, doc_terms, doc_tfs, block_starts, block_terms, block_tfs, block_lengths = row
-        self.ids, self.nulls = np.frombuffer(ids, dtype="<i8"), np.frombuffer(nulls, dtype=bool)
-        number, small = queries.numbers(terms), lambda b: np.frombuffer(b, dtype="<i4").astype(np.int64)
+    def __init__(self, batch: pa.RecordBatch, at: int, queries: Queries, weights: np.ndarray, n_docs: int, n_terms: int):
+        self.n_docs = batch.column(0)[at].as_py()
+        ids, nulls, lengths, terms, doc_starts, doc_terms, doc_tfs, block_starts, block_terms, block_tfs, block_lengths = [c[at].as_buffer() for c in batch.columns[1:]]
+        self.ids, self.nulls, terms = np.frombuffer(ids, dtype="<i8"), np.frombuffer(nulls, dtype=bool), terms.to_pybytes()
+        number, small = queries.numbers(terms), lambda b, some=slice(None): np.frombuffer(b, dtype="<i4")[some].astype(np.int64)
         self.terms, self.starts, inside = self._asked(number, np.frombuffer(doc_terms, dtype="<i4"), np.frombuffer(doc_starts, dtype="<i8"))
         length = np.repeat(small(lengths), np.diff(self.starts))
-        self.scores = weights[self.terms] * part(small(doc_tfs)[inside], length, n_docs, n_terms)
+        self.scores = weights[self.terms] * part(small(doc_tfs, inside), length, n_docs, n_terms)
         # Bounds stand by term, so that a query reads those of its own terms only.
         self.n_blocks = -(-self.n_docs // BLOCK)
         found, starts, inside = self._asked(number, np.frombuffer(block_terms, dtype="<i4"), np.frombuffer(block_starts, dtype="<i8"))
         block = np.repeat(np.arange(self.n_blocks), np.diff(starts))
-        bounds = weights[found] * part(small(block_tfs)[inside], small(block_lengths)[inside], n_docs, n_terms)
+        bounds = weights[found] * part(small(block_tfs, inside), small(block_lengths, inside), n_docs, n_terms)
         by_term = np.argsort(found, kind="stable")
         self.block, self.bounds = block[by_term], bounds[by_term].astype(float)
         self.of_term = np.searchsorted(found[by_term], np.arange(len(weights) + 1))
@@ -269,7 +271,7 @@ def _search_block(spark: SparkSession, index: DataFrame, queries: Queries, id_ty
         best, wanted, scored = [Best() for _ in own.ids], np.zeros(len(own.vocabulary), dtype=np.int64), 0
         for batch in batches:
             for at in range(batch.num_rows):
-                shard = Shard(tuple(c[at].as_py() for c in batch.columns), own, weights.value, n_docs, n_terms)
+                shard = Shard(batch, at, own, weights.value, n_docs, n_terms)
                 scored += sum(shard.improve(b, words, times, wanted, k) for b, (words, times) in zip(best, own.terms))
                 if counters is not None:
                     counters[1].add(shard.n_docs * len(best))
@@ -284,7 +286,7 @@ def _search_block(spark: SparkSession, index: DataFrame, queries: Queries, id_ty
                 yield pa.RecordBatch.from_arrays([ids, doc_ids, pa.array(np.concatenate([b.scores for b in some]))], names=["item_id", "doc_id", "score"])
 
     # A task merges its shards' hits, and reads a bounded number of shards, so that a lost task is soon repeated.
-    few = index.coalesce(max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-n_shards // SHARDS_PER_TASK)))
+    few = index.drop("shard", "n_terms", "dfs").coalesce(max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-n_shards // SHARDS_PER_TASK)))
     return few.mapInArrow(run, f"item_id {id_type.simpleString()}, doc_id long, score long")
 
 
