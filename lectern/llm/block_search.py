@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
-from lectern.llm.common import map_rows, ship, stored, table
+from lectern.llm.common import LARGE_ROWS, map_rows, ship, stored, table
 from lectern.llm.search import _ranges
 
 TOP = 20
 #: Bytes of text in a shard and of queries in a block; documents in a range with maxima of its own.
-SHARD_BYTES, QUERY_BYTES, BLOCK = 8 << 20, 16 << 20, 16
+SHARD_BYTES, QUERY_BYTES, BLOCK = 2 << 20, 16 << 20, 16
 #: Tasks that search, for each core of the cluster; shards that a task reads at most, about.
-TASKS_PER_CORE, SHARDS_PER_TASK = 3, 8
+TASKS_PER_CORE, SHARDS_PER_TASK = 3, 64
 #: Ranges that are scored at first; each further step takes twice as many.
 FIRST_BLOCKS = 4
 
@@ -121,7 +121,7 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         if rows:
             yield row()
 
-    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, INDEX), "forward-index")
+    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, INDEX), "forward-index", **LARGE_ROWS)
 
 
 class Queries:

@@ -76,15 +76,19 @@ def spent(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
             _paths.remove(path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+#: For tables with large rows: readers hold a row group at a time, so it shall be a few rows, not thousands.
+LARGE_ROWS = {"parquet.block.size": str(4 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+
+
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; ``options`` are the writer's.
 
     It cuts the lineage like a reliable checkpoint, survives lost executors, and the reread
     table has sizes and column pruning.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,6 +6,7 @@ from lectern.llm.block_search import OP13_SQL, op13_block_search
 from lectern.llm.byte_bpe import op3_byte_bpe
 from lectern.llm.fertility import op1_fertility
 from lectern.llm.mixing import OP10_SQL, op10_mix
+from lectern.llm.resampling import OP12_SQL, op12_resampling
 from lectern.llm.ring import op7_ring
 from lectern.llm.search import OP2_SQL, op2_search
 from lectern.llm.simhash import op4_simhash_dedup
@@ -25,11 +26,13 @@ QUERIES = {
     "op8_url_templates": op8_url_templates,
     "op9_toxicity": op9_toxicity,
     "op10_mix": op10_mix,
+    "op12_resampling": op12_resampling,
     "op13_block_search": op13_block_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_search": OP2_SQL,
     "op8_url_templates": OP8_SQL,
     "op10_mix": OP10_SQL,
+    "op12_resampling": OP12_SQL,
     "op13_block_search": OP13_SQL,
 }

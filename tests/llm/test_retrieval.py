@@ -1,14 +1,16 @@
 """Block-max search, resampling and nearest neighbours against brute force."""
 
+import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 
-from lectern.llm import block_search
+from lectern.llm import block_search, resampling
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -77,3 +79,78 @@ def test_op13_prunes(spark):
     found = block_search.search(docs, items, 10, counts=counts).collect()
     assert Counter(map(tuple, found)) == brute_search(docs.collect(), items.collect(), 10)
     assert counts[0].value < 0.3 * counts[1].value
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def brute_features(text):
+    words = WORD.findall(lower(text))
+    return Counter(zlib.crc32(f.encode()) % 10_000 for f in words + [f"{a} {b}" for a, b in zip(words, words[1:])]), len(words)
+
+
+def brute_resample(docs, target, share=25, least=20):
+    source, wanted = Counter(), Counter()
+    texts = [(r.doc_id, *brute_features(r.text)) for r in docs]
+    for _, c, _ in texts:
+        source.update(c)
+    for r in target:
+        wanted.update(brute_features(r.text)[0])
+    n_source, n_wanted = sum(source.values()), sum(wanted.values())
+    rows = []
+    for d, c, words in texts:
+        n = sum(c.values())
+        gain = sum(k * math.floor(1000 * math.log((wanted[b] + 1) * (n_source + 10_000) / ((source[b] + 1) * (n_wanted + 10_000)))) for b, k in c.items())
+        h = int(hashlib.sha256(f"7:{'' if d is None else d}".encode()).hexdigest()[:8], 16)
+        weight = gain // n if n else 0
+        rows.append([d, n, weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, words])
+    able = sorted((r for r in rows if r[5] >= least), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for rank, r in enumerate(able[: share * len(able) // 100], 1):
+        r[4] = rank
+    return Counter(tuple(r[:5]) for r in rows)
+
+
+def test_op12(spark, small_docs):
+    target = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    expected = brute_resample(small_docs.collect(), target.collect())
+    assert Counter(map(tuple, resampling.resample(small_docs, target).collect())) == expected
+    assert Counter(map(tuple, resampling.resample(small_docs, target, limit=700).collect())) == expected  # texts in pieces
+    connection = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
+    assert Counter(connection.execute(resampling.OP12_SQL).fetchall()) == expected
+
+
+def test_op12_odd(spark, odd_docs, no_docs):
+    target = odd_docs.where("doc_id in (1, 5, 8)")
+    for limit in (30, 1 << 20):
+        found = resampling.resample(odd_docs, target, 50, 2, limit=limit).collect()
+        assert Counter(map(tuple, found)) == brute_resample(odd_docs.collect(), target.collect(), 50, 2)
+    assert resampling.resample(no_docs, target).count() == 0
+    assert Counter(map(tuple, resampling.resample(odd_docs, no_docs, 100, 1).collect())) == brute_resample(odd_docs.collect(), [], 100, 1)
+
+
+def test_op12_hot(spark):
+    """One text and one missing id hold most rows: ranks stay without gaps."""
+    rows = [(None if i % 3 else i, "one text of a few words") for i in range(900)] + [(1000 + i, f"other words {i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = resampling.resample(docs, docs.limit(3).selectExpr("text"), 80, 2).collect()
+    assert sorted(r.rank for r in found if r.rank) == list(range(1, 761)) and len(found) == 950
+    assert Counter(map(tuple, found)) == Counter(map(tuple, resampling.resample(docs, docs.limit(3).selectExpr("text"), 80, 2).collect()))
+    least = min(r.score for r in found if r.rank)
+    assert all(r.score <= least for r in found if not r.rank)
+    in_order = sorted((r for r in found if r.rank), key=lambda r: r.rank)
+    assert all((-a.score, a.doc_id is None, a.doc_id or 0) <= (-b.score, b.doc_id is None, b.doc_id or 0) for a, b in zip(in_order, in_order[1:]))
+
+
+@pytest.mark.parametrize("limit", [1, 5, 1000])
+def test_op12_pieces(limit):
+    """Cuts never part a word or lose a pair, and other scripts' letters are words."""
+    texts = ["alpha beta", None, "", "  x  ", "ABC1déf,天气 gamma;" * 9, "no" * 30]
+    import duckdb as engine
+
+    connection = engine.connect(config={"threads": 1})
+    connection.create_function("crc", resampling.crc, ["VARCHAR"], "BIGINT", type="arrow")
+    starts, which, n = resampling.bucket_counts(texts, connection, limit=limit)
+    for i, text in enumerate(texts):
+        assert dict(zip(which[starts[i] : starts[i + 1]].tolist(), n[starts[i] : starts[i + 1]].tolist())) == brute_features(text)[0]
