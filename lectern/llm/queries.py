@@ -5,6 +5,7 @@ from __future__ import annotations
 from lectern.llm.block_search import OP13_SQL, op13_block_search
 from lectern.llm.byte_bpe import op3_byte_bpe
 from lectern.llm.fertility import op1_fertility
+from lectern.llm.kmeans_tree import op11_kmeans_tree
 from lectern.llm.mixing import OP10_SQL, op10_mix
 from lectern.llm.resampling import OP12_SQL, op12_resampling
 from lectern.llm.ring import op7_ring
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_url_templates": op8_url_templates,
     "op9_toxicity": op9_toxicity,
     "op10_mix": op10_mix,
+    "op11_kmeans_tree": op11_kmeans_tree,
     "op12_resampling": op12_resampling,
     "op13_block_search": op13_block_search,
 }

@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lectern.llm import block_search, resampling
+from lectern.llm import block_search, kmeans_tree, resampling
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -154,3 +154,77 @@ def test_op12_pieces(limit):
     starts, which, n = resampling.bucket_counts(texts, connection, limit=limit)
     for i, text in enumerate(texts):
         assert dict(zip(which[starts[i] : starts[i + 1]].tolist(), n[starts[i] : starts[i + 1]].tolist())) == brute_features(text)[0]
+
+
+def brute_neighbours(rows, step=50, k=5):
+    """(query_id, vec_id, score) of every usable query row, by exact ties."""
+    usable = [(i, np.array(v, dtype=float)) for i, v in rows if v is not None and None not in v and len(v) == 4 and np.isfinite(v).all() and np.any(v)]
+    found = []
+    for at, (i, v) in enumerate(usable):
+        if i is not None and i % step == 0:
+            scores = [(-round(float(v @ w / np.sqrt(v @ v) / np.sqrt(w @ w)), 9), j is None, j or 0) for n, (j, w) in enumerate(usable) if n != at]
+            found += [(i, rank, None if none else j, -s) for rank, (s, none, j) in enumerate(sorted(scores)[:k], 1)]
+    return Counter(found)
+
+
+def rounded(found):
+    return Counter((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in found.collect())
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.1"])
+def test_op11_recall(spark, folder):
+    """Every query of the table, against brute force."""
+    rows = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    counts = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    found = kmeans_tree.neighbours(rows, counts=counts).collect()
+    table = rows.orderBy("vec_id").toPandas()
+    matrix = np.array(table["embedding"].tolist(), dtype=float)
+    units, ids = matrix / np.linalg.norm(matrix, axis=1, keepdims=True), table["vec_id"].to_numpy()
+    hits = 0
+    for q in np.nonzero(ids % 50 == 0)[0]:
+        near = units @ units[q]
+        near[q] = -2
+        mine = sorted((r for r in found if r.query_id == ids[q]), key=lambda r: r.rank)
+        assert [r.rank for r in mine] == [1, 2, 3, 4, 5] and len({r.vec_id for r in mine}) == 5
+        assert [r.score for r in mine] == pytest.approx([near[np.searchsorted(ids, r.vec_id)] for r in mine], abs=1e-12)
+        assert all((-a.score, a.vec_id) < (-b.score, b.vec_id) for a, b in zip(mine, mine[1:]))
+        hits += len({r.vec_id for r in mine} & set(ids[np.argsort(-near, kind="stable")[:5]].tolist()))
+    assert len(found) == 5 * (ids % 50 == 0).sum() and hits / len(found) >= 0.9
+    assert 0 < counts[0].value < counts[1].value
+
+
+def test_op11_odd(spark):
+    draw = np.random.default_rng(2)
+    rows = [(i, draw.normal(size=4).round(1).tolist()) for i in range(1, 300)]
+    rows += [(0, [1.0, 2.0, 0.0, 0.5]), (50, None), (100, [0.0] * 4), (150, [1.0, None, 2.0, 3.0]), (200, [1.0, float("nan"), 0.0, 0.0]), (250, [float("inf"), 1.0, 1.0, 1.0]), (300, [1.0, 2.0])]
+    rows += [(None, [1.0, 2.0, 0.0, 0.5]), (350, [1.0, 2.0, -0.0, 0.5]), (350, [1.0, 2.0, 0.0, 0.5]), (350, [2.0, 4.0, 0.0, 1.0]), (400, [1e300, 2e300, 0.0, 5e299]), (450, [1e-300, 0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame([(*r, 1.0, 3) for r in rows], "vec_id long, embedding array<double>, score double, leaf int")
+    expected = brute_neighbours([(i, None if v is None else [x * 1e-300 if i == 400 else x * 1e300 if i == 450 else x for x in v if x is not None] if v is not None and None not in v else None) for i, v in rows])
+    for sizes in ({}, {"leaf": 4, "folder_bytes": 1000, "query_bytes": 100}):
+        assert rounded(kmeans_tree.neighbours(frame.repartition(3), recall=1.0, **sizes)) == expected
+    assert kmeans_tree.neighbours(frame.limit(0)).count() == 0 and kmeans_tree.neighbours(frame.where("vec_id = 300 or embedding is null")).count() == 0
+    assert kmeans_tree.neighbours(frame.where("vec_id % 50 <> 0")).count() == 0
+    few = frame.where("vec_id in (0, 7, 8)")
+    assert rounded(kmeans_tree.neighbours(few)) == brute_neighbours([(r.vec_id, r.embedding) for r in few.collect()])  # all candidates, if fewer
+
+
+def test_op11_hot(spark):
+    """A vector that most rows share is one row of the index; each of its queries leaves out itself alone."""
+    draw = np.random.default_rng(3)
+    rows = [(i, [0.5, -0.25, 1.0, 0.125]) for i in range(0, 4000, 2)] + [(i, draw.normal(size=4).round(3).tolist()) for i in range(1, 1000, 2)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    search = kmeans_tree.Search(frame, 5)
+    assert search.index.count() == len({tuple(v) for _, v in rows})
+    found = kmeans_tree.neighbours(frame).collect()
+    for q in range(0, 4000, 50):
+        assert [r.vec_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == [i for i in range(0, 14, 2) if i != q][:5]
+
+
+def test_op11_reads_few_folders(spark):
+    """Where vectors cluster, blocks of queries leave most folders unread and most vectors unscored."""
+    draw = np.random.default_rng(5)
+    centers = draw.normal(size=(40, 16))
+    rows = spark.createDataFrame([(i, (centers[i % 40] + draw.normal(size=16) * 0.02).tolist()) for i in range(8000)], "vec_id long, embedding array<double>").repartition(4)
+    counts = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    found = kmeans_tree.neighbours(rows, counts=counts, query_bytes=4000)
+    assert found.count() == 800 and counts[0].value < 0.15 * 160 * 8000 and counts[1].value < 0.5 * 160 * 8000
