@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterable, Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from lectern.llm.common import ship, stored, table
 
 BUCKETS, SEED, MIN_WORDS, SHARE = 10_000, 7, 20, 25
 #: Bytes of text that DuckDB works on at a time, and the memory that it may take.
-SLICE_BYTES, MEMORY = 2 << 20, "500MB"
+SLICE_BYTES, MEMORY = 1 << 20, "400MB"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Between words of a text that is not lower-cased yet.
@@ -98,7 +99,7 @@ def bucket_counts(texts: list[str | None], connection: duckdb.DuckDBPyConnection
     return np.searchsorted(key, np.arange(len(texts) + 1) * buckets), key % buckets, n
 
 
-COUNTED = "doc_id long, n_features long, buckets array<int>, counts array<long>"
+COUNTED = "doc_id long, n_features long, buckets array<int>, counts array<int>"
 
 
 def counted(docs: DataFrame, buckets: int = BUCKETS, limit: int = SLICE_BYTES) -> DataFrame:
@@ -111,14 +112,14 @@ def counted(docs: DataFrame, buckets: int = BUCKETS, limit: int = SLICE_BYTES) -
         try:
             for batch in batches:
                 # Parts of about one slice: rows of few bytes share it, a long text has slices of its own.
-                sizes = np.cumsum([len(t) if t else 0 for t in batch.column(1).to_pylist()]) // limit
+                sizes = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // limit
                 for size in np.unique(sizes):
                     first, stop = np.searchsorted(sizes, [size, size + 1])
                     part = batch.slice(first, stop - first)
                     starts, which, n = bucket_counts(part.column(1).to_pylist(), connection, buckets, limit)
                     total = np.diff(np.r_[0, np.cumsum(n)][starts])
                     lists = lambda values: pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values))  # noqa: E731, B023
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total), lists(which.astype(np.int32)), lists(n)], names=["doc_id", "n_features", "buckets", "counts"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total), lists(which.astype(np.int32)), lists(n.astype(np.int32))], names=["doc_id", "n_features", "buckets", "counts"])
         finally:
             connection.close()
 
@@ -148,12 +149,13 @@ def weighed(rows: DataFrame, gain: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            which, n = batch.column(2), batch.column(3)
-            ends = np.cumsum(which.value_lengths().to_numpy(zero_copy_only=False))
-            sums = np.r_[0, np.cumsum(shared.value[which.flatten().to_numpy(zero_copy_only=False)] * n.flatten().to_numpy(zero_copy_only=False))]
-            sums = sums[ends] - sums[np.r_[0, ends[:-1]]] if len(ends) else sums[:0]
-            total = batch.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums // np.maximum(total, 1))], names=["doc_id", "n_features", "weight"])
+            for at in range(0, batch.num_rows, 512):  # in parts, as the sums take some times the room of the counts
+                doc_id, total, which, n = batch.slice(at, 512).columns
+                ends = np.cumsum(which.value_lengths().to_numpy(zero_copy_only=False))
+                sums = np.r_[0, np.cumsum(shared.value[which.flatten().to_numpy(zero_copy_only=False)] * n.flatten().to_numpy(zero_copy_only=False))]
+                sums = sums[ends] - sums[np.r_[0, ends[:-1]]]
+                weight = sums // np.maximum(total.to_numpy(zero_copy_only=False), 1)
+                yield pa.RecordBatch.from_arrays([doc_id, total, pa.array(weight)], names=["doc_id", "n_features", "weight"])
 
     return rows.mapInArrow(run, "doc_id long, n_features long, weight long")
 
