@@ -103,7 +103,7 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, key: str | list[str], total: int) -> DataFrame:
     """``rows`` joined with ``table`` (key, n, more), which says how many of the ``total`` rows each key has; without n.
 
     Keys with so many rows that one task should not take them are at most ``HOT_SHARE``, so they are
@@ -118,6 +118,18 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int) -> Dat
     return found.unionByName(rest)
 
 
+#: Rows of a table with one row per key up to which it is broadcast.
+FEW_KEYS = 100_000
+
+
+def join_few(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``table``, stored already, which has one row per ``key``: few are broadcast; of many, hot keys' rows stay where they are."""
+    if table.count() <= FEW_KEYS:
+        return rows.join(F.broadcast(table), key)
+    counts = stored(rows.groupBy(key).agg(F.count("*").alias("n")).join(table, key), "counted-keys")
+    return join_counted(rows, counts, key, counts.agg(F.sum("n")).first()[0] or 0)
+
+
 def lowest(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """The n rows with the lowest hashes of ``keys``, the same on every run.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import stored
+from lectern.llm.common import join_few, stored
 
 #: Bits of a hash, and of one level of buckets.
 BITS, STEP = 60, 15
@@ -36,9 +36,9 @@ def budget_ends(items: DataFrame, budgets: DataFrame) -> DataFrame:
     the budget; ``size`` and ``n`` are the sum and the number of the items at ``end`` itself. Groups
     without items are left out.
     """
-    found = budgets.select("grp", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"))
+    found = stored(budgets.select("grp", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before")), "budgets")
     for shift in range(BITS - STEP, -1, -STEP):
-        inside = items.join(found.select("grp", "prefix"), "grp").where(F.shiftright("h", shift + STEP) == F.col("prefix"))
+        inside = join_few(items, found.select("grp", "prefix"), "grp").where(F.shiftright("h", shift + STEP) == F.col("prefix"))
         if shift < BITS - STEP:
             items = inside = stored(inside.select("grp", "h", "size"), "boundary")
         sums = inside.groupBy("grp", F.shiftright("h", shift).alias("bucket")).agg(

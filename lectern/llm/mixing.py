@@ -7,7 +7,8 @@ the thresholds; only the bucket in which a budget ends is refined; a filter on t
 rest. Thresholds are nested: a smaller budget takes a part of what a larger one takes.
 
 Defined results: a null text has 0 words; a null source is a source of its own, last in order; a
-null doc_id is hashed by its text; rows that share a doc_id within a source go together; a source
+row is hashed by its doc_id and text, so rows that share one of them are taken or left each on
+its own; rows equal in both are numbered, and each has a hash of its own; a source
 without words has target 0; other columns are ignored; an empty table gives an empty table.
 """
 
@@ -16,8 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD, stored, table
+from lectern.llm.common import WORD, join_few, small_side, stored, table
 from lectern.llm.cuts import budget_ends, md5_60
+from lectern.llm.ring import numbered_copies
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -67,7 +69,7 @@ def words() -> Column:
 
 
 def hashed() -> Column:
-    return md5_60(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
+    return md5_60(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(" "), F.coalesce(F.col("text"), F.lit(""))))
 
 
 def times() -> Column:
@@ -76,8 +78,13 @@ def times() -> Column:
     return (F.col("whole") + F.when((F.col("h") < F.col("end")) | nearer, 1).otherwise(0)).cast("int")
 
 
+def own_hashes(rows: DataFrame) -> DataFrame:
+    """Rows with the same ``h``, each with one of its own: the first keeps it."""
+    return numbered_copies(rows.withColumnRenamed("h", "row_turn")).withColumnRenamed("row_turn", "h")
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, grp, size, h of every row, written once: texts are not read again."""
+    """doc_id, source, grp, size, h of every row, written once: texts are not read again. Rows equal in all have the same ``h``."""
     return stored(docs.select("doc_id", "source", source_key(F.col("source")).alias("grp"), words().alias("size"), hashed().alias("h")), "sizes")
 
 
@@ -98,17 +105,23 @@ def thresholds(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row; the mix takes it ``taken / size`` times."""
-    rows = sized(docs)
-    return rows.join(thresholds(rows, weights, max_repeats), "grp").select(
+    rows = own_hashes(sized(docs))
+    return join_few(rows, thresholds(rows, weights, max_repeats), "grp").select(
         "doc_id", "size", "source_size", "target", (F.col("size") * times()).cast("long").alias("taken")
     )
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, filtered where they are read."""
-    goals = thresholds(sized(docs), weights, max_repeats)
-    rows = docs.select(F.struct("*").alias("doc"), source_key(F.col("source")).alias("grp"), hashed().alias("h"))
-    return rows.join(goals, "grp").select("doc", F.explode(F.array_repeat(F.lit(1), times())).alias("nth")).select("doc.*")
+    sizes = sized(docs)
+    goals = thresholds(own_hashes(sizes), weights, max_repeats)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", source_key(F.col("source")).alias("grp"), hashed().alias("h"))
+    again = stored(sizes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "equal-rows")
+    if not again.isEmpty():  # only such rows are written to be numbered
+        again = small_side(again)
+        copies = own_hashes(stored(rows.join(again, "h", "left_semi"), "copies-of-rows"))
+        rows = rows.join(again, "h", "left_anti").unionByName(copies)
+    return join_few(rows, goals, "grp").select("doc", F.explode(F.array_repeat(F.lit(1), times())).alias("nth")).select("doc.*")
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +131,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ' ' || coalesce(text, '')), 1, 15))::BIGINT AS h  -- rows of one table are equal in both nowhere
   FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
 weighted AS (

@@ -155,6 +155,30 @@ def test_mixed_documents(small_docs, no_docs):
     assert mixing.mixed_documents(no_docs).count() == 0
 
 
+def test_op10_rows_that_share_a_doc_id(spark, monkeypatch):
+    """Rows of one doc_id, or equal in all, are taken each on its own, so the source meets its target."""
+    for make in (lambda i: (7, f"w{i} " * 100), lambda i: (i, "same words " * 50), lambda i: (7, "same words " * 50), lambda i: (None, "same words " * 50)):
+        rows = [(*make(i), "a") for i in range(1000)] + [(5000 + i, f"x{i} y" * 50, "b") for i in range(2000)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+        found = mixing.mix(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
+        assert len(found) == 2 and all(abs(r.taken - r.target) <= 200 and r.most <= 3 for r in found)
+        counts = mixing.mixed_documents(docs).groupBy("source").count().collect()
+        sizes = {100_000: "a"}
+        taken = {sizes.get(r.source_size, "b"): r.taken for r in found}
+        assert {r.source: r["count"] for r in counts} == {s: t // (100 if s == "a" else 51) for s, t in taken.items()}
+
+
+def test_op10_many_sources(spark, monkeypatch):
+    """A hot source among more than are broadcast: its rows stay where they are, and the mix is the same."""
+    rows = [(i, "w " * (i % 9 + 1), "hot" if i % 3 == 0 else f"s{i % 40}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    expected = Counter(map(tuple, mixing.mix(docs).collect()))
+    monkeypatch.setattr(common, "FEW_KEYS", 5)
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    assert Counter(map(tuple, mixing.mix(docs).collect())) == expected
+    check_mix(docs)
+
+
 def check_ring(docs):
     rows = ring.number(ring.place(docs)).collect()
     assert Counter((r.doc_id, r.size) for r in rows) == Counter((r.doc_id, len((r.text or "").encode()) + 1) for r in docs.collect())
