@@ -4,12 +4,12 @@ Per host the path's segments form a tree. Runs of digits become ``*``; a segment
 little support under its node becomes ``*`` whole; a branch whose share of bad labels does not
 differ from its siblings' by a two-proportion test is merged with them into ``*``. Of the branches
 that do differ, those worse than their siblings are compared with one another, and so are the better
-ones: what does not differ there is merged into ``{+}`` or ``{-}``. A page's template is what remains, with ``**`` for the rest of a path below which no branch can stay any
-more; templates whose smoothed share of bad pages reaches a limit are
+ones: what does not differ there is merged into ``{+}`` or ``{-}``. A page's template is what remains, with ``**`` for the rest of a path below a node where no branch can stay, at
+whatever depth that is; templates whose smoothed share of bad pages reaches a limit are
 blocked. Each level is one aggregation and one join with the few branches that stay.
 
 A page's label is that of the document whose number ends its path; a document is bad if its
-quality is 0 or it is toxic. A number of more than 18 digits is no document's.
+quality is 0 or it is toxic. A number beyond 64 bits is no document's.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, which form a
 template of their own; null and repeated page_ids stay as rows of their own; a document with
@@ -22,21 +22,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import small_side, stored, table
+from lectern.llm.common import join_counted, stored, table
 
 #: (rule, verdict): host, then path; a rule fits its host and all subdomains, the longest wins.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Levels that every path is followed over; beyond them, only below nodes where a branch may still stay.
-DEPTH = 4
 #: Ends the template of a path that is not followed to its end.
 REST = "**"
+#: Stands for the segment of a path that has no further one; no segment has this value.
+END = "/"
 #: Pages that a branch needs to stay; the test's critical value.
 MIN_PAGES, CRITICAL = 20, 1.96
 #: Names of merged branches that are worse, and better, than their siblings.
 WORSE, BETTER = "{+}", "{-}"
-#: Levels that ``OP8_SQL`` follows below open nodes; deeper paths are beyond a fixed number of SQL steps.
+#: Levels that ``OP8_SQL`` follows; the operator follows open nodes to any depth, which a fixed number of SQL steps can't.
 SQL_DEPTH = 9
-NUMBER = "(?:^|[^0-9])([0-9]{1,18})[^0-9/]*/?$"
+NUMBER = "(?:^|[^0-9])([0-9]{1,19})[^0-9/]*/?$"
 #: Pages of the overall share that are added to each template; share of bad pages from which it is blocked.
 PRIOR_PAGES, BLOCKED_SHARE = 10, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -91,42 +91,54 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn(
         "doc_id", F.expr(f"try_cast(nullif(regexp_extract(path, '{NUMBER}', 1), '') AS bigint)")
     )
-    rows = rows.join(bad, "doc_id", "left").select("page_id", "host", "path", "bad", F.col("host").alias("template"))
+    rows = stored(rows, "pages")
+    # Pages without a number need no label, and a number that many pages end in is broadcast with its label.
+    numbered = rows.where("doc_id is not null")
+    asked = stored(numbered.groupBy("doc_id").agg(F.count("*").alias("n")).join(bad, "doc_id", "left"), "asked-labels")
+    total = asked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    columns = ["page_id", "host", "path", "bad", F.col("host").alias("template")]
+    rows = join_counted(numbered, asked, "doc_id", total).select(columns).unionByName(
+        rows.where("doc_id is null").withColumn("bad", F.lit(None).cast("int")).select(columns)
+    )
     rows = stored(rows, "labelled-pages")
     ended, depth = None, 0
     while True:
         value = F.get(F.split(F.regexp_replace(F.substring("path", 2, 1 << 30), "[0-9]+", "*"), "/"), F.lit(depth))
-        rows = rows.withColumn("value", F.when(F.col("path") != "", value))
-        branches = rows.where("value is not null").groupBy("template", "value").agg(
-            F.count("*").alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad")
-        )
+        rows = rows.withColumn("value", F.coalesce(F.when(F.col("path") != "", value), F.lit(END)))
+        branches = rows.groupBy("template", "value").agg(F.count("*").alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"))
         branches = stored(branches, "branches")
-        nodes = branches.groupBy("template").agg(F.sum("pages").alias("all_pages"), F.sum("n").alias("all_n"), F.sum("n_bad").alias("all_bad"))
-        if depth >= DEPTH:
-            # Below a node with too few pages, or with labels of one kind only, no branch can stay at any depth.
-            nodes = stored(nodes.where((F.col("all_pages") >= MIN_PAGES) & (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all_n"))), "open-nodes")
-            rows = rows.join(nodes.select("template", F.lit(True).alias("open")), "template", "left")
-            goes_on = F.col("value").isNotNull() & F.coalesce("open", F.lit(False))
-            whole = F.when(F.col("value").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/" + REST)))
-            over = rows.where(~goes_on).select("page_id", "host", "path", "bad", whole.alias("template"))
-            over = stored(over, "ended")
-            ended = over if ended is None else ended.unionByName(over)
-            if nodes.isEmpty():
-                rows = ended
-                break
-            rows = rows.where(goes_on)
+        going = F.col("value") != END
+        nodes = branches.groupBy("template").agg(
+            *[F.coalesce(F.sum(F.when(going, F.col(c))), F.lit(0)).alias(f"all_{c[2:] if c == 'n_bad' else c}") for c in ("pages", "n", "n_bad")]
+        )
+        # Below a node with too few pages, or with labels of one kind only, no branch can stay at any depth.
+        open_ = (F.col("all_pages") >= MIN_PAGES) & (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all_n"))
+        nodes = stored(nodes.where(open_), "open-nodes")
         stays = (F.col("pages") >= MIN_PAGES) & differs(F.col("n_bad"), F.col("n"), F.col("all_bad"), F.col("all_n"))
-        kept = small_side(stored(named(branches.join(nodes, "template").where(stays)), "kept-branches"))
-        grown = F.when(F.col("value").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("kept", F.lit("*"))))
-        rows = rows.join(kept, ["template", "value"], "left").select("page_id", "host", "path", "bad", grown.alias("template"))
-        rows = stored(rows, "templates")
-        depth += 1
-    purity = stored(rows.groupBy("template").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad")), "purity")
-    n_bad, n = purity.agg(F.sum("n_bad"), F.sum("n")).first()
+        kept = stored(named(branches.where(going).join(nodes, "template").where(stays)), "kept-branches")
+        # What becomes of each branch: one row per branch, which says how many pages it has.
+        grown = F.when(~going, F.col("template")).when(F.col("open"), F.concat("template", F.lit("/"), F.coalesce("kept", F.lit("*")))).otherwise(F.concat("template", F.lit("/" + REST)))
+        table = (
+            branches.join(nodes.select("template", F.lit(True).alias("open")), "template", "left")
+            .join(kept, ["template", "value"], "left")
+            .withColumn("open", F.coalesce("open", F.lit(False)))
+            .select("template", "value", F.col("pages").alias("n"), grown.alias("grown"), (going & F.col("open")).alias("goes_on"))
+        )
+        table, total = stored(table, "grown-branches"), branches.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+        rows = join_counted(rows, table, ["template", "value"], total)
+        rows = stored(rows.select("page_id", "host", "path", "bad", F.col("grown").alias("template"), "goes_on"), "templates")
+        over = rows.where(~F.col("goes_on")).drop("goes_on")
+        ended = over if ended is None else ended.unionByName(over)
+        if nodes.isEmpty():
+            break
+        rows, depth = rows.where("goes_on").drop("goes_on"), depth + 1
+    rows = stored(ended, "ended") if depth else ended
+    purity = stored(rows.groupBy("template").agg(F.count("*").alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad")), "purity")
+    n_bad, n, total = purity.agg(F.sum("n_bad"), F.sum("n"), F.coalesce(F.sum("pages"), F.lit(0))).first()
     share = (F.col("n_bad") + PRIOR_PAGES * F.lit(n_bad / n if n else 0.0)) / (F.col("n") + PRIOR_PAGES)
-    purity = purity.select("template", share.alias("bad_share"))
+    purity = purity.select("template", F.col("pages").alias("n"), share.alias("bad_share"))
     rule, said = fitting_rule(F.col("host"), F.col("path"), rules)
-    return rows.join(purity, "template").select(
+    return join_counted(rows, purity, "template", total).select(
         "page_id", "host", "path", rule.alias("rule"),
         F.coalesce(said, F.when(F.col("bad_share") >= BLOCKED_SHARE, "block").otherwise("allow")).alias("verdict"),
         "template", F.round("bad_share", 6).alias("bad_share"),
@@ -158,9 +170,9 @@ rows0 AS (
   SELECT page_id, host, path, bad, host AS template, false AS ended FROM parted
   LEFT JOIN bads ON bads.doc_id = try_cast(nullif(regexp_extract(path, '{NUMBER}', 1), '') AS BIGINT))"""
     for k in range(SQL_DEPTH):
-        # Below DEPTH a path ends where it has no further segment, or at a node where no branch can stay.
-        open_ = f"all_pages >= {MIN_PAGES} AND all_bad > 0 AND all_bad < all_n" if k >= DEPTH else "true"
-        stops = f"o.template IS NULL OR {str(k == SQL_DEPTH - 1).lower()}" if k >= DEPTH else "false"
+        # A path ends where it has no further segment, or at a node where no branch can stay.
+        open_ = f"all_pages >= {MIN_PAGES} AND all_bad > 0 AND all_bad < all_n"
+        stops = f"o.template IS NULL OR {str(k == SQL_DEPTH - 1).lower()}"
         steps += f""",
 values{k} AS (
   SELECT *, CASE WHEN NOT ended AND path <> '' THEN string_split(regexp_replace(path[2:], '[0-9]+', '*', 'g'), '/')[{k + 1}] END AS value FROM rows{k}),
@@ -176,7 +188,7 @@ alike{k} AS (
 kept{k} AS (
   SELECT template, value, CASE WHEN alike AND count(*) FILTER (alike) OVER (PARTITION BY template, side) > 1 THEN side ELSE value END AS kept FROM alike{k}),
 rows{k + 1} AS (
-  SELECT page_id, host, path, bad, v.ended OR {'v.value IS NULL OR ' + stops if k >= DEPTH else 'false'} AS ended,
+  SELECT page_id, host, path, bad, v.ended OR v.value IS NULL OR {stops} AS ended,
          CASE WHEN v.value IS NULL THEN v.template WHEN {stops} THEN v.template || '/{REST}' ELSE v.template || '/' || coalesce(k.kept, '*') END AS template
   FROM values{k} v LEFT JOIN nodes{k} o ON v.template = o.template LEFT JOIN kept{k} k ON v.template = k.template AND v.value = k.value)"""
     return (

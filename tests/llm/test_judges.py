@@ -162,7 +162,7 @@ def test_op8_purity(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string")
     labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(400)], "doc_id long, quality int, toxic int")
     found = url_templates.judge(pages, labels)
-    assert {(r.template, r.verdict) for r in found.collect()} == {("h.net/spam/*", "block"), ("h.net/news/*", "allow")}
+    assert {(r.template, r.verdict) for r in found.collect()} == {("h.net/spam/**", "block"), ("h.net/news/**", "allow")}
 
 
 def test_op8_small_branch_of_large_host(spark):
@@ -172,7 +172,7 @@ def test_op8_small_branch_of_large_host(spark):
     for n in (200, 10_000):
         pages = spark.createDataFrame(spam + [(i, f"http://h.net/news/{i}") for i in range(90, n)], "page_id long, url string")
         found = url_templates.judge(pages, labels).groupBy("template", "verdict").count().collect()
-        assert {tuple(r) for r in found} == {("h.net/spam/*", "block", 90), ("h.net/news/*", "allow", n - 90)}
+        assert {tuple(r) for r in found} == {("h.net/spam/**", "block", 90), ("h.net/news/**", "allow", n - 90)}
     name = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i % 240:03}")
     pages = spark.createDataFrame([(i, f"http://even.net/{name(i)}/{i}") for i in range(7200)], "page_id long, url string")
     even = spark.createDataFrame([(i, int(i % 240 >= 24), 0) for i in range(7200)], "doc_id long, quality int, toxic int")
@@ -188,10 +188,54 @@ def test_op8_deep_branch(spark):
     found = {r.page_id: r for r in url_templates.judge(pages, labels).collect()}
     assert len(found) == 440
     assert all(found[i].verdict == ("block" if i % 2 else "allow") for i in range(400))
-    assert {found[i].template for i in range(1000, 1040)} == {"g.net/*/*/*/*/**"}
+    assert {found[i].template for i in range(1000, 1040)} == {"g.net/**"}
     assert {found[i].template for i in range(400)} == {"h.net/*/*/*/*/*/spam/**", "h.net/*/*/*/*/*/news/**"}
 
 
+def test_op8_depth_changes_nothing(spark):
+    """The same pages some levels deeper get the same verdicts, few as they are or many."""
+    for n in (8, 60):
+        labels = spark.createDataFrame([(i, int(i >= n), 0) for i in range(2 * n)], "doc_id long, quality int, toxic int")
+        found = []
+        for deep in ("", "/x/y", "/x/y/z/u/v/w"):
+            pages = spark.createDataFrame([(i, f"http://h.net{deep}/a/b/{'' if i < n else 'c/'}{i}") for i in range(2 * n)], "page_id long, url string")
+            found.append({r.page_id: r.verdict for r in url_templates.judge(pages, labels).collect()})
+        assert found[0] == found[1] == found[2]
+        assert n == 8 or all(v == ("block" if i < n else "allow") for i, v in found[0].items())
+
+
+def test_op8_deeper_than_the_sql(spark):
+    """The SQL follows nine levels, the operator any number: a bad branch below them is told apart by the operator alone."""
+    pages = spark.createDataFrame([(i, f"http://h.net{'/d' * 12}/{'spam' if i % 2 else 'news'}/{i}") for i in range(400)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    assert {r.verdict for r in url_templates.judge(pages, labels).where("page_id % 2 = 1").collect()} == {"block"}
+    connection = duckdb.connect()
+    connection.register("pages", pages.toPandas())
+    connection.register("labels", labels.toPandas())
+    assert {t for (t,) in connection.execute(f"SELECT DISTINCT template FROM ({url_templates.OP8_SQL})").fetchall()} == {"h.net" + "/*" * (url_templates.SQL_DEPTH - 1) + "/**"}
+
+
+def test_op8_long_numbers(spark):
+    """Numbers up to 64 bits name a document; larger ones, and those in the middle of a path, name none."""
+    big = (1 << 63) - 1
+    pages = spark.createDataFrame([(i, f"http://h.net/{'a' if i < 30 else 'b'}/{big - i if i < 60 else str(big + i)}") for i in range(90)], "page_id long, url string")
+    labels = spark.createDataFrame([(big - i, int(i >= 30), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    rows = url_templates.judge(pages, labels).collect()
+    assert {(r.page_id < 30, r.verdict) for r in rows} == {(True, "block"), (False, "allow")}
+
+
+def test_op8_hot_keys(spark, monkeypatch):
+    """One host, one number and pages without numbers hold most rows; with hot keys broadcast the rows are the same."""
+    from lectern.llm import common
+
+    rows = [(i, f"http://h.net/{'spam' if i % 2 else 'news'}/{i if i % 3 else 7}") for i in range(900)] + [(1000 + i, "http://h.net/none/x") for i in range(500)] + [(2000 + i, f"http://k{i}.net/{i}") for i in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(900)], "doc_id long, quality int, toxic int")
+    expected = sorted(map(repr, url_templates.judge(pages, labels).collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    assert sorted(map(repr, url_templates.judge(pages, labels).collect())) == expected and len(expected) == 1450
+
+
 def same_as_sql(pages, labels):
     connection = duckdb.connect()
     connection.register("pages", pages.toPandas())
@@ -224,7 +268,7 @@ def test_op8_merges_like_branches(spark):
     labels = [(i, int((i // 5 % 20) / 20 >= list(names.values())[i % 5]), 0) for i in range(2000)]
     found = same_as_sql(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     by_name = {n: {r.template for r in found if r.path.startswith(f"/{n}/")} for n in names}
-    assert by_name["spam"] == by_name["junk"] == {"h.net/{+}/*"} and by_name["news"] == by_name["blog"] == {"h.net/{-}/*"}
+    assert by_name["spam"] == by_name["junk"] == {"h.net/{+}/**"} and by_name["news"] == by_name["blog"] == {"h.net/{-}/**"}
     assert by_name["ads"] not in (by_name["spam"], by_name["news"])
 
 
