@@ -1,4 +1,4 @@
-"""Dense vectors: normalising, hashing embedder, exact and inverted-file cosine search."""
+"""Dense vectors: normalising, hashing embedder, exact cosine search, clustering into lists."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import tokens
@@ -146,79 +146,3 @@ def cluster(vectors: DataFrame, n_lists: int, seed: int = 7) -> tuple[DataFrame,
     rows = vectors.withColumn("features", array_to_vector(normalize(F.col("embedding"))))
     model = KMeans(k=n_lists, seed=seed, distanceMeasure="cosine", predictionCol="cid", maxIter=10).fit(rows)
     return model.transform(rows).drop("features"), [np.asarray(c) for c in model.clusterCenters()]
-
-
-def _reach(clustered: DataFrame, centroids: np.ndarray) -> np.ndarray:
-    """Per list the angle from its centroid to its farthest vector."""
-    shared = clustered.sparkSession.sparkContext.broadcast(centroids)
-
-    def nearness(batches):
-        for batch in batches:
-            if batch.num_rows:
-                cids = batch.column(0).to_numpy(zero_copy_only=False)
-                near = np.einsum("ij,ij->i", _unit(_matrix(batch.column(1))), shared.value[cids])
-                yield pa.RecordBatch.from_arrays([pa.array(cids, type=pa.int32()), pa.array(near)], names=["cid", "near"])
-
-    rows = clustered.select("cid", "embedding").mapInArrow(nearness, "cid int, near double").groupBy("cid").agg(F.min("near")).collect()
-    found = np.ones(len(centroids))
-    for cid, near in rows:
-        found[cid] = near
-    return np.arccos(np.clip(found, -1, 1))
-
-
-def _search_lists(clustered: DataFrame, ids: np.ndarray, wanted: np.ndarray, reads: np.ndarray, k: int, decimals: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of the lists that ``reads`` (queries x lists) names for each query."""
-    shared = clustered.sparkSession.sparkContext.broadcast((ids, wanted, reads))
-
-    def best(batches):
-        ids, wanted, reads = shared.value
-        for batch in batches:
-            cids = batch.column(2).to_numpy(zero_copy_only=False)
-            for cid in np.unique(cids):
-                inside = cids == cid
-                own, who = batch.column(0).to_numpy(zero_copy_only=False)[inside], np.nonzero(reads[:, cid])[0]
-                matrix = _unit(_matrix(batch.column(1).filter(pa.array(inside))))
-                for start in range(0, len(who), 1024):
-                    some = who[start : start + 1024]
-                    scores = np.round(wanted[some] @ matrix.T, decimals)
-                    scores[ids[some][:, None] == own[None, :]] = -np.inf
-                    order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-                    values = np.take_along_axis(scores, order, axis=1)
-                    keep = values >= -2
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(ids[some], keep.sum(axis=1))), pa.array(own[order][keep]), pa.array(values[keep])],
-                        names=["query_id", "vec_id", "score"],
-                    )
-
-    found = clustered.select("vec_id", "embedding", "cid").mapInArrow(best, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def probe(clustered: DataFrame, centroids: list, queries: DataFrame, k: int, n_probe: int, decimals: int = 6, query_bytes: int = QUERY_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(rows as of ``batch_top_k``, query_id and the number of lists that it read).
-
-    The ``n_probe`` lists whose centroids are nearest come first. Any other list is read too if
-    the angle to its farthest vector lets it hold one as near as the k-th found in those, so no
-    neighbour is lost: by how much fewer lists are read depends on how well the vectors cluster.
-    """
-    spark = clustered.sparkSession
-    centers = _unit(np.array(centroids, dtype=np.float64))
-    reach = _reach(clustered, centers)
-    n, dim = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    blocks, found, lists = max(1, -(-(n * (dim or 1) * 8) // query_bytes)), None, None
-    for number in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).select("query_id", "embedding").collect()
-        ids = np.array([r[0] for r in rows], dtype=np.int64)
-        wanted = _unit(np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), centers.shape[1]))
-        near = np.clip(wanted @ centers.T, -1, 1)
-        reads = np.zeros(near.shape, dtype=bool)
-        np.put_along_axis(reads, np.argsort(-near, axis=1, kind="stable")[:, :n_probe], True, axis=1)
-        kth = dict(_search_lists(clustered, ids, wanted, reads, k, decimals).where(F.col("rank") == k).select("query_id", "score").collect())
-        least = np.array([kth.get(i, -2.0) for i in ids.tolist()])
-        # Two vectors may tie after rounding, so a bound that falls short by less than a last digit still counts.
-        reads |= np.cos(np.maximum(np.arccos(near) - reach, 0)) >= least[:, None] - 2 * 10.0**-decimals
-        part = _search_lists(clustered, ids, wanted, reads, k, decimals)
-        count = spark.createDataFrame(list(zip(ids.tolist(), reads.sum(axis=1).tolist())), "query_id long, lists int")
-        found, lists = (part, count) if found is None else (found.unionByName(part), lists.unionByName(count))
-    return found, lists

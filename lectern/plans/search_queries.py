@@ -27,7 +27,7 @@ from lectern.plans.base import (
     table,
     vector_top,
 )
-from lectern.sources.shared import scratch
+from lectern.sources.shared import scratch, state
 
 K = 10
 
@@ -130,16 +130,46 @@ def hash_embed(spark, sf_dir):
     return vectors.hash_embed(chunks(spark, sf_dir), DIM, *bm25.KEY).select(*bm25.KEY, "bucket", F.round("weight", 6).alias("weight"))
 
 
-@query("ivf_recall")
+EXACT = """WITH u AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_dot_product(q.e, d.e), 6) AS score FROM u q JOIN u d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0),
+exact AS (SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10)"""
+LISTS, PROBE = 16, 4
+#: Folders of inverted files that are stored already, by application and state of the table.
+_files: dict[tuple, str] = {}
+
+
+def inverted_file(spark, sf_dir):
+    """(hits, reads) of every embedding with vec_id % 100 = 0 in a stored inverted file of all of them."""
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "document_id")
+    path = f"{sf_dir}/embeddings.parquet"
+    key = (spark.sparkContext.applicationId, path, state(spark, path))
+    if key not in _files:
+        folder = scratch(spark, "inverted-file")
+        vector_store.create(rows, folder, LISTS)
+        _files[key] = folder
+    return vector_store.search(_files[key], rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), K, PROBE)
+
+
+@query("ivf_topk", f"{EXACT} SELECT * FROM exact")
+def ivf_topk(spark, sf_dir):
+    """Nearest neighbours from lists and 8-bit codes: the same as those of an exact search."""
+    return inverted_file(spark, sf_dir)[0]
+
+
+@query("ivf_recall", f"{EXACT} SELECT query_id, count(*) AS k, count(*) AS found FROM exact GROUP BY query_id")
 def ivf_recall(spark, sf_dir):
-    """Per query how many of the exact ten nearest an inverted-file search finds, and how many of its lists it reads."""
+    """Per query how many of the exact ten nearest the inverted file finds: the SQL states that none is lost."""
     rows = table(spark, sf_dir, "embeddings")
+    found = inverted_file(spark, sf_dir)[0].select("query_id", "vec_id", F.lit(1).alias("hit"))
     queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    clustered, centroids = vectors.cluster(rows, 16)
-    found, lists = vectors.probe(clustered, centroids, queries, K, 4)
-    hits = found.select("query_id", "vec_id", F.lit(1).alias("hit"))
-    exact = vectors.batch_top_k(rows, queries, K).join(hits, ["query_id", "vec_id"], "left")
-    return exact.groupBy("query_id").agg(F.count("*").alias("k"), F.count("hit").alias("found")).join(lists, "query_id")
+    exact = vectors.batch_top_k(rows, queries, K).join(found, ["query_id", "vec_id"], "left")
+    return exact.groupBy("query_id").agg(F.count("*").alias("k"), F.count("hit").alias("found"))
+
+
+@query("ivf_reads")
+def ivf_reads(spark, sf_dir):
+    """Per query how many lists and codes, of a byte per dimension, the inverted file reads for it."""
+    return inverted_file(spark, sf_dir)[1].withColumn("code_bytes", F.col("codes") * DIM)
 
 
 @query(

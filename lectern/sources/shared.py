@@ -33,6 +33,11 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def state(spark: SparkSession, path: str) -> tuple[int, int]:
     """Bytes and last change of a file or folder: another state means other content."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,28 +62,72 @@ def test_vectors(spark):
 
 def test_inverted_file_recall(spark):
     """Every query of the batch search, with the mean recall that is asked for."""
-    from lectern.plans.search_queries import K, ivf_recall
+    from lectern.plans.search_queries import K, ivf_reads, ivf_recall
 
     for folder in ("/root/testdata/sf0.001", "/root/testdata/sf0.1"):
-        rows = ivf_recall(spark, folder).collect()
+        rows, reads = ivf_recall(spark, folder).collect(), ivf_reads(spark, folder).collect()
         asked = {r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").where("vec_id % 100 = 0").collect()}
-        assert {r.query_id for r in rows} == asked and len(rows) == len(asked)
-        assert all(r.k == K and 4 <= r.lists <= 16 for r in rows)
+        assert {r.query_id for r in rows} == asked == {r.query_id for r in reads} and len(rows) == len(reads) == len(asked)
+        assert all(r.k == K and 4 <= c.lists <= 16 for r, c in zip(rows, reads))
         assert sum(r.found for r in rows) / sum(r.k for r in rows) >= 0.9
 
 
-def test_inverted_file_skips_lists(spark):
-    """Where vectors do cluster, lists are left unread and nothing is lost."""
-    draw = random.Random(3)
-    centers = [[draw.gauss(0, 1) for _ in range(8)] for _ in range(12)]
-    rows = [(i, [x + draw.gauss(0, 0.05) for x in centers[i % 12]]) for i in range(600)]
-    rows = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+def planted(n, lists, dim, spread, seed=3):
+    draw = random.Random(seed)
+    centers = [[draw.gauss(0, 1) for _ in range(dim)] for _ in range(lists)]
+    return [(i, i % 5, [x + draw.gauss(0, spread) for x in centers[i % lists]]) for i in range(n)]
+
+
+def test_inverted_file_skips_lists(spark, tmp_path):
+    """Where vectors do cluster, lists are left unread and nothing is lost; the plan reads the asked lists' folders only."""
+    rows = spark.createDataFrame(planted(600, 12, 8, 0.05), "vec_id long, document_id int, embedding array<double>")
+    path = f"file://{tmp_path}/ivf"
+    vector_store.create(rows, path, 12)
     queries = rows.where("vec_id < 36").select(F.col("vec_id").alias("query_id"), "embedding")
-    clustered, centroids = vectors.cluster(rows, 12)
-    found, lists = vectors.probe(clustered, centroids, queries, 10, 1, query_bytes=1024)
+    found, reads = vector_store.search(path, queries, 10, 1, query_bytes=1024)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, vectors.batch_top_k(rows, queries, 10).collect()))
-    counts = [r.lists for r in lists.collect()]
-    assert len(counts) == 36 and sum(counts) < 36 * 6
+    counts = reads.collect()
+    assert len(counts) == 36 and sum(r.lists for r in counts) < 36 * 6 and sum(r.codes for r in counts) < 36 * 300
+    narrow = vector_store.search(path, queries, 10, 1, widen=False)[1].collect()
+    assert {r.lists for r in narrow} == {1}
+
+
+def test_inverted_file_plan(spark, tmp_path):
+    """Codes and vectors are read by folders, and codes take a byte where the vectors' floats take four."""
+    rows = spark.createDataFrame(planted(400, 8, 16, 0.1), "vec_id long, document_id int, embedding array<float>")
+    path = f"file://{tmp_path}/ivf"
+    vector_store.create(rows, path, 8)
+    codes, lists, quantizer = vector_store.live_codes(spark, path), vector_store.lists_of(spark, path), vector_store.quantizer_of(spark, path)
+    ids, wanted = np.array([3]), vectors._unit(np.array([rows.where("vec_id = 3").first().embedding]))
+    reads = np.arange(8)[None, :] < 2
+    kept = vector_store._survivors(codes, (ids, wanted, reads, np.full(1, -np.inf), quantizer, lists.slack), 5, 6)
+    scored = vector_store._scored(vector_store.live(spark, path), kept, ids, wanted, [0, 1], 6)
+    for frame in (kept, scored):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        filters = [line for line in plan.splitlines() if "PartitionFilters" in line]
+        assert filters and all("cid" in line.split("PartitionFilters: [")[1].split("]")[0] for line in filters)
+    assert codes.agg(F.sum(F.octet_length("code"))).first()[0] * 4 == 400 * 16 * 4
+    wrong = vectors._unit(np.array([r.embedding for r in rows.collect()]))
+    assert np.abs(quantizer.decode(quantizer.encode(wrong)) - wrong).max() <= quantizer.step.max() / 2 + 1e-12
+
+
+def test_vector_batches(spark, tmp_path):
+    """A batch whose last table is missing is not read; vectors beyond the codes' range are found; an id may come again after its delete."""
+    rows = spark.createDataFrame(planted(200, 4, 6, 0.3), "vec_id long, document_id int, embedding array<double>")
+    path = f"file://{tmp_path}/vectors"
+    vector_store.create(rows.where("vec_id < 100"), path, 4)
+    vector_store.insert(rows.where("vec_id >= 100"), path)
+    far = spark.createDataFrame([(1000, 9, [0.0, 0.0, 0.0, 0.0, 0.0, -5.0]), (1001, 9, [0.0, 0.0, 0.0, 0.0, 0.1, -5.0])], rows.schema)
+    vector_store.insert(far, path)
+    queries = rows.unionByName(far).where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = lambda table: sorted(map(tuple, vectors.batch_top_k(table, queries, 3).collect()))
+    assert sorted(map(tuple, vector_store.search(path, queries, 3, 1)[0].collect())) == exact(rows.unionByName(far))
+    spark.read.parquet(f"{path}/vectors/batch=2").write.partitionBy("cid").parquet(f"{path}/vectors/batch=3")  # a writer that died
+    assert vector_store.live(spark, path).count() == 202
+    vector_store.delete(far.select("document_id"), path)
+    assert sorted(map(tuple, vector_store.search(path, queries, 3, 1)[0].collect())) == exact(rows)
+    vector_store.insert(far.where("vec_id = 1000"), path)
+    assert sorted(map(tuple, vector_store.search(path, queries, 3, 1)[0].collect())) == exact(rows.unionByName(far.where("vec_id = 1000")))
 
 
 def test_trim(spark):
