@@ -8,25 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS, Settings
-from lectern.operators import answer, bm25, fusion, vectors
+from lectern.operators import answer, bm25, fusion, segments, vectors
+from lectern.sources.shared import scratch, written
 
 DIM = 64
 
 
-def hits(chunks: DataFrame, index: bm25.Index, embedded: DataFrame, queries: DataFrame, top_k: int, threshold: float, scope: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
-    """query_id, rank, key, scores, content, source, page_number of the best chunks of each query.
+def hits(spark: SparkSession, path: str, queries: DataFrame, top_k: int, threshold: float, scope: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """query_id, rank, key, scores, content, source, page_number of the best chunks of each query in a stored index.
 
-    ``embedded`` has the chunks' keys and embeddings. ``scope`` (document_id) limits both legs; the
+    Its chunks (see ``segments``) have an embedding besides. ``scope`` (document_id) limits both legs; the
     keyword weights stay those of all chunks.
     """
     wide = settings.over_fetch * top_k
-    keyword = bm25.search(index, queries, wide, scope, settings)
+    keyword = segments.search(path, queries, wide, scope, settings)
+    embedded = segments.chunks(spark, path)
     if scope is not None:
         embedded = bm25.scoped(embedded, scope)
     wanted = vectors.embed(queries, DIM, "text").select("query_id", "embedding")
     vector = vectors.nearest(embedded, wanted, bm25.KEY, wide, threshold, "vector_score")
     found = fusion.weighted(vector.drop("rank"), keyword.drop("rank"), settings.alpha, top_k)
-    return found.join(chunks, bm25.KEY)
+    return segments.shown(spark, path, written(found, scratch(spark, "tool-hits")), "content", "source", "page_number")
+
+
+def ingest(chunks: DataFrame, path: str) -> None:
+    """Add chunks (document_id, chunk_index, content, source, page_number) to the index that searches read."""
+    segments.add(vectors.embed(bm25.count_tokens(chunks), DIM), path)
 
 
 def valid_arguments(query: str, top_k: int, document_ids: Sequence | None, settings: Settings = DEFAULTS) -> None:
@@ -39,26 +46,25 @@ def valid_arguments(query: str, top_k: int, document_ids: Sequence | None, setti
         raise ValueError("a document id is missing")
 
 
-def search_knowledge_base(chunks: DataFrame, query: str, top_k: int = DEFAULTS.top_k, document_ids: Sequence | None = None, threshold: float = DEFAULTS.threshold, settings: Settings = DEFAULTS) -> str:
-    """The best chunks as numbered text, or the fixed text for nothing found.
+def search_knowledge_base(spark: SparkSession, path: str, query: str, top_k: int = DEFAULTS.top_k, document_ids: Sequence | None = None, threshold: float = DEFAULTS.threshold, settings: Settings = DEFAULTS) -> str:
+    """The best chunks of a stored index as numbered text, or the fixed text for nothing found; nothing is indexed or embedded but the query.
 
-    ``chunks``: document_id, chunk_index, content, source, page_number. Arguments that are not valid raise ValueError.
+    Arguments that are not valid raise ValueError.
     """
     valid_arguments(query, top_k, document_ids, settings)
-    spark = chunks.sparkSession
     queries = spark.createDataFrame([(0, query)], "query_id long, text string")
     scope = None
     if document_ids:
-        scope = spark.createDataFrame([(d,) for d in document_ids], f"document_id {chunks.schema['document_id'].dataType.simpleString()}")
-    embedded = vectors.embed(chunks, DIM).select(*bm25.KEY, "embedding")
-    found = hits(chunks, bm25.build(chunks, settings), embedded, queries, top_k, threshold, scope, settings)
+        kind = segments.chunks(spark, path).schema["document_id"].dataType.simpleString()
+        scope = spark.createDataFrame([(d,) for d in document_ids], f"document_id {kind}")
+    found = hits(spark, path, queries, top_k, threshold, scope, settings)
     return answer.or_nothing(queries, answer.tool_text(found)).first()["text"]
 
 
-def call(chunks: DataFrame, query: str, top_k: int = DEFAULTS.top_k, document_ids: Sequence | None = None, **options) -> str:
+def call(spark: SparkSession, path: str, query: str, top_k: int = DEFAULTS.top_k, document_ids: Sequence | None = None, **options) -> str:
     """As a model calls it: an error becomes a text that the model can read."""
     try:
-        return search_knowledge_base(chunks, query, top_k, document_ids, **options)
+        return search_knowledge_base(spark, path, query, top_k, document_ids, **options)
     except Exception as error:  # the model decides what to do about it
         return f"{answer.FAILED}{error}"
 

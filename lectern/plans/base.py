@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS
-from lectern.operators import bm25, chunking, vectors
+from lectern.operators import bm25, chunking, segments, vectors
 from lectern.sources import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,11 +53,11 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-_built: dict[tuple, tuple[DataFrame, bm25.Index]] = {}
+_built: dict[tuple, str] = {}
 
 
-def knowledge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bm25.Index]:
-    """(chunks with content, tokens and embedding; their keyword index) of a folder's documents.
+def knowledge(spark: SparkSession, sf_dir: str) -> str:
+    """Where a folder's documents are indexed: chunks with content, tokens and embedding, and their keyword index.
 
     Built once per application and state of the documents, in the shared folder, as a service
     ingests once and then searches; every search reads the stored tables.
@@ -66,20 +66,18 @@ def knowledge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bm25.Index]:
     key = (spark.sparkContext.applicationId, path, shared.state(spark, path))
     if key not in _built:
         folder = shared.scratch(spark, "knowledge")
-        rows = vectors.embed(bm25.count_tokens(chunks(spark, sf_dir)), DIM)
-        rows = shared.written(rows, f"{folder}/chunks")
-        keep = lambda df, name: shared.written(df, f"{folder}/{name}")  # noqa: E731, B023
-        _built[key] = rows, bm25.index_of(rows.select(*bm25.KEY, "dl", "toks", "tfs"), keep=keep)
+        segments.add(vectors.embed(bm25.count_tokens(chunks(spark, sf_dir)), DIM), folder)
+        _built[key] = folder
     return _built[key]
 
 
 def keyword_top(spark: SparkSession, sf_dir: str, queries: DataFrame, k: int, scope: DataFrame | None = None) -> DataFrame:
-    return bm25.search(knowledge(spark, sf_dir)[1], queries, k, scope)
+    return segments.search(knowledge(spark, sf_dir), queries, k, scope)
 
 
 def vector_top(spark: SparkSession, sf_dir: str, queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
     wanted = vectors.embed(queries, DIM, "text").select("query_id", "embedding")
-    return vectors.nearest(knowledge(spark, sf_dir)[0], wanted, bm25.KEY, k, threshold, "vector_score")
+    return vectors.nearest(segments.chunks(spark, knowledge(spark, sf_dir)), wanted, bm25.KEY, k, threshold, "vector_score")
 
 
 CHUNKS = f"""chunks AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS
-from lectern.operators import answer, bm25, fusion, tool, vector_store, vectors
+from lectern.operators import answer, bm25, fusion, segments, tool, vector_store, vectors
 from lectern.plans.base import (
     CHUNKS,
     DIM,
@@ -27,7 +27,7 @@ from lectern.plans.base import (
     table,
     vector_top,
 )
-from lectern.sources.shared import scratch, state
+from lectern.sources.shared import scratch, state, written
 
 K = 10
 
@@ -37,7 +37,7 @@ K = 10
     f"WITH {INDEX} SELECT (SELECT n FROM stats) AS n_chunks, round((SELECT mean_dl FROM stats), 6) AS mean_dl, count(*) AS n_tokens, (SELECT sum(tf) FROM tf)::BIGINT AS n_occurrences FROM idf",
 )
 def token_stats(spark, sf_dir):
-    index = knowledge(spark, sf_dir)[1]
+    index = segments.index(spark, knowledge(spark, sf_dir))
     return index.stats.crossJoin(index.tf.agg(F.count_distinct("tok").alias("n_tokens"), F.sum("tf").alias("n_occurrences"))).select(
         F.col("n").alias("n_chunks"), F.round("mean_dl", 6).alias("mean_dl"), "n_tokens", "n_occurrences"
     )  # two single rows
@@ -45,7 +45,7 @@ def token_stats(spark, sf_dir):
 
 @query("bm25_idf", f"WITH {INDEX} SELECT tok, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, sf_dir):
-    return knowledge(spark, sf_dir)[1].idf.select("tok", F.round("idf", 6).alias("idf"))
+    return segments.index(spark, knowledge(spark, sf_dir)).idf.select("tok", F.round("idf", 6).alias("idf"))
 
 
 @query(
@@ -76,6 +76,24 @@ def bm25_batch(spark, sf_dir):
     return keyword_top(spark, sf_dir, benchmark_queries(spark, sf_dir), K)
 
 
+CHANGED = INDEX.replace("FROM documents,", "FROM documents d,").replace("WHERE length(text) > 0)", "WHERE length(text) > 0 AND d.doc_id % 5 <> 3)")
+
+
+@query("bm25_after_changes", f"WITH {CHANGED}, {MANY}, {SCORES}, {KEYWORD_TOP.format(k=K)} SELECT query_id, rank::INTEGER AS rank, document_id, chunk_index, bm25_score FROM keyword_top")
+def bm25_after_changes(spark, sf_dir):
+    """An index that grew by three segments, lost documents before and after a merge, and got some back: as if built from what is left."""
+    rows, path = bm25.count_tokens(chunks(spark, sf_dir)), scratch(spark, "changing-index")
+    gone = lambda *rests: rows.where((F.col("document_id") % 5).isin(*rests)).select("document_id")
+    segments.add(rows.where("document_id % 2 = 0"), path)
+    segments.add(rows.where("document_id % 2 = 1 and document_id % 3 > 0"), path)
+    segments.delete(gone(3, 4), path)
+    segments.merge(spark, path)
+    segments.add(rows.where("document_id % 2 = 1 and document_id % 3 = 0"), path)
+    segments.add(rows.where("document_id % 5 = 4 and not (document_id % 2 = 1 and document_id % 3 = 0)"), path)
+    segments.delete(gone(3), path)
+    return segments.search(path, benchmark_queries(spark, sf_dir), K)
+
+
 # ---- vectors
 
 QUERY_VECTOR = [round(((i * 7) % 13 - 6) / 10, 1) for i in range(DIM)]
@@ -265,8 +283,8 @@ def retrieved(spark, sf_dir, queries, k=DEFAULTS.top_k):
     """Hits with content and source: the content is joined to the few best only."""
     vector, keyword = legs(spark, sf_dir, queries, k)
     hits = fusion.weighted(vector.drop("rank"), keyword.drop("rank"), DEFAULTS.alpha, k)
-    content = knowledge(spark, sf_dir)[0].select(*bm25.KEY, "content", "source")
-    return hits.join(content, bm25.KEY).withColumn("page_number", F.lit(None).cast("int"))
+    hits = written(hits, scratch(spark, "hits"))
+    return segments.shown(spark, knowledge(spark, sf_dir), hits, "content", "source").withColumn("page_number", F.lit(None).cast("int"))
 
 
 RETRIEVED = f"{legs_sql(MANY, DEFAULTS.top_k)}, hits AS (WITH {fused_sql(_MIXED.format(a=0.6, b=0.4), DEFAULTS.top_k)}), retrieved AS (SELECT * FROM hits JOIN chunks USING (document_id, chunk_index))"
@@ -292,15 +310,15 @@ def rerank_overlap(spark, sf_dir):
     queries = benchmark_queries(spark, sf_dir)
     vector, keyword = legs(spark, sf_dir, queries)
     hits = fusion.weighted(vector.drop("rank"), keyword.drop("rank"), DEFAULTS.alpha, 2 * K)
-    hits = hits.join(knowledge(spark, sf_dir)[0].select(*bm25.KEY, "content"), bm25.KEY)
+    hits = segments.shown(spark, knowledge(spark, sf_dir), written(hits, scratch(spark, "hits")), "content")
     return fusion.reranked(hits, queries, fusion.overlap, DEFAULTS.top_k).select("query_id", "rank", *bm25.KEY, "rerank_score")
 
 
 @query("search_function", f"WITH {legs_sql(ONE, 7)}, hits AS (WITH {fused_sql(_MIXED.format(a=0.6, b=0.4), 7)}) SELECT rank, document_id, chunk_index, score, md5(content) AS content_md5, source FROM hits JOIN chunks USING (document_id, chunk_index)")
 def search_function(spark, sf_dir):
     """The search tool as a table function in SQL."""
-    rows, index = knowledge(spark, sf_dir)
-    tool.register(spark, rows, index)
+    path = knowledge(spark, sf_dir)
+    tool.register(spark, segments.chunks(spark, path), segments.index(spark, path))
     return spark.sql(f"SELECT rank, document_id, chunk_index, score, md5(content) AS content_md5, source FROM kb_search('{QUESTION}', 7)")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import sql
 from lectern.functions import text as T
 from lectern.sources.shared import scratch
-from lectern.operators import answer, bm25, catalog, chunking, conversation
+from lectern.operators import answer, bm25, catalog, chunking, conversation, segments
 from lectern.plans.base import CHUNKS, DIM, FILENAME, INDEX, KEYWORD_TOP, MANY, OVERLAP, SCORES, SIZE, STATUS, benchmark_queries, chunks, query, table
 from lectern.streaming import ingest, threads
 
@@ -299,11 +299,6 @@ def patch_by_id(spark, sf_dir):
     return catalog.patched(rows, "doc_id", 5, {"lang": F.lit("completed")})
 
 
-@query("orders_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 100")
-def orders_page(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").offset(100).limit(20)
-
-
 # ---- streams
 
 
@@ -327,7 +322,7 @@ def indexed(spark, sf_dir):
     rows = rows.select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("/in/"), F.expr(FILENAME)).alias("path"), "text")
     windows = lambda docs: chunking.fixed(docs, SIZE, OVERLAP)
     ingest.index_stream(spark, rows, folder, f"{folder}/state", DIM, split=windows).awaitTermination()
-    return ingest.index(spark, folder)
+    return folder
 
 
 @query(
@@ -340,20 +335,29 @@ FROM d LEFT JOIN sizes ON document_id = doc_id""",
 )
 def ingest_status(spark, sf_dir):
     """The latest status of every document that an index stream read."""
-    return indexed(spark, sf_dir)[2]
+    return ingest.index(spark, indexed(spark, sf_dir))[2]
 
 
 @query(
     "ingest_search",
-    f"""WITH good AS (SELECT * FROM documents WHERE NOT ends_with({FILENAME}, '.docx')), {INDEX.replace('FROM documents,', 'FROM good,')}, {MANY}, {SCORES}, {KEYWORD_TOP.format(k=3)}
-SELECT query_id, rank::INTEGER AS rank, document_id::VARCHAR AS document_id, chunk_index, bm25_score FROM keyword_top""",
+    f"""WITH good AS (SELECT * REPLACE (doc_id::VARCHAR AS doc_id) FROM (SELECT * FROM documents WHERE NOT ends_with({FILENAME}, '.docx'))), {INDEX.replace('FROM documents,', 'FROM good,')}, {MANY}, {SCORES}, {KEYWORD_TOP.format(k=3)}
+SELECT query_id, rank::INTEGER AS rank, document_id, chunk_index, bm25_score FROM keyword_top""",
 )
 def ingest_search(spark, sf_dir):
     """Keyword search over what the index stream wrote; documents that failed are not in it."""
-    chunks, index, _ = indexed(spark, sf_dir)
-    numbered = bm25.Index(index.postings.withColumn("document_id", F.col("document_id").cast("long")), index.idf, index.stats)
-    found = bm25.search(numbered, benchmark_queries(spark, sf_dir), 3)
-    return found.withColumn("document_id", F.col("document_id").cast("string"))
+    return segments.search(f"{indexed(spark, sf_dir)}/index", benchmark_queries(spark, sf_dir), 3)
+
+
+@query("replayed_stream", "SELECT doc_id, md5(text) AS text_md5 FROM documents")
+def replayed_stream(spark, sf_dir):
+    """Documents that arrive twice, in two batches of a stream, are kept once each, and those with equal texts all."""
+    folder, rows = scratch(spark, "replayed-stream"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    for hour in (0, 1):
+        rows.withColumn("arrived", F.lit(f"2024-01-01 0{hour}:00:00").cast("timestamp")).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("doc_id long, text string, arrived timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    docs = stream.select(F.col("doc_id").alias("document_id"), "text", "arrived", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    ingest.once(docs, "arrived", "2 hours").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(F.col("document_id").alias("doc_id"), F.md5("text").alias("text_md5"))
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lectern.config import DEFAULTS, Settings
-from lectern.operators import bm25, catalog, chunking, vectors
+from lectern.operators import bm25, catalog, chunking, segments, vectors
 from lectern.sources import files
 
 
@@ -41,16 +41,15 @@ def stage(name: str, seq: int, **more: Column) -> list[Column]:
 def index_batch(documents: DataFrame, target: str, number: int, dim: int, split: Callable[[DataFrame], DataFrame], provider: str = "hashing") -> None:
     """Parse, cut, count and embed documents (document_id, path, text); write their chunks and their status log.
 
-    Both are written under the batch's number and overwritten when the batch runs again, so a
-    restart repeats nothing. The log's entries come from what was written.
+    The chunks become a segment of the index under the batch's number, which is added once; the log is
+    overwritten when the batch runs again, so a restart repeats nothing. The log's entries come from what was written.
     """
     spark = documents.sparkSession
     good, failed = files.parse(documents)
     cut = split(good.select("document_id", "source", "file_type", F.col("content").alias("text"))).drop("text")
     cut = cut.withColumn("chunk_index", F.col("chunk_index").cast("int")).select("document_id", "chunk_index", "content", "source", "file_type")
-    rows = vectors.embed(bm25.count_tokens(cut), dim, provider=provider)
-    rows.write.mode("overwrite").parquet(f"{target}/chunks/batch={number}")
-    chunks = spark.read.schema(rows.schema).parquet(f"{target}/chunks/batch={number}")
+    segments.add(vectors.embed(bm25.count_tokens(cut), dim, provider=provider), f"{target}/index", number)
+    chunks = segments.of_batch(spark, f"{target}/index", number)
     sizes = chunks.groupBy("document_id").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("size"))
     done = good.select("document_id").join(sizes, "document_id", "left")
     count, size = F.coalesce("n", F.lit(0)).cast("bigint"), F.coalesce("size", F.lit(0)).cast("bigint")
@@ -71,12 +70,20 @@ def index_stream(spark: SparkSession, documents: DataFrame, target: str, checkpo
 
 def index(spark: SparkSession, target: str, settings: Settings = DEFAULTS) -> tuple[DataFrame, bm25.Index, DataFrame]:
     """(chunks, keyword index, latest status of each document) of all batches so far; weights are those of all chunks."""
-    chunks = spark.read.parquet(f"{target}/chunks")
+    path = f"{target}/index"
     log = spark.read.parquet(f"{target}/status")
     latest = catalog.latest(log.withColumn("at", F.struct("batch", "seq")), "document_id", "at").drop("at", "seq", "batch")
-    return chunks, bm25.index_of(chunks.select(*bm25.KEY, "dl", "toks", "tfs"), settings), latest
+    return segments.chunks(spark, path), segments.index(spark, path, settings), latest
 
 
 def first_of_each(chunks: DataFrame) -> DataFrame:
-    """Contents that come again, as when a file is processed twice, once."""
-    return chunks.dropDuplicates(["content_hash"])
+    """A document's contents that come again, as when a file is processed twice, once; other documents keep theirs."""
+    return chunks.dropDuplicates(["document_id", "content_hash"])
+
+
+def once(stream: DataFrame, arrived: str, delay: str) -> DataFrame:
+    """The same for a stream: a document's content that comes again within ``delay`` of its first arrival is dropped.
+
+    The state of a content is dropped when the watermark has passed it, so it stays as large as ``delay`` asks for.
+    """
+    return stream.withWatermark(arrived, delay).dropDuplicatesWithinWatermark(["document_id", "content_hash"])

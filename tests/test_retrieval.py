@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions import sql
 from lectern.functions import text as T
-from lectern.operators import answer, bm25, catalog, conversation, fusion, tool, vector_store, vectors
-from lectern.sources import files
+from lectern.operators import answer, bm25, catalog, conversation, fusion, segments, tool, vector_store, vectors
+from lectern.sources import files, snapshots
+from lectern.sources.shared import written
 from lectern.streaming import ingest
 
 TEXTS = ["spark runs sql", "spark streams events fast", "vector search engine", "spark vector index"]
@@ -176,15 +177,18 @@ def test_catalog(spark):
     assert [r.conv_id for r in catalog.search_conversations(titled, "0% O").collect()] == [1]
 
 
-def test_search_tool(spark):
+def test_search_tool(spark, tmp_path):
     chunks = spark.createDataFrame([(i, 0, t, f"file{i}.txt", i + 1) for i, t in enumerate(TEXTS)], "document_id long, chunk_index int, content string, source string, page_number int")
-    text = tool.search_knowledge_base(chunks, "events fast", top_k=2, threshold=0.1)
+    path = f"file://{tmp_path}/knowledge"
+    tool.ingest(chunks.where("document_id < 2"), path)
+    tool.ingest(chunks.where("document_id >= 2"), path)
+    text = tool.search_knowledge_base(spark, path, "events fast", top_k=2, threshold=0.1)
     # The vector leg's only hit is also its lowest, so its normalised score is 0; the keyword leg has chunks of score 0 besides.
     assert text == "[文档 1] file1.txt - 第 2 页 (相关度: 0.40)\nspark streams events fast\n\n[文档 2] file0.txt - 第 1 页 (相关度: 0.00)\nspark runs sql"
-    assert tool.search_knowledge_base(chunks, "events fast", document_ids=[9], threshold=0.9) == answer.NOTHING_FOUND
+    assert tool.search_knowledge_base(spark, path, "events fast", document_ids=[9], threshold=0.9) == answer.NOTHING_FOUND
     for query, k in (("", 5), ("x", 0), ("x", 21)):
         with pytest.raises(ValueError):
-            tool.search_knowledge_base(chunks, query, k)
+            tool.search_knowledge_base(spark, path, query, k)
 
 
 def test_search_agrees_with_all_pairs(spark, index):
@@ -252,12 +256,14 @@ def test_rerank(spark):
     assert [(r.document_id, r.rerank_score) for r in found] == [(1, 0.666667), (3, 0.666667), (0, 0.333333)]
 
 
-def test_tool_call(spark):
+def test_tool_call(spark, tmp_path):
     """As a model calls it, errors are texts."""
     chunks = spark.createDataFrame([(i, 0, t, "f", 1) for i, t in enumerate(TEXTS)], "document_id long, chunk_index int, content string, source string, page_number int")
-    assert tool.call(chunks, "", 5) == answer.FAILED + "the query is empty"
-    assert tool.call(chunks, "x", 21) == answer.FAILED + "top_k must be 1 to 20"
-    assert tool.call(chunks, "events fast", 2, threshold=0.1).startswith("[文档 1] f")
+    path = f"file://{tmp_path}/knowledge"
+    tool.ingest(chunks, path)
+    assert tool.call(spark, path, "", 5) == answer.FAILED + "the query is empty"
+    assert tool.call(spark, path, "x", 21) == answer.FAILED + "top_k must be 1 to 20"
+    assert tool.call(spark, path, "events fast", 2, threshold=0.1).startswith("[文档 1] f")
     rows = vectors.embed(bm25.count_tokens(chunks), tool.DIM)
     tool.register(spark, rows, bm25.index_of(rows), name="kb_few")
     found = spark.sql("SELECT * FROM kb_few('spark vector', 2)").collect()
@@ -317,5 +323,94 @@ def test_sql_functions(spark):
 
 
 def test_repeated_ingest_counts_once(spark):
-    rows = spark.createDataFrame([("d1", "h1"), ("d2", "h1"), ("d3", "h2")], "document_id string, content_hash string")
-    assert ingest.first_of_each(rows).count() == 2
+    rows = spark.createDataFrame([("d1", "h1"), ("d1", "h1"), ("d2", "h1"), ("d3", "h2")], "document_id string, content_hash string")
+    assert sorted(map(tuple, ingest.first_of_each(rows).collect())) == [("d1", "h1"), ("d2", "h1"), ("d3", "h2")]
+
+
+def test_replayed_documents(spark, tmp_path):
+    """Batches that come again, late or after a restart, add nothing; equal texts of two documents both stay; after the delay a text may come again."""
+    schema = "document_id string, content_hash string, arrived timestamp"
+    at = lambda hour: datetime.datetime(2024, 1, 1, hour)
+
+    def run(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = ingest.once(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "arrived", "3 hours")
+        out = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+        out.trigger(availableNow=True).start().awaitTermination()
+        return sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("document_id", "content_hash").collect()))
+
+    first = [("d1", "h", at(1)), ("d2", "h", at(1))]
+    assert run(*first) == [("d1", "h"), ("d2", "h")]
+    assert run(*first, ("d3", "g", at(3))) == [("d1", "h"), ("d2", "h"), ("d3", "g")]
+    assert run(("d1", "h", at(2)), ("d4", "k", at(12))) == [("d1", "h"), ("d2", "h"), ("d3", "g"), ("d4", "k")]
+    assert run(("d1", "h", at(12))) == [("d1", "h"), ("d1", "h"), ("d2", "h"), ("d3", "g"), ("d4", "k")]
+
+
+def as_built(rows, queries, k, scope=None):
+    return sorted(map(tuple, bm25.search(bm25.build(rows), queries, k, scope).collect()))
+
+
+def test_segments(spark, tmp_path):
+    """Inserts, deletes, merges and documents that come back: every search is as of an index of the living chunks."""
+    draw = random.Random(6)
+    text = lambda: " ".join(draw.choice(["spark", "vector", "index", *[f"w{i}" for i in range(60)]]) for _ in range(draw.randrange(0, 30)))
+    rows = [(d, c, text() or None) for d in range(60) for c in range(draw.randrange(1, 4))]
+    table = spark.createDataFrame(rows, "document_id long, chunk_index int, content string")
+    queries = spark.createDataFrame([(0, "spark vector"), (1, "w1 w2 w3 w3"), (2, ""), (3, None), (4, "absent"), (5, "w9")], "query_id long, text string")
+    path, some = f"file://{tmp_path}/index", lambda *ids: table.where(F.col("document_id").isin(*ids))
+    found = lambda k=7, scope=None: sorted(map(tuple, segments.search(path, queries, k, scope).collect()))
+    counted = bm25.count_tokens(table)
+    segments.add(counted.where("document_id < 20"), path)
+    assert found() == as_built(table.where("document_id < 20"), queries, 7)
+    segments.add(counted.where("document_id >= 20"), path)
+    assert found() == as_built(table, queries, 7)
+    for size in (10, 1 << 20):
+        assert sorted(map(tuple, segments.search(path, queries, 3, query_bytes=size).collect())) == as_built(table, queries, 3)
+    scope = spark.createDataFrame([(3,), (31,), (31,)], "document_id long")
+    assert found(4, scope) == as_built(table, queries, 4, scope)
+    gone = spark.createDataFrame([(3,), (40,), (41,), (777,)], "document_id long")
+    segments.delete(gone, path)
+    left = table.where("document_id not in (3, 40, 41)")
+    assert found() == as_built(left, queries, 7) and found(4, scope) == as_built(left, queries, 4, scope)
+    segments.add(bm25.count_tokens(some(40)), path)
+    left = table.where("document_id not in (3, 41)")
+    assert found() == as_built(left, queries, 7)
+    before = snapshots.read(spark, path)
+    segments.merge(spark, path)
+    after = snapshots.read(spark, path)
+    assert found() == as_built(left, queries, 7) and len(after.folders("postings")) == 1 < len(before.folders("postings"))
+    idf = lambda index: {r.tok: round(r.idf, 9) for r in index.idf.collect()}
+    assert idf(segments.index(spark, path)) == idf(bm25.build(left)) == idf(segments.index(spark, path, version=before.version))
+    assert sorted(map(tuple, segments.search(path, queries, 7, version=1).collect())) == as_built(table, queries, 7)  # an older version stays
+
+
+def test_segments_touch_their_batch_only(spark, tmp_path):
+    """What is stored stays as it is when a batch is added; a batch that comes again is not added; a writer that dies leaves no trace."""
+    path = f"file://{tmp_path}/index"
+    rows = bm25.count_tokens(spark.createDataFrame([(i, 0, t) for i, t in enumerate(TEXTS)], "document_id long, chunk_index int, content string"))
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "index").rglob("*") if p.is_file()}
+    segments.add(rows.where("document_id < 2"), path, 0)
+    old = files()
+    segments.add(rows.where("document_id >= 2"), path, 1)
+    assert old.items() <= files().items()
+    now = segments.add(rows, path, 1)
+    assert now.version == 1 and segments.chunks(spark, path).count() == 4 and segments.of_batch(spark, path, 1).count() == 2
+    segments._write_segment(rows, path, 9)  # not committed
+    assert segments.chunks(spark, path).count() == 4
+    with pytest.raises(snapshots.Conflict):
+        snapshots.commit(spark, path, now)
+    with pytest.raises(ValueError, match="no version"):
+        snapshots.read(spark, path, 7)
+
+
+def test_segments_read_asked_buckets(spark, tmp_path, monkeypatch):
+    """A search for two words reads the folders of these words' buckets, and pushes the words to the scan."""
+    path = f"file://{tmp_path}/index"
+    texts = [(i, 0, f"word{i % 50} other{i % 7} common{i % 3}") for i in range(400)]
+    segments.add(bm25.count_tokens(spark.createDataFrame(texts, "document_id long, chunk_index int, content string")), path)
+    plans = []
+    monkeypatch.setattr(segments, "written", lambda df, path: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, path))
+    found = segments.search(path, spark.createDataFrame([(0, "word7 other3")], "query_id long, text string"), 5).collect()
+    assert len(found) == 5 and found[0].bm25_score > 0
+    scans = [line for plan in plans for line in plan.splitlines() if "FileScan" in line and "docs#" in line]
+    assert scans and all("bucket" in line.split("PartitionFilters: [")[1].split("PushedFilters")[0] and "word7" in line.split("PushedFilters: [")[1] for line in scans)
