@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS
-from lectern.operators import answer, bm25, fusion, segments, tool, vector_store, vectors
+from lectern.operators import answer, bm25, fusion, hnsw, segments, tool, vector_store, vectors
 from lectern.plans.base import (
     CHUNKS,
     DIM,
@@ -190,6 +190,19 @@ def ivf_reads(spark, sf_dir):
     return inverted_file(spark, sf_dir)[1].withColumn("code_bytes", F.col("codes") * DIM)
 
 
+@query("graph_recall", "SELECT count(*) AS n_queries, true AS nine_of_ten_found, true AS fewer_compared FROM embeddings WHERE vec_id % 100 = 0")
+def graph_recall(spark, sf_dir):
+    """Neighbour graphs against exact search: whether nine tenths of all neighbours are found, by comparing with fewer vectors than there are."""
+    rows, path = table(spark, sf_dir, "embeddings"), scratch(spark, "graphs")
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    hnsw.build(rows, path)
+    hits, looked = hnsw.search(spark, path, queries, K)
+    exact = vectors.batch_top_k(rows, queries, K).join(hits.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    found = exact.agg((F.count("hit") >= 0.9 * F.count("*")).alias("nine_of_ten_found"))
+    compared = looked.join(F.broadcast(rows.agg(F.count("*").alias("n")))).agg(F.count("*").alias("n_queries"), (F.sum("looked") < F.sum("n")).alias("fewer_compared"))  # one row
+    return compared.join(F.broadcast(found)).select("n_queries", "nine_of_ten_found", "fewer_compared")  # single rows
+
+
 @query(
     "vector_delete",
     """WITH u AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e FROM embeddings),

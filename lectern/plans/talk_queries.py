@@ -378,3 +378,39 @@ def thread_state_stream(spark, sf_dir):
     writer.start().awaitTermination()
     rows = spark.read.schema("conv_id long, n_messages long, turns array<long>, texts array<string>, batch int").parquet(f"{folder}/updates")
     return catalog.latest(rows, "conv_id", "batch").select("conv_id", "n_messages", F.md5(F.array_join("texts", "|")).alias("last_md5"))
+
+
+ARRIVALS = "CASE WHEN turn < 2 THEN 0 WHEN turn < 5 THEN 1 ELSE 2 END"
+HISTORY_SQL = f"""WITH m AS (SELECT conv_id, turn, role, text, {ARRIVALS} AS batch FROM conversations),
+c AS (SELECT conv_id, batch, row_number() OVER (PARTITION BY conv_id ORDER BY batch) AS checkpoint_id FROM (SELECT DISTINCT conv_id, batch FROM m)),
+s AS (SELECT c.conv_id, checkpoint_id, turn, role, text, row_number() OVER (PARTITION BY c.conv_id, checkpoint_id ORDER BY turn DESC) AS n FROM c JOIN m ON m.conv_id = c.conv_id AND m.batch <= c.batch)"""
+
+
+def arriving(spark, sf_dir):
+    """(folder, rows) of the conversations as a stream with history: three arrivals, each read by a stream that starts anew."""
+    folder, rows = scratch(spark, "thread-history"), table(spark, sf_dir, "conversations")
+    for batch in range(3):
+        rows.where(f"{ARRIVALS} = {batch}").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        out = threads.with_history(stream, 3).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        out.trigger(availableNow=True).start().awaitTermination()
+    return folder, spark.read.schema(threads.HISTORY).parquet(f"{folder}/out")
+
+
+@query(
+    "thread_history_stream",
+    f"{HISTORY_SQL} SELECT conv_id, checkpoint_id, (checkpoint_id > 1)::BIGINT AS has_parent, count(*) AS n_messages, md5(string_agg(CASE WHEN n <= 3 THEN text END, '|' ORDER BY turn)) AS last_md5 FROM s GROUP BY conv_id, checkpoint_id",
+)
+def thread_history_stream(spark, sf_dir):
+    """Every checkpoint of every thread, with its parent and its newest messages."""
+    rows = arriving(spark, sf_dir)[1]
+    has_parent = (F.coalesce("parent_id", F.lit(0)) == F.col("checkpoint_id") - 1) & (F.col("checkpoint_id") > 1)
+    return rows.select("conv_id", "checkpoint_id", has_parent.cast("long").alias("has_parent"), "n_messages", F.md5(F.concat_ws("|", "texts")).alias("last_md5"))
+
+
+@query("thread_state_at", f"{HISTORY_SQL} SELECT conv_id, checkpoint_id, turn, role, md5(text) AS text_md5 FROM s")
+def thread_state_at(spark, sf_dir):
+    """All messages that each thread had at each of its checkpoints, read back from the stream's state."""
+    state = f"{arriving(spark, sf_dir)[0]}/state"
+    found = threads.state_at(spark, state, threads.checkpoints(spark, state))
+    return found.select("conv_id", "checkpoint_id", "turn", "role", F.md5("text").alias("text_md5"))

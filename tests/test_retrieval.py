@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from lectern.functions import sql
 from lectern.functions import text as T
-from lectern.operators import answer, bm25, catalog, conversation, fusion, segments, tool, vector_store, vectors
+from lectern.operators import answer, bm25, catalog, conversation, fusion, hnsw, segments, tool, vector_store, vectors
 from lectern.sources import files, snapshots
 from lectern.sources.shared import written
-from lectern.streaming import ingest
+from lectern.streaming import ingest, threads
 
 TEXTS = ["spark runs sql", "spark streams events fast", "vector search engine", "spark vector index"]
 
@@ -131,6 +131,52 @@ def test_vector_batches(spark, tmp_path):
     assert sorted(map(tuple, vector_store.search(path, queries, 3, 1)[0].collect())) == exact(rows.unionByName(far.where("vec_id = 1000")))
 
 
+@pytest.mark.parametrize("shard", [300, 4096])
+def test_graph_search(spark, tmp_path, shard):
+    """Recall over all queries of the small table, in one shard or several, and fewer vectors looked at than a scan needs."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    path = f"file://{tmp_path}/graphs"
+    hnsw.build(rows.coalesce(1), path, shard)
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    hits, looked = hnsw.search(spark, path, queries, 10)
+    found, exact = {(r.query_id, r.vec_id): r.score for r in hits.collect()}, vectors.batch_top_k(rows, queries, 10).collect()
+    assert len(found) == 200 and sum((r.query_id, r.vec_id) in found for r in exact) >= 180
+    assert all(found[r.query_id, r.vec_id] == pytest.approx(r.score, abs=2e-6) for r in exact if (r.query_id, r.vec_id) in found)
+    looks = [r.looked for r in looked.collect()]
+    # Small shards are looked through nearly whole, and their entries in every layer.
+    assert len(looks) == 20 and (max(looks) < 2100 if shard == 300 else sum(looks) < 0.7 * 20 * 2000)
+
+
+def test_graph_structure():
+    """Layers thin out, links stay within bounds and reach every node of a layer from its first."""
+    draw = np.random.default_rng(1)
+    units = vectors._unit(draw.normal(size=(500, 8))).astype(np.float32)
+    layers = hnsw.graph(np.arange(500), units, 6)
+    sizes = [len(layer["nodes"]) for layer in layers]
+    assert sizes[0] == 500 and all(a > b for a, b in zip(sizes, sizes[1:])) and len(sizes) >= 2
+    for height, layer in enumerate(layers):
+        degrees = np.diff(layer["starts"])
+        assert degrees.max() <= (24 if height == 0 else 12) and set(layer["links"]) <= set(layer["nodes"])
+        place, reached, waiting = {n: i for i, n in enumerate(layer["nodes"])}, set(), [layer["nodes"][0]]
+        while waiting:
+            node = waiting.pop()
+            if node not in reached:
+                reached.add(node)
+                waiting += layer["links"][layer["starts"][place[node]] : layer["starts"][place[node] + 1]]
+        assert len(reached) >= 0.98 * sizes[height]
+
+
+def test_graph_odd(spark, tmp_path):
+    rows = [(0, None), (1, [3.0, 4.0]), (2, [4.0, 3.0]), (3, [1.0]), (4, [float("nan"), 1.0]), (5, [0.0, 0.0]), (None, [1.0, 1.0]), (1, [3.0, 4.0])]
+    rows = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    path = f"file://{tmp_path}/graphs"
+    hnsw.build(rows, path, 2)
+    found = hnsw.search(spark, path, rows.where("vec_id in (2, 5)").select(F.col("vec_id").alias("query_id"), "embedding"), 5)[0].collect()
+    assert {(r.query_id, r.vec_id, r.score) for r in found} == {(2, 1, 0.96), (2, 5, 0.0), (5, 1, 0.0), (5, 2, 0.0)}
+    hnsw.build(rows.limit(0), f"{path}-none")
+    assert hnsw.search(spark, f"{path}-none", rows.select(F.col("vec_id").alias("query_id"), "embedding"), 5)[0].count() == 0
+
+
 def test_trim(spark):
     talk = [(c, t, "system" if t == 0 and c != 3 else "user", str(t)) for c, n in ((1, 11), (2, 12), (3, 12)) for t in range(n)]
     rows = conversation.trim(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("t"))
@@ -414,3 +460,41 @@ def test_segments_read_asked_buckets(spark, tmp_path, monkeypatch):
     assert len(found) == 5 and found[0].bm25_score > 0
     scans = [line for plan in plans for line in plan.splitlines() if "FileScan" in line and "docs#" in line]
     assert scans and all("bucket" in line.split("PartitionFilters: [")[1].split("PushedFilters")[0] and "word7" in line.split("PushedFilters: [")[1] for line in scans)
+
+
+def test_thread_history(spark, tmp_path):
+    """Four starts of a stream: what comes again makes no checkpoint, an edited turn is a new version, older states stay readable."""
+    schema = "conv_id long, turn long, role string, text string"
+    source, state = f"{tmp_path}/in", f"{tmp_path}/state"
+
+    def run(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
+        out = threads.with_history(spark.readStream.schema(schema).parquet(source), 2).writeStream.format("parquet")
+        out.option("path", f"{tmp_path}/out").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+    run((1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "x"))
+    run((1, 2, "user", "c"), (2, 0, "user", "x"))
+    run((1, 0, "user", "a"), (1, 1, "assistant", "B"))
+    run((2, 1, "assistant", None), (1, 2, "user", "c"))
+    rows = {(r.conv_id, r.checkpoint_id): (r.parent_id, r.n_messages, r.turns, r.texts) for r in spark.read.schema(threads.HISTORY).parquet(f"{tmp_path}/out").collect()}
+    assert rows == {
+        (1, 1): (None, 2, [0, 1], ["a", "b"]), (2, 1): (None, 1, [0], ["x"]), (1, 2): (1, 3, [1, 2], ["b", "c"]),
+        (1, 3): (2, 3, [1, 2], ["B", "c"]), (2, 2): (1, 2, [0, 1], ["x", None]),
+    }
+    known = threads.checkpoints(spark, state)
+    assert {tuple(r) for r in known.collect()} == {(k[0], k[1], v[0], v[1]) for k, v in rows.items()}
+    found = {}
+    for r in threads.state_at(spark, state, known).collect():
+        found.setdefault((r.conv_id, r.checkpoint_id), {})[r.turn] = r.text
+    assert found == {(1, 1): {0: "a", 1: "b"}, (1, 2): {0: "a", 1: "b", 2: "c"}, (1, 3): {0: "a", 1: "B", 2: "c"}, (2, 1): {0: "x"}, (2, 2): {0: "x", 1: None}}
+
+
+def test_thread_state_over_batches(spark, tmp_path):
+    """The newest messages after each of three starts: the state of the earlier ones is read back."""
+    schema, newest = "conv_id long, turn long, text string", {}
+    for batch in range(3):
+        spark.createDataFrame([(c, 2 * batch + t, f"{c}-{2 * batch + t}") for c in range(batch, 4) for t in range(2)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = threads.last_messages(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 3)
+        put = lambda rows, _: newest.update({r.conv_id: (r.n_messages, r.texts) for r in rows.collect()})
+        stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{tmp_path}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    assert newest == {0: (2, ["0-0", "0-1"]), 1: (4, ["1-1", "1-2", "1-3"]), 2: (6, ["2-3", "2-4", "2-5"]), 3: (6, ["3-3", "3-4", "3-5"])}
