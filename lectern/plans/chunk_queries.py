@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import catalog, chunking
-from lectern.plans.base import CHUNKS, FILENAME, STATUS, chunks, query, table
+from lectern.plans.base import CHUNKS, FILENAME, OVERLAP, SIZE, STATUS, chunks, query, table
 from lectern.sources import files
 
 @query("chunk_fixed", f"WITH {CHUNKS} SELECT document_id, chunk_index, content FROM chunks")
@@ -129,6 +129,35 @@ def chunk_recursive(spark, sf_dir):
     return chunking.recursive(table(spark, sf_dir, "documents")).select("doc_id", "chunk_index", "content")
 
 
+@query(
+    "chunk_recursive_checked",
+    """SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) > 0 AS has_chunks, true AS gapless, true AS none_too_long, true AS all_from_text, true AS in_order, true AS nothing_lost
+FROM documents""",
+)
+def chunk_recursive_checked(spark, sf_dir):
+    """What holds for every text's chunks: numbers without gaps, none longer than the size, all found in the text in this order, no character but white space lost."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = chunking.recursive(docs).select("doc_id", "chunk_index", "content").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("chunks"))
+    rows = docs.join(rows, "doc_id", "left").withColumn("chunks", F.coalesce("chunks", F.expr("array()")))
+    # Each chunk is looked for from the overlap before the end so far; what lies between an end and the next start is no text.
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit(True).alias("found"), F.lit(True).alias("whole"))
+
+    def step(state, chunk):
+        at = F.call_function("locate", chunk["content"], F.col("text"), F.greatest(state["at"], state["end"] - OVERLAP) + 1)
+        between = F.when(at - 1 > state["end"], F.substr("text", state["end"] + 1, at - 1 - state["end"])).otherwise("")
+        end = F.greatest(state["end"], at - 1 + F.length(chunk["content"]))
+        return F.struct((at - 1).alias("at"), end.alias("end"), (state["found"] & (at > 0)).alias("found"), (state["whole"] & ~between.rlike(r"\S")).alias("whole"))
+
+    walked = F.aggregate("chunks", start, step)
+    rows = rows.withColumn("walked", walked)
+    rest = F.substr("text", F.col("walked.end") + 1, F.length("text"))
+    return rows.select(
+        "doc_id", (F.size("chunks") > 0).alias("has_chunks"), F.forall(F.transform("chunks", lambda c, i: c["chunk_index"] == i), lambda x: x).alias("gapless"),
+        F.forall("chunks", lambda c: F.length(c["content"]) <= SIZE).alias("none_too_long"), F.forall("chunks", lambda c: F.contains(F.col("text"), c["content"])).alias("all_from_text"),
+        F.col("walked.found").alias("in_order"), (F.col("walked.whole") & ~rest.rlike(r"\S")).alias("nothing_lost"),
+    )
+
+
 @query(
     "validate_upload",
     f"""WITH f AS (SELECT doc_id, {FILENAME} AS filename, n_chars * 3000 AS size FROM documents)
@@ -200,7 +229,11 @@ def document_lookup(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.col("doc_id") == 42).select("doc_id", "lang", "source", "n_chars").limit(1)
 
 
-@query("page_text", "SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<[^>]*>', ' ', 'g'))) > 0 AS has_text, url FROM pages")
+@query(
+    "page_text",
+    "SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS text_md5, url FROM pages",
+)
 def page_text(spark, sf_dir):
+    """Pages without tags, scripts and styles, white space put together."""
     bare = F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]*>", " ")
-    return table(spark, sf_dir, "pages").select("page_id", (F.length(F.trim(bare)) > 0).alias("has_text"), "url")
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(F.trim(F.regexp_replace(bare, r"\s+", " "))).alias("text_md5"), "url")

@@ -43,7 +43,14 @@ def token_stats(spark, sf_dir):
     )  # two single rows
 
 
-@query("bm25_idf", f"WITH {INDEX} SELECT tok, round(idf, 6) AS idf FROM idf")
+#: Each chunk's different tokens are counted at once: no table of occurrences is made for the weights alone.
+WEIGHTS = f"""{CHUNKS},
+kinds AS MATERIALIZED (SELECT list_distinct(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) AS toks FROM chunks),
+dfs AS MATERIALIZED (SELECT tok, count(*) AS df FROM (SELECT unnest(toks) AS tok FROM kinds) GROUP BY tok),
+raws AS MATERIALIZED (SELECT tok, ln((SELECT count(*) FROM kinds) - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM dfs)"""
+
+
+@query("bm25_idf", f"WITH {WEIGHTS} SELECT tok, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END, 6) AS idf FROM raws")
 def bm25_idf(spark, sf_dir):
     return segments.index(spark, knowledge(spark, sf_dir)).idf.select("tok", F.round("idf", 6).alias("idf"))
 

@@ -299,6 +299,29 @@ def patch_by_id(spark, sf_dir):
     return catalog.patched(rows, "doc_id", 5, {"lang": F.lit("completed")})
 
 
+@query("orders_page", "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 100")
+def orders_page(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return catalog.page(rows, [F.col("o_totalprice").desc(), F.col("o_orderkey")], 100, 20)
+
+
+POSTED = """m AS (SELECT conv_id, turn, role, text, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(turn::BIGINT) AS created_at FROM conversations)"""
+
+
+@query(
+    "posted_conversations",
+    f"""WITH {POSTED} SELECT conv_id, md5(arg_min(CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END, turn)) AS title_md5, count(*) AS message_count,
+  min(created_at) AS created_at, coalesce(max(created_at) FILTER (role = 'assistant'), min(created_at)) AS updated_at FROM m GROUP BY conv_id""",
+)
+def posted_conversations(spark, sf_dir):
+    """Conversations posted in three parts, one of them twice: titles from their first messages, counts, and when a reply last came."""
+    folder, rows = scratch(spark, "posted"), table(spark, sf_dir, "conversations").withColumn("created_at", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, turn)"))
+    for part, name in (("turn < 2", "a"), ("turn >= 2 and turn % 2 = 0", "b"), ("turn >= 2 and turn % 2 = 0", "b"), ("turn >= 2 and turn % 2 = 1", "c")):
+        conversation.post(rows.where(part), folder, name)
+    found = conversation.listed(spark, folder)
+    return found.select("conv_id", F.md5("title").alias("title_md5"), "message_count", "created_at", "updated_at")
+
+
 # ---- streams
 
 
