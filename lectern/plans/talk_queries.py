@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import sql
 from lectern.functions import text as T
 from lectern.sources.shared import scratch
-from lectern.operators import answer, bm25, catalog, chunking, conversation, segments
+from lectern.operators import answer, bm25, catalog, chunking, conversation, segments, trigrams
 from lectern.plans.base import CHUNKS, DIM, FILENAME, INDEX, KEYWORD_TOP, MANY, OVERLAP, SCORES, SIZE, STATUS, benchmark_queries, chunks, query, table
 from lectern.streaming import ingest, threads
 
@@ -213,6 +213,25 @@ def conv_search(spark, sf_dir):
     return catalog.search_conversations(found, "TION").select("conv_id", "title", "last_message")
 
 
+_TITLED = "titled AS (SELECT conv_id, CASE WHEN length(f) > 50 THEN substr(f, 1, 50) || '...' ELSE f END AS title FROM (SELECT conv_id, min_by(text, turn) AS f FROM conversations WHERE role = 'user' GROUP BY conv_id))"
+
+
+@query(
+    "conv_search_many",
+    f"""WITH {_CONV}, {_TITLED}, seen AS (SELECT * FROM shown LEFT JOIN titled USING (conv_id)),
+patterns AS (SELECT DISTINCT CASE WHEN conv_id % 3 = 0 THEN translate(substr(text, 4, 6), 'abcdefghijklm', 'ABCDEFGHIJKLM') WHEN conv_id % 3 = 1 THEN substr(text, 2, 4) ELSE substr(text, 1, 3) END AS pattern FROM conversations)
+SELECT pattern, conv_id FROM patterns JOIN seen ON coalesce(contains(lower(title), lower(pattern)), false) OR coalesce(contains(lower(last_message), lower(pattern)), false)""",
+)
+def conv_search_many(spark, sf_dir):
+    """Pieces of all messages as patterns, searched by trigrams in the titles and last messages of all conversations."""
+    rows, folder = messages(spark, sf_dir), scratch(spark, "trigrams")
+    trigrams.build(catalog.conversations(rows).join(conversation.titles(rows), "conv_id", "left"), folder, "conv_id", "title", "last_message")
+    text = F.col("text")
+    piece = F.when(F.col("conv_id") % 3 == 0, F.translate(F.substring(text, 4, 6), "abcdefghijklm", "ABCDEFGHIJKLM")).when(F.col("conv_id") % 3 == 1, F.substring(text, 2, 4)).otherwise(F.substring(text, 1, 3))
+    patterns = table(spark, sf_dir, "conversations").select(piece.alias("pattern")).where("pattern is not null").distinct().select(F.col("pattern").alias("pattern_id"), "pattern")
+    return trigrams.search(spark, folder, patterns, "conv_id", "title", "last_message").withColumnRenamed("pattern_id", "pattern")
+
+
 _DAYS = f"floor((epoch_us({NOW}) - epoch_us(ts)) / 86400e6)"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import sql
 from lectern.functions import text as T
-from lectern.operators import answer, bm25, catalog, conversation, fusion, hnsw, segments, tool, vector_store, vectors
+from lectern.operators import answer, bm25, catalog, conversation, fusion, hnsw, segments, tool, trigrams, vector_store, vectors
 from lectern.sources import files, snapshots
 from lectern.sources.shared import written
 from lectern.streaming import ingest, threads
@@ -498,3 +498,31 @@ def test_thread_state_over_batches(spark, tmp_path):
         put = lambda rows, _: newest.update({r.conv_id: (r.n_messages, r.texts) for r in rows.collect()})
         stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{tmp_path}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
     assert newest == {0: (2, ["0-0", "0-1"]), 1: (4, ["1-1", "1-2", "1-3"]), 2: (6, ["2-3", "2-4", "2-5"]), 3: (6, ["3-3", "3-4", "3-5"])}
+
+
+def test_trigram_search(spark, tmp_path):
+    """Any pattern finds what a scan finds; long ones compare few rows."""
+    draw = random.Random(9)
+    texts = ["50% off", "500 off", "a_b", "axb", "ÄÖÜ ß end", None, "", "aaa", "aaaa", *["".join(draw.choice("ab _%c") for _ in range(draw.randrange(0, 15))) for _ in range(300)]]
+    rows = spark.createDataFrame([(i, t, texts[-i - 1]) for i, t in enumerate(texts)], "conv_id long, title string, last_message string")
+    path = f"file://{tmp_path}/trigrams"
+    trigrams.build(rows, path, "conv_id", "title", "last_message")
+    patterns = ["0% O", "a_b", "aaa", "äöü", "b", "", "_%", "none such", "ab a", None, "C%", *[t[2:8] for t in texts[9:40]]]
+    table = spark.createDataFrame(list(enumerate(patterns)), "pattern_id long, pattern string")
+    found = sorted(map(tuple, trigrams.search(spark, path, table, "conv_id", "title", "last_message").collect()))
+    expected = [(i, r.conv_id) for i, p in enumerate(patterns) if p is not None for r in rows.collect() if any(t is not None and p.lower() in t.lower() for t in (r.title, r.last_message))]
+    assert found == sorted(expected)
+    assert trigrams.candidates(spark, path, table.where("pattern = '0% O'")).count() < 5
+
+
+def test_posted_conversations(spark, tmp_path):
+    path, at = f"file://{tmp_path}/talk", lambda minute: datetime.datetime(2024, 1, 1, 0, minute)
+    make = lambda *rows: spark.createDataFrame(list(rows), "conv_id long, turn long, role string, text string, created_at timestamp")
+    conversation.post(make((1, 0, "user", "x" * 60, at(0)), (2, 0, "user", None, at(1))), path, "a")
+    conversation.post(make((1, 1, "assistant", "hi", at(5))), path, "b")
+    conversation.post(make((1, 1, "assistant", "hi", at(5))), path, "b")  # again
+    rows = {r.conv_id: tuple(r)[1:] for r in conversation.listed(spark, path).collect()}
+    assert rows == {1: ("x" * 50 + "...", 2, at(0), at(5)), 2: (None, 1, at(1), at(1))}
+    conversation.remove(spark.createDataFrame([(1,)], "conv_id long"), path)
+    assert [r.conv_id for r in conversation.listed(spark, path).collect()] == [2]
+    assert conversation.messages(spark, path, version=1).count() == 3  # older versions stay
