@@ -1,7 +1,10 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
 The kernel of two words counts their common subsequences of three characters, each weighted by
-how far it spreads, so gaps and inserted characters weaken an insult but do not hide it. A word
+how far it spreads, so gaps and inserted characters weaken an insult but do not hide it. A subsequence
+spreads over at most ``SPREAD`` characters; wider ones, which would weigh ``DECAY`` for each, do not count. So a
+letter put into every gap of a word leaves a sixth of its kernel, two a fortieth, and three nothing; three
+letters in one gap leave a quarter. A word
 carries a mark before its first character, which lets a stem count more at a word's start.
 
 Training is on labelled texts, whose labels say only that something in them is toxic. So each
@@ -11,7 +14,7 @@ anew, and is fitted again. The machine's sum over landmarks collapses into one w
 subsequence, so scoring a word needs no kernel with any landmark. A text's score is the
 calibrated margin of its two most toxic words; its words include runs of single letters put together.
 
-The fit, on the driver, works on at most ``FREQUENT`` + ``OTHERS`` + ``HARDEST`` clean words besides the toxic texts' words, and reads at most ``SAMPLE_TOXIC`` toxic and ``SAMPLE_CLEAN`` other labelled documents, those
+The fit, on the driver, works on at most ``FREQUENT`` + ``OTHERS`` + ``HARDEST`` clean words besides the toxic texts' words, on ``LANDMARKS`` landmarks, counts a clean word for at most ``MOST`` texts, and reads at most ``SAMPLE_TOXIC`` toxic and ``SAMPLE_CLEAN`` other labelled documents, those
 whose hashes are lowest, never one whose crc32(doc_id as text) mod 5 is 0; scoring reads every
 whole text.
 

@@ -364,6 +364,59 @@ def test_op9_few_labels():
     assert sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.05 * len(good)
 
 
+def brute_score(machine, text):
+    """A text's score by the definition: every subsequence of every part of every word, no tree and no memo."""
+    from itertools import combinations
+
+    found, words, run = (text or "").split(), [], ""
+    for word in [*found, ""]:
+        if len(word) == 1 and word.isalpha():
+            run += word
+        else:
+            words += [run] if len(run) > 2 else []
+            run = ""
+    margins = []
+    for word in [*found, *words]:
+        word = "".join(c for c in word.lower() if c.isalnum())
+        if len(word) < 3:
+            margins.append(-1.0)
+            continue
+        own = [word[at : at + 24] for at in range(0, len(word) - 12, 12)] if len(word) > 24 else [word]
+        values = []
+        for part in own:
+            part, total, size = "^" + part, 0.0, 0.0
+            for p in combinations(range(len(part)), 3):
+                spread = p[-1] - p[0] + 1
+                if spread <= toxicity.SPREAD:
+                    total += machine.weights.get("".join(part[i] for i in p), 0.0) * 0.6**spread
+                    size += 0.6 ** (2 * spread)
+            values.append(total / math.sqrt(size) + machine.offset)
+        margins.append(max(values))
+    top = sorted([min(1.0, max(-0.5, m)) for m in margins] + [-0.5, -0.5])[-2:]
+    a, b, c = machine.curve
+    return 1 / (1 + math.exp(-max(-50.0, min(50.0, a * top[1] + b * top[0] + c))))
+
+
+def test_op9_scores_by_definition(small_docs, odd_docs, labels):
+    """Whole texts, end to end: fitted on labelled ones, scored as the operator does and by enumeration."""
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = small_docs.collect()
+    machine = toxicity.fit([(r.text, toxic[r.doc_id]) for r in rows if r.doc_id in toxic])
+    assert machine.weights
+    margins = toxicity.Memo(lambda word: machine.margin(toxicity.normal(word)))
+    texts = [r.text for r in rows[:40]] + [r.text if r.text is None or len(r.text) < 60_000 else r.text[:2000] for r in odd_docs.collect()]
+    for text in texts:
+        assert machine.score(text, margins) == pytest.approx(brute_score(machine, text), abs=1e-9)
+
+
+def test_op9_how_gaps_weaken():
+    """The kernel of an insult with itself when letters are put in: what the docstring says."""
+    whole = toxicity.kernel("idiot", "idiot")
+    every = [toxicity.kernel("idiot", ("x" * n).join("idiot")) / whole for n in range(4)]
+    assert every[0] == 1 and 0.1 < every[1] < 0.2 and 0.01 < every[2] < 0.04 and every[3] == 0
+    assert 0.2 < toxicity.kernel("idiot", "idixxxot") / whole < 0.3
+
+
 def test_op9_insults_with_gaps(spark):
     insults = ["idiot", "moron", "pathetic", "scum"]
     words = [w * 2 + "a" for w in ("the", "and", "house", "garden", "river", "stone", "table", "window", "road", "light")]
