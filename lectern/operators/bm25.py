@@ -31,8 +31,7 @@ QUERY_BYTES = 8 << 20
 COUNTED = StructType([StructField("toks", ArrayType(StringType())), StructField("tfs", ArrayType(IntegerType()))])
 
 
-@F.arrow_udf(COUNTED)
-def counted(lists: pa.Array) -> pa.Array:
+def count_lists(lists: pa.Array) -> pa.Array:
     """Of each list of tokens the different ones and how often they occur."""
     lists = lists.fill_null([])
     coded = lists.flatten().dictionary_encode()
@@ -45,6 +44,11 @@ def counted(lists: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, toks), pa.ListArray.from_arrays(offsets, tfs)], names=["toks", "tfs"])
 
 
+@F.arrow_udf(COUNTED)
+def counted(lists: pa.Array) -> pa.Array:
+    return count_lists(lists)
+
+
 @dataclass
 class Index:
     """``postings``: key, dl, toks, tfs. ``idf``: tok, idf. ``stats``: one row n, mean_dl."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS
-from lectern.operators import answer, bm25, fusion, hnsw, segments, tool, vector_store, vectors
+from lectern.operators import answer, bm25, fusion, hnsw, segments, semantic, tool, vector_store, vectors
 from lectern.plans.base import (
     CHUNKS,
     DIM,
@@ -227,6 +227,14 @@ def vector_delete(spark, sf_dir):
     return vector_store.search(folder, queries, 5, 2)[0]
 
 
+@query("semantic_values")
+def semantic_values(spark, sf_dir):
+    """The largest singular values of the chunks' token matrix, which the learnt embedder stands on."""
+    rows = segments.chunks(spark, knowledge(spark, sf_dir))
+    values = semantic.fit(rows, 8, rounds=3).singular
+    return spark.createDataFrame([(i, round(float(v), 3)) for i, v in enumerate(values)], "nth long, value double")
+
+
 # ---- fusion
 
 
