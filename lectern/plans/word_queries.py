@@ -32,13 +32,13 @@ def lexicon_candidates(spark, sf_dir):
 
 
 CUT_SQL = r"""WITH RECURSIVE toks AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS tok FROM benchmark),
-dict AS (SELECT tok, ln(count(*)::DOUBLE / (SELECT count(*) FROM toks)) AS w FROM toks GROUP BY tok),
-runs AS (SELECT item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS run FROM benchmark),
+dict AS MATERIALIZED (SELECT tok, ln(count(*)::DOUBLE / (SELECT count(*) FROM toks)) AS w FROM toks GROUP BY tok),
+runs AS MATERIALIZED (SELECT item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS run FROM benchmark),
 edges AS (
   SELECT item_id, stop, n, coalesce(w, CASE WHEN n = 1 THEN ln(0.5::DOUBLE / (SELECT count(*) FROM toks)) END) AS w
   FROM (SELECT item_id, stop, n, substr(run, stop - n + 1, n) AS part FROM runs, unnest(range(1, length(run) + 1)) a(stop), unnest(range(1, (SELECT max(length(tok)) FROM dict) + 1)) b(n) WHERE n <= stop)
   LEFT JOIN dict ON tok = part WHERE w IS NOT NULL OR n = 1),
-packed AS (SELECT item_id, stop, list({'n': n, 'w': w}) AS es FROM edges GROUP BY item_id, stop),
+packed AS MATERIALIZED (SELECT item_id, stop, list({'n': n, 'w': w}) AS es FROM edges GROUP BY item_id, stop),
 best AS (
   SELECT item_id, 0::BIGINT AS stop, [0.0::DOUBLE] AS scores, [0::BIGINT] AS lengths FROM runs
   UNION ALL
