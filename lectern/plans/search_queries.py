@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.config import DEFAULTS
-from lectern.operators import answer, bm25, fusion, hnsw, segments, semantic, tool, vector_store, vectors
+from lectern.operators import answer, bm25, fusion, hnsw, rerank, segments, semantic, tool, vector_store, vectors
 from lectern.plans.base import (
     CHUNKS,
     DIM,
@@ -342,6 +342,47 @@ def rerank_overlap(spark, sf_dir):
     return fusion.reranked(hits, queries, fusion.overlap, DEFAULTS.top_k).select("query_id", "rank", *bm25.KEY, "rerank_score")
 
 
+def judged_hits(spark, sf_dir):
+    """Twenty fused hits of each benchmark passage with features; those that hold the whole passage are relevant. Passages are dealt into two folds."""
+    queries = benchmark_queries(spark, sf_dir)
+    vector, keyword = legs(spark, sf_dir, queries)
+    hits = fusion.weighted(vector.drop("rank"), keyword.drop("rank"), DEFAULTS.alpha, 2 * K)
+    hits = segments.shown(spark, knowledge(spark, sf_dir), written(hits, scratch(spark, "hits")), "content")
+    relevant = F.coalesce(F.contains(F.col("content"), F.col("text")), F.lit(False))
+    rows = rerank.features(hits, queries).join(queries, "query_id").withColumn("relevant", relevant).withColumn("fold", F.crc32(F.col("query_id").cast("string")) % 2)
+    return queries, written(rows.drop("text"), scratch(spark, "judged"))
+
+
+def learnt_order(queries, rows, k):
+    """Each fold's hits by a model that the other fold taught."""
+    found = None
+    for fold in (0, 1):
+        model = rerank.fit(rows.where(F.col("fold") != fold))
+        one = rerank.reranked(rows.where(F.col("fold") == fold).drop("features"), queries, model, k)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query("rerank_learnt")
+def rerank_learnt(spark, sf_dir):
+    """The five best of twenty fused hits of each passage, by a reranker that never saw the passage."""
+    queries, rows = judged_hits(spark, sf_dir)
+    return learnt_order(queries, rows, DEFAULTS.top_k).select("query_id", "rank", *bm25.KEY, "relevant", "rerank_score")
+
+
+@query(
+    "rerank_gain",
+    f"""WITH {legs_sql(MANY)}, hits AS (WITH {fused_sql(_MIXED.format(a=0.6, b=0.4), 2 * K)}),
+firsts AS (SELECT h.query_id, min(h.rank) AS first FROM hits h JOIN queries q USING (query_id) JOIN chunks c USING (document_id, chunk_index) WHERE contains(c.content, q.text) GROUP BY h.query_id)
+SELECT count(*) AS n_queries, round(avg(1 / first::DOUBLE), 6) AS fused_mrr, true AS learnt_not_below FROM firsts""",
+)
+def rerank_gain(spark, sf_dir):
+    """Mean reciprocal rank of the first hit that holds the passage, in the fused order, and whether the learnt order, on held-out passages, is as good."""
+    queries, rows = judged_hits(spark, sf_dir)
+    fused, learnt = rerank.reciprocal_rank(rows), rerank.reciprocal_rank(learnt_order(queries, rows, 2 * K)).select(F.col("mrr").alias("learnt"))
+    return fused.join(F.broadcast(learnt)).select("n_queries", F.round("mrr", 6).alias("fused_mrr"), F.coalesce(F.col("learnt") >= F.col("mrr"), F.lit(True)).alias("learnt_not_below"))  # single rows
+
+
 @query("search_function", f"WITH {legs_sql(ONE, 7)}, hits AS (WITH {fused_sql(_MIXED.format(a=0.6, b=0.4), 7)}) SELECT rank, document_id, chunk_index, score, md5(content) AS content_md5, source FROM hits JOIN chunks USING (document_id, chunk_index)")
 def search_function(spark, sf_dir):
     """The search tool as a table function in SQL."""
