@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import catalog, chunking
 from lectern.plans.base import CHUNKS, FILENAME, OVERLAP, SIZE, STATUS, chunks, query, table
-from lectern.sources import files
+from lectern.sources import files, kb
+from lectern.sources.shared import scratch
+
 
 @query("chunk_fixed", f"WITH {CHUNKS} SELECT document_id, chunk_index, content FROM chunks")
 def chunk_fixed(spark, sf_dir):
@@ -185,6 +187,16 @@ def parse_failed(spark, sf_dir):
     return files.parse(rows)[1].select("document_id", "error")
 
 
+@query("dump_segments", "SELECT md5(text) AS content_md5, count(*) AS n FROM documents WHERE regexp_matches(text, '\\S') GROUP BY ALL")
+def dump_segments(spark, sf_dir):
+    """Documents that are written as lines of JSON and read back through the data source, large files in parts."""
+    path = scratch(spark, "dump")
+    table(spark, sf_dir, "documents").select("doc_id", "text").write.json(path)
+    kb.register(spark, {".json": kb.json_lines("text")}, "kb_dump")
+    rows = spark.read.format("kb_dump").option("splitBytes", 1 << 20).load(path)
+    return rows.where("error is null").groupBy(F.md5("content").alias("content_md5")).agg(F.count("*").alias("n"))
+
+
 @query(
     "file_size_format",
     """WITH s AS (SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_extendedprice)::BIGINT AS size FROM lineitem),

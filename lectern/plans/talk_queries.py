@@ -8,8 +8,8 @@ from lectern.functions import sql
 from lectern.functions import text as T
 from lectern.sources.shared import scratch
 from lectern.operators import answer, bm25, catalog, chunking, conversation, segments, trigrams
-from lectern.plans.base import CHUNKS, DIM, FILENAME, INDEX, KEYWORD_TOP, MANY, OVERLAP, SCORES, SIZE, STATUS, benchmark_queries, chunks, query, table
-from lectern.streaming import ingest, threads
+from lectern.plans.base import CHUNKS, DIM, FILENAME, INDEX, KEYWORD_TOP, MANY, ORACLE_SQL, OVERLAP, SCORES, SIZE, STATUS, benchmark_queries, chunks, query, table
+from lectern.streaming import frames, ingest, threads
 
 NOW = "TIMESTAMP '2024-01-15 00:00:00'"
 
@@ -105,6 +105,17 @@ def event_order(spark, sf_dir):
     return answer.events(rows, cites, keys=TURN)
 
 
+@query("event_stream", ORACLE_SQL["event_order"])
+def event_stream(spark, sf_dir):
+    """The same events out of the frames that a stream of the replies wrote."""
+    rows, source, target = replies(spark, sf_dir), scratch(spark, "replies"), scratch(spark, "frames")
+    rows.write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    cite = lambda r: r.select(*TURN, F.struct(F.lit("src").alias("source"), T.snippet(F.col("content")).alias("content")).alias("citation"))
+    frames.event_stream(stream, target, scratch(spark, "frames-checkpoint"), cite, TURN).awaitTermination()
+    return frames.events(frames.written(spark, target), TURN)
+
+
 @query(
     "sse_encode",
     """SELECT conv_id, turn, 'data: {"type":"' || role || '","data":"' || replace(replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(9), '\\t') || '"}' || chr(10) || chr(10) AS frame FROM conversations""",
