@@ -78,10 +78,11 @@ def _cut(segment: str, target: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition, n, parts, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, SHARD):
-                parts.append(batch.slice(at, SHARD))
-                size += parts[-1].num_rows
-                if size >= SHARD:
+            at = 0
+            while at < batch.num_rows:  # a batch fills up the shard that the one before began
+                parts.append(batch.slice(at, SHARD - size))
+                at, size = at + parts[-1].num_rows, size + parts[-1].num_rows
+                if size == SHARD:
                     yield from shard(f"{segment}-{partition}-{n}", parts).to_batches()
                     n, parts, size = n + 1, [], 0
         if size:

@@ -526,3 +526,19 @@ def test_posted_conversations(spark, tmp_path):
     conversation.remove(spark.createDataFrame([(1,)], "conv_id long"), path)
     assert [r.conv_id for r in conversation.listed(spark, path).collect()] == [2]
     assert conversation.messages(spark, path, version=1).count() == 3  # older versions stay
+
+
+def test_shards_are_never_larger_than_stated(spark, tmp_path):
+    """Tasks of many Arrow batches cut shards of the stated size, and every chunk in them is found."""
+    rows = bm25.count_tokens(spark.range(25_000).selectExpr("id AS document_id", "0 AS chunk_index", "concat_ws(' ', 'all', 'w' || id % 5000) AS content"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        segments.add(rows, path := f"file://{tmp_path}/index")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    postings = snapshots.table(spark, path, snapshots.read(spark, path), "postings")
+    assert sorted(r[0] for r in postings.where("bucket = -1").select(F.size("ids")).collect()) == [25_000 - 3 * segments.SHARD, *[segments.SHARD] * 3]
+    queries = spark.createDataFrame([(i, f"w{i}") for i in (17, 4321)], "query_id long, text string")
+    found = segments.search(path, queries, 5).collect()
+    assert {(r.query_id, r.document_id) for r in found} == {(i, i + 5000 * n) for i in (17, 4321) for n in range(5)} and all(r.bm25_score > 0 for r in found)
