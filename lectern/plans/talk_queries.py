@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import sql
 from lectern.functions import text as T
-from lectern.sources.shared import scratch
+from lectern.sources.shared import alone, scratch
 from lectern.operators import answer, bm25, catalog, chunking, conversation, segments, trigrams
 from lectern.plans.base import CHUNKS, DIM, FILENAME, INDEX, KEYWORD_TOP, MANY, ORACLE_SQL, OVERLAP, SCORES, SIZE, STATUS, benchmark_queries, chunks, query, table
 from lectern.streaming import frames, ingest, threads
@@ -363,7 +363,7 @@ def stream_ingest(spark, sf_dir):
     """Documents arriving as files, cut into windows by a stream; the sink's table."""
     folder = scratch(spark, "stream-ingest")
     schema = table(spark, sf_dir, "documents").schema
-    ingest.chunk_stream(spark, sf_dir, f"{folder}/chunks", f"{folder}/state", schema, glob="documents.parquet", split=lambda rows: chunking.fixed(rows, SIZE, OVERLAP)).awaitTermination()
+    ingest.chunk_stream(spark, alone(f"{sf_dir}/documents.parquet"), f"{folder}/chunks", f"{folder}/state", schema, split=lambda rows: chunking.fixed(rows, SIZE, OVERLAP)).awaitTermination()
     return spark.read.parquet(f"{folder}/chunks").select("document_id", "chunk_index", F.md5("content").alias("content_md5"))
 
 
@@ -371,7 +371,7 @@ def indexed(spark, sf_dir):
     """The documents as a stream of files, indexed to the end."""
     folder = scratch(spark, "index-stream")
     schema = table(spark, sf_dir, "documents").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    rows = spark.readStream.schema(schema).parquet(alone(f"{sf_dir}/documents.parquet"))
     rows = rows.select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("/in/"), F.expr(FILENAME)).alias("path"), "text")
     windows = lambda docs: chunking.fixed(docs, SIZE, OVERLAP)
     ingest.index_stream(spark, rows, folder, f"{folder}/state", DIM, split=windows).awaitTermination()
@@ -421,7 +421,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n
 def thread_state_stream(spark, sf_dir):
     """The last three messages of every thread, kept as state while messages arrive; the last update of each thread."""
     folder = scratch(spark, "thread-state")
-    source = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    source = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).parquet(alone(f"{sf_dir}/conversations.parquet"))
     updates = threads.last_messages(source, 3)
 
     def append(batch, number):

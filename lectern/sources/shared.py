@@ -38,6 +38,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def alone(path: str) -> str:
+    """A pattern that only ``path`` meets, for file streams, which take a single file or a folder alike by a pattern alone."""
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def state(spark: SparkSession, path: str) -> tuple[int, int]:
     """Bytes and last change of a file or folder: another state means other content."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -542,3 +542,14 @@ def test_shards_are_never_larger_than_stated(spark, tmp_path):
     queries = spark.createDataFrame([(i, f"w{i}") for i in (17, 4321)], "query_id long, text string")
     found = segments.search(path, queries, 5).collect()
     assert {(r.query_id, r.document_id) for r in found} == {(i, i + 5000 * n) for i in (17, 4321) for n in range(5)} and all(r.bm25_score > 0 for r in found)
+
+
+@pytest.mark.parametrize("name", ["ingest_status", "stream_ingest", "thread_state_stream"])
+def test_streams_read_tables_of_many_files(spark, tmp_path, name):
+    """A table that is a folder of files gives the rows of the same table as one file."""
+    from lectern.plans.registry import QUERIES
+
+    for table in ("documents", "conversations"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").repartition(3).write.parquet(f"file://{tmp_path}/{table}.parquet")
+    one, many = (sorted(map(repr, QUERIES[name](spark, folder).collect())) for folder in ("/root/testdata/sf0.001", f"file://{tmp_path}"))
+    assert one == many and one
