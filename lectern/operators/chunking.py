@@ -66,57 +66,74 @@ def statistics(chunks: DataFrame, *keys: str) -> DataFrame:
 
 
 def split_recursively(text: str, size: int, overlap: int, separators: tuple[str, ...] = DEFAULTS.separators) -> list[str]:
-    """Pieces of at most ``size`` where the separators allow, cut at the most wanted separator that occurs.
+    """The pieces of ``split_spans``."""
+    return [piece for _, piece in split_spans(text, size, overlap, separators)]
+
+
+def split_spans(text: str, size: int, overlap: int, separators: tuple[str, ...] = DEFAULTS.separators, start: int = 0) -> list[tuple[int, str]]:
+    """(where it starts, piece) for pieces of at most ``size`` where the separators allow, cut at the most wanted separator that occurs.
 
     A separator stays at the start of the piece behind it. Small pieces are put together, with up
     to ``overlap`` characters carried over; pieces that are too large are cut by the separators that are left.
     """
     at = next((i for i, s in enumerate(separators) if s == "" or s in text), None)
     if at is None:
-        return [text.strip()] if text.strip() else []
+        return _stripped(start, text)
     separator, rest = separators[at], separators[at + 1 :]
     if separator == "":
         pieces = list(text)
     else:
         first, *others = text.split(separator)
         pieces = [p for p in (first, *(separator + o for o in others)) if p]
-    found: list[str] = []
+    found: list[tuple[int, str]] = []
     small: list[str] = []
+    begin = end = start
     for piece in pieces:
+        end += len(piece)
         if len(piece) < size or (separator == "" and size > 0):
             small.append(piece)
             continue
-        found += _put_together(small, size, overlap)
-        small = []
-        found += split_recursively(piece, size, overlap, rest) if rest else [piece]
-    return found + _put_together(small, size, overlap)
+        found += _put_together(small, size, overlap, begin)
+        small, begin = [], end
+        found += split_spans(piece, size, overlap, rest, end - len(piece)) if rest else [(end - len(piece), piece)]
+    return found + _put_together(small, size, overlap, begin)
+
 
+def _stripped(start: int, text: str) -> list[tuple[int, str]]:
+    left = text.lstrip()
+    return [(start + len(text) - len(left), left.rstrip())] if left else []
 
-def _put_together(pieces: list[str], size: int, overlap: int) -> list[str]:
+
+def _put_together(pieces: list[str], size: int, overlap: int, start: int) -> list[tuple[int, str]]:
     found, window, total = [], [], 0
     for piece in pieces:
         if window and total + len(piece) > size:
-            found.append("".join(window).strip())
+            found += _stripped(start, "".join(window))
             drop = 0
             while total > overlap or (total > 0 and total + len(piece) > size):
                 total -= len(window[drop])
+                start += len(window[drop])
                 drop += 1
             window = window[drop:]
         window.append(piece)
         total += len(piece)
-    found.append("".join(window).strip())
-    return [f for f in found if f]
+    return found + _stripped(start, "".join(window))
 
 
 def recursive(docs: DataFrame, size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap, separators: tuple[str, ...] = DEFAULTS.separators, text: str = "text") -> DataFrame:
     """Add chunk_index, content: the recursive splitter; its depth depends on the text, so it runs in Python by Arrow batches."""
+    return recursive_spans(docs, size, overlap, separators, text).drop("start_char")
+
+
+def recursive_spans(docs: DataFrame, size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap, separators: tuple[str, ...] = DEFAULTS.separators, text: str = "text") -> DataFrame:
+    """The same with start_char, where in the text each chunk starts."""
 
-    @pandas_udf("array<string>")
+    @pandas_udf("array<struct<start_char:int,content:string>>")
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: split_recursively(t, size, overlap, separators) if t else [])
+            yield texts.map(lambda t: [{"start_char": at, "content": piece} for at, piece in split_spans(t, size, overlap, separators)] if t else [])
 
-    return docs.select("*", F.posexplode(split(text)).alias("chunk_index", "content"))
+    return docs.select("*", F.posexplode(split(text)).alias("chunk_index", "_piece")).select(*docs.columns, "chunk_index", "_piece.*")
 
 
 def for_submission(chunks: DataFrame, page: Column | None = None) -> DataFrame:

@@ -139,16 +139,18 @@ FROM documents""",
 def chunk_recursive_checked(spark, sf_dir):
     """What holds for every text's chunks: numbers without gaps, none longer than the size, all found in the text in this order, no character but white space lost."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = chunking.recursive(docs).select("doc_id", "chunk_index", "content").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("chunks"))
+    rows = chunking.recursive_spans(docs).select("doc_id", "chunk_index", "start_char", "content").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "start_char", "content"))).alias("chunks"))
     rows = docs.join(rows, "doc_id", "left").withColumn("chunks", F.coalesce("chunks", F.expr("array()")))
-    # Each chunk is looked for from the overlap before the end so far; what lies between an end and the next start is no text.
+    # Each chunk is compared with the text where it is said to start, from the overlap before the end so far: in a text that repeats itself it
+    # stands in other places too. What lies between an end and the next start is no text.
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit(True).alias("found"), F.lit(True).alias("whole"))
 
     def step(state, chunk):
-        at = F.call_function("locate", chunk["content"], F.col("text"), F.greatest(state["at"], state["end"] - OVERLAP) + 1)
+        at = chunk["start_char"] + 1
+        here = (at > F.greatest(state["at"], state["end"] - OVERLAP)) & (F.substr("text", at, F.length(chunk["content"])) == chunk["content"])
         between = F.when(at - 1 > state["end"], F.substr("text", state["end"] + 1, at - 1 - state["end"])).otherwise("")
         end = F.greatest(state["end"], at - 1 + F.length(chunk["content"]))
-        return F.struct((at - 1).alias("at"), end.alias("end"), (state["found"] & (at > 0)).alias("found"), (state["whole"] & ~between.rlike(r"\S")).alias("whole"))
+        return F.struct((at - 1).alias("at"), end.alias("end"), (state["found"] & here).alias("found"), (state["whole"] & ~between.rlike(r"\S")).alias("whole"))
 
     walked = F.aggregate("chunks", start, step)
     rows = rows.withColumn("walked", walked)

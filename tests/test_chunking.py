@@ -62,3 +62,16 @@ def test_statistics_of_nothing(spark):
 def test_recursive_operator(spark):
     rows = chunking.recursive(texts(spark, "a b c d e f g h i j", None, ""), 7, 3).select("doc_id", "content", F.col("chunk_index"))
     assert [r.content for r in rows.orderBy("doc_id", "chunk_index").collect()] == ["a b c d", "d e f", "f g h", "h i j"]
+
+
+def test_recursive_check_of_texts_that_repeat_themselves(spark, tmp_path):
+    """Chunks of a text that says the same again and again are compared where they start, not where they are found first."""
+    from lectern.plans.registry import QUERIES
+
+    texts = ["Ier " * 5000, "De du. " * 700 + "\n" + "De " * 900, "a" * 2500, " \n ", "x  y" * 400 + "\n\n" + "ab " * 1200, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in QUERIES["chunk_recursive_checked"](spark, f"file://{tmp_path}").collect()}
+    assert all(tuple(rows[i])[2:] == (True,) * 5 for i in range(5)) and [rows[i].has_chunks for i in range(6)] == [True, True, True, False, True, False]
+    for text in texts[:5]:
+        spans = chunking.split_spans(text, 100, 20)
+        assert all(text[at : at + len(piece)] == piece for at, piece in spans) and [piece for _, piece in spans] == chunking.split_recursively(text, 100, 20)
