@@ -1,8 +1,9 @@
 """Substring search by trigrams: postings, their intersection, then verification.
 
 Every text is known by its distinct runs of three lower-case characters, kept in folders by hash of the run.
-A pattern asks for its rarest runs only; what has all of them is a candidate, and candidates alone are read and
-compared. Patterns of fewer than three characters have no runs and are compared with every text.
+A long pattern asks for its rarest runs only; what has all of them is a candidate, and candidates alone are read and
+compared. A pattern of up to ``PIECES`` characters is met by the runs of just its length, which need no comparing: each pair
+that is made is a result.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ from pyspark.sql import functions as F
 
 #: Folders of postings; runs of a pattern that are looked up.
 BUCKETS, RAREST = 16, 3
+#: Characters of the longest pattern that is met by runs of its own length.
+PIECES = 8
 
 
-def runs(text: Column) -> Column:
-    """The distinct trigrams of a text; none of a shorter one or of null."""
+def runs(text: Column, size: int = 3) -> Column:
+    """The distinct runs of ``size`` lower-case characters of a text; none of a shorter one or of null."""
     low = F.lower(text)
-    last = F.length(low) - 2
-    found = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(low, i, F.lit(3)))
+    last = F.length(low) - (size - 1)
+    found = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(low, i, F.lit(size)))
     return F.when(F.coalesce(last, F.lit(0)) > 0, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
 
@@ -60,7 +63,14 @@ def search(spark: SparkSession, path: str, patterns: DataFrame, key: str, *colum
     has = F.lit(False)
     for column in columns:
         has = has | F.coalesce(F.contains(F.lower(column), F.col("pattern")), F.lit(False))
-    met = candidates(spark, path, patterns).withColumnRenamed("key", key)
-    found = rows.join(met, key).join(low, "pattern_id").where(has).select("pattern_id", key)
-    short = low.where(F.length("pattern") < 3)
-    return found.unionByName(rows.join(F.broadcast(short), has).select("pattern_id", key))  # a stated set of short patterns
+    size = F.length("pattern")
+    sizes = [r[0] for r in low.select(size.alias("size")).distinct().where("size is not null").collect() if r[0] <= PIECES]
+    longer = low.where(size > PIECES)
+    met = candidates(spark, path, longer).withColumnRenamed("key", key)
+    found = rows.join(met, key).join(longer, "pattern_id").where(has).select("pattern_id", key)
+    if wanted := [n for n in sorted(sizes) if n > 0]:
+        pieces = F.array_distinct(F.flatten(F.array(*[runs(F.col(c), n) for c in columns for n in wanted])))
+        found = found.unionByName(rows.select(key, F.explode(pieces).alias("pattern")).join(low.where(size <= PIECES), "pattern").select("pattern_id", key))
+    if 0 in sizes:
+        found = found.unionByName(rows.join(F.broadcast(low.where(size == 0)), has).select("pattern_id", key))  # the empty pattern
+    return found

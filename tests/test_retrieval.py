@@ -553,3 +553,20 @@ def test_streams_read_tables_of_many_files(spark, tmp_path, name):
         spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").repartition(3).write.parquet(f"file://{tmp_path}/{table}.parquet")
     one, many = (sorted(map(repr, QUERIES[name](spark, folder).collect())) for folder in ("/root/testdata/sf0.001", f"file://{tmp_path}"))
     assert one == many and one
+
+
+def test_short_patterns_make_no_candidates(spark, tmp_path, monkeypatch):
+    """Patterns of up to eight characters are met by runs of their own length; the rows are those of comparing all, at any length."""
+    draw = random.Random(5)
+    some = lambda n: "".join(draw.choice("abAB é%") for _ in range(n))
+    texts = [(i, None if i % 11 == 0 else some(draw.randrange(40)), some(draw.randrange(60))) for i in range(200)] + [(900, None, None)]
+    rows = spark.createDataFrame(texts, "conv_id long, title string, last_message string")
+    trigrams.build(rows, path := f"file://{tmp_path}/trigrams", "conv_id", "title", "last_message")
+    patterns = ["", None, *{some(n) for n in range(1, 12) for _ in range(6)}]
+    table = spark.createDataFrame([(f"{i}", p) for i, p in enumerate(patterns)], "pattern_id string, pattern string")
+    found = sorted((r.pattern_id, r.conv_id) for r in trigrams.search(spark, path, table, "conv_id", "title", "last_message").collect())
+    assert found == sorted((f"{i}", k) for i, p in enumerate(patterns) if p is not None for k, *own in texts if any(t is not None and p.lower() in t.lower() for t in own))
+    asked, before = [], trigrams.candidates
+    monkeypatch.setattr(trigrams, "candidates", lambda spark, path, patterns: asked.extend(patterns.collect()) or before(spark, path, patterns))
+    trigrams.search(spark, path, table, "conv_id", "title", "last_message")
+    assert asked and all(len(r.pattern) > trigrams.PIECES for r in asked)
