@@ -95,13 +95,13 @@ def _bucket(tok: Column) -> Column:
     return F.when(tok.isNull(), -1).otherwise(F.pmod(F.xxhash64(tok), F.lit(BUCKETS))).cast("int")
 
 
-def _write_segment(rows: DataFrame, path: str, segment: int) -> tuple[dict[str, str], int, int]:
+def _write_segment(rows: DataFrame, path: str, segment: int, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[dict[str, str], int, int]:
     """(the folders of the segment's tables, its chunks, their tokens)."""
     spark = rows.sparkSession
     folders = {table: new_folder(path, table) for table in ("chunks", "postings", "terms")}
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.withColumn("segment", F.lit(segment)).repartitionByRange(tasks, *KEY).sortWithinPartitions(*KEY)
-    chunks = written(placed, folders["chunks"])
+    placed = rows.repartitionByRange(tasks, *KEY).sortWithinPartitions(*KEY)
+    chunks = written(prepare(placed).withColumn("segment", F.lit(segment)), folders["chunks"])
     shape = _shape(chunks.schema[KEY[0]].dataType)
     name = folders["postings"].rsplit("/", 1)[-1]
     postings = chunks.select(*KEY, "dl", "toks", "tfs").mapInArrow(_cut(name, to_arrow_schema(shape)), shape).withColumn("bucket", _bucket(F.col("tok")))
@@ -113,16 +113,17 @@ def _write_segment(rows: DataFrame, path: str, segment: int) -> tuple[dict[str,
     return folders, n, total
 
 
-def add(rows: DataFrame, path: str, batch: int | None = None) -> Snapshot:
+def add(rows: DataFrame, path: str, batch: int | None = None, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Snapshot:
     """Index counted chunks (key, content and others, dl, toks, tfs) as a new segment.
 
-    A ``batch`` that is in the index already is not added again, so a stream may repeat it.
+    A ``batch`` that is in the index already is not added again, so a stream may repeat it. ``prepare`` may count
+    the chunks where they have been sorted: rows are read twice to be sorted, once of them for the borders alone.
     """
     spark = rows.sparkSession
     now = snapshots.read(spark, path)
     if batch is not None and str(batch) in now.facts.get("batches", {}):
         return now
-    folders, n, total = _write_segment(rows, path, now.version + 1)
+    folders, n, total = _write_segment(rows, path, now.version + 1, prepare)
     facts = {"n": now.facts.get("n", 0) + n, "total": now.facts.get("total", 0) + total}
     if batch is not None:
         facts["batches"] = dict(list((now.facts.get("batches", {}) | {str(batch): now.version + 1}).items())[-REPEATED:])

@@ -66,7 +66,7 @@ def knowledge(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, path, shared.state(spark, path))
     if key not in _built:
         folder = shared.scratch(spark, "knowledge")
-        segments.add(vectors.embed(bm25.count_tokens(chunks(spark, sf_dir)), DIM), folder)
+        segments.add(chunks(spark, sf_dir), folder, prepare=lambda rows: vectors.embed(bm25.count_tokens(rows), DIM))
         _built[key] = folder
     return _built[key]
 

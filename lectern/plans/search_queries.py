@@ -27,6 +27,7 @@ from lectern.plans.base import (
     table,
     vector_top,
 )
+from lectern.sources import snapshots
 from lectern.sources.shared import scratch, state, written
 
 K = 10
@@ -37,9 +38,11 @@ K = 10
     f"WITH {INDEX} SELECT (SELECT n FROM stats) AS n_chunks, round((SELECT mean_dl FROM stats), 6) AS mean_dl, count(*) AS n_tokens, (SELECT sum(tf) FROM tf)::BIGINT AS n_occurrences FROM idf",
 )
 def token_stats(spark, sf_dir):
-    index = segments.index(spark, knowledge(spark, sf_dir))
-    return index.stats.crossJoin(index.tf.agg(F.count_distinct("tok").alias("n_tokens"), F.sum("tf").alias("n_occurrences"))).select(
-        F.col("n").alias("n_chunks"), F.round("mean_dl", 6).alias("mean_dl"), "n_tokens", "n_occurrences"
+    """The index knows its tokens and their number, so no table of occurrences is made."""
+    path = knowledge(spark, sf_dir)
+    kinds, total = segments.terms(spark, path).agg(F.count("*").alias("n_tokens")), snapshots.read(spark, path).facts["total"]
+    return segments.index(spark, path).stats.crossJoin(kinds).select(
+        F.col("n").alias("n_chunks"), F.round("mean_dl", 6).alias("mean_dl"), "n_tokens", F.when(F.col("n_tokens") > 0, F.lit(total).cast("long")).alias("n_occurrences")
     )  # two single rows
 
 

@@ -48,7 +48,7 @@ def index_batch(documents: DataFrame, target: str, number: int, dim: int, split:
     good, failed = files.parse(documents)
     cut = split(good.select("document_id", "source", "file_type", F.col("content").alias("text"))).drop("text")
     cut = cut.withColumn("chunk_index", F.col("chunk_index").cast("int")).select("document_id", "chunk_index", "content", "source", "file_type")
-    segments.add(vectors.embed(bm25.count_tokens(cut), dim, provider=provider), f"{target}/index", number)
+    segments.add(cut, f"{target}/index", number, lambda rows: vectors.embed(bm25.count_tokens(rows), dim, provider=provider))
     chunks = segments.of_batch(spark, f"{target}/index", number)
     sizes = chunks.groupBy("document_id").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("size"))
     done = good.select("document_id").join(sizes, "document_id", "left")

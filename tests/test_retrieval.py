@@ -570,3 +570,23 @@ def test_short_patterns_make_no_candidates(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(trigrams, "candidates", lambda spark, path, patterns: asked.extend(patterns.collect()) or before(spark, path, patterns))
     trigrams.search(spark, path, table, "conv_id", "title", "last_message")
     assert asked and all(len(r.pattern) > trigrams.PIECES for r in asked)
+
+
+def test_token_stats_make_no_occurrences(spark):
+    from lectern.plans.registry import QUERIES
+
+    assert "Generate explode" not in QUERIES["token_stats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_chunks_are_counted_once(spark, tmp_path):
+    """Sorting chunks into a segment reads them twice; what ``prepare`` adds is made once for each."""
+    counted = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def one(x):
+        counted.add(1)
+        return x
+
+    rows = spark.range(100).selectExpr("id AS document_id", "0 AS chunk_index", "'w' || id AS content")
+    segments.add(rows, f"file://{tmp_path}/index", prepare=lambda rows: bm25.count_tokens(rows.withColumn("x", one("chunk_index"))))
+    assert counted.value == 100
