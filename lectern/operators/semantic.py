@@ -8,20 +8,23 @@ its transpose with the product; a task sums its rows' part, and only the block,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import tokens
 from lectern.operators import vectors as V
 from lectern.operators.bm25 import count_lists
+from lectern.sources.shared import scratch, written
 
 #: Tokens that have vectors, the most frequent ones; vectors of the block besides the wanted; rounds; rows that are multiplied at a time.
 MOST, SPARE, ROUNDS, ROWS = 50_000, 8, 6, 512
+ENTRIES = "n int, rows binary, tokens binary, order binary, data binary"
 
 
 @dataclass
@@ -55,8 +58,26 @@ def _times(row: np.ndarray, token: np.ndarray, value: np.ndarray, n: int, basis:
     return found
 
 
+def _entries(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (toks, tfs) to blocks of the matrix: each entry's row, token and value, and the entries' order by token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, weight = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                row, token, value, n = _matrix(part.column(0), part.column(1), number, weight)
+                packed = [row.astype("<i4"), token.astype("<i4"), np.argsort(token, kind="stable").astype("<i4"), value.astype("<f8")]
+                yield pa.RecordBatch.from_arrays([pa.array([n], type=pa.int32()), *[pa.array([p.tobytes()]) for p in packed]], names=["n", "rows", "tokens", "order", "data"])
+
+    return run
+
+
 def fit(counted: DataFrame, dim: int, most: int = MOST, rounds: int = ROUNDS, seed: int = 5) -> Model:
-    """Learn from counted texts (toks, tfs), as ``bm25.count_tokens`` makes them."""
+    """Learn from counted texts (toks, tfs), as ``bm25.count_tokens`` makes them.
+
+    Tokens become numbers once; every round reads the stored entries of the matrix, a block of texts in a row.
+    """
     spark = counted.sparkSession
     rows = counted.select("toks", "tfs")
     n = rows.count()
@@ -66,17 +87,22 @@ def fit(counted: DataFrame, dim: int, most: int = MOST, rounds: int = ROUNDS, se
     rank = min(dim + SPARE, max(1, len(number)))
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(number), rank)))[0] if number else np.zeros((0, rank))
     values = np.zeros(rank)
+    entries = written(rows.mapInArrow(_entries(spark.sparkContext.broadcast((number, weight))), ENTRIES), scratch(spark, "matrix")) if rounds and number else None  # at most MOST tokens
     for _ in range(rounds if number else 0):
-        shared = spark.sparkContext.broadcast((number, weight, basis))  # at most MOST tokens
+        shared = spark.sparkContext.broadcast(basis)  # at most MOST tokens
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            number, weight, basis = shared.value
+            basis = shared.value
             total = np.zeros_like(basis)
             for batch in batches:
-                for at in range(0, batch.num_rows, ROWS):
-                    part = batch.slice(at, ROWS)
-                    row, token, value, n = _matrix(part.column(0), part.column(1), number, weight)
-                    np.add.at(total, token, _times(row, token, value, n, basis)[row] * value[:, None])
+                for n, *packed in zip(*[column.to_pylist() for column in batch.columns]):
+                    row, token, order, value = (np.frombuffer(p, kind) for p, kind in zip(packed, ("<i4", "<i4", "<i4", "<f8")))
+                    if not len(row):
+                        continue
+                    part = (_times(row, token, value, n, basis)[row] * value[:, None])[order]
+                    token = token[order]
+                    first = np.nonzero(np.diff(token, prepend=-1))[0]
+                    total[token[first]] += np.add.reduceat(part, first, axis=0)
             touched = np.nonzero(total.any(axis=1))[0]
             for at in range(0, len(touched), 4096):
                 some = touched[at : at + 4096]
@@ -85,7 +111,7 @@ def fit(counted: DataFrame, dim: int, most: int = MOST, rounds: int = ROUNDS, se
 
         sums = [F.sum(F.col("part")[i]).alias(f"s{i}") for i in range(rank)]
         product = np.zeros_like(basis)
-        for token, *values in rows.mapInArrow(run, "token long, part array<double>").groupBy("token").agg(*sums).collect():  # a row per token
+        for token, *values in entries.mapInArrow(run, "token long, part array<double>").groupBy("token").agg(*sums).collect():  # a row per token
             product[token] = values
         # The product's singular values are the squares of the matrix' own once the basis is its right singular vectors.
         basis, values, _ = np.linalg.svd(product, full_matrices=False)

@@ -57,3 +57,14 @@ def test_near_copies_come_first(spark):
     ids = {r.query_id for r in found}
     assert len(ids) > 5 and sum(any(r.document_id == q for r in found if r.query_id == q) for q in ids) >= 0.9 * len(ids)
     del vectors.EMBEDDERS["semantic-copies"]
+
+
+def test_tokens_become_numbers_once(spark, monkeypatch):
+    """Rounds read the stored matrix: the texts' tokens are read for their frequencies and for the entries, not again in each round."""
+    made, before = [], semantic.written
+    monkeypatch.setattr(semantic, "written", lambda df, path: made.append(before(df, path)) or made[-1])
+    rows = bm25.count_tokens(base.chunks(spark, "/root/testdata/sf0.001"))
+    semantic.fit(rows, 4, rounds=3)
+    assert len(made) == 1 and made[0].agg(F.sum("n")).first()[0] == rows.count()
+    tokens, entries = rows.select(F.sum(F.size("toks"))).first()[0], made[0].agg(F.sum(F.octet_length("data") / 8)).first()[0]
+    assert entries == tokens
