@@ -405,11 +405,11 @@ def ingest_search(spark, sf_dir):
 def replayed_stream(spark, sf_dir):
     """Documents that arrive twice, in two batches of a stream, are kept once each, and those with equal texts all."""
     folder, rows = scratch(spark, "replayed-stream"), table(spark, sf_dir, "documents").select("doc_id", "text")
-    for hour in (0, 1):
+    for hour in (0, 1):  # a batch for each arrival, of however many files
         rows.withColumn("arrived", F.lit(f"2024-01-01 0{hour}:00:00").cast("timestamp")).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema("doc_id long, text string, arrived timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    docs = stream.select(F.col("doc_id").alias("document_id"), "text", "arrived", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
-    ingest.once(docs, "arrived", "2 hours").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        stream = spark.readStream.schema("doc_id long, text string, arrived timestamp").parquet(f"{folder}/in")
+        docs = stream.select(F.col("doc_id").alias("document_id"), "text", "arrived", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+        ingest.once(docs, "arrived", "2 hours").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(F.col("document_id").alias("doc_id"), F.md5("text").alias("text_md5"))
 
 

@@ -590,3 +590,19 @@ def test_chunks_are_counted_once(spark, tmp_path):
     rows = spark.range(100).selectExpr("id AS document_id", "0 AS chunk_index", "'w' || id AS content")
     segments.add(rows, f"file://{tmp_path}/index", prepare=lambda rows: bm25.count_tokens(rows.withColumn("x", one("chunk_index"))))
     assert counted.value == 100
+
+
+def test_replay_makes_two_batches(spark, tmp_path):
+    """However many files an arrival has, it is one batch."""
+    from lectern.plans import talk_queries
+
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(9).write.parquet(f"file://{tmp_path}/documents.parquet")
+    made, before = [], talk_queries.scratch
+    talk_queries.scratch = lambda *given: made.append(before(*given)) or made[-1]
+    try:
+        rows = talk_queries.replayed_stream(spark, f"file://{tmp_path}")
+    finally:
+        talk_queries.scratch = before
+    logs = spark.read.text(f"{made[0]}/state/sources/0").where("value like '{%'")  # a line for each file, with the batch that read it
+    assert logs.selectExpr("get_json_object(value, '$.batchId') AS batch").distinct().count() == 2
+    assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
