@@ -46,13 +46,18 @@ class _History(StatefulProcessor):
         self.newest = handle.getValueState("newest", "checkpoint_id long, n_messages long, turns array<long>, texts array<string>", self.ttl_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        parent, n, turns, texts = self.newest.get() if self.newest.exists() else (None, 0, [], [])
+        parent, n, turns, texts = self.newest.get() or (None, 0, [], [])
         checkpoint, last, changed = (parent or 0) + 1, dict(zip(turns, texts)), False
+        # Turns above the newest are not known, so the state, a call for each turn, is asked for earlier ones only.
+        top, seen = max(turns, default=None), {}
         for frame in rows:
             for turn, role, text in zip(frame["turn"].tolist(), frame["role"].tolist(), frame["text"].tolist()):
-                old = self.known.getValue((turn,)) if self.known.containsKey((turn,)) else None
+                old = seen.get(turn)
+                if old is None and top is not None and turn <= top:
+                    old = self.known.getValue((turn,))
                 if old is not None and tuple(old) == (role, text):
                     continue  # it came before
+                seen[turn] = (role, text)
                 self.known.updateValue((turn,), (role, text))
                 self.messages.updateValue((checkpoint, turn), (role, text))
                 n, changed = n + (old is None), True
@@ -62,8 +67,7 @@ class _History(StatefulProcessor):
         if changed:
             self.checkpoints.updateValue((checkpoint,), (parent, n))
             self.newest.update((checkpoint, n, list(last), list(last.values())))
-            out = {"conv_id": key[0], "checkpoint_id": checkpoint, "parent_id": parent, "n_messages": n, "turns": list(last), "texts": list(last.values())}
-            yield pd.DataFrame([out]).astype({"parent_id": "Int64"})
+            yield pd.DataFrame({"conv_id": [key[0]], "checkpoint_id": [checkpoint], "parent_id": pd.array([parent], "Int64"), "n_messages": [n], "turns": [list(last)], "texts": [list(last.values())]})
 
     def close(self) -> None:
         pass

@@ -606,3 +606,39 @@ def test_replay_makes_two_batches(spark, tmp_path):
     logs = spark.read.text(f"{made[0]}/state/sources/0").where("value like '{%'")  # a line for each file, with the batch that read it
     assert logs.selectExpr("get_json_object(value, '$.batchId') AS batch").distinct().count() == 2
     assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_history_asks_the_state_for_earlier_turns_only():
+    """Turns above the newest cost no lookup; earlier ones, and those that come twice in a batch, are told apart as before."""
+    import pandas as pd
+
+    class State(dict):
+        asked = 0
+
+        def get(self):
+            return self.value if hasattr(self, "value") else None
+
+        def update(self, value):
+            self.value = value
+
+        def exists(self):
+            return hasattr(self, "value")
+
+        def containsKey(self, key):
+            self.asked += 1
+            return key in self
+
+        def getValue(self, key):
+            self.asked += 1
+            return dict.get(self, key)
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+    history = threads._History(2, None)
+    history.messages, history.checkpoints, history.known, history.newest = State(), State(), State(), State()
+    give = lambda *rows: [f.iloc[0].to_dict() for f in history.handleInputRows((1,), iter([pd.DataFrame(rows, columns=["turn", "role", "text"])]), None)]
+    assert give((1, "u", "a"), (2, "a", "b"), (2, "a", "b"))[0]["n_messages"] == 2 and history.known.asked == 0
+    assert give((3, "u", "c"))[0]["turns"] == [2, 3] and history.known.asked == 0
+    assert give((1, "u", "a"), (3, "u", "c")) == [] and history.known.asked == 2
+    assert give((3, "u", "new"), (1, "u", "a"))[0]["texts"] == ["b", "new"] and history.newest.value[1] == 3
