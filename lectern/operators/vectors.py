@@ -25,7 +25,8 @@ def norm(vector: Column) -> Column:
 def normalize(vector: Column) -> Column:
     """To length 1; a zero vector stays."""
     size = norm(vector)
-    return F.transform(vector, lambda x: x.cast("double") / F.when(size == 0, 1.0).otherwise(size))
+    size = F.array(F.when(size == 0, 1.0).otherwise(size))  # bound by the outer lambda, else each element would find it anew
+    return F.transform(size, lambda n: F.transform(vector, lambda x: x.cast("double") / n))[0]
 
 
 def dot(a: Column, b: Column) -> Column:

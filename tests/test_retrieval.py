@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import time
 
 import numpy as np
 import pytest
@@ -642,3 +643,18 @@ def test_history_asks_the_state_for_earlier_turns_only():
     assert give((3, "u", "c"))[0]["turns"] == [2, 3] and history.known.asked == 0
     assert give((1, "u", "a"), (3, "u", "c")) == [] and history.known.asked == 2
     assert give((3, "u", "new"), (1, "u", "a"))[0]["texts"] == ["b", "new"] and history.newest.value[1] == 3
+
+
+def test_normalizing_takes_time_in_proportion_to_the_elements(spark, tmp_path):
+    """As many elements in long vectors take about as long as in short ones."""
+    took = []
+    for n, dim in ((4096, 64), (4096, 64), (64, 4096)):  # the first run compiles
+        rows = spark.range(n).select(F.expr(f"transform(sequence(1, {dim}), x -> cast((x * 7 + id) % 13 - 6 as float))").alias("embedding"))
+        rows = written(rows, f"file://{tmp_path}/{len(took)}")
+        began = time.monotonic()
+        unit = rows.select(vectors.normalize(F.col("embedding")).alias("unit"))
+        assert unit.agg(F.max(F.abs(vectors.norm(F.col("unit")) - 1)) < 1e-9).first()[0]
+        took.append(time.monotonic() - began)
+    assert took[2] < 4 * took[1] + 2
+    odd = spark.createDataFrame([(0, None), (1, []), (2, [0.0, 0.0]), (3, [3.0, -4.0]), (4, [1.0, None])], "id long, v array<float>")
+    assert [r[0] for r in odd.orderBy("id").select(vectors.normalize(F.col("v"))).collect()] == [None, [], [0.0, 0.0], [0.6, -0.8], [None, None]]
