@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BUCKETS, RAREST = 16, 3
 #: Characters of the longest pattern that is met by runs of its own length.
 PIECES = 8
+#: Short patterns up to which they are broadcast; more of them meet the texts' runs in a shuffle.
+FEW = 200_000
 
 
 def runs(text: Column, size: int = 3) -> Column:
@@ -64,13 +66,16 @@ def search(spark: SparkSession, path: str, patterns: DataFrame, key: str, *colum
     for column in columns:
         has = has | F.coalesce(F.contains(F.lower(column), F.col("pattern")), F.lit(False))
     size = F.length("pattern")
-    sizes = [r[0] for r in low.select(size.alias("size")).distinct().where("size is not null").collect() if r[0] <= PIECES]
+    short = low.where(size <= PIECES)
+    sizes = dict(map(tuple, short.groupBy(size).count().collect()))  # at most PIECES + 1 rows
     longer = low.where(size > PIECES)
     met = candidates(spark, path, longer).withColumnRenamed("key", key)
     found = rows.join(met, key).join(longer, "pattern_id").where(has).select("pattern_id", key)
     if wanted := [n for n in sorted(sizes) if n > 0]:
         pieces = F.array_distinct(F.flatten(F.array(*[runs(F.col(c), n) for c in columns for n in wanted])))
-        found = found.unionByName(rows.select(key, F.explode(pieces).alias("pattern")).join(low.where(size <= PIECES), "pattern").select("pattern_id", key))
+        # Estimates of size know nothing of how many runs a text has: left alone, a plan may broadcast the runs.
+        held = short.hint("broadcast" if sum(sizes.values()) <= FEW else "merge")
+        found = found.unionByName(rows.select(key, F.explode(pieces).alias("pattern")).join(held, "pattern").select("pattern_id", key))
     if 0 in sizes:
         found = found.unionByName(rows.join(F.broadcast(low.where(size == 0)), has).select("pattern_id", key))  # the empty pattern
     return found

@@ -658,3 +658,24 @@ def test_normalizing_takes_time_in_proportion_to_the_elements(spark, tmp_path):
     assert took[2] < 4 * took[1] + 2
     odd = spark.createDataFrame([(0, None), (1, []), (2, [0.0, 0.0]), (3, [3.0, -4.0]), (4, [1.0, None])], "id long, v array<float>")
     assert [r[0] for r in odd.orderBy("id").select(vectors.normalize(F.col("v"))).collect()] == [None, [], [0.0, 0.0], [0.6, -0.8], [None, None]]
+
+
+def test_runs_of_texts_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """Patterns whose estimated size is above that of the texts are the side that is broadcast, or no side is; the rows are the same."""
+    rows = spark.range(300).selectExpr("id AS conv_id", "concat('t', id % 7, 'x') AS title", "concat('last ', id) AS last_message")
+    trigrams.build(rows, path := f"file://{tmp_path}/trigrams", "conv_id", "title", "last_message")
+    patterns = spark.range(2_000_000).selectExpr("concat('T', id % 9) AS pattern").distinct().selectExpr("pattern AS pattern_id", "pattern")
+
+    def sent(df):
+        """The lines of the plan below each broadcast."""
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+        return [" ".join(lines[i : next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))]) for i, line in enumerate(lines) if "BroadcastExchange" in line]
+
+    expected = sorted((f"T{i % 7}", i) for i in range(300))
+    for few in (None, 5):
+        if few:
+            monkeypatch.setattr(trigrams, "FEW", few)
+        found = trigrams.search(spark, path, patterns, "conv_id", "title", "last_message")
+        assert not any("Generate" in below for below in sent(found))
+        assert sorted(map(tuple, found.collect())) == expected
