@@ -7,17 +7,16 @@ and the shards' top k merge exactly.
 
 A task's shards raise the k-th best score for one another, and the task passes on its k best only.
 
-Within a shard documents are numbered so that alike ones stand together, and postings are cut
-into blocks of document numbers that are the same for all terms. Every term, however frequent,
-has block maxima. A query's terms are parted at a pivot into the frequent ones, whose lists are
-long and whose weights are small, and the others. Three tests follow, each against the k-th
-best score so far: a block whose maxima together fall short is skipped whole; in the blocks that
-are left, best bounds first, the postings of the terms before the pivot are scored, and a
-document is given up if these and the block's maxima of the frequent terms fall short; only
-for documents that pass are the frequent terms' postings looked up. ``Best`` counts the postings
-that are scored and those that all documents would have needed.
-
-Queries come in blocks of bounded bytes; each is broadcast and runs against all shards.
+Within a shard documents are numbered so that alike ones stand together. A query's terms are
+parted at a pivot into the frequent ones, whose lists are long and whose weights are small, and
+the others. The frequent ones have maxima over blocks of document numbers that are the same for
+all terms; in so small blocks the others' maxima would be nearly as many as their postings. The
+others' postings are scored, and a document is given up if these and its block's maxima of the
+frequent terms fall short of the k-th best score so far; only for documents that pass, best
+limits first, are the frequent terms' postings looked up. ``Best`` counts the postings that are
+scored and those that all documents would have needed.
+
+Queries of the same text are searched once. They come in blocks of bounded bytes; each is broadcast and runs against all shards.
 
 Defined results: words are those of the lower-cased (A-Z) text; a null text has none but counts
 as a document; only documents that share a word with the query are found; a document is no hit
@@ -28,8 +27,9 @@ other columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from pyspark import Accumulator, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_rows, ship, stored, table
+from lectern.llm.common import LARGE_ROWS, ship, stored, table
 
 K1, B = 1.2, 0.75
 TOP = 10
@@ -47,6 +47,8 @@ SHARD_BYTES, QUERY_BYTES, BLOCK = 16 << 20, 16 << 20, 4
 FREQUENT = 12
 #: Tasks that search, for each core of the cluster; shards that a task reads at most, about.
 TASKS_PER_CORE, SHARDS_PER_TASK = 3, 8
+#: Queries whose bounds are found by one matrix product.
+TOGETHER = 256
 #: Rounding of scores; bounds are compared with this slack.
 DECIMALS, EPSILON = 6, 1e-5
 #: Bounds of the frequent words are sums of short floats, and raised by more than these can be off.
@@ -62,17 +64,24 @@ def words_of(text: str | None) -> list[bytes]:
 
 def build_shard(name: str, rows: list[tuple]) -> tuple:
     """One row of the index from (doc_id, words) rows; documents are numbered by their most shared word, then by length."""
-    common = Counter(w for _, words in rows for w in set(words))
-    likeness = lambda words: max(((common[w], w) for w in set(words)), default=(0, b""))[1]
-    rows = sorted(rows, key=lambda r: (likeness(r[1]), len(r[1]), r[0] if r[0] is not None else NO_ID))
-    number: dict[bytes, int] = {}
-    flat = np.array([number.setdefault(w, len(number)) for _, words in rows for w in words], dtype=np.int64)
+    number: defaultdict[bytes, int] = defaultdict(count().__next__)
+    flat = np.array([number[w] for _, words in rows for w in words], dtype=np.int64)
+    ids = np.array([r[0] if r[0] is not None else NO_ID for r in rows], dtype="<i8")
     lengths = np.array([len(words) for _, words in rows], dtype="<i4")
-    docs = np.repeat(np.arange(len(rows), dtype=np.int64), lengths)
-    keys, tfs = np.unique(flat * max(1, len(rows)) + docs, return_counts=True)
-    terms, docs = np.divmod(keys, max(1, len(rows)))
+    n_docs = max(1, len(rows))
+    keys, tfs = np.unique(flat * n_docs + np.repeat(np.arange(len(rows), dtype=np.int64), lengths), return_counts=True)
+    terms, docs = np.divmod(keys, n_docs)
+    likeness, filled = np.full(len(rows), -1, dtype=np.int64), np.nonzero(lengths)[0]
+    if len(filled):
+        shared = np.bincount(terms)[flat] * len(number) + flat
+        likeness[filled] = np.maximum.reduceat(shared, (np.cumsum(lengths, dtype=np.int64) - lengths)[filled]) % len(number)
+    order = np.lexsort((ids, lengths, likeness))
+    place = np.empty(len(rows), dtype=np.int64)
+    place[order] = np.arange(len(rows))
+    docs = place[docs]
+    sort = np.argsort(terms * n_docs + docs)
+    ids, lengths, docs, tfs = ids[order], lengths[order], docs[sort], tfs[sort]
     starts = np.searchsorted(terms, np.arange(len(number) + 1)).astype("<i8")
-    ids = np.array([r[0] if r[0] is not None else NO_ID for r in rows], dtype="<i8")
     return (
         name, len(rows), int(lengths.sum()), ids.tobytes(), lengths.tobytes(), b" ".join(number), starts.tobytes(), docs.astype("<i4").tobytes(), tfs.astype("<i4").tobytes()
     )
@@ -103,21 +112,22 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         if rows:
             yield row()
 
-    return stored(docs.select("doc_id", "text").mapInArrow(run, INDEX), "inverted-index")
+    return stored(docs.select("doc_id", "text").mapInArrow(run, INDEX), "inverted-index", **LARGE_ROWS)
 
 
 class QueryBlock:
-    """Some queries: their ids, and their words as numbers of the block's vocabulary, with how often they occur."""
+    """Some queries: their ids, and their words as numbers of the block's vocabulary, with how often they occur.
+
+    ``shared`` says of each whether several queries have its words.
+    """
 
     def __init__(self, rows: list[tuple]):
-        counts: dict[int, Counter] = {}
-        for query_id, text in rows:
-            counts.setdefault(query_id, Counter()).update(words_of(text))
         self.vocabulary: dict[bytes, int] = {}
-        self.queries = [
-            (q, np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in c], dtype=np.int64), np.array(list(c.values()), dtype=float))
-            for q, c in counts.items()
-        ]
+        self.queries, self.shared = [], [shared for _, _, shared in rows]
+        for query_id, text, _ in rows:
+            counts = Counter(words_of(text))
+            words = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in counts], dtype=np.int64)
+            self.queries.append((query_id, words, np.array(list(counts.values()), dtype=float)))
         self.idf = np.zeros(len(self.vocabulary))
 
     def numbers(self, terms: bytes) -> np.ndarray:
@@ -134,121 +144,123 @@ def _ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best hits of a query so far; ``least`` is the score that a document must reach.
+    """The k best hits of a query so far, the document ``own`` left out; ``least`` is the score that a document must reach.
 
-    ``scored`` of ``asked`` postings were read to find them; the frequent words' ones count where ``counting`` is wanted.
+    ``scored`` of ``asked`` postings were read to find them; both count where ``counting`` is wanted.
     """
 
-    __slots__ = ("ids", "scores", "least", "scored", "asked", "counting")
-
-    def __init__(self, counting: bool = False):
-        self.ids, self.scores, self.least, self.scored, self.asked, self.counting = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 0, counting
-
-    def add(self, ids: np.ndarray, scores: np.ndarray, k: int) -> None:
-        ids, scores = np.r_[self.ids, ids], np.r_[self.scores, scores]
-        if len(scores) > k:
-            keep = np.lexsort((ids, -scores))[:k]
+    __slots__ = ("k", "own", "ids", "scores", "least", "scored", "asked", "counting")
+
+    def __init__(self, k: int, own: int | None = None, counting: bool = False):
+        self.k, self.own, self.ids, self.scores, self.least, self.scored, self.asked, self.counting = k, own, np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 0, counting
+
+    def enough(self) -> float:
+        """What a score has to be above to be among the best, with slack for rounding."""
+        return max(0.0, self.least - EPSILON)
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Take these documents' scores, those that are high enough."""
+        good = scores > self.enough()
+        if self.own is not None:
+            good &= ids != self.own
+        if not good.any():
+            return
+        ids, scores = np.concatenate((self.ids, ids[good])), np.concatenate((self.scores, scores[good].round(DECIMALS)))
+        if len(scores) > self.k:
+            keep = np.lexsort((ids, -scores))[: self.k]
             ids, scores = ids[keep], scores[keep]
         self.ids, self.scores = ids, scores
-        if len(scores) == k:
+        if len(scores) == self.k:
             self.least = scores.min()
 
 
 class Shard:
-    """A shard's postings of the words that a block of queries asks for, with block maxima.
+    """A shard's postings of the words that a block of queries asks for.
 
-    The frequent words' postings stand in rows by document, to be looked up; the others' in lists.
+    The frequent words' postings stand in rows by document, to be looked up, with block maxima; the others' in lists.
     """
 
     def __init__(self, row: tuple, block: QueryBlock, mean_length: float):
         _, n_docs, _, ids, lengths, terms, starts, docs, tfs = row
         self.ids, self.n_docs = np.frombuffer(ids, dtype="<i8"), n_docs
-        self.n_blocks, self.block_of = -(-n_docs // BLOCK), np.arange(n_docs) // BLOCK
         norm = K1 * (1 - B + B * np.frombuffer(lengths, dtype="<i4") / mean_length)
         number, starts = block.numbers(terms), np.frombuffer(starts, dtype="<i8")
         asked = np.nonzero(number >= 0)[0]
+        frequent = np.diff(starts)[asked] * FREQUENT >= n_docs
+        n_frequent, asked = int(frequent.sum()), np.concatenate((asked[frequent], asked[~frequent]))
+        words, sizes = number[asked], starts[asked + 1] - starts[asked]
         picked = _ranges(starts[asked], starts[asked + 1])
-        sizes = starts[asked + 1] - starts[asked]
         docs = np.frombuffer(docs, dtype="<i4")[picked].astype(np.int64)
         tf = np.frombuffer(tfs, dtype="<i4")[picked].astype(float)
-        impact = np.repeat(block.idf[number[asked]], sizes) * tf * (K1 + 1) / (tf + norm[docs])
-        frequent = sizes * FREQUENT >= n_docs
+        impact = np.repeat(block.idf[words] * (K1 + 1), sizes) * tf / (tf + norm[docs])
         self.sizes = np.zeros(len(block.vocabulary), dtype=np.int64)
-        self.sizes[number[asked]] = sizes
+        self.sizes[words] = sizes
 
-        inside = np.repeat(frequent, sizes)
+        inside = int(sizes[:n_frequent].sum())
         self.rows = np.full(len(block.vocabulary), -1)
-        self.rows[number[asked[frequent]]] = np.arange(frequent.sum())
-        self.by_doc = np.zeros((n_docs, int(frequent.sum())))
-        self.by_doc[docs[inside], np.repeat(np.arange(self.by_doc.shape[1]), sizes[frequent])] = impact[inside]
-        self.row_most = np.maximum.reduceat(self.by_doc, np.arange(0, n_docs, BLOCK), axis=0).T.astype(np.float32)
-
-        self.docs, self.impact = docs[~inside], impact[~inside]
-        asked, sizes = asked[~frequent], sizes[~frequent]
-        slot = np.repeat(np.arange(len(asked)), sizes)
-        where = self.docs // BLOCK
-        self.first = np.nonzero(np.diff(slot * self.n_blocks + where, prepend=-1))[0]
-        self.stop = np.r_[self.first[1:], len(slot)]
-        self.block = where[self.first]
-        self.most = np.maximum.reduceat(self.impact, self.first) if len(self.first) else np.zeros(0)
-        self.entries = np.searchsorted(slot[self.first], np.arange(len(asked) + 1))
-        self.slots = np.full(len(block.vocabulary), -1)
-        self.slots[number[asked]] = np.arange(len(asked))
-
-    def improve(self, best: list[Best], queries: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> None:
+        self.rows[words[:n_frequent]] = np.arange(n_frequent)
+        self.by_doc = np.zeros((n_docs, n_frequent))
+        self.by_doc[docs[:inside], np.repeat(np.arange(n_frequent), sizes[:n_frequent])] = impact[:inside]
+        self.short = self.by_doc.astype(np.float32)
+        self.row_most = np.maximum.reduceat(self.short, np.arange(0, n_docs, BLOCK), axis=0).T.copy()
+
+        self.docs, self.impact = docs[inside:], impact[inside:]
+        self.first, self.stop = np.zeros((2, len(block.vocabulary)), dtype=np.int64)
+        self.stop[words[n_frequent:]] = ends = np.cumsum(sizes[n_frequent:])
+        self.first[words[n_frequent:]] = ends - sizes[n_frequent:]
+
+    def improve(self, best: list[Best], queries: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
         """Put the shard's documents among the best so far of each query."""
-        for start in range(0, len(queries), 64):
-            part = queries[start : start + 64]
-            weights = np.zeros((len(part), self.by_doc.shape[1]))
+        for start in range(0, len(queries), TOGETHER):
+            part = queries[start : start + TOGETHER]
+            weights = np.zeros((len(part), len(self.row_most)), dtype=np.float32)
             for i, (_, words, times) in enumerate(part):
                 rows = self.rows[words]
                 weights[i, rows[rows >= 0]] = times[rows >= 0]
-            row_bounds = (weights.astype(np.float32) @ self.row_most).astype(float) * ABOVE
-            for found, (query_id, words, times), bounds, weight in zip(best[start : start + 64], part, row_bounds, weights):
-                self._improve(found, query_id, words, times, bounds, weight, k)
-
-    def _improve(self, best: Best, query_id: int, words: np.ndarray, times: np.ndarray, row_bounds: np.ndarray, weights: np.ndarray, k: int) -> None:
-        best.asked += int(self.sizes[words].sum())
-        slots = self.slots[words]
-        slots, times = slots[slots >= 0], times[slots >= 0]
-        starts, stops = self.entries[slots], self.entries[slots + 1]
-        entries, weight = _ranges(starts, stops), np.repeat(times, stops - starts)
-        where = self.block[entries]
-        bounds = row_bounds + np.bincount(where, weights=self.most[entries] * weight, minlength=self.n_blocks)
-        waiting = bounds > 0
-        if len(best.scores) < k:  # the likeliest blocks alone first, for a score to beat
-            few = min(self.n_blocks, -(-8 * k // BLOCK))
-            first = np.zeros(self.n_blocks, dtype=bool)
-            first[np.argpartition(-bounds, few - 1)[:few]] = True
-            self._score(best, query_id, first & waiting, entries, where, weight, row_bounds, weights, k)
-            waiting &= ~first
-        waiting &= bounds >= best.least - EPSILON
-        if waiting.any():
-            self._score(best, query_id, waiting, entries, where, weight, row_bounds, weights, k)
-
-    def _score(self, best: Best, query_id: int, chosen: np.ndarray, entries: np.ndarray, where: np.ndarray, weight: np.ndarray, row_bounds: np.ndarray, weights: np.ndarray, k: int) -> None:
-        """Score the chosen blocks' documents: by the words before the pivot first, whole where they may still be among the best."""
-        inside = chosen[where]
-        first, stop = self.first[entries[inside]], self.stop[entries[inside]]
-        postings = _ranges(first, stop)
-        best.scored += len(postings)
-        score = np.bincount(self.docs[postings], weights=self.impact[postings] * np.repeat(weight[inside], stop - first), minlength=self.n_docs)
-        limit = score + np.where(chosen, row_bounds, -np.inf)[self.block_of]
-        left = np.nonzero((limit > 0) & (limit >= best.least - EPSILON))[0]
-        step = 4 * k
-        while len(left):  # the likeliest first: what they score spares others
-            some = left
-            if len(left) > step:
-                likely = np.argpartition(-limit[left], step)
-                some, left = left[likely[:step]], left[likely[step:]]
-            else:
-                left = left[:0]
-            found = self.by_doc[some]
-            best.scored += int(np.count_nonzero(found[:, weights > 0])) if best.counting else 0
-            whole = score[some] + found @ weights
-            good = (whole > max(0.0, best.least - EPSILON)) & (self.ids[some] != query_id)
-            best.add(self.ids[some[good]], np.round(whole[good], DECIMALS), k)
-            left, step = left[limit[left] >= best.least - EPSILON], 4 * step
+            row_bounds = (weights @ self.row_most).astype(float) * ABOVE
+            for found, (_, words, times), bounds, weight in zip(best[start : start + TOGETHER], part, row_bounds, weights):
+                self._improve(found, words, times, bounds, weight)
+
+    def _improve(self, best: Best, words: np.ndarray, times: np.ndarray, row_bounds: np.ndarray, weights: np.ndarray) -> None:
+        starts, stops = self.first[words], self.stop[words]
+        postings = _ranges(starts, stops)
+        score = np.bincount(self.docs[postings], weights=self.impact[postings] * np.repeat(times, stops - starts), minlength=len(row_bounds) * BLOCK)
+        limit = (score.reshape(-1, BLOCK) + row_bounds[:, None]).ravel()[: self.n_docs]
+        left = np.nonzero(limit > best.enough())[0]
+        if best.counting:
+            best.asked += int(self.sizes[words].sum())
+            best.scored += len(postings)
+        few = 8 * best.k
+        if len(best.scores) < best.k and len(left) > few:  # the likeliest alone first, for a score to beat
+            likely = np.argpartition(-limit[left], few)
+            self._look_up(best, left[likely[:few]], score, weights)
+            left = left[likely[few:]]
+            left = left[limit[left] > best.enough()]
+        if len(left):
+            self._look_up(best, left, score, weights)
+
+    def _look_up(self, best: Best, some: np.ndarray, score: np.ndarray, weights: np.ndarray) -> None:
+        """Add the frequent words to the scores of some documents: by short floats first, exactly where these let them pass."""
+        found = self.short[some]
+        best.scored += int(np.count_nonzero(found[:, weights > 0])) if best.counting else 0
+        limit = score[some] + (found @ weights) * ABOVE
+        step = 4 * best.k
+        while len(some := some[passing := limit > best.enough()]):  # the likeliest first: what they score spares others
+            limit = limit[passing]
+            at = np.argpartition(-limit, step)[:step] if len(some) > step else slice(None)
+            best.add(self.ids[some[at]], score[some[at]] + self.by_doc[some[at]] @ weights)
+            limit[at], step = -1.0, 4 * step
+
+
+def one_of_each(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, text, copies: one row for all queries of the same text, whose ids are in ``copies``.
+
+    The rows of a repeated id have their words together. A query whose id several documents have stands alone, since it leaves out all of them.
+    """
+    whole = queries.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("text"))
+    several = docs.select(F.col("doc_id").alias("query_id")).join(queries.select("query_id").distinct(), "query_id", "left_semi").groupBy("query_id").agg(F.count("*").alias("n")).where("n > 1")
+    alone = whole.join(several, "query_id", "left").withColumn("alone", F.when(F.col("n").isNotNull(), F.col("query_id")))
+    return alone.groupBy("text", "alone").agg(F.min("query_id").alias("query_id"), F.collect_list("query_id").alias("copies")).select("query_id", "text", "copies")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_bytes: int = SHARD_BYTES, query_bytes: int = QUERY_BYTES, counts: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
@@ -259,35 +271,43 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_bytes: int =
     spark = docs.sparkSession
     index = build_index(docs, shard_bytes)
     n_docs, n_words, n_shards = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0)), F.count("*")).first()
-    queries = queries.where("query_id is not null").select("query_id", "text")
+    queries = stored(one_of_each(queries.where("query_id is not null").select("query_id", "text"), docs), "queries")
     size = queries.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = size // query_bytes + 1
     hits = None
     for number in range(n_blocks):
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == number)
-        block = QueryBlock(part.collect())  # query_bytes of text, about
+        block = QueryBlock(part.select("query_id", "text", F.size("copies") > 1).collect())  # query_bytes of text, about
         found = _search_block(spark, index, block, n_docs, n_words / n_docs if n_words else 1.0, n_shards, k, counts)
         found = stored(found, "hits")
         hits = found if hits is None else hits.unionByName(found)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first())
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    rank = F.row_number().over(order)
+    hits = hits.withColumn("rank", rank).where(F.col("rank") <= k + 1).join(queries.select("query_id", "copies"), "query_id")
+    hits = hits.select(F.explode("copies").alias("query_id"), "doc_id", "score").where("not (doc_id <=> query_id)")
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
 def _search_block(spark: SparkSession, index: DataFrame, block: QueryBlock, n_docs: int, mean_length: float, n_shards: int, k: int, counters: tuple[Accumulator, Accumulator] | None) -> DataFrame:
     shared = spark.sparkContext.broadcast(block)  # a block of queries, of bounded bytes
 
-    def make_counts():
-        own = shared.value
+    # A task merges its shards' counts and hits, and reads a bounded number of shards, so that a lost task is soon repeated.
+    n_tasks = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-n_shards // SHARDS_PER_TASK))
 
-        def rows(batch):
-            for terms, starts in batch:
-                number = own.numbers(terms)
+    def count_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        n = np.zeros(len(own.vocabulary), dtype=np.int64)
+        for batch in batches:
+            for terms, starts in zip(*batch.columns):
+                number = own.numbers(terms.as_py())
                 asked = np.nonzero(number >= 0)[0]
-                yield from zip(number[asked].tolist(), np.diff(np.frombuffer(starts, dtype="<i8"))[asked].tolist())
-
-        return rows
+                n[number[asked]] += np.diff(np.frombuffer(starts.as_py(), dtype="<i8"))[asked]
+        found = np.nonzero(n)[0].astype(np.int32)
+        for start in range(0, len(found), 1 << 16):
+            part = found[start : start + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], names=["term", "n"])
 
-    counts = map_rows(index.select("terms", "starts"), "term int, n long", make_counts).groupBy("term").agg(F.sum("n").alias("n"))
+    counts = index.select("terms", "starts").coalesce(n_tasks).mapInArrow(count_docs, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = np.array(counts.collect(), dtype=np.int64).reshape(-1, 2)  # at most the block's vocabulary
     df = np.zeros(len(block.vocabulary))
     df[found[:, 0]] = found[:, 1]
@@ -296,11 +316,12 @@ def _search_block(spark: SparkSession, index: DataFrame, block: QueryBlock, n_do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         own.idf = idf.value
-        best = [Best(counters is not None) for _ in own.queries]
+        # What queries share leaves none of their documents out, but has a hit more.
+        best = [Best(k + shared, None if shared else q[0], counters is not None) for q, shared in zip(own.queries, own.shared)]
         for batch in batches:
             for at in range(batch.num_rows):
                 row = tuple(c[at].as_py() for c in batch.columns)
-                Shard(row, own, mean_length).improve(best, own.queries, k)
+                Shard(row, own, mean_length).improve(best, own.queries)
         if counters is not None:
             counters[0].add(sum(b.scored for b in best))
             counters[1].add(sum(b.asked for b in best))
@@ -309,9 +330,7 @@ def _search_block(spark: SparkSession, index: DataFrame, block: QueryBlock, n_do
             if part:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*part), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
 
-    # A task merges its shards' hits, and reads a bounded number of shards, so that a lost task is soon repeated.
-    few = index.coalesce(max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-n_shards // SHARDS_PER_TASK)))
-    return few.mapInArrow(run, "query_id long, doc_id long, score double")
+    return index.coalesce(n_tasks).mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def op2_search(spark: SparkSession, sf_dir: str) -> DataFrame:

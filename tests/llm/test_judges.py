@@ -489,6 +489,34 @@ def test_op2_prunes(spark):
     assert shares[0] < 0.8 and shares[1] < 0.3
 
 
+def test_op2_copies_of_queries(spark):
+    """Queries of one text are searched once, and each leaves out its own documents only."""
+    draw = random.Random(3)
+    texts = ["some words of a text"] * 40 + [" ".join(draw.choices("abcdefghij", k=draw.randrange(12))) for _ in range(200)]
+    docs = spark.createDataFrame([(i % 230 if i > 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    queries = docs.where("doc_id is not null").select(F.col("doc_id").alias("query_id"), "text")
+    words, asked = {}, []
+    for r in queries.collect():
+        words.setdefault(r.query_id, []).extend(r.text.split())
+    for some in ("query_id = 20", "query_id between 10 and 39"):
+        counts = (spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0))
+        search.search(docs, queries.where(some), 5, counts=counts).collect()
+        asked.append(counts[1].value)
+    assert asked[0] == asked[1] > 0
+    rows = [(r.doc_id, Counter((r.text or "").split())) for r in docs.collect()]
+    mean, df = sum(sum(c.values()) for _, c in rows) / len(rows), Counter(w for _, c in rows for w in c)
+    expected = []
+    for q, own in words.items():
+        scores = []
+        for d, c in rows:
+            parts = [t * math.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w, t in Counter(own).items() if c[w]]
+            scores += [(-round(sum(parts), 6), d is not None, d or 0)] if parts and d != q else []
+        expected += [(q, rank, d if known else None, -score) for rank, (score, known, d) in enumerate(sorted(scores)[:5], 1)]
+    for shard_bytes in (search.SHARD_BYTES, 4_000):
+        found = search.search(docs, queries, 5, shard_bytes=shard_bytes).collect()
+        assert [(r.query_id, r.rank, r.doc_id) for r in sorted(found)] == [e[:3] for e in sorted(expected)]
+
+
 def test_op2_odd(spark, odd_docs, no_docs):
     queries = spark.createDataFrame([(100, "one two three four"), (101, ""), (102, None), (103, "nowhere-found"), (11, "same row"), (None, "one")], "query_id long, text string")
     rows = search.search(odd_docs, queries, 3).collect()
